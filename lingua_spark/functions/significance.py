@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:
@@ -79,12 +80,12 @@ def kendall_p(concordant: int, discordant: int, n: int, x: tuple, y: tuple) -> f
     return math.erfc(abs(concordant - discordant) / math.sqrt(2 * variance))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def spearman_p_udf(rho: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([spearman_p(r, int(k)) for r, k in zip(rho.fillna(math.nan), n)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def kendall_p_udf(frame: pd.DataFrame) -> pd.Series:
     return pd.Series(
         [

@@ -1,0 +1,373 @@
+"""Tokenizer learning and encoding.
+
+The DuckDB counterparts make one merge per step in a chain of CTEs. They check
+the learners' result, including the rule by which these make several merges
+per round.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lingua_spark.functions.pretok import symbol_text
+from lingua_spark.learn import bpe, parity, phrases, unigram
+from lingua_spark.learn.wordtable import word_counts
+from lingua_spark.queries.registry import query, table
+from lingua_spark.queries.texts import WORD_OR_MARKS
+
+WORDS = r"regexp_extract_all(text, '\S+')"
+TOKENS = f"regexp_extract_all(text, '{WORD_OR_MARKS}')"
+BYTES = "regexp_replace(hex(encode({0})), '(..)', '<\\1>', 'g')"
+CHARS = "'<' || array_to_string(list_transform(string_split({0}, ''), lambda c: hex(encode(c))), '><') || '>'"
+PAIRS = (
+    "SELECT {keys} p[i] AS l, p[i + 1] AS r, sum(f) AS n "
+    "FROM (SELECT {keys} p, f, unnest(range(1, len(p))) AS i "
+    "FROM (SELECT {keys} string_split(s[2:-2], '><') AS p, f FROM {words})) GROUP BY ALL"
+)
+
+
+def words_cte(pieces: str = WORDS, symbols: str = BYTES) -> str:
+    return (
+        f"w0 AS MATERIALIZED (SELECT word, {symbols.format('word')} AS s, count(*) AS f "
+        f"FROM (SELECT unnest({pieces}) AS word FROM documents) GROUP BY word)"
+    )
+
+
+def texts_cte(name: str, lang: str = "") -> str:
+    return f"{name} AS MATERIALIZED (SELECT {lang} text AS word, {BYTES.format('text')} AS s, 1 AS f FROM documents)"
+
+
+def merge_steps(first: int, last: int, condition: str = "n >= 2") -> str:
+    """CTEs m1..: the best pair of the words before, then the words after."""
+    steps = []
+    for k in range(first, last):
+        steps.append(
+            f"m{k} AS MATERIALIZED (SELECT l, r, n FROM ({PAIRS.format(keys='', words=f'w{k}')}) "
+            f"WHERE {condition} ORDER BY n DESC, l, r LIMIT 1)"
+        )
+        steps.append(
+            f"w{k + 1} AS MATERIALIZED (SELECT word, replace(s, '<' || l || '><' || r || '>', '<' || l || r || '>') AS s, f "
+            f"FROM w{k}, m{k})"
+        )
+    return ", ".join(steps)
+
+
+def merges_select(n: int) -> str:
+    return " UNION ALL ".join(
+        f'SELECT {k}::INTEGER AS rank, l AS "left", r AS "right", n::BIGINT AS n FROM m{k}' for k in range(n)
+    )
+
+
+def _documents(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", "lang", "text")
+
+
+N_MERGES = 40
+
+
+@query("learn_bpe", f"WITH {words_cte()}, {merge_steps(0, N_MERGES)} {merges_select(N_MERGES)}")
+def learn_bpe(spark, folder):
+    return bpe.learn_bpe(_documents(spark, folder), n_merges=N_MERGES, preset="words").merges_table()
+
+
+@query("learn_bpe_char", f"WITH {words_cte(symbols=CHARS)}, {merge_steps(0, 24)} {merges_select(24)}")
+def learn_bpe_char(spark, folder):
+    model = bpe.learn_bpe(_documents(spark, folder), n_merges=24, preset="words", unit="char")
+    return model.merges_table()
+
+
+@query(
+    "learn_bpe_maxlen",
+    f"WITH {words_cte()}, {merge_steps(0, 24, 'n >= 2 AND length(l) + length(r) <= 6')} {merges_select(24)}",
+)
+def learn_bpe_maxlen(spark, folder):
+    return bpe.learn_bpe(_documents(spark, folder), n_merges=24, preset="words", max_type_length=3).merges_table()
+
+
+@query("learn_bpe_byte_level")
+def learn_bpe_byte_level(spark, folder):
+    """The default preset, to a vocabulary size; ids of all tokens."""
+    model = bpe.learn_bpe(_documents(spark, folder), vocab_size=160)
+    return model.vocab_table().select("token", "id")
+
+
+@query("learn_picky_bpe")
+def learn_picky_bpe(spark, folder):
+    model = bpe.learn_picky_bpe(_documents(spark, folder), n_events=40, preset="words", threshold=0.5)
+    return model.events_table()
+
+
+@query("learn_scaffold_bpe")
+def learn_scaffold_bpe(spark, folder):
+    model = bpe.learn_scaffold_bpe(_documents(spark, folder), n_merges=40, preset="words")
+    hidden = F.col("token").isin(list(model.hidden))
+    merged = model.merges_table().withColumn("token", F.concat("left", "right"))
+    return merged.withColumn("scaffold", hidden).drop("token")
+
+
+_TRIM = 24
+_TRIM_BELOW = 4000
+
+
+@query(
+    "learn_trimmed_bpe",
+    f"""
+    WITH {words_cte()}, {merge_steps(0, _TRIM)},
+         t AS (SELECT unnest(string_split(s[2:-2], '><')) AS token, f FROM w{_TRIM}),
+         c AS (SELECT token, sum(f) AS n FROM t GROUP BY token),
+         m AS ({merges_select(_TRIM)})
+    SELECT rank, "left", "right", coalesce(c.n, 0) < {_TRIM_BELOW} * (SELECT count(*) FROM documents) / 1000 AS trimmed
+    FROM m LEFT JOIN c ON c.token = m."left" || m."right"
+    """,
+)
+def learn_trimmed_bpe(spark, folder):
+    docs = _documents(spark, folder)
+    below = _TRIM_BELOW * docs.count() / 1000
+    model = bpe.learn_trimmed_bpe(docs, n_merges=_TRIM, min_count=below, preset="words")
+    merged = model.merges_table()
+    return merged.select("rank", "left", "right", F.concat("left", "right").isin(list(model.hidden)).alias("trimmed"))
+
+
+_SUPER, _SUPER_FIRST = 24, 16
+
+
+@query(
+    "learn_superbpe",
+    f"""
+    WITH {words_cte()}, {merge_steps(0, _SUPER_FIRST)}, {texts_cte("v0")},
+         {", ".join(
+             f"v{k + 1} AS MATERIALIZED (SELECT word, replace(s, '<' || l || '><' || r || '>', '<' || l || r || '>') AS s, f FROM v{k}, m{k})"
+             for k in range(_SUPER_FIRST))},
+         {merge_steps(_SUPER_FIRST, _SUPER).replace(f"FROM w{_SUPER_FIRST})", f"FROM v{_SUPER_FIRST})").replace(f"FROM w{_SUPER_FIRST},", f"FROM v{_SUPER_FIRST},")}
+    {merges_select(_SUPER)}
+    """,
+)
+def learn_superbpe(spark, folder):
+    model = bpe.learn_super_bpe(
+        _documents(spark, folder), n_merges=_SUPER, phase1_merges=_SUPER_FIRST, preset="words", preset_phase2="text"
+    )
+    return model.merges_table()
+
+
+@query("learn_superbpe_regex")
+def learn_superbpe_regex(spark, folder):
+    """The published presets of both phases."""
+    return bpe.learn_super_bpe(_documents(spark, folder), n_merges=20).merges_table()
+
+
+def parity_steps(first: int, last: int, train: str, dev: str) -> str:
+    """Per step: the worst compressed language of the development texts, its
+    best pair, and both tables after the merge."""
+    steps = []
+    for k in range(first, last):
+        a, b = (train, dev) if k == first else (f"w{k}", f"d{k}")
+        steps.append(
+            f"g{k} AS MATERIALIZED (SELECT lang FROM (SELECT lang, sum(f * (length(s) - length(replace(s, '<', '')))) AS c "
+            f"FROM {b} GROUP BY lang) JOIN units USING (lang) ORDER BY units / c::DOUBLE, first LIMIT 1)"
+        )
+        steps.append(
+            f"m{k} AS MATERIALIZED (SELECT l, r, n FROM ({PAIRS.format(keys='lang,', words=a)}) "
+            f"WHERE n >= 2 AND lang = (SELECT lang FROM g{k}) ORDER BY n DESC, l, r LIMIT 1)"
+        )
+        for name, source in (("w", a), ("d", b)):
+            steps.append(
+                f"{name}{k + 1} AS MATERIALIZED (SELECT lang, "
+                f"replace(s, '<' || l || '><' || r || '>', '<' || l || r || '>') AS s, f FROM {source}, m{k})"
+            )
+    return ", ".join(steps)
+
+
+def _parity_words(name: str, where: str = "true") -> str:
+    return (
+        f"{name} AS MATERIALIZED (SELECT lang, {BYTES.format('word')} AS s, count(*) AS f "
+        f"FROM (SELECT lang, unnest({TOKENS}) AS word FROM documents WHERE {where}) GROUP BY lang, word)"
+    )
+
+
+# Texts are stripped before they are measured.
+_UNITS = (
+    "units AS MATERIALIZED (SELECT lang, sum(strlen(trim(text, E' \\t\\n\\r'))) AS units, "
+    "first(f) AS first FROM (SELECT *, min(doc_id) OVER (PARTITION BY lang) AS f FROM documents) GROUP BY lang)"
+)
+_PARITY = 20
+
+
+@query(
+    "learn_parity_bpe",
+    f"WITH {_UNITS}, {_parity_words('t0')}, {parity_steps(0, _PARITY, 't0', 't0')} {merges_select(_PARITY)}",
+)
+def learn_parity_bpe(spark, folder):
+    docs = _documents(spark, folder)
+    return parity.learn_parity_bpe(docs, _PARITY, dev=docs, unit="byte").merges_table()
+
+
+_RATIO = {"en": 1.5, "de": 1.8, "fr": 1.2, "es": 1.6}
+
+
+@query(
+    "learn_parity_bpe_ratio",
+    f"""
+    WITH {_parity_words('t0')},
+         units AS MATERIALIZED (
+             SELECT lang, sum(f * (length(s) - length(replace(s, '<', ''))))
+                    / (CASE lang {" ".join(f"WHEN '{k}' THEN {v}" for k, v in _RATIO.items())} END)::DOUBLE AS units,
+                    first(o.first) AS first
+             FROM t0 JOIN (SELECT lang, min(doc_id) AS first FROM documents GROUP BY lang) o USING (lang) GROUP BY lang),
+         {parity_steps(0, 12, 't0', 't0')} {merges_select(12)}
+    """,
+)
+def learn_parity_bpe_ratio(spark, folder):
+    return parity.learn_parity_bpe(_documents(spark, folder), 12, ratio=_RATIO).merges_table()
+
+
+_PSUPER, _PSUPER_FIRST = 14, 10
+
+
+def _replay(name: str, n: int) -> str:
+    return ", ".join(
+        f"{name}{k + 1} AS MATERIALIZED (SELECT lang, replace(s, '<' || l || '><' || r || '>', '<' || l || r || '>') AS s, f "
+        f"FROM {name}{k}, m{k})"
+        for k in range(n)
+    )
+
+
+@query(
+    "learn_parity_superbpe",
+    f"""
+    WITH {_UNITS}, {_parity_words('t0')}, {parity_steps(0, _PSUPER_FIRST, 't0', 't0')},
+         x0 AS MATERIALIZED (SELECT lang, {BYTES.format("trim(text, E' \\t\\n\\r')")} AS s, 1 AS f FROM documents),
+         {_replay("x", _PSUPER_FIRST)},
+         {parity_steps(_PSUPER_FIRST, _PSUPER, f"x{_PSUPER_FIRST}", f"x{_PSUPER_FIRST}").replace(
+             f"w{_PSUPER_FIRST + 1} AS", f"y{_PSUPER_FIRST + 1} AS").replace(f"w{_PSUPER_FIRST + 1})", f"y{_PSUPER_FIRST + 1})")
+             .replace(f"FROM w{_PSUPER_FIRST + 1}", f"FROM y{_PSUPER_FIRST + 1}")}
+    {merges_select(_PSUPER)}
+    """,
+)
+def learn_parity_superbpe(spark, folder):
+    docs = _documents(spark, folder)
+    model = parity.learn_parity_super_bpe(docs, _PSUPER, phase1_merges=_PSUPER_FIRST, dev=docs, unit="byte")
+    return model.merges_table()
+
+
+@query(
+    "unigram_seed",
+    f"""
+    WITH w AS (SELECT word, count(*) AS f FROM (SELECT unnest({WORDS}) AS word FROM documents) GROUP BY word),
+         b AS (SELECT word, f, unnest(range(1, length(word) + 1)) AS i FROM w),
+         p AS (SELECT substr(word, i, k) AS piece, f
+               FROM (SELECT word, f, i, unnest(range(1, least(8, length(word) - i + 1) + 1)) AS k FROM b)),
+         c AS (SELECT piece, sum(f)::BIGINT AS n, (sum(f) * length(piece))::BIGINT AS score FROM p GROUP BY piece)
+    SELECT * FROM c WHERE length(piece) = 1 UNION ALL
+    (SELECT * FROM c WHERE length(piece) > 1 AND n >= 2 ORDER BY score DESC, hex(encode(piece)) LIMIT 2000)
+    """,
+)
+def unigram_seed(spark, folder):
+    words = word_counts(_documents(spark, folder), preset="words")
+    return unigram.seed_pieces(words, 2000, 8)
+
+
+@query("learn_unigram")
+def learn_unigram(spark, folder):
+    return _unigram(spark, folder).vocab_table()
+
+
+def _unigram(spark, folder):
+    docs = _documents(spark, folder)
+    return unigram.learn_unigram(docs, 300, initial_vocab_size=600, max_piece_length=8)
+
+
+@query("encode_unigram")
+def encode_unigram(spark, folder):
+    encoded = _unigram(spark, folder).encode(_documents(spark, folder))
+    return encoded.select("doc_id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", "|").alias("tokens"))
+
+
+@query(
+    "ngram_vocab",
+    f"""
+    WITH w AS (SELECT word, count(*) AS f FROM (SELECT unnest({WORDS}) AS word FROM documents) GROUP BY word)
+    SELECT token, sum(f)::BIGINT AS n
+    FROM (SELECT substr(word, i, 3) AS token, f
+          FROM (SELECT word, f, unnest(range(1, length(word) - 1)) AS i FROM w WHERE length(word) >= 3))
+    GROUP BY token
+    """,
+)
+def ngram_vocab(spark, folder):
+    return phrases.ngram_vocab(_documents(spark, folder))
+
+
+@query("lzw_vocab")
+def lzw_vocab(spark, folder):
+    return phrases.lzw_vocab(_documents(spark, folder), 500)
+
+
+@query("sage_prune")
+def sage_prune(spark, folder):
+    docs = _documents(spark, folder)
+    model = bpe.learn_bpe(docs, n_merges=24, preset="words")
+    return phrases.sage_prune(model, docs, model.vocab_size - 8).withColumn("text", symbol_text("token"))
+
+
+_ENCODE = 24
+
+
+@query(
+    "encode_counts",
+    f"""
+    WITH {words_cte()}, {merge_steps(0, _ENCODE)},
+         z AS (SELECT word, length(s) - length(replace(s, '<', '')) AS n FROM w{_ENCODE})
+    SELECT doc_id, coalesce(sum(n), 0)::BIGINT AS n_tokens
+    FROM (SELECT doc_id, unnest({WORDS}) AS word FROM documents) JOIN z USING (word) GROUP BY doc_id
+    """,
+)
+def encode_counts(spark, folder):
+    docs = _documents(spark, folder)
+    model = bpe.learn_bpe(docs, n_merges=_ENCODE, preset="words")
+    encoded = model.encode(docs)
+    return encoded.select("doc_id", F.size("input_ids").cast("bigint").alias("n_tokens"))
+
+
+@query(
+    "encode_bpe_fertility",
+    f"""
+    WITH {words_cte()}, {merge_steps(0, _ENCODE)},
+         z AS (SELECT word, length(s) - length(replace(s, '<', '')) AS n FROM w{_ENCODE}),
+         d AS (SELECT lang, unnest({WORDS}) AS word FROM documents)
+    SELECT coalesce(lang, 'TOTAL') AS lang, sum(n)::BIGINT AS tokens, count(*) AS words,
+           round(sum(n) / count(*)::DOUBLE, 6) AS fertility
+    FROM d JOIN z USING (word) GROUP BY ROLLUP (lang)
+    """,
+)
+def encode_bpe_fertility(spark, folder):
+    """Fertility of a learned tokenizer from counts of distinct words."""
+    docs = _documents(spark, folder)
+    model = bpe.learn_bpe(docs, n_merges=_ENCODE, preset="words")
+    words = model.segment_words(word_counts(docs, preset="words", by=("lang",)))
+    sums = words.rollup("lang").agg(
+        F.sum(F.size("tokens") * F.col("freq")).alias("tokens"), F.sum("freq").alias("words")
+    )
+    return sums.select(
+        F.coalesce("lang", F.lit("TOTAL")).alias("lang"),
+        "tokens",
+        "words",
+        F.round(F.col("tokens") / F.col("words"), 6).alias("fertility"),
+    )
+
+
+@query("encode_dropout")
+def encode_dropout(spark, folder):
+    docs = _documents(spark, folder)
+    model = bpe.learn_bpe(docs, n_merges=_ENCODE, preset="words", max_type_length=16)
+    encoded = model.encode_dropout(docs, 0.1)
+    return encoded.select("doc_id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
+
+
+@query("training_sequences")
+def training_sequences(spark, folder):
+    """Mixed sources, held-out documents and packed chunks of learned ids."""
+    from lingua_spark.plans.training_sequences import training_sequences as sequences
+
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "source", "text")
+    model = bpe.learn_bpe(docs, n_merges=16, preset="byte_level")
+    chunks = sequences(docs, model, max_length=256, eval_docs=100, source="lang")
+    return chunks.select("doc_id", "part", "chunk_no", F.array_join("input_ids", " ").alias("ids"))
