@@ -57,10 +57,10 @@ def surroundings(symbols: DataFrame, keys: list[str], by: tuple[str, ...] = ())
         return F.concat(F.lit("<"), F.col(x), F.lit("><"), F.col(y), F.lit(">"))
 
     counted = (
-        triples.withColumns({"k1": key("a", "b"), "k2": key("b", "c")})
-        .filter(F.col("k1").isin(keys) | F.col("k2").isin(keys))
-        .groupBy(*by, "a", "b", "c", "k1", "k2")
+        triples.filter(key("a", "b").isin(keys) | key("b", "c").isin(keys))
+        .groupBy(*by, "a", "b", "c")
         .agg(F.sum("freq").alias("n"))
+        .withColumns({"k1": key("a", "b"), "k2": key("b", "c")})
     )
     sides = F.array(
         F.struct(F.col("k1").alias("pair"), F.col("k2").alias("other"), "n"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -102,23 +103,17 @@ class MergeModel:
             expand(token)
         return out
 
-    def _segmenter(self):
-        """A function word -> symbols that carries plain dicts only."""
-        unit, expansion = self.unit, self.expansion()
+    def _plan(self) -> tuple:
+        """Plain data from which a task builds its segmenter."""
         if any(e.kind == "-" for e in self.events):
-            replay = EventReplay(self.events)
-            return lambda word: replay.apply(initial_symbols(word, unit))
+            return self.unit, None, [(e.kind, e.left, e.right) for e in self.events], {}
+        return self.unit, self._ranks(), None, self.expansion()
+
+    def _ranks(self) -> dict[tuple[str, str], int]:
         ranks: dict[tuple[str, str], int] = {}
         for i, merge in enumerate(self.merges):
             ranks.setdefault(merge, i)
-
-        def segment(word: str) -> list[str]:
-            symbols = merge_symbols(initial_symbols(word, unit), ranks)
-            if expansion:
-                symbols = [t for s in symbols for t in expansion.get(s, (s,))]
-            return symbols
-
-        return segment
+        return ranks
 
     def encode(self, df: DataFrame, text: str = "text", out: str = "input_ids", as_tokens: bool = False) -> DataFrame:
         """Add the ids (or hex tokens) of each text.
@@ -129,17 +124,19 @@ class MergeModel:
         """
         ids = {t: i + len(self.special) for i, t in enumerate(self.tokens)}
         unknown = self.special.index("<unk>") if "<unk>" in self.special else -1
-        shared = self.spark.sparkContext.broadcast((self._segmenter(), ids))
+        shared = self.spark.sparkContext.broadcast((self._plan(), ids))
 
-        def encode_words(column: pd.Series) -> pd.Series:
-            segment, index = shared.value
+        def encode_words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            plan, index = shared.value
+            segment = segmenter(plan)
 
             @lru_cache(MEMO)
             def of_word(word: str):
                 symbols = segment(word)
                 return symbols if as_tokens else [index.get(s, unknown) for s in symbols]
 
-            return column.map(lambda words: [x for w in words for x in of_word(w)])
+            for column in batches:
+                yield column.map(lambda words: [x for w in words for x in of_word(w)])
 
         encode = F.pandas_udf(encode_words, "array<string>" if as_tokens else "array<int>")
         return df.withColumn(out, encode(pretokens(text, self.preset)))
@@ -149,10 +146,7 @@ class MergeModel:
     ) -> DataFrame:
         """Stochastic segmentation: every possible merge is skipped with
         probability p, reproducibly per (seed, row key, word place)."""
-        ranks = {}
-        for i, merge in enumerate(self.merges):
-            ranks.setdefault(merge, i)
-        shared, unit = self.spark.sparkContext.broadcast(ranks), self.unit
+        shared, unit = self.spark.sparkContext.broadcast(self._ranks()), self.unit
 
         def encode_words(keys: pd.Series, column: pd.Series) -> pd.Series:
             return pd.Series(
@@ -173,18 +167,39 @@ class MergeModel:
 
     def segment_words(self, words: DataFrame, word: str = "word", out: str = "tokens") -> DataFrame:
         """Segment a table of distinct words, each once."""
-        shared = self.spark.sparkContext.broadcast(self._segmenter())
-        segment = F.pandas_udf(lambda column: column.map(lambda w: shared.value(w)), "array<string>")
-        return words.withColumn(out, segment(word))
+        shared = self.spark.sparkContext.broadcast(self._plan())
+
+        def segment_column(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            segment = segmenter(shared.value)
+            for column in batches:
+                yield column.map(segment)
+
+        return words.withColumn(out, F.pandas_udf(segment_column, "array<string>")(word))
+
+
+def segmenter(plan: tuple):
+    """A function word -> emitted symbols."""
+    unit, ranks, events, expansion = plan
+    if events is not None:
+        replay = EventReplay(events)
+        return lambda word: replay.apply(initial_symbols(word, unit))
+
+    def segment(word: str) -> list[str]:
+        symbols = merge_symbols(initial_symbols(word, unit), ranks)
+        if expansion:
+            symbols = [t for s in symbols for t in expansion.get(s, (s,))]
+        return symbols
+
+    return segment
 
 
 class EventReplay:
     """Merges and removals applied in the order they were learned."""
 
-    def __init__(self, events: list[Event]):
+    def __init__(self, events: list[tuple[str, str, str]]):
         self.merge_at: dict[tuple[str, str], list[int]] = {}
         self.split_at: dict[str, list[int]] = {}
-        self.events = [(e.kind, e.left, e.right) for e in events]
+        self.events = events
         for i, (kind, left, right) in enumerate(self.events):
             if kind == "+":
                 self.merge_at.setdefault((left, right), []).append(i)
@@ -250,14 +265,15 @@ class PieceModel:
         unknown = min(self.logp.values(), default=0.0) - 10.0
         shared = self.spark.sparkContext.broadcast(self.logp)
 
-        def encode_words(column: pd.Series) -> pd.Series:
+        def encode_words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             logp = shared.value
 
             @lru_cache(MEMO)
             def of_word(word: str):
                 return best_path(word, logp, longest, unknown)
 
-            return column.map(lambda words: [x for w in words for x in of_word(w)])
+            for column in batches:
+                yield column.map(lambda words: [x for w in words for x in of_word(w)])
 
         encode = F.pandas_udf(encode_words, "array<string>")
         return df.withColumn(out, encode(pretokens(text, self.preset)))

@@ -93,7 +93,7 @@ def _parity_loop(
     """
     events: list[Event] = []
     finished: set[str] = set()
-    measured = dev or train
+    totals: dict[str, int] = {}
     while len(events) < n_merges and len(finished) < len(langs):
         symbols = train.current()
         ranked = _top_by_lang(symbols, min_frequency)
@@ -102,8 +102,9 @@ def _parity_loop(
             break
         keys = sorted({c.key for pairs in ranked.values() for c in pairs})
         around = surroundings(symbols, keys, ("lang",))
-        on_dev = measured.current()
-        totals, saved = _symbol_totals(on_dev), _savings(on_dev, keys)
+        on_dev = symbols if dev is None else dev.current()
+        totals = totals or _symbol_totals(on_dev)
+        saved = _savings(on_dev, keys)
         states = {lang: Acceptance(around.get((lang,), Surroundings({}, {}))) for lang in ranked}
         start = dict.fromkeys(ranked, 0)
         merged: list[Candidate] = []
@@ -124,7 +125,8 @@ def _parity_loop(
                 dev.merge(pair.left, pair.right)
             events.append(Event("+", pair.left, pair.right, pair.n))
             if pair.left == pair.right:
-                break  # overlapping occurrences: the saving is not the pair count
+                totals = {}  # overlapping occurrences: the saving is not the pair count
+                break
     return events
 
 

@@ -12,7 +12,7 @@ from lingua_spark.functions.pretok import SPECIAL_TOKENS
 from lingua_spark.functions.segmentation import best_path
 from lingua_spark.learn.model import PieceModel
 from lingua_spark.learn.wordtable import word_counts
-from lingua_spark.runtime import stage
+from lingua_spark.runtime import stage_spread
 
 
 def substrings(words: DataFrame, longest: int = 16, word: str = "word", freq: str = "freq") -> DataFrame:
@@ -163,7 +163,7 @@ def learn_unigram(
     distinct words.
     """
     special = list(SPECIAL_TOKENS if special_tokens is None else special_tokens)
-    words = stage(word_counts(df, text, preset).filter(F.col("word") != ""), "words")
+    words = stage_spread(word_counts(df, text, preset).filter(F.col("word") != ""), "words")
     seeds = seed_pieces(words, initial_vocab_size, max_piece_length).collect()
     total = sum(r["score"] for r in seeds)
     logp = {r["piece"]: math.log(r["score"] / total) for r in seeds}
@@ -187,4 +187,5 @@ def learn_unigram(
         room = max(target, int(len(logp) * shrinking_factor)) - len(singles)
         keep = set(longer[: max(0, room)])
         logp = {p: v for p, v in logp.items() if len(p) == 1 or p in keep}
+    words.unpersist()
     return PieceModel(df.sparkSession, logp, preset, special, history)

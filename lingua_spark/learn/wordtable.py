@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lingua_spark.functions.pretok import byte_symbols, char_symbols, pretoken_rows, pretokens, symbol_array
-from lingua_spark.runtime import stage
+from lingua_spark.runtime import stage_spread
 
 
 def word_counts(df: DataFrame, text: str = "text", preset: str = "byte_level", by: tuple[str, ...] = ()) -> DataFrame:
@@ -34,16 +35,20 @@ def pair_key(left: str, right: str) -> str:
 
 
 class MergedWords:
-    """A staged symbol table plus the replacements not yet written into it.
+    """A symbol table under a growing list of replacements.
 
-    Up to ``limit`` replacements are applied on the fly while reading; then
-    the table is staged anew, so neither lineage nor expression grows.
+    Each round's table is kept in memory and made from the one before, so a
+    round rewrites only what it merged. Every ``cut`` rounds it is staged, so
+    that a lost executor costs a few rounds and the lineage stays short.
     """
 
-    def __init__(self, table: DataFrame, limit: int = 24):
-        self.base = stage(table, "words")
+    def __init__(self, table: DataFrame, cut: int = 16):
+        self.frame = stage_spread(table, "words")
+        self.base = self.frame
         self.pending: list[tuple[str, str]] = []
-        self.limit = limit
+        self.cut = cut
+        self.rounds = 0
+        self.previous: DataFrame | None = None
 
     def replace(self, old: str, new: str) -> None:
         self.pending.append((old, new))
@@ -52,16 +57,31 @@ class MergedWords:
         self.replace(pair_key(left, right), f"<{left}{right}>")
 
     def current(self) -> DataFrame:
-        if len(self.pending) > self.limit:
-            self.base = stage(self._rewritten(), "words")
-            self.pending = []
-        return self._rewritten()
-
-    def _rewritten(self) -> DataFrame:
+        """The table with all replacements; call once per round."""
+        if not self.pending:
+            return self.frame
         symbols = F.col("syms")
         for old, new in self.pending:
             symbols = F.replace(symbols, F.lit(old), F.lit(new))
-        return self.base.withColumn("syms", symbols)
+        table = self.frame.withColumn("syms", symbols)
+        self.pending = []
+        self.rounds += 1
+        # The last round's full scan has filled the present frame, so the one
+        # it was made from is no longer needed.
+        if self.previous is not None:
+            self.previous.unpersist()
+        self.previous = self.frame
+        if self.rounds % self.cut == 0:
+            table = stage_spread(table, "words")
+        else:
+            table = table.persist(StorageLevel.MEMORY_AND_DISK)
+        self.frame = table
+        return table
+
+    def release(self) -> None:
+        for frame in (self.previous, self.frame):
+            if frame is not None:
+                frame.unpersist()
 
 
 def neighbours(symbols: DataFrame, width: int, names: list[str], by: tuple[str, ...] = ()) -> DataFrame:

@@ -62,7 +62,7 @@ def _documents(spark, folder):
     return table(spark, folder, "documents").select("doc_id", "lang", "text")
 
 
-N_MERGES = 40
+N_MERGES = 32
 
 
 @query("learn_bpe", f"WITH {words_cte()}, {merge_steps(0, N_MERGES)} {merges_select(N_MERGES)}")
@@ -70,42 +70,42 @@ def learn_bpe(spark, folder):
     return bpe.learn_bpe(_documents(spark, folder), n_merges=N_MERGES, preset="words").merges_table()
 
 
-@query("learn_bpe_char", f"WITH {words_cte(symbols=CHARS)}, {merge_steps(0, 24)} {merges_select(24)}")
+@query("learn_bpe_char", f"WITH {words_cte(symbols=CHARS)}, {merge_steps(0, 16)} {merges_select(16)}")
 def learn_bpe_char(spark, folder):
-    model = bpe.learn_bpe(_documents(spark, folder), n_merges=24, preset="words", unit="char")
+    model = bpe.learn_bpe(_documents(spark, folder), n_merges=16, preset="words", unit="char")
     return model.merges_table()
 
 
 @query(
     "learn_bpe_maxlen",
-    f"WITH {words_cte()}, {merge_steps(0, 24, 'n >= 2 AND length(l) + length(r) <= 6')} {merges_select(24)}",
+    f"WITH {words_cte()}, {merge_steps(0, 16, 'n >= 2 AND length(l) + length(r) <= 6')} {merges_select(16)}",
 )
 def learn_bpe_maxlen(spark, folder):
-    return bpe.learn_bpe(_documents(spark, folder), n_merges=24, preset="words", max_type_length=3).merges_table()
+    return bpe.learn_bpe(_documents(spark, folder), n_merges=16, preset="words", max_type_length=3).merges_table()
 
 
 @query("learn_bpe_byte_level")
 def learn_bpe_byte_level(spark, folder):
     """The default preset, to a vocabulary size; ids of all tokens."""
-    model = bpe.learn_bpe(_documents(spark, folder), vocab_size=160)
+    model = bpe.learn_bpe(_documents(spark, folder), vocab_size=130)
     return model.vocab_table().select("token", "id")
 
 
 @query("learn_picky_bpe")
 def learn_picky_bpe(spark, folder):
-    model = bpe.learn_picky_bpe(_documents(spark, folder), n_events=40, preset="words", threshold=0.5)
+    model = bpe.learn_picky_bpe(_documents(spark, folder), n_events=24, preset="words", threshold=0.5)
     return model.events_table()
 
 
 @query("learn_scaffold_bpe")
 def learn_scaffold_bpe(spark, folder):
-    model = bpe.learn_scaffold_bpe(_documents(spark, folder), n_merges=40, preset="words")
+    model = bpe.learn_scaffold_bpe(_documents(spark, folder), n_merges=20, preset="words")
     hidden = F.col("token").isin(list(model.hidden))
     merged = model.merges_table().withColumn("token", F.concat("left", "right"))
     return merged.withColumn("scaffold", hidden).drop("token")
 
 
-_TRIM = 24
+_TRIM = 16
 _TRIM_BELOW = 4000
 
 
@@ -128,7 +128,7 @@ def learn_trimmed_bpe(spark, folder):
     return merged.select("rank", "left", "right", F.concat("left", "right").isin(list(model.hidden)).alias("trimmed"))
 
 
-_SUPER, _SUPER_FIRST = 24, 16
+_SUPER, _SUPER_FIRST = 16, 10
 
 
 @query(
@@ -152,7 +152,7 @@ def learn_superbpe(spark, folder):
 @query("learn_superbpe_regex")
 def learn_superbpe_regex(spark, folder):
     """The published presets of both phases."""
-    return bpe.learn_super_bpe(_documents(spark, folder), n_merges=20).merges_table()
+    return bpe.learn_super_bpe(_documents(spark, folder), n_merges=12).merges_table()
 
 
 def parity_steps(first: int, last: int, train: str, dev: str) -> str:
@@ -189,7 +189,7 @@ _UNITS = (
     "units AS MATERIALIZED (SELECT lang, sum(strlen(trim(text, E' \\t\\n\\r'))) AS units, "
     "first(f) AS first FROM (SELECT *, min(doc_id) OVER (PARTITION BY lang) AS f FROM documents) GROUP BY lang)"
 )
-_PARITY = 20
+_PARITY = 14
 
 
 @query(
@@ -220,7 +220,7 @@ def learn_parity_bpe_ratio(spark, folder):
     return parity.learn_parity_bpe(_documents(spark, folder), 12, ratio=_RATIO).merges_table()
 
 
-_PSUPER, _PSUPER_FIRST = 14, 10
+_PSUPER, _PSUPER_FIRST = 10, 7
 
 
 def _replay(name: str, n: int) -> str:
@@ -304,11 +304,11 @@ def lzw_vocab(spark, folder):
 @query("sage_prune")
 def sage_prune(spark, folder):
     docs = _documents(spark, folder)
-    model = bpe.learn_bpe(docs, n_merges=24, preset="words")
-    return phrases.sage_prune(model, docs, model.vocab_size - 8).withColumn("text", symbol_text("token"))
+    model = bpe.learn_bpe(docs, n_merges=12, preset="words")
+    return phrases.sage_prune(model, docs, model.vocab_size - 4).withColumn("text", symbol_text("token"))
 
 
-_ENCODE = 24
+_ENCODE = 12
 
 
 @query(
@@ -368,6 +368,6 @@ def training_sequences(spark, folder):
     from lingua_spark.plans.training_sequences import training_sequences as sequences
 
     docs = table(spark, folder, "documents").select("doc_id", "lang", "source", "text")
-    model = bpe.learn_bpe(docs, n_merges=16, preset="byte_level")
+    model = bpe.learn_bpe(docs, n_merges=8, preset="byte_level")
     chunks = sequences(docs, model, max_length=256, eval_docs=100, source="lang")
     return chunks.select("doc_id", "part", "chunk_no", F.array_join("input_ids", " ").alias("ids"))

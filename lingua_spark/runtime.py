@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _local_roots: dict[str, str] = {}
@@ -66,6 +67,18 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_spread(df: DataFrame, label: str = "stage", rows_per_task: int = 10_000) -> DataFrame:
+    """Stage a table that many passes will scan, cut for parallel work.
+
+    A freshly aggregated table may sit in one partition, which suits a single
+    pass but not a loop. The true row count decides the number of tasks.
+    """
+    staged = stage(df, label)
+    most = 4 * df.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(most, -(-staged.count() // rows_per_task)))
+    return staged.repartition(tasks).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def clear_stages(spark: SparkSession) -> None:
     """Delete this application's staged tables once their results are written."""
     jvm = spark.sparkContext._jvm
