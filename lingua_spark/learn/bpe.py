@@ -85,6 +85,7 @@ def merge_loop(
         for pair in batch:
             words.merge(pair.left, pair.right)
             events.append(Event("+", pair.left, pair.right, pair.n))
+    words.release()
     return events
 
 
@@ -175,6 +176,7 @@ def learn_picky_bpe(
                 splitting += [s for s in dict.fromkeys((left, right)) if s not in alive]
             if dropped:
                 break  # the split changes other counts
+    words.release()
     return MergeModel(df.sparkSession, base, events, preset, "byte", special)
 
 
@@ -228,6 +230,7 @@ def learn_scaffold_bpe(
             scaffolds = {t for t, n in counts.items() if n < batch[i + 1].n}
             if full():
                 break
+    words.release()
     return MergeModel(df.sparkSession, base, events, preset, "byte", special, hidden=scaffolds)
 
 

@@ -127,6 +127,9 @@ def _parity_loop(
             if pair.left == pair.right:
                 totals = {}  # overlapping occurrences: the saving is not the pair count
                 break
+    train.release()
+    if dev:
+        dev.release()
     return events
 
 

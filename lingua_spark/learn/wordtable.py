@@ -35,53 +35,51 @@ def pair_key(left: str, right: str) -> str:
 
 
 class MergedWords:
-    """A symbol table under a growing list of replacements.
+    """A staged symbol table under a growing list of replacements.
 
-    Each round's table is kept in memory and made from the one before, so a
-    round rewrites only what it merged. Every ``cut`` rounds it is staged, so
-    that a lost executor costs a few rounds and the lineage stays short.
+    A round's table is the staged one with the replacements made since, kept
+    in memory while the round's jobs scan it. After ``limit`` replacements it
+    is staged anew: lineage and expression stay short, and a lost executor
+    costs one pass over its share.
     """
 
-    def __init__(self, table: DataFrame, cut: int = 16):
-        self.frame = stage_spread(table, "words")
-        self.base = self.frame
+    def __init__(self, table: DataFrame, limit: int = 32):
+        self.base = stage_spread(table, "words")
+        self.frame = self.base
         self.pending: list[tuple[str, str]] = []
-        self.cut = cut
-        self.rounds = 0
-        self.previous: DataFrame | None = None
+        self.fresh = True
+        self.limit = limit
 
     def replace(self, old: str, new: str) -> None:
         self.pending.append((old, new))
+        self.fresh = False
 
     def merge(self, left: str, right: str) -> None:
         self.replace(pair_key(left, right), f"<{left}{right}>")
 
     def current(self) -> DataFrame:
-        """The table with all replacements; call once per round."""
-        if not self.pending:
+        """The table with all replacements."""
+        if self.fresh:
             return self.frame
         symbols = F.col("syms")
         for old, new in self.pending:
             symbols = F.replace(symbols, F.lit(old), F.lit(new))
-        table = self.frame.withColumn("syms", symbols)
-        self.pending = []
-        self.rounds += 1
-        # The last round's full scan has filled the present frame, so the one
-        # it was made from is no longer needed.
-        if self.previous is not None:
-            self.previous.unpersist()
-        self.previous = self.frame
-        if self.rounds % self.cut == 0:
-            table = stage_spread(table, "words")
+        table = self.base.withColumn("syms", symbols)
+        if self.frame is not self.base:
+            self.frame.unpersist()
+        if len(self.pending) > self.limit:
+            staged = stage_spread(table, "words")
+            self.base.unpersist()
+            self.base = self.frame = staged
+            self.pending = []
         else:
-            table = table.persist(StorageLevel.MEMORY_AND_DISK)
-        self.frame = table
-        return table
+            self.frame = table.persist(StorageLevel.MEMORY_AND_DISK)
+        self.fresh = True
+        return self.frame
 
     def release(self) -> None:
-        for frame in (self.previous, self.frame):
-            if frame is not None:
-                frame.unpersist()
+        self.frame.unpersist()
+        self.base.unpersist()
 
 
 def neighbours(symbols: DataFrame, width: int, names: list[str], by: tuple[str, ...] = ()) -> DataFrame:

@@ -13,7 +13,6 @@ from lingua_spark.operators.ordered import (
     block_bounds,
     cut_at_rank,
     first_crossing,
-    first_per_group,
     position,
 )
 from lingua_spark.runtime import stage
@@ -110,36 +109,35 @@ def budget_split(
         "cuts",
     )
 
-    # 2. Last val and last test row before it.
+    # 2. Last val and last test row before it, and how many they are.
     inside = narrow.join(cuts.select(lang, "over_cut"), lang).filter(
         F.col("over_cut").isNull() | (F.col(order) < F.col("over_cut"))
     )
     inside = inside.select(lang, order, r.alias("r"))
     n = o.max_eval_rows
-    val = first_per_group(inside.filter(F.col("r") < o.val_frac), group, order, n)
-    val = val.groupBy(lang).agg(F.count("*").alias("n_val"), F.max(order).alias("val_last"))
-    val = val.withColumn("val_last", F.when(F.col("n_val") == n, F.col("val_last")))
-    cuts = stage(cuts.join(val, lang, "left"), "cuts")
-    full_val = F.col("val_last").isNotNull() & (F.col(order) > F.col("val_last"))
-    for_test = inside.join(cuts.select(lang, "val_last"), lang).filter(
-        (F.col("r") < o.val_frac + o.test_frac) & ((F.col("r") >= o.val_frac) | full_val | F.lit(n == 0))
+    cuts = cuts.withColumns(
+        {c: F.lit(None).cast(narrow.schema[order].dataType) for c in ("val_last", "test_last")}
+        | {c: F.lit(0).cast("bigint") for c in ("n_val", "n_test")}
     )
-    test = first_per_group(for_test, group, order, n)
-    test = test.groupBy(lang).agg(F.count("*").alias("n_test"), F.max(order).alias("test_last"))
-    test = test.withColumn("test_last", F.when(F.col("n_test") == n, F.col("test_last")))
+    if n > 0 and o.val_frac > 0:
+        cuts = _eval_cut(cuts, inside.filter(F.col("r") < o.val_frac), "val", n, lang, order, bounds)
+    if n > 0 and o.val_frac + o.test_frac > 0:
+        full_val = F.col("val_last").isNotNull() & (F.col(order) > F.col("val_last"))
+        for_test = inside.join(cuts.select(lang, "val_last"), lang).filter(
+            (F.col("r") < o.val_frac + o.test_frac) & ((F.col("r") >= o.val_frac) | full_val)
+        )
+        cuts = _eval_cut(cuts, for_test, "test", n, lang, order, bounds)
 
     # 3. Rows over the budget that the floor still admits.
-    cuts = cuts.join(test, lang, "left").fillna({"n_val": 0, "n_test": 0})
     missing = F.greatest(F.lit(0), F.lit(o.min_lines_floor) - (F.col("inside") - F.col("n_val") - F.col("n_test")))
-    cuts = stage(cuts.withColumn("rank", F.col("inside") + missing), "cuts")
-    ends = cuts.filter(F.col("over_cut").isNotNull() & (F.col("rank") > F.col("inside")))
-    ends = cut_at_rank(narrow, group, order, ends.select(lang, "rank"), bounds).withColumnRenamed("cut", "end_cut")
-    cuts = stage(
-        cuts.join(ends, lang, "left").select(
-            lang, "target_bytes", "over_cut", "end_cut", "val_last", "test_last", "rank", "inside"
-        ),
-        "cuts",
-    )
+    cuts = cuts.withColumn("rank", F.col("inside") + missing)
+    if o.min_lines_floor > 0:
+        ends = cuts.filter(F.col("over_cut").isNotNull() & (F.col("rank") > F.col("inside")))
+        ends = cut_at_rank(narrow, group, order, ends.select(lang, "rank"), bounds)
+        cuts = stage(cuts.join(ends.withColumnRenamed("cut", "end_cut"), lang, "left"), "cuts")
+    else:
+        cuts = cuts.withColumn("end_cut", F.col("val_last"))
+    cuts = cuts.select(lang, "over_cut", "end_cut", "val_last", "test_last", "rank", "inside")
 
     # 4. One narrow pass over the texts.
     under = F.col("over_cut").isNull() | (F.col(order) < F.col("over_cut"))
@@ -157,6 +155,18 @@ def budget_split(
     return kept.select(*df.columns, split.alias("split"))
 
 
+def _eval_cut(
+    cuts: DataFrame, rows: DataFrame, name: str, n: int, lang: str, order: str, bounds: list
+) -> DataFrame:
+    """Add the order value of the n-th of the candidate rows per language
+    (null if there are fewer) and the number taken."""
+    counts = rows.groupBy(lang).agg(F.least(F.count("*"), F.lit(n)).alias(f"n_{name}"))
+    ranks = cuts.select(lang, F.lit(n).cast("bigint").alias("rank"))
+    last = cut_at_rank(rows, [lang], order, ranks, bounds).withColumnRenamed("cut", f"{name}_last")
+    cuts = cuts.drop(f"n_{name}", f"{name}_last").join(counts, lang, "left").join(last, lang, "left")
+    return stage(cuts.fillna({f"n_{name}": 0}), "cuts")
+
+
 def corpus_counts(df: DataFrame, by: tuple[str, ...] = ("lang", "split"), text: str = "text") -> DataFrame:
     """Lines and bytes per group, with subtotals and a grand total."""
     sized = df.select(*by, utf8_bytes(text).alias("_b"))
@@ -205,14 +215,23 @@ def tokenizer_sample(
 def first_n_per_lang(
     df: DataFrame, n: int = 5000, lang: str = "lang", order: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """The first n non-blank texts per language among the first 20·n rows."""
+    """The first n non-blank texts per language among the first 20·n rows.
+
+    Both limits are found as order values on narrow tables; the texts are
+    filtered without a shuffle.
+    """
     narrow = df.select(F.lit(0).alias("_g"), order)
     ranks = df.sparkSession.createDataFrame([(0, 20 * n)], "_g int, rank bigint")
-    stop = cut_at_rank(narrow, ["_g"], order, ranks, block_bounds(narrow, order)).first()
+    bounds = block_bounds(narrow, order)
+    stop = cut_at_rank(narrow, ["_g"], order, ranks, bounds).first()
     head = df if stop is None else df.filter(F.col(order) <= F.lit(stop["cut"]))
     head = head.withColumn(lang, F.coalesce(F.col(lang), F.lit("unknown")))
     texts = head.withColumn(text, strip(text)).filter(F.col(text) != "")
-    return first_per_group(texts, [lang], order, n).drop("_rank").select(*df.columns)
+    places = stage(texts.select(lang, order), "head")
+    ranks = places.select(lang).distinct().withColumn("rank", F.lit(n).cast("bigint"))
+    cuts = stage(cut_at_rank(places, [lang], order, ranks, bounds), "cuts")
+    kept = texts.join(cuts, lang, "left").filter(F.col("cut").isNull() | (F.col(order) <= F.col("cut")))
+    return kept.select(*df.columns)
 
 
 def modulo_dev_split(

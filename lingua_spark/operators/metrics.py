@@ -16,11 +16,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lingua_spark.functions.text import word_count
+from lingua_spark.runtime import stage
+
 
 def text_costs(df: DataFrame, tokens: Column, by: tuple[str, ...], text: str = "text") -> DataFrame:
     """Per text the four sizes all metrics are ratios of."""
-    from lingua_spark.functions.text import word_count
-
     return df.select(
         *by,
         F.size(tokens).cast("bigint").alias("n_tokens"),
@@ -158,8 +159,7 @@ def token_pairs(tokens: Column) -> Column:
     """Array of (prev, cur) of neighbours in a token array."""
     # Beyond the end slice gives an empty array, so short texts give no pairs.
     n = F.greatest(F.size(tokens) - 1, F.lit(0))
-    zipped = F.arrays_zip(F.slice(tokens, F.lit(1), n).alias("prev"), F.slice(tokens, F.lit(2), n).alias("cur"))
-    return zipped
+    return F.arrays_zip(F.slice(tokens, F.lit(1), n).alias("prev"), F.slice(tokens, F.lit(2), n).alias("cur"))
 
 
 def bigram_nll(
@@ -168,24 +168,27 @@ def bigram_nll(
     """Per held-out text the negative log-likelihood under an add-k bigram
     model of ``train``: (key, nll, n_tokens), first token excluded.
 
-    Pairs are pre-aggregated on both sides. Only training pairs that the held
-    out texts contain are looked up.
+    The held-out pairs are staged and thin out the training pairs before these
+    are aggregated: what the training corpus shuffles is bounded by the
+    held-out texts (and its distinct tokens, for the smoothing).
     """
-    pairs = train.select(F.inline(token_pairs(F.col(tokens)))).groupBy("prev", "cur").agg(F.count("*").alias("n"))
-    prevs = pairs.groupBy("prev").agg(F.sum("n").alias("n_prev"))
-    types = train.select(F.explode(tokens).alias("t")).distinct().agg(F.count("*").alias("v"))
-    v = types.scalar()
-    wanted = (
+    wanted = stage(
         held_out.select(key, F.inline(token_pairs(F.col(tokens))))
         .groupBy(key, "prev", "cur")
-        .agg(F.count("*").alias("m"))
+        .agg(F.count("*").alias("m")),
+        "pairs",
     )
+    keys = stage(wanted.select("prev", "cur").distinct(), "keys")
+    rows = train.select(F.inline(token_pairs(F.col(tokens))))
+    pairs = rows.join(keys, ["prev", "cur"], "left_semi").groupBy("prev", "cur").agg(F.count("*").alias("n"))
+    prevs = rows.select("prev").join(keys.select("prev").distinct(), "prev", "left_semi")
+    prevs = prevs.groupBy("prev").agg(F.count("*").alias("n_prev"))
+    v = train.select(F.explode(tokens).alias("t")).distinct().agg(F.count("*").alias("v")).scalar()
     seen = wanted.join(pairs, ["prev", "cur"], "left").join(prevs, "prev", "left")
     p = (F.coalesce(F.col("n"), F.lit(0)) + k) / (F.coalesce(F.col("n_prev"), F.lit(0)) + k * v)
-    scored = seen.groupBy(key).agg(
+    return seen.groupBy(key).agg(
         F.sum(F.col("m") * -F.log(p)).alias("nll"), F.sum("m").cast("bigint").alias("n_tokens")
     )
-    return scored
 
 
 def score_texts(df: DataFrame, score_fn, schema: str) -> DataFrame:

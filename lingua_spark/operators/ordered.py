@@ -53,10 +53,11 @@ def block_of(order: str, bounds: list) -> Column:
 def _offsets(blocked: DataFrame, group: list[str], value: Column) -> DataFrame:
     """Per (group, block): its sum and the sum of the group's earlier blocks."""
     sums = blocked.groupBy(*group, "_block").agg(F.sum(value).alias("_sum"))
-    earlier = (
-        Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return sums.withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
+    return sums.withColumn("_before", F.coalesce(F.sum("_sum").over(_earlier_blocks(group)), F.lit(0)))
+
+
+def _earlier_blocks(group: list[str]):
+    return Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def running_total(
@@ -110,15 +111,16 @@ def first_crossing(
     are absent.
     """
     blocked = df.withColumn("_block", block_of(order, bounds)).withColumn("_value", value)
-    sums = _offsets(blocked, group, F.col("_value"))
-    counts = blocked.groupBy(*group, "_block").agg(F.count("*").alias("_rows"))
-    earlier = (
-        Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = _earlier_blocks(group)
+    sums = blocked.groupBy(*group, "_block").agg(F.sum("_value").alias("_sum"), F.count("*").alias("_rows"))
+    sums = sums.withColumns(
+        {
+            "_before": F.coalesce(F.sum("_sum").over(earlier), F.lit(0)),
+            "_rows_before": F.coalesce(F.sum("_rows").over(earlier), F.lit(0)),
+        }
     )
-    counts = counts.withColumn("_rows_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
     crossing = stage(
-        sums.join(counts, [*group, "_block"])
-        .join(targets.select(*group, "target"), group)
+        sums.join(targets.select(*group, "target"), group)
         .filter((F.col("_before") <= F.col("target")) & (F.col("_before") + F.col("_sum") > F.col("target")))
         .select(*group, "_block", "_before", "_rows_before", "target"),
         "crossing",
@@ -142,12 +144,3 @@ def cut_at_rank(df: DataFrame, group: list[str], order: str, ranks: DataFrame, b
     cuts = first_crossing(df, group, order, F.lit(1).cast("bigint"), targets, bounds)
     return cuts.select(*group, "cut")
 
-
-def first_per_group(df: DataFrame, group: list[str], order: str, n: int) -> DataFrame:
-    """The first ``n`` rows of each group.
-
-    ``row_number() <= n`` lets Spark keep only n rows per group and map task
-    before the shuffle.
-    """
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy(order))
-    return df.withColumn("_rank", rank).filter(F.col("_rank") <= n)
