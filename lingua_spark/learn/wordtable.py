@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lingua_spark.functions.pretok import byte_symbols, char_symbols, pretoken_rows, pretokens, symbol_array
+from lingua_spark.functions.segmentation import merge_symbols
 from lingua_spark.runtime import stage_spread
 
 
@@ -120,10 +122,6 @@ def segment_all(table: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
         for left, right in merges:
             symbols = F.replace(symbols, F.lit(pair_key(left, right)), F.lit(f"<{left}{right}>"))
         return table.withColumn("syms", symbols)
-    import pandas as pd
-
-    from lingua_spark.functions.segmentation import merge_symbols
-
     ranks = table.sparkSession.sparkContext.broadcast({m: i for i, m in enumerate(merges)})
 
     @F.pandas_udf("string")
