@@ -181,7 +181,7 @@ def sink_jsonl(spark, folder):
     "sink_text_lines",
     """
     SELECT lang, split, count(*) AS lines, sum(strlen(line) + 1)::BIGINT AS bytes
-    FROM (SELECT lang, CASE WHEN doc_id < 20 THEN 'val' ELSE 'train' END AS split,
+    FROM (SELECT lang, CASE WHEN lang = 'en' THEN 'val' ELSE 'train' END AS split,
                  unnest(string_split(regexp_replace(text, '\\n$', ''), chr(10))) AS line FROM documents)
     GROUP BY lang, split
     """,
@@ -189,7 +189,7 @@ def sink_jsonl(spark, folder):
 def sink_text_lines(spark, folder):
     path = scratch_path(spark, "lines")
     docs = table(spark, folder, "documents")
-    split = F.when(F.col("doc_id") < 20, "val").otherwise("train")
+    split = F.when(F.col("lang") == "en", "val").otherwise("train")
     sinks.write_text(docs.select("lang", split.alias("split"), "text"), path)
     lines = spark.read.option("lineSep", "\n").schema("value string, lang string, split string").text(path)
     return lines.groupBy("lang", "split").agg(
