@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 
 
-def merge_symbols(symbols: list[str], ranks: dict) -> list[str]:
+def merge_symbols(symbols: list[str], ranks: dict, skip=None) -> list[str]:
     """Apply learned merges lowest rank first.
 
     A linked list and a heap of present pairs: near-linear, so that whole
-    texts as single pre-tokens stay affordable.
+    texts as single pre-tokens stay affordable. ``skip()`` may leave a merge
+    out; it is tried again after the next one that is made.
     """
     n = len(symbols)
     if n < 2:
@@ -18,51 +20,47 @@ def merge_symbols(symbols: list[str], ranks: dict) -> list[str]:
     parts = list(symbols)
     following = list(range(1, n)) + [-1]
     previous = [-1] + list(range(n - 1))
-    heap = []
-    for i in range(n - 1):
-        rank = ranks.get((parts[i], parts[i + 1]))
+    heap: list[tuple] = []
+    skipped: list[tuple] = []
+
+    def offer(i: int, j: int) -> None:
+        rank = ranks.get((parts[i], parts[j]))
         if rank is not None:
-            heap.append((rank, i, parts[i], parts[i + 1]))
-    heapq.heapify(heap)
+            heapq.heappush(heap, (rank, i, parts[i], parts[j]))
+
+    for i in range(n - 1):
+        offer(i, i + 1)
     while heap:
-        _, i, left, right = heapq.heappop(heap)
+        entry = heapq.heappop(heap)
+        _, i, left, right = entry
         j = following[i] if parts[i] == left else -1
         if j < 0 or parts[j] != right:
             continue
+        if skip is not None and skip():
+            skipped.append(entry)
+            continue
+        while skipped:
+            heapq.heappush(heap, skipped.pop())
         parts[i], parts[j] = left + right, None
         following[i] = after = following[j]
         if after >= 0:
             previous[after] = i
-            rank = ranks.get((parts[i], parts[after]))
-            if rank is not None:
-                heapq.heappush(heap, (rank, i, parts[i], parts[after]))
-        before = previous[i]
-        if before >= 0:
-            rank = ranks.get((parts[before], parts[i]))
-            if rank is not None:
-                heapq.heappush(heap, (rank, before, parts[before], parts[i]))
+            offer(i, after)
+        if previous[i] >= 0:
+            offer(previous[i], i)
     return [p for p in parts if p is not None]
 
 
 def merge_with_dropout(symbols: list[str], ranks: dict, p: float, key: str) -> list[str]:
-    """Like ``merge_symbols``, but in every step each possible merge is left
-    out with probability p, by a hash of (key, step, place)."""
-    parts, step = list(symbols), 0
-    while len(parts) > 1:
-        best = None
-        for i in range(len(parts) - 1):
-            rank = ranks.get((parts[i], parts[i + 1]))
-            if rank is None or (best and best[0] <= rank):
-                continue
-            digest = hashlib.md5(f"{key}:{step}:{i}".encode(), usedforsecurity=False).digest()
-            if int.from_bytes(digest[:4], "big") / 4294967296.0 >= p:
-                best = (rank, i)
-        if best is None:
-            break
-        i = best[1]
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        step += 1
-    return parts
+    """Like ``merge_symbols``, but each merge is skipped with probability p.
+    The coins are hashes of the key and the number of the draw."""
+    draws = itertools.count()
+
+    def skip() -> bool:
+        digest = hashlib.md5(f"{key}:{next(draws)}".encode(), usedforsecurity=False).digest()
+        return int.from_bytes(digest[:4], "big") / 4294967296.0 < p
+
+    return merge_symbols(symbols, ranks, skip)
 
 
 def best_path(word: str, logp: dict, longest: int, unknown: float) -> list[str]:

@@ -105,14 +105,15 @@ def learn_bpe(
     number of merges. ``unit='char'`` starts from characters and falls back to
     bytes below the character coverage."""
     special = list(SPECIAL_TOKENS if special_tokens is None else special_tokens)
-    table = stage(symbol_table(df, text, preset, unit=unit), "symbols")
-    base = alphabet(table, character_coverage)
+    table = symbol_table(df, text, preset, unit=unit)
     if unit == "char" and character_coverage < 1:
-        table = cover(table, base)
-        base = alphabet(table)
+        table = stage(table, "symbols")
+        table = cover(table, alphabet(table, character_coverage))
+    words = MergedWords(table)
+    base = alphabet(words.base)
     if n_merges is None:
         n_merges = max(0, vocab_size - len(special) - len(base))
-    events = merge_loop(MergedWords(table), n_merges, min_frequency, max_type_length, unit)
+    events = merge_loop(words, n_merges, min_frequency, max_type_length, unit)
     return MergeModel(df.sparkSession, base, events, preset, unit, special)
 
 

@@ -13,7 +13,14 @@ from pyspark.sql import functions as F
 from lingua_spark.functions.pretok import SPECIAL_TOKENS, pretokens
 from lingua_spark.functions.segmentation import best_path, merge_symbols, merge_with_dropout
 
-MEMO = 1 << 16
+MEMO = 1 << 16  # words remembered per task
+MEMO_LENGTH = 64  # longer ones are segmented each time
+
+
+def remembered(segment):
+    """``segment`` with a bounded memory for short words."""
+    short = lru_cache(MEMO)(segment)
+    return lambda word: short(word) if len(word) <= MEMO_LENGTH else segment(word)
 
 
 def initial_symbols(word: str, unit: str) -> list[str]:
@@ -130,7 +137,7 @@ class MergeModel:
             plan, index = shared.value
             segment = segmenter(plan)
 
-            @lru_cache(MEMO)
+            @remembered
             def of_word(word: str):
                 symbols = segment(word)
                 return symbols if as_tokens else [index.get(s, unknown) for s in symbols]
@@ -268,7 +275,7 @@ class PieceModel:
         def encode_words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             logp = shared.value
 
-            @lru_cache(MEMO)
+            @remembered
             def of_word(word: str):
                 return best_path(word, logp, longest, unknown)
 

@@ -8,18 +8,22 @@ from pyspark.sql import functions as F
 
 from lingua_spark.functions.pretok import pretokens
 from lingua_spark.learn.model import MergeModel
-from lingua_spark.learn.wordtable import word_counts
+from lingua_spark.learn.wordtable import windows, word_counts
 from lingua_spark.runtime import stage
 
+WINDOW = 256
+
 
 def ngram_vocab(df: DataFrame, n: int = 3, text: str = "text", preset: str = "words", top: int | None = None) -> DataFrame:
     """All character n-grams of the pre-tokens with their counts; only the
     most frequent on request."""
     words = word_counts(df, text, preset).filter(F.length("word") >= n)
+    parts = words.select(F.explode(windows("word", WINDOW, n - 1)).alias("part"), "freq")
+    parts = parts.filter(F.length("part") >= n)
     grams = F.transform(
-        F.sequence(F.lit(1), F.length("word") - (n - 1)), lambda i: F.substring(F.col("word"), i, F.lit(n))
+        F.sequence(F.lit(1), F.length("part") - (n - 1)), lambda i: F.substring(F.col("part"), i, F.lit(n))
     )
-    counts = words.select(F.explode(grams).alias("token"), "freq").groupBy("token").agg(F.sum("freq").alias("n"))
+    counts = parts.select(F.explode(grams).alias("token"), "freq").groupBy("token").agg(F.sum("freq").alias("n"))
     return top_tokens(counts, top) if top else counts
 
 

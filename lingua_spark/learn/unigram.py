@@ -11,20 +11,26 @@ from pyspark.sql import functions as F
 from lingua_spark.functions.pretok import SPECIAL_TOKENS
 from lingua_spark.functions.segmentation import best_path
 from lingua_spark.learn.model import PieceModel
-from lingua_spark.learn.wordtable import word_counts
+from lingua_spark.learn.wordtable import windows, word_counts
 from lingua_spark.runtime import stage_spread
 
 
+WINDOW = 256
+
+
 def substrings(words: DataFrame, longest: int = 16, word: str = "word", freq: str = "freq") -> DataFrame:
     """All substrings of 1..longest characters with their counts."""
-    n = F.length(word)
-    starts = F.transform(
-        F.sequence(F.lit(1), n),
+    parts = words.filter(F.length(word) >= 1).select(
+        F.explode(windows(word, WINDOW, longest - 1)).alias("part"), F.col(freq).alias("freq")
+    )
+    n = F.length("part")
+    pieces = F.transform(
+        F.sequence(F.lit(1), F.least(n, F.lit(WINDOW))),
         lambda i: F.transform(
-            F.sequence(F.lit(1), F.least(F.lit(longest), n - i + 1)), lambda k: F.substring(F.col(word), i, k)
+            F.sequence(F.lit(1), F.least(F.lit(longest), n - i + 1)), lambda k: F.substring(F.col("part"), i, k)
         ),
     )
-    rows = words.filter(n >= 1).select(F.explode(F.flatten(starts)).alias("piece"), F.col(freq).alias("freq"))
+    rows = parts.select(F.explode(F.flatten(pieces)).alias("piece"), "freq")
     return rows.groupBy("piece").agg(F.sum("freq").alias("n"))
 
 

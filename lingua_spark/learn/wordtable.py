@@ -103,8 +103,19 @@ def symbol_counts(symbols: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return single.groupBy(*by, "token").agg(F.sum("freq").alias("n"))
 
 
+def windows(word: str, width: int, overlap: int) -> Column:
+    """Parts of a word that start every ``width`` characters and reach
+    ``overlap`` further, so that one endless word does not blow up an array
+    of all its substrings."""
+    starts = F.sequence(F.lit(0), F.floor((F.length(word) - 1) / width).cast("int"))
+    return F.transform(starts, lambda i: F.substring(F.col(word), i * width + 1, F.lit(width + overlap)))
+
+
 def contains_any(keys: list[str]) -> Column:
-    """Whether the symbol string holds one of the pairs."""
+    """Whether the symbol string may hold one of the pairs; a cheap test
+    before the symbols are split up, left out for long lists."""
+    if len(keys) > 64:
+        return F.lit(True)
     hit = F.lit(False)
     for key in keys:
         hit = hit | F.contains("syms", F.lit(key))
@@ -141,5 +152,6 @@ __all__ = [
     "segment_all",
     "symbol_counts",
     "symbol_table",
+    "windows",
     "word_counts",
 ]

@@ -325,6 +325,17 @@ def test_substrings_by_hand(spark):
     assert got == {"a": 4, "b": 5, "ab": 4, "ba": 2, "aba": 2, "bab": 2}
 
 
+def test_endless_words_are_windowed(spark):
+    rng = random.Random(2)
+    for n in (255, 256, 257, 511, 512, 700):
+        word = "".join(rng.choice("abc") for _ in range(n))
+        table = spark.createDataFrame([(word, 1)], "word string, freq long")
+        got = {r["piece"]: r["n"] for r in unigram.substrings(table, 4).collect()}
+        assert got == Counter(word[i : i + k] for k in range(1, 5) for i in range(n - k + 1))
+        grams = phrases.ngram_vocab(table.select(F.col("word").alias("text")))
+        assert {r["token"]: r["n"] for r in grams.collect()} == Counter(word[i : i + 3] for i in range(n - 2))
+
+
 def test_ngrams_skip_short_words(spark):
     df = spark.createDataFrame([("ab abc abcd",)], "text string")
     assert {r["token"]: r["n"] for r in phrases.ngram_vocab(df).collect()} == {"abc": 2, "bcd": 1}
@@ -357,4 +368,3 @@ def test_coverage_falls_back_to_bytes(spark):
     df = spark.createDataFrame([("aaaa aaaa é",)], "text string")
     model = bpe.learn_bpe(df, n_merges=0, preset="words", unit="char", character_coverage=0.8)
     assert model.alphabet == ["61", "A9", "C3"]
-    assert F is not None
