@@ -76,11 +76,12 @@ def merge_loop(
     merges are made or no pair is frequent enough."""
     events: list[Event] = []
     while len(events) < n_merges:
-        symbols = words.current()
-        ranked = top_pairs(symbols, min_frequency, max_length, unit)
-        if not ranked:
-            break
-        around = surroundings(symbols, [c.key for c in ranked]).get(())
+        with words.small_jobs():
+            symbols = words.current()
+            ranked = top_pairs(symbols, min_frequency, max_length, unit)
+            if not ranked:
+                break
+            around = surroundings(symbols, [c.key for c in ranked]).get(())
         batch = accept(ranked, around, n_merges - len(events)) if around else ranked[:1]
         for pair in batch:
             words.merge(pair.left, pair.right)
@@ -144,16 +145,15 @@ def learn_picky_bpe(
         return len(special) + len(alive) >= vocab_size
 
     while not full():
-        symbols = words.current()
-        ranked = top_pairs(symbols, min_frequency, max_type_length)
-        if not ranked:
-            break
-        around = surroundings(symbols, [c.key for c in ranked]).get(())
-        batch = accept(ranked, around, len(ranked)) if around else ranked[:1]
-        used = [s for c in batch for s in (c.left, c.right)]
-        counts = {
-            r["token"]: r["n"] for r in symbol_counts(symbols).filter(F.col("token").isin(used)).collect()
-        }
+        with words.small_jobs():
+            symbols = words.current()
+            ranked = top_pairs(symbols, min_frequency, max_type_length)
+            if not ranked:
+                break
+            around = surroundings(symbols, [c.key for c in ranked]).get(())
+            batch = accept(ranked, around, len(ranked)) if around else ranked[:1]
+            used = [s for c in batch for s in (c.left, c.right)]
+            counts = _counts_of(symbols, used)
         for pair in batch:
             if full():
                 break
@@ -181,6 +181,11 @@ def learn_picky_bpe(
     return MergeModel(df.sparkSession, base, events, preset, "byte", special)
 
 
+def _counts_of(symbols: DataFrame, tokens: list[str]) -> dict[str, int]:
+    rows = symbol_counts(symbols).filter(F.col("token").isin(tokens)).collect()
+    return {r["token"]: r["n"] for r in rows}
+
+
 def learn_scaffold_bpe(
     df: DataFrame,
     vocab_size: int | None = None,
@@ -207,17 +212,17 @@ def learn_scaffold_bpe(
         return len(special) + len(base) + len(counts) - len(scaffolds) >= vocab_size
 
     while not full():
-        symbols = words.current()
-        ranked = top_pairs(symbols, min_frequency, max_type_length)
-        if counts:
-            # Counts move in other words too, so they are refreshed per round.
-            fresh = symbol_counts(symbols).filter(F.col("token").isin(list(counts))).collect()
-            counts = {t: 0 for t in counts} | {r["token"]: r["n"] for r in fresh}
-        if ranked:
-            scaffolds = {t for t, n in counts.items() if n < ranked[0].n}
-        if not ranked or full():
-            break
-        around = surroundings(symbols, [c.key for c in ranked]).get(())
+        with words.small_jobs():
+            symbols = words.current()
+            ranked = top_pairs(symbols, min_frequency, max_type_length)
+            if counts:
+                # Counts move in other words too, so they are refreshed per round.
+                counts = {t: 0 for t in counts} | _counts_of(symbols, list(counts))
+            if ranked:
+                scaffolds = {t for t, n in counts.items() if n < ranked[0].n}
+            if not ranked or full():
+                break
+            around = surroundings(symbols, [c.key for c in ranked]).get(())
         batch = accept(ranked, around, len(ranked)) if around else ranked[:1]
         for i, pair in enumerate(batch):
             words.merge(pair.left, pair.right)

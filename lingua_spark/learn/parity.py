@@ -95,16 +95,17 @@ def _parity_loop(
     finished: set[str] = set()
     totals: dict[str, int] = {}
     while len(events) < n_merges and len(finished) < len(langs):
-        symbols = train.current()
-        ranked = _top_by_lang(symbols, min_frequency)
-        finished = {lang for lang in langs if lang not in ranked}
-        if not ranked:
-            break
-        keys = sorted({c.key for pairs in ranked.values() for c in pairs})
-        around = surroundings(symbols, keys, ("lang",))
-        on_dev = symbols if dev is None else dev.current()
-        totals = totals or _symbol_totals(on_dev)
-        saved = _savings(on_dev, keys)
+        with train.small_jobs():
+            symbols = train.current()
+            ranked = _top_by_lang(symbols, min_frequency)
+            finished = {lang for lang in langs if lang not in ranked}
+            if not ranked:
+                break
+            keys = sorted({c.key for pairs in ranked.values() for c in pairs})
+            around = surroundings(symbols, keys, ("lang",))
+            on_dev = symbols if dev is None else dev.current()
+            totals = totals or _symbol_totals(on_dev)
+            saved = _savings(on_dev, keys)
         states = {lang: Acceptance(around.get((lang,), Surroundings({}, {}))) for lang in ranked}
         start = dict.fromkeys(ranked, 0)
         merged: list[Candidate] = []

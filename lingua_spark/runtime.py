@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -79,6 +80,22 @@ def stage_spread(df: DataFrame, label: str = "stage", rows_per_task: int = 10_00
     return staged.repartition(tasks).persist(StorageLevel.MEMORY_AND_DISK)
 
 
+@contextmanager
+def narrow_shuffles(spark: SparkSession, rows: int, rows_per_task: int = 10_000):
+    """Fewer shuffle partitions while a loop of small jobs runs.
+
+    The configured number suits the corpus; a loop over a small table would
+    spend its time on empty partitions. The number is never raised.
+    """
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, max(1, min(int(before), -(-rows // rows_per_task))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def clear_stages(spark: SparkSession) -> None:
     """Delete this application's staged tables once their results are written."""
     jvm = spark.sparkContext._jvm
