@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lingua_spark.llm import quality_rules
+from lingua_spark.llm import bpe_prefix, quality_rules
 from lingua_spark.queries.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op6_bpe_prefix")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe_prefix.digest(table(spark, folder, "documents"))
+
+
 @query("op10_quality_rules")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality(table(spark, folder, "documents"))
