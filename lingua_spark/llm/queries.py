@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lingua_spark.llm import bpe_prefix, quality_rules
+from lingua_spark.llm import bpe_prefix, byte_shards, quality_rules, warc_archive
 from lingua_spark.queries.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +24,29 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+OP3_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+         sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS original FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN original <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN original <> page_id THEN original END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+"""
+
+
+@query("op3_warc_archive", OP3_SQL)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return warc_archive.round_trip(table(spark, folder, "pages"))
+
+
+@query("op4_byte_shards")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    shards = byte_shards.byte_shards(table(spark, folder, "documents"), 16)
+    return shards.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
 @query("op6_bpe_prefix")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_prefix.digest(table(spark, folder, "documents"))
