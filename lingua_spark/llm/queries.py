@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lingua_spark.llm import bpe_prefix, byte_shards, quality_rules, warc_archive
+from lingua_spark.llm import bpe_prefix, byte_shards, decontaminate, maxent_lm, quality_rules, warc_archive
 from lingua_spark.queries.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,11 +47,21 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return shards.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+@query("op5_decontaminate")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query("op6_bpe_prefix")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_prefix.digest(table(spark, folder, "documents"))
 
 
+@query("op9_maxent_lm")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return maxent_lm.score(table(spark, folder, "documents"))
+
+
 @query("op10_quality_rules")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality(table(spark, folder, "documents"))
