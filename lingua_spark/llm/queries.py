@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lingua_spark.llm import bpe_prefix, byte_shards, decontaminate, maxent_lm, quality_rules, warc_archive
+from lingua_spark.llm import bpe_prefix, byte_shards, chosen_path, decontaminate, maxent_lm, quality_rules, warc_archive
 from lingua_spark.queries.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +57,11 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_prefix.digest(table(spark, folder, "documents"))
 
 
+@query("op8_chosen_path")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return chosen_path.similar(table(spark, folder, "documents"))
+
+
 @query("op9_maxent_lm")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return maxent_lm.score(table(spark, folder, "documents"))
