@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lingua_spark.llm import bpe_prefix, byte_shards, chosen_path, decontaminate, maxent_lm, pii_boost, quality_rules, warc_archive
+from lingua_spark.llm import bpe_prefix, byte_shards, chosen_path, decontaminate, maxent_lm, pii_boost, quality_rules, url_rules, warc_archive
 from lingua_spark.queries.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_url_rules")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return url_rules.judge(table(spark, folder, "pages"), table(spark, folder, "labels"))
+
+
 @query("op2_pii_boost")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return pii_boost.find_pii(table(spark, folder, "documents"))
