@@ -27,6 +27,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -248,30 +249,33 @@ def decode(docs: DataFrame, path: str | None = None, ids: str = "input_ids", out
 DIGEST = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
-def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """``doc_id`` with the count and digests of ids and decoded text.
+def digest(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
+    """``doc_id`` with the count and digests of ids and decoded text, and the
+    ids themselves if asked for.
 
     Ids and tokens are spelled run by run, so that neither list ever exists for
-    a whole text of millions of words.
+    a whole text of millions of words unless the ids are asked for.
     """
     frugal(docs.sparkSession)
+    names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["input_ids"] * with_ids
 
-    @F.pandas_udf(DIGEST)
+    @F.pandas_udf(DIGEST + ", input_ids array<int>" * with_ids)
     def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         coder = encoder(_path(path))
         for rows in batches:
-            yield pd.DataFrame(
-                [_digest(coder, t) for t in rows], columns=["n_tokens", "ids_sha256", "decoded_sha256"]
-            )
+            yield pd.DataFrame([_digest(coder, t, with_ids) for t in rows], columns=names)
 
     return docs.select("doc_id", digests(docs["text"]).alias("digest")).select("doc_id", "digest.*")
 
 
-def _digest(coder: PrefixEncoder, text: str | None) -> tuple[int, str, str]:
-    count, all_ids, all_tokens = 0, hashlib.sha256(), hashlib.sha256()
+def _digest(coder: PrefixEncoder, text: str | None, with_ids: bool) -> tuple:
+    count, all_ids, all_tokens, kept = 0, hashlib.sha256(), hashlib.sha256(), []
     for ids, tokens in coder.runs(text or ""):
         gap = " " if count else ""
         count += ids.count(" ") + 1
         all_ids.update((gap + ids).encode())
         all_tokens.update((gap + tokens).encode("utf-8"))
-    return count, all_ids.hexdigest(), all_tokens.hexdigest()
+        if with_ids:
+            kept.append(np.array(ids.split(" "), np.int32))
+    row = count, all_ids.hexdigest(), all_tokens.hexdigest()
+    return (*row, np.concatenate(kept) if kept else np.empty(0, np.int32)) if with_ids else row

@@ -80,3 +80,10 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_quality_rules")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality(table(spark, folder, "documents"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline  # stands at the top of the repository and imports this package
+
+    return corpus_pipeline.run(spark, folder)
