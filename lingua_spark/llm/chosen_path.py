@@ -386,7 +386,8 @@ def similar(docs: DataFrame, join: Join = Join(), key: str = "doc_id", text: str
 
 
 def classify(docs: DataFrame, join: Join, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Staged (key, fp) of every row, and (fp, class, links) of every set."""
+    """Staged (key, fp) of every row, and (fp, component, class, links) of
+    every set. Two components may share a class if a key repeats."""
     frugal(docs.sparkSession)
     sketched = stage(sketches(docs, join, key, text), "path_sketches")
     rows = sketched.select("key", "fp")
@@ -440,7 +441,7 @@ def classify(docs: DataFrame, join: Join, key: str, text: str) -> tuple[DataFram
         "path_labelled",
     )
     smallest = stage(labelled.groupBy("component").agg(F.min("key").alias("class")), "path_classes")
-    return rows, stage(labelled.join(smallest, "component").select("fp", "class", "links"), "path_result")
+    return rows, stage(labelled.join(smallest, "component").select("fp", "component", "class", "links"), "path_result")
 
 
 def keep_one(docs: DataFrame, join: Join = Join(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -455,16 +456,16 @@ def keep_one(docs: DataFrame, join: Join = Join(), key: str = "doc_id", text: st
     decided = stage(
         rows.groupBy("key", "fp")
         .agg(F.count("*").alias("times"))
-        .join(classes.select("fp", "class"), "fp")
+        .join(classes.select("fp", "component", "class"), "fp")
         .withColumn("stays", F.col("key").eqNullSafe(F.col("class"))),
         "path_decided",
     )
-    # one set speaks for a key that several sets of a class share
+    # one set speaks for a key that several sets of a component share
     spoken = (
-        decided.filter("stays").groupBy(F.col("class").alias("spoken_class")).agg(F.min("fp").alias("spoken"))
+        decided.filter("stays").groupBy(F.col("component").alias("spoken_of")).agg(F.min("fp").alias("spoken"))
     )
     decided = stage(
-        decided.join(spoken, F.col("class").eqNullSafe(F.col("spoken_class")), "left")
+        decided.join(spoken, F.col("component") == F.col("spoken_of"))
         .select("key", "fp", "times", (F.col("stays") & (F.col("fp") == F.col("spoken"))).alias("stays")),
         "path_kept",
     )
