@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 from lingua_spark.functions.hashing import hash_uniform
 from lingua_spark.functions.text import chunk_array, strip, utf8_bytes
 from lingua_spark.operators.ordered import (
+    KEY,
     block_bounds,
     cut_at_rank,
     first_crossing,
+    limit_of,
+    numbered,
     position,
+    up_to,
+    with_key,
 )
 from lingua_spark.runtime import stage
 
@@ -66,8 +71,10 @@ def budget_split(
     targets: DataFrame,
     options: SplitOptions | None = None,
     lang: str = "lang",
-    order: str = "doc_id",
+    order: str | list[str] = "doc_id",
     text: str = "text",
+    ties: list[str] | None = None,
+    draw: str | None = None,
 ) -> DataFrame:
     """Byte budget with line floor and capped random train/val/test split.
 
@@ -76,94 +83,105 @@ def budget_split(
     Before that point a row goes to val or test by its hash while these have
     room, a full val overflowing into test.
 
-    All of this is decided by four order values per language (end of budget,
-    end of floor, last val row, last test row). They are found on a narrow
-    staged table; the texts themselves are then filtered and labelled in one
-    map-only pass, without any shuffle.
+    All of this is decided by four limits per language (end of budget, end of
+    floor, last val row, last test row). They are found on a narrow staged
+    table; the texts themselves are then filtered and labelled in one map-only
+    pass. Nulls come first in the order; rows with equal order values follow
+    ``ties`` (the hash of all columns unless given). The hash that sends rows
+    to val and test is that of ``draw``, the first order column unless given.
     """
     o = options or SplitOptions()
     group = [lang]
-    r = hash_uniform(order, o.seed)
-    narrow = stage(
-        df.filter(F.col(text).isNotNull()).select(lang, order, utf8_bytes(text, True).alias("bytes")),
-        "budget",
+    draw = draw or (order if isinstance(order, str) else order[0])
+    rows = with_key(df.filter(F.col(text).isNotNull()), order, ties)
+    rows = rows.withColumn("_r", hash_uniform(draw, o.seed, "split"))
+    narrow = stage(rows.select(lang, KEY, "_r", utf8_bytes(text, True).alias("bytes")), "budget")
+    live = stage(
+        targets.select(lang, "target_bytes").filter((F.col("target_bytes") > 0) | F.lit(o.min_lines_floor > 0)),
+        "targets",
     )
-    targets = targets.select(lang, "target_bytes")
-    live = targets.filter((F.col("target_bytes") > 0) | F.lit(o.min_lines_floor > 0))
-    if o.unlimited_at_zero:
-        limited = live.filter(F.col("target_bytes") > 0)
-    else:
-        limited = live
-    bounds = block_bounds(narrow, order)
+    limited = live.filter(F.col("target_bytes") > 0) if o.unlimited_at_zero else live
+    bounds = block_bounds(narrow, KEY)
 
-    # 1. First row over the budget.
+    # 1. Rows before the first one over the budget.
     over = first_crossing(
-        narrow, group, order, F.col("bytes"), limited.withColumnRenamed("target_bytes", "target"), bounds
+        narrow, group, KEY, F.col("bytes"), limited.withColumnRenamed("target_bytes", "target"), bounds
     )
-    over = over.withColumnRenamed("cut", "over_cut")
+    over = over.select(lang, limit_of("cut", "tied", "held").alias("over"), "rows_before")
     totals = narrow.groupBy(lang).agg(F.count("*").alias("_all"))
     cuts = stage(
         live.join(totals, lang)
         .join(over, lang, "left")
-        .select(lang, "target_bytes", "over_cut", F.coalesce("rows_before", "_all").alias("inside")),
+        .select(lang, "target_bytes", "over", F.coalesce("rows_before", "_all").alias("inside")),
         "cuts",
     )
 
     # 2. Last val and last test row before it, and how many they are.
-    inside = narrow.join(cuts.select(lang, "over_cut"), lang).filter(
-        F.col("over_cut").isNull() | (F.col(order) < F.col("over_cut"))
-    )
-    inside = inside.select(lang, order, r.alias("r"))
+    inside = numbered(narrow.select(lang, KEY, "_r"), group, cuts.select(lang, "over"), ["over"])
+    inside = inside.join(cuts.select(lang), lang, "left_semi")
+    inside = inside.filter(F.col("over").isNull() | up_to("over")).select(lang, KEY, "_r", "_nth")
+    none = F.lit(None).cast(cuts.schema["over"].dataType)
+    cuts = cuts.withColumns({"val": none, "test": none, "n_val": F.lit(0), "n_test": F.lit(0)})
     n = o.max_eval_rows
-    cuts = cuts.withColumns(
-        {c: F.lit(None).cast(narrow.schema[order].dataType) for c in ("val_last", "test_last")}
-        | {c: F.lit(0).cast("bigint") for c in ("n_val", "n_test")}
-    )
     if n > 0 and o.val_frac > 0:
-        cuts = _eval_cut(cuts, inside.filter(F.col("r") < o.val_frac), "val", n, lang, order, bounds)
+        cuts = _eval_cut(cuts, inside.filter(F.col("_r") < o.val_frac), "val", n, lang, bounds)
     if n > 0 and o.val_frac + o.test_frac > 0:
-        full_val = F.col("val_last").isNotNull() & (F.col(order) > F.col("val_last"))
-        for_test = inside.join(cuts.select(lang, "val_last"), lang).filter(
-            (F.col("r") < o.val_frac + o.test_frac) & ((F.col("r") >= o.val_frac) | full_val)
+        # Identical rows share their draw, so a full val may end between them.
+        tied = numbered(inside.drop("_nth"), group, cuts.select(lang, "val"), ["val"])
+        past_val = F.col("val").isNotNull() & ~up_to("val")
+        for_test = tied.filter(
+            (F.col("_r") < o.val_frac + o.test_frac) & ((F.col("_r") >= o.val_frac) | past_val)
         )
-        cuts = _eval_cut(cuts, for_test, "test", n, lang, order, bounds)
+        cuts = _eval_cut(cuts, for_test.select(lang, KEY), "test", n, lang, bounds)
 
     # 3. Rows over the budget that the floor still admits.
     missing = F.greatest(F.lit(0), F.lit(o.min_lines_floor) - (F.col("inside") - F.col("n_val") - F.col("n_test")))
     cuts = cuts.withColumn("rank", F.col("inside") + missing)
     if o.min_lines_floor > 0:
-        ends = cuts.filter(F.col("over_cut").isNotNull() & (F.col("rank") > F.col("inside")))
-        ends = cut_at_rank(narrow, group, order, ends.select(lang, "rank"), bounds)
-        cuts = stage(cuts.join(ends.withColumnRenamed("cut", "end_cut"), lang, "left"), "cuts")
+        ends = cuts.filter(F.col("over").isNotNull() & (F.col("rank") > F.col("inside")))
+        ends = cut_at_rank(narrow, group, KEY, ends.select(lang, "rank"), bounds)
+        ends = ends.select(lang, limit_of("cut", "tied", "held").alias("end"))
+        cuts = cuts.join(ends, lang, "left")
     else:
-        cuts = cuts.withColumn("end_cut", F.col("val_last"))
-    cuts = cuts.select(lang, "over_cut", "end_cut", "val_last", "test_last", "rank", "inside")
+        cuts = cuts.withColumn("end", none)
+    cuts = stage(cuts.select(lang, "over", "end", "val", "test", "rank", "inside"), "cuts")
 
-    # 4. One narrow pass over the texts.
-    under = F.col("over_cut").isNull() | (F.col(order) < F.col("over_cut"))
+    # 4. One pass over the texts; only identical rows at a limit are numbered.
+    known = rows.join(cuts.select(lang), lang, "left_semi")
+    placed = numbered(known, group, cuts, ["over", "end", "val", "test"])
+    under = F.col("over").isNull() | up_to("over")
     # Without an end row the floor lies past the data: everything is kept.
-    floor = (F.col("rank") > F.col("inside")) & (F.col("end_cut").isNull() | (F.col(order) <= F.col("end_cut")))
-    kept = df.filter(F.col(text).isNotNull()).join(cuts, lang).filter(under | floor)
-    room_val = F.lit(n > 0) & (F.col("val_last").isNull() | (F.col(order) <= F.col("val_last")))
-    room_test = F.lit(n > 0) & (F.col("test_last").isNull() | (F.col(order) <= F.col("test_last")))
+    floor = (F.col("rank") > F.col("inside")) & (F.col("end").isNull() | up_to("end"))
+    room_val = F.lit(n > 0) & (F.col("val").isNull() | up_to("val"))
+    room_test = F.lit(n > 0) & (F.col("test").isNull() | _test_room(o))
     split = (
         F.when(~under, "train")
-        .when((r < o.val_frac) & room_val, "val")
-        .when((r < o.val_frac + o.test_frac) & room_test, "test")
+        .when((F.col("_r") < o.val_frac) & room_val, "val")
+        .when((F.col("_r") < o.val_frac + o.test_frac) & room_test, "test")
         .otherwise("train")
     )
-    return kept.select(*df.columns, split.alias("split"))
+    return placed.filter(under | floor).select(*df.columns, split.alias("split"))
 
 
-def _eval_cut(
-    cuts: DataFrame, rows: DataFrame, name: str, n: int, lang: str, order: str, bounds: list
-) -> DataFrame:
-    """Add the order value of the n-th of the candidate rows per language
-    (null if there are fewer) and the number taken."""
+def _test_room(o: SplitOptions):
+    """Whether a row that did not go to val lies up to the last test row.
+
+    Of identical rows the first ones may have gone to val; the test limit then
+    counts the others.
+    """
+    at_both = (F.col(KEY) == F.col("val.cut")) & (F.col(KEY) == F.col("test.cut")) & (F.col("_r") < o.val_frac)
+    later = (F.col(KEY) == F.col("test.cut")) & (F.col("_nth") - F.col("val.tied") <= F.col("test.tied"))
+    return F.when(F.coalesce(at_both, F.lit(False)), later).otherwise(up_to("test"))
+
+
+def _eval_cut(cuts: DataFrame, rows: DataFrame, name: str, n: int, lang: str, bounds: list) -> DataFrame:
+    """Add the limit at the n-th of the candidate rows per language (null if
+    there are fewer) and the number taken."""
+    rows = stage(rows.select(lang, KEY), "eval")
     counts = rows.groupBy(lang).agg(F.least(F.count("*"), F.lit(n)).alias(f"n_{name}"))
     ranks = cuts.select(lang, F.lit(n).cast("bigint").alias("rank"))
-    last = cut_at_rank(rows, [lang], order, ranks, bounds).withColumnRenamed("cut", f"{name}_last")
-    cuts = cuts.drop(f"n_{name}", f"{name}_last").join(counts, lang, "left").join(last, lang, "left")
+    last = cut_at_rank(rows, [lang], KEY, ranks, bounds).select(lang, limit_of("cut", "tied", "held").alias(name))
+    cuts = cuts.drop(f"n_{name}", name).join(counts, lang, "left").join(last, lang, "left")
     return stage(cuts.fillna({f"n_{name}": 0}), "cuts")
 
 
@@ -200,7 +218,8 @@ def tokenizer_sample(
 ) -> DataFrame:
     """Bernoulli sample of each language with p = min(1, target/size).
 
-    One aggregate over the sizes, then a map-only filter by hash.
+    One aggregate over the sizes, then a map-only filter by hash. The draw is
+    independent of the one that split the corpus.
     """
     sizes = df.groupBy(lang).agg(F.sum(utf8_bytes(text, True)).alias("size")).filter(F.col("size") > 0)
     shares = lang_proportions(sizes, temperature, 1.0, lang)
@@ -209,28 +228,37 @@ def tokenizer_sample(
         shares.select(lang, F.least(F.lit(1.0), target / F.col("size")).alias("_rate")).filter(F.col("_rate") > 0),
         "rates",
     )
-    return df.join(rates, lang).filter(hash_uniform(order, seed) < F.col("_rate")).select(*df.columns)
+    return df.join(rates, lang).filter(hash_uniform(order, seed, "sample") < F.col("_rate")).select(*df.columns)
 
 
 def first_n_per_lang(
-    df: DataFrame, n: int = 5000, lang: str = "lang", order: str = "doc_id", text: str = "text"
+    df: DataFrame,
+    n: int = 5000,
+    lang: str = "lang",
+    order: str | list[str] = "doc_id",
+    text: str = "text",
+    ties: list[str] | None = None,
 ) -> DataFrame:
     """The first n non-blank texts per language among the first 20·n rows.
 
-    Both limits are found as order values on narrow tables; the texts are
-    filtered without a shuffle.
+    Both limits are found on narrow tables; the texts are filtered without a
+    shuffle. Nulls come first in the order; rows with equal order values follow
+    ``ties`` (the hash of all columns unless given).
     """
-    narrow = df.select(F.lit(0).alias("_g"), order)
+    keyed = with_key(df, order, ties).withColumn("_g", F.lit(0))
+    narrow = stage(keyed.select("_g", KEY), "order")
     ranks = df.sparkSession.createDataFrame([(0, 20 * n)], "_g int, rank bigint")
-    bounds = block_bounds(narrow, order)
-    stop = cut_at_rank(narrow, ["_g"], order, ranks, bounds).first()
-    head = df if stop is None else df.filter(F.col(order) <= F.lit(stop["cut"]))
+    bounds = block_bounds(narrow, KEY)
+    stop = cut_at_rank(narrow, ["_g"], KEY, ranks, bounds)
+    stop = stage(stop.select("_g", limit_of("cut", "tied", "held").alias("stop")), "cuts")
+    head = numbered(keyed, ["_g"], stop, ["stop"]).filter(F.col("stop").isNull() | up_to("stop")).drop("stop", "_nth")
     head = head.withColumn(lang, F.coalesce(F.col(lang), F.lit("unknown")))
     texts = head.withColumn(text, strip(text)).filter(F.col(text) != "")
-    places = stage(texts.select(lang, order), "head")
+    places = stage(texts.select(lang, KEY), "head")
     ranks = places.select(lang).distinct().withColumn("rank", F.lit(n).cast("bigint"))
-    cuts = stage(cut_at_rank(places, [lang], order, ranks, bounds), "cuts")
-    kept = texts.join(cuts, lang, "left").filter(F.col("cut").isNull() | (F.col(order) <= F.col("cut")))
+    cuts = cut_at_rank(places, [lang], KEY, ranks, bounds)
+    cuts = stage(cuts.select(lang, limit_of("cut", "tied", "held").alias("last")), "cuts")
+    kept = numbered(texts, [lang], cuts, ["last"]).filter(F.col("last").isNull() | up_to("last"))
     return kept.select(*df.columns)
 
 

@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lingua_spark.operators.ordered import block_bounds, cut_at_rank, position
+from lingua_spark.operators.ordered import (
+    KEY,
+    block_bounds,
+    cut_at_rank,
+    limit_of,
+    numbered,
+    position,
+    up_to,
+    with_key,
+)
 from lingua_spark.runtime import stage
 
 
@@ -27,21 +36,26 @@ def _source_table(df: DataFrame, source: str) -> DataFrame:
 
 
 def interleave(
-    df: DataFrame, source: str = "source", order: str = "doc_id", stopping: str = "first_exhausted"
+    df: DataFrame,
+    source: str = "source",
+    order: str | list[str] = "doc_id",
+    stopping: str = "first_exhausted",
+    ties: list[str] | None = None,
 ) -> DataFrame:
     """Round-robin over the sources with the global ``position`` (1-based).
 
     ``first_exhausted`` ends with the last row of the first source to run dry;
     ``all_exhausted`` repeats the shorter sources until every one was read
     once. The position is arithmetic on the rank within the source, so no
-    global sort is needed.
+    global sort is needed. Nulls come first in the order, ties as in
+    ``ordered.with_key``.
     """
     sources = _source_table(df, source)
     place = (F.col("rank") - 1) * F.col("n_sources") + F.col("idx")
     last = (F.col("n") - 1) * F.col("n_sources") + F.col("idx")
     end = F.min(last) if stopping == "first_exhausted" else F.max(last)
     stop = sources.agg(end.alias("stop")).first()["stop"]
-    ranked = position(df, [source], order, "rank").join(sources, source)
+    ranked = position(with_key(df, order, ties), [source], KEY, "rank").join(sources, source)
     if stopping == "all_exhausted":
         # The row returns each time its source starts over.
         rounds = F.floor((F.lit(stop) - F.col("idx")) / F.col("n_sources")) + 1
@@ -51,36 +65,35 @@ def interleave(
 
 
 def take_skip(
-    df: DataFrame, eval_docs: int, source: str = "source", order: str = "doc_id"
+    df: DataFrame,
+    eval_docs: int,
+    source: str = "source",
+    order: str | list[str] = "doc_id",
+    ties: list[str] | None = None,
 ) -> DataFrame:
     """Label the first ``eval_docs`` of the interleaved order ``eval``, the
     rest of it ``train``.
 
-    Both limits become one order value per source, found by rank on a narrow
-    staged table; the documents are then labelled without a shuffle.
+    Both limits are found per source on a narrow staged table; the documents
+    are then labelled without a shuffle. Order and ties as in ``interleave``.
     """
-    narrow = stage(df.select(source, order), "order")
+    keyed = with_key(df, order, ties)
+    narrow = stage(keyed.select(source, KEY), "order")
     sources = _source_table(narrow, source)
     stop = sources.agg(F.min((F.col("n") - 1) * F.col("n_sources") + F.col("idx")).alias("s")).first()["s"]
-    bounds = block_bounds(narrow, order)
+    if stop is None:
+        return df.select("*", F.lit("train").alias("part"))
+    bounds = block_bounds(narrow, KEY)
 
     def rows_within(limit: int):
         return F.greatest(F.lit(0), F.floor((F.lit(limit) - F.col("idx")) / F.col("n_sources")) + 1)
 
-    ranks = sources.select(
-        source,
-        rows_within(min(eval_docs, stop)).cast("bigint").alias("n_eval"),
-        rows_within(stop).cast("bigint").alias("n_kept"),
-    )
-    evals = cut_at_rank(
-        narrow, [source], order, ranks.filter("n_eval > 0").select(source, F.col("n_eval").alias("rank")), bounds
-    )
-    kept = cut_at_rank(
-        narrow, [source], order, ranks.filter("n_kept > 0").select(source, F.col("n_kept").alias("rank")), bounds
-    )
-    cuts = stage(
-        kept.withColumnRenamed("cut", "_end").join(evals.withColumnRenamed("cut", "_eval"), source, "left"),
-        "cuts",
-    )
-    part = F.when(F.col(order) <= F.col("_eval"), "eval").otherwise("train")
-    return df.join(cuts, source).filter(F.col(order) <= F.col("_end")).select(*df.columns, part.alias("part"))
+    def limits(count: int, name: str) -> DataFrame:
+        ranks = sources.select(source, rows_within(count).cast("bigint").alias("rank")).filter("rank > 0")
+        cuts = cut_at_rank(narrow, [source], KEY, ranks, bounds)
+        return cuts.select(source, limit_of("cut", "tied", "held").alias(name))
+
+    cuts = stage(limits(stop, "end").join(limits(min(eval_docs, stop), "eval"), source, "left"), "cuts")
+    placed = numbered(keyed, [source], cuts, ["end", "eval"]).filter(up_to("end"))
+    part = F.when(F.coalesce(up_to("eval"), F.lit(False)), "eval").otherwise("train")
+    return placed.select(*df.columns, part.alias("part"))

@@ -10,7 +10,7 @@ from lingua_spark.operators.corpus import SplitOptions
 from lingua_spark.plans.corpus_build import build_corpus
 from lingua_spark.queries.registry import HASH, query, table, values
 from lingua_spark.queries.sources import LANGUAGE_SQL
-from lingua_spark.runtime import scratch_path
+from lingua_spark.runtime import scratch_path, stage
 from lingua_spark.sources.languages import language_table
 from lingua_spark.sources.scans import scan_parquet_files
 
@@ -21,7 +21,7 @@ STRIP = "trim(text, E' \\t\\n\\r')"
 def split_sql(target: str, vf: float, tf: float, cap: int, floor: int) -> str:
     """Budget, floor and capped split by windows; ``target`` per language."""
     return f"""
-    d AS (SELECT doc_id, lang, {LINE_BYTES} AS bytes, {HASH.format(key="doc_id")} AS r FROM documents),
+    d AS (SELECT doc_id, lang, {LINE_BYTES} AS bytes, {HASH.format(purpose="split", key="doc_id")} AS r FROM documents),
     t AS ({target}),
     c AS (SELECT d.*, target_bytes, sum(bytes) OVER (PARTITION BY d.lang ORDER BY doc_id) <= target_bytes AS inside
           FROM d JOIN t ON t.lang = d.lang),
@@ -62,6 +62,66 @@ _split_query("byte_budget_floor", 0.2, 0.05, 0.05, 4, 90)
 _split_query("split_capped", 2.0, 0.05, 0.05, 6, 0)
 
 
+# An order column with nulls and ties; the row id breaks the ties.
+_TIED = "nullif(doc_id // 4, 3)"
+
+
+def _tied(docs):
+    quarter = F.floor(F.col("doc_id") / 4).cast("bigint")
+    return docs.withColumn("place", F.nullif(quarter, F.lit(3).cast("bigint")))
+
+
+@query(
+    "byte_budget_ties",
+    "WITH "
+    + split_sql(share_target(0.3), 0.05, 0.05, 4, 60).replace("ORDER BY doc_id", f"ORDER BY {_TIED} NULLS FIRST, doc_id")
+    + " SELECT doc_id, lang, split FROM splits",
+)
+def byte_budget_ties(spark, folder):
+    docs = _tied(table(spark, folder, "documents").select("doc_id", "lang", "text"))
+    options = SplitOptions(0.05, 0.05, 4, 60)
+    out = corpus.budget_split(
+        docs, share_targets(docs, 0.3), options, order="place", ties=["doc_id"], draw="doc_id"
+    )
+    return out.select("doc_id", "lang", "split")
+
+
+@query(
+    "first_n_ties",
+    f"""
+    WITH h AS (SELECT doc_id, lang, {STRIP} AS text, {_TIED} AS place FROM documents
+               ORDER BY place NULLS FIRST, doc_id LIMIT 200)
+    SELECT doc_id, lang FROM h WHERE text <> ''
+    QUALIFY row_number() OVER (PARTITION BY lang ORDER BY place NULLS FIRST, doc_id) <= 10
+    """,
+)
+def first_n_ties(spark, folder):
+    docs = _tied(table(spark, folder, "documents").select("doc_id", "lang", "text"))
+    return corpus.first_n_per_lang(docs, 10, order="place", ties=["doc_id"]).select("doc_id", "lang")
+
+
+_SAMPLED = 0.03  # below the held-out share of 0.1
+
+
+@query(
+    "corpus_tokenizer_sample",
+    f"""
+    WITH {split_sql(share_target(0.8), 0.05, 0.05, 1000000, 0)},
+         s AS (SELECT lang, sum(bytes) AS size FROM splits WHERE split = 'train' GROUP BY lang),
+         p AS (SELECT lang, size, size::DOUBLE / sum(size::DOUBLE) OVER () AS share, sum(size) OVER () AS total FROM s),
+         q AS (SELECT lang, least(1.0, floor({_SAMPLED}::DOUBLE * total / 1073741824 * share * 1073741824) / size) AS rate FROM p)
+    SELECT doc_id, x.lang FROM splits x JOIN q ON q.lang = x.lang
+    WHERE split = 'train' AND {HASH.format(purpose="sample", key="doc_id")} < rate
+    """,
+)
+def corpus_tokenizer_sample(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
+    built = build_corpus(docs, share_targets(docs, 0.8), SplitOptions(0.05, 0.05, 1_000_000))
+    train = stage(built.splits.filter("split = 'train'"), "train")
+    total = train.agg(F.sum(utf8_bytes("text", True))).first()[0]
+    return corpus.tokenizer_sample(train, _SAMPLED * total / 1024**3, 1.0).select("doc_id", "lang")
+
+
 @query(
     "corpus_manifest",
     f"""
@@ -152,7 +212,7 @@ def lang_order(spark, folder):
 @query(
     "tokenizer_sample",
     f"""
-    WITH d AS (SELECT doc_id, lang, {LINE_BYTES} AS bytes, {HASH.format(key="doc_id")} AS r FROM documents),
+    WITH d AS (SELECT doc_id, lang, {LINE_BYTES} AS bytes, {HASH.format(purpose="sample", key="doc_id")} AS r FROM documents),
          s AS (SELECT lang, sum(bytes) AS size FROM d GROUP BY lang),
          p AS (SELECT lang, size, pow(size::DOUBLE, 0.5) / sum(pow(size::DOUBLE, 0.5)) OVER () AS share FROM s),
          q AS (SELECT lang, least(1.0, floor(0.0008::DOUBLE * share * 1073741824) / size) AS rate FROM p)
@@ -237,6 +297,20 @@ def interleave_all(spark, folder):
     return mixing.interleave(docs, stopping="all_exhausted")
 
 
+@query(
+    "take_skip_ties",
+    f"""
+    WITH s AS ({_SOURCES_SQL.replace("ORDER BY doc_id", f"ORDER BY {_TIED} NULLS FIRST, doc_id")}),
+         p AS (SELECT *, {_PLACE} AS position, {_LAST} AS last FROM s)
+    SELECT doc_id, source, CASE WHEN position <= 102 THEN 'eval' ELSE 'train' END AS part
+    FROM p WHERE position <= (SELECT min(last) FROM p)
+    """,
+)
+def take_skip_ties(spark, folder):
+    docs = _tied(table(spark, folder, "documents").select("doc_id", F.col("lang").alias("source")))
+    return mixing.take_skip(docs, 102, order="place", ties=["doc_id"]).drop("place")
+
+
 @query(
     "take_skip",
     f"""

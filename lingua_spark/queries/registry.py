@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-# SQL of the row hash for a key expression, seed 42.
-HASH = "(('0x' || substr(md5('42:' || {key}::VARCHAR), 1, 8))::BIGINT / 4294967296.0)"
+# SQL of the row hash for a purpose and a key expression, seed 42.
+HASH = "(('0x' || substr(md5('42:{purpose}:' || {key}::VARCHAR), 1, 8))::BIGINT / 4294967296.0)"
 
 
 def query(name: str, sql: str | None = None):

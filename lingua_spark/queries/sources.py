@@ -11,7 +11,7 @@ from lingua_spark.runtime import scratch_path, stage
 from lingua_spark.sources import languages, scans, sinks
 
 LANGUAGE_SQL = (
-    f"(VALUES {values(languages.language_rows())}) "
+    f"(VALUES {values(languages.LANGUAGES)}) "
     "AS m(lang, flores_code, cc100_code, cc100_est_gb, fineweb_code, fineweb_est_gb)"
 )
 TABLES = (

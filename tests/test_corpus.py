@@ -11,8 +11,8 @@ from lingua_spark.plans.corpus_build import corpus_targets
 from lingua_spark.sources import languages
 
 
-def uniform(key, seed=42):
-    return int(hashlib.md5(f"{seed}:{key}".encode()).hexdigest()[:8], 16) / 2**32
+def uniform(key, seed=42, purpose="split"):
+    return int(hashlib.md5(f"{seed}:{purpose}:{key}".encode()).hexdigest()[:8], 16) / 2**32
 
 
 def sequential_split(rows, target, o):
@@ -104,7 +104,7 @@ def test_targets_of_a_language_set(spark):
 
 
 def test_language_table(spark):
-    table = languages.language_rows()
+    table = languages.LANGUAGES
     assert len(table) == 75 and len(set(languages.LANG_SETS["L100"])) == 75
     assert {r[0] for r in table} == set(languages.LANG_SETS["L100"])
     assert (len(languages.LANG_SETS["L20"]), len(languages.LANG_SETS["L60"])) == (20, 60)
@@ -228,3 +228,39 @@ def test_result_does_not_depend_on_partitioning(spark, rows):
         for frame in (df.coalesce(1), df.repartition(11), df.repartition(3, F.col("lang")))
     ]
     assert runs[0] == runs[1] == runs[2]
+
+
+def test_limits_between_identical_rows(spark):
+    """Rows that are equal in every column are still counted one by one."""
+    rows = [(i // 3, "en", "ten bytes!") for i in range(12)] + [(None, "en", "ten bytes!")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    targets = spark.createDataFrame([("en", 45)], "lang string, target_bytes long")  # four rows of 11 bytes
+    out = corpus.budget_split(df, targets, corpus.SplitOptions(0, 0)).collect()
+    assert sorted(str(r["doc_id"]) for r in out) == ["0", "0", "None", "None"]
+    assert sorted(str(r["doc_id"]) for r in corpus.first_n_per_lang(df, 4).collect()) == ["0", "0", "None", "None"]
+    both = df.withColumn("source", F.lit("a")).unionByName(df.withColumn("source", F.lit("b")))
+    parts = mixing.take_skip(both, 9).collect()
+    assert sum(r["part"] == "eval" for r in parts) == 9 and len(parts) == 27
+
+
+def test_identical_rows_are_split_exactly(spark):
+    df = spark.createDataFrame([(1, "en", "same")] * 40, "doc_id long, lang string, text string")
+    targets = spark.createDataFrame([("en", 5 * 30)], "lang string, target_bytes long")
+    out = corpus.budget_split(df, targets, corpus.SplitOptions(1.0, 0.0, 7)).collect()
+    counts = {s: sum(r["split"] == s for r in out) for s in ("train", "val", "test")}
+    # a full val overflows into test
+    assert counts == {"train": 16, "val": 7, "test": 7}
+
+
+def test_strings_order_rows(spark):
+    df = spark.createDataFrame([(c, "en", c) for c in "hgfedcba"], "doc_id string, lang string, text string")
+    assert sorted(r["doc_id"] for r in corpus.first_n_per_lang(df, 3).collect()) == ["a", "b", "c"]
+
+
+def test_sample_is_independent_of_the_split(spark):
+    df = spark.range(20000).selectExpr("id as doc_id", "'en' as lang", "'some text' as text")
+    targets = spark.createDataFrame([("en", 10**9)], "lang string, target_bytes long")
+    train = corpus.budget_split(df, targets, corpus.SplitOptions(0.05, 0.05, 10**6)).filter("split = 'train'")
+    n = train.count()
+    got = corpus.tokenizer_sample(train, 0.02 * n * 10 / 1024**3).count()
+    assert abs(got - 0.02 * n) < 5 * (0.02 * n) ** 0.5
