@@ -29,6 +29,12 @@ def clean_text(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn(text, strip(text)).filter(F.col(text) != "")
 
 
+def cleaning_counts(df: DataFrame, text: str = "text") -> DataFrame:
+    """How many rows ``clean_text`` keeps and skips."""
+    full = F.coalesce(strip(text) != "", F.lit(False))
+    return df.agg(F.count_if(full).alias("kept"), F.count_if(~full).alias("skipped"))
+
+
 def ensure_newline(c: Column | str) -> Column:
     c = _col(c)
     return F.when(F.endswith(c, F.lit("\n")), c).otherwise(F.concat(c, F.lit("\n")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from typing import Protocol
 
 from pyspark.sql import DataFrame
@@ -40,9 +41,12 @@ def _ngrams(df: DataFrame, vocab_size: int | None = None, n: int = 3, **options)
     return phrases.ngram_vocab(df, n, **options)
 
 
-def _sage(df: DataFrame, vocab_size: int, target: int | None = None, **options):
-    model = bpe.learn_bpe(df, vocab_size)
-    return phrases.sage_prune(model, df, target or vocab_size, **options)
+def _sage(df: DataFrame, vocab_size: int, initial_vocab_size: int | None = None, text: str = "text", **options):
+    """A larger vocabulary (by a third unless given) pruned to ``vocab_size``;
+    the encoder spells pruned tokens by their parts."""
+    model = bpe.learn_bpe(df, initial_vocab_size or -(-vocab_size * 4 // 3), text=text)
+    kept = {r["token"] for r in phrases.sage_prune(model, df, vocab_size, text, **options).collect()}
+    return replace(model, hidden=model.hidden | (set(model.tokens) - kept))
 
 
 TRAINERS: dict[str, Callable] = {

@@ -59,10 +59,9 @@ def cover(table: DataFrame, kept: list[str]) -> DataFrame:
     """Replace characters outside the alphabet by their bytes."""
     from lingua_spark.functions.pretok import symbol_array
 
-    known = F.array(*[F.lit(s) for s in kept])
     parts = F.transform(
         symbol_array("syms"),
-        lambda s: F.when(F.array_contains(known, s), s).otherwise(
+        lambda s: F.when(s.isin(kept), s).otherwise(
             F.regexp_replace(s, "(..)(?!$)", "$1><")
         ),
     )
@@ -76,12 +75,11 @@ def merge_loop(
     merges are made or no pair is frequent enough."""
     events: list[Event] = []
     while len(events) < n_merges:
-        with words.small_jobs():
-            symbols = words.current()
-            ranked = top_pairs(symbols, min_frequency, max_length, unit)
-            if not ranked:
-                break
-            around = surroundings(symbols, [c.key for c in ranked]).get(())
+        symbols = words.current()
+        ranked = top_pairs(symbols, min_frequency, max_length, unit)
+        if not ranked:
+            break
+        around = surroundings(symbols, [c.key for c in ranked]).get(())
         batch = accept(ranked, around, n_merges - len(events)) if around else ranked[:1]
         for pair in batch:
             words.merge(pair.left, pair.right)
@@ -145,15 +143,14 @@ def learn_picky_bpe(
         return len(special) + len(alive) >= vocab_size
 
     while not full():
-        with words.small_jobs():
-            symbols = words.current()
-            ranked = top_pairs(symbols, min_frequency, max_type_length)
-            if not ranked:
-                break
-            around = surroundings(symbols, [c.key for c in ranked]).get(())
-            batch = accept(ranked, around, len(ranked)) if around else ranked[:1]
-            used = [s for c in batch for s in (c.left, c.right)]
-            counts = _counts_of(symbols, used)
+        symbols = words.current()
+        ranked = top_pairs(symbols, min_frequency, max_type_length)
+        if not ranked:
+            break
+        around = surroundings(symbols, [c.key for c in ranked]).get(())
+        batch = accept(ranked, around, len(ranked)) if around else ranked[:1]
+        used = [s for c in batch for s in (c.left, c.right)]
+        counts = _counts_of(symbols, used)
         for pair in batch:
             if full():
                 break
@@ -212,17 +209,16 @@ def learn_scaffold_bpe(
         return len(special) + len(base) + len(counts) - len(scaffolds) >= vocab_size
 
     while not full():
-        with words.small_jobs():
-            symbols = words.current()
-            ranked = top_pairs(symbols, min_frequency, max_type_length)
-            if counts:
-                # Counts move in other words too, so they are refreshed per round.
-                counts = {t: 0 for t in counts} | _counts_of(symbols, list(counts))
-            if ranked:
-                scaffolds = {t for t, n in counts.items() if n < ranked[0].n}
-            if not ranked or full():
-                break
-            around = surroundings(symbols, [c.key for c in ranked]).get(())
+        symbols = words.current()
+        ranked = top_pairs(symbols, min_frequency, max_type_length)
+        if counts:
+            # Counts move in other words too, so they are refreshed per round.
+            counts = {t: 0 for t in counts} | _counts_of(symbols, list(counts))
+        if ranked:
+            scaffolds = {t for t, n in counts.items() if n < ranked[0].n}
+        if not ranked or full():
+            break
+        around = surroundings(symbols, [c.key for c in ranked]).get(())
         batch = accept(ranked, around, len(ranked)) if around else ranked[:1]
         for i, pair in enumerate(batch):
             words.merge(pair.left, pair.right)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -23,6 +24,11 @@ def remembered(segment):
     return lambda word: short(word) if len(word) <= MEMO_LENGTH else segment(word)
 
 
+def all_words(words, of_word) -> list:
+    """The results for the words of a text in a row; none for a null text."""
+    return [] if words is None else [x for w in words for x in of_word(w)]
+
+
 def initial_symbols(word: str, unit: str) -> list[str]:
     if unit == "byte":
         return [f"{b:02X}" for b in word.encode("utf-8")]
@@ -86,7 +92,25 @@ class MergeModel:
         return self.spark.createDataFrame(rows, "token string, id int, logp double")
 
     def tables(self) -> dict[str, DataFrame]:
-        return {"merges": self.merges_table(), "events": self.events_table(), "vocab": self.vocab_table()}
+        return {
+            "merges": self.merges_table(),
+            "events": self.events_table(),
+            "vocab": self.vocab_table(),
+            "settings": self.settings_table(),
+        }
+
+    def settings_table(self) -> DataFrame:
+        """What the other tables do not tell, as JSON by name."""
+        rows = [
+            ("kind", json.dumps("merges")),
+            ("alphabet", json.dumps(self.alphabet)),
+            ("special", json.dumps(self.special)),
+            ("hidden", json.dumps(sorted(self.hidden))),
+            ("preset", json.dumps(self.preset)),
+            ("unit", json.dumps(self.unit)),
+            ("dropout", json.dumps(self.dropout)),
+        ]
+        return self.spark.createDataFrame(rows, "name string, value string")
 
     def parents(self) -> dict[str, tuple[str, str]]:
         made: dict[str, tuple[str, str]] = {}
@@ -122,16 +146,29 @@ class MergeModel:
             ranks.setdefault(merge, i)
         return ranks
 
-    def encode(self, df: DataFrame, text: str = "text", out: str = "input_ids", as_tokens: bool = False) -> DataFrame:
-        """Add the ids (or hex tokens) of each text.
+    def encode(
+        self,
+        df: DataFrame,
+        text: str = "text",
+        out: str = "input_ids",
+        as_tokens: bool = False,
+        dropout: float | None = None,
+        key: str = "doc_id",
+        seed: int = 42,
+    ) -> DataFrame:
+        """Add the ids (or hex tokens) of each text; a null text has none.
 
         Map-only: the pre-tokens come from the JVM, each task segments a word
         once and remembers it; the model is broadcast, bounded by its
-        vocabulary. Bytes or characters outside the vocabulary get <unk>.
+        vocabulary. Bytes or characters outside the vocabulary get <unk>. A
+        model learned with dropout encodes with it unless ``dropout`` says
+        otherwise.
         """
-        ids = {t: i + len(self.special) for i, t in enumerate(self.tokens)}
-        unknown = self.special.index("<unk>") if "<unk>" in self.special else -1
-        shared = self.spark.sparkContext.broadcast((self._plan(), ids))
+        dropout = self.dropout if dropout is None else dropout
+        if dropout > 0:
+            return self.encode_dropout(df, dropout, seed, key, text, out, as_tokens)
+        shared = self.spark.sparkContext.broadcast((self._plan(), self._ids()))
+        unknown = self._unknown()
 
         def encode_words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             plan, index = shared.value
@@ -143,35 +180,51 @@ class MergeModel:
                 return symbols if as_tokens else [index.get(s, unknown) for s in symbols]
 
             for column in batches:
-                yield column.map(lambda words: [x for w in words for x in of_word(w)])
+                yield column.map(lambda words: all_words(words, of_word))
 
         encode = F.pandas_udf(encode_words, "array<string>" if as_tokens else "array<int>")
         return df.withColumn(out, encode(pretokens(text, self.preset)))
 
     def encode_dropout(
-        self, df: DataFrame, p: float = 0.1, seed: int = 42, key: str = "doc_id", text: str = "text", out: str = "tokens"
+        self,
+        df: DataFrame,
+        p: float | None = None,
+        seed: int = 42,
+        key: str = "doc_id",
+        text: str = "text",
+        out: str = "tokens",
+        as_tokens: bool = True,
     ) -> DataFrame:
         """Stochastic segmentation: every possible merge is skipped with
-        probability p, reproducibly per (seed, row key, word place)."""
-        shared, unit = self.spark.sparkContext.broadcast(self._ranks()), self.unit
+        probability p (the model's own unless given), reproducibly per (seed,
+        row key, word place)."""
+        p = self.dropout if p is None else p
+        shared = self.spark.sparkContext.broadcast((self._ranks(), self.expansion(), self._ids()))
+        unit, unknown = self.unit, self._unknown()
 
         def encode_words(keys: pd.Series, column: pd.Series) -> pd.Series:
-            return pd.Series(
-                [
-                    [
-                        t
-                        for place, w in enumerate(words)
-                        for t in merge_with_dropout(
-                            initial_symbols(w, unit), shared.value, p, f"{seed}:{row}:{place}"
-                        )
-                    ]
-                    for row, words in zip(keys, column)
+            ranks, expansion, index = shared.value
+
+            def of_text(row, words) -> list:
+                tokens = [
+                    t
+                    for place, w in enumerate([] if words is None else words)
+                    for s in merge_with_dropout(initial_symbols(w, unit), ranks, p, f"{seed}:{row}:{place}")
+                    for t in expansion.get(s, (s,))
                 ]
-            )
+                return tokens if as_tokens else [index.get(t, unknown) for t in tokens]
+
+            return pd.Series([of_text(row, words) for row, words in zip(keys, column)], dtype=object)
 
-        encode = F.pandas_udf(encode_words, "array<string>")
+        encode = F.pandas_udf(encode_words, "array<string>" if as_tokens else "array<int>")
         return df.withColumn(out, encode(F.col(key).cast("string"), pretokens(text, self.preset)))
 
+    def _ids(self) -> dict[str, int]:
+        return {t: i + len(self.special) for i, t in enumerate(self.tokens)}
+
+    def _unknown(self) -> int:
+        return self.special.index("<unk>") if "<unk>" in self.special else -1
+
     def segment_words(self, words: DataFrame, word: str = "word", out: str = "tokens") -> DataFrame:
         """Segment a table of distinct words, each once."""
         shared = self.spark.sparkContext.broadcast(self._plan())
@@ -264,23 +317,62 @@ class PieceModel:
         return self.spark.createDataFrame(rows, "token string, id int, logp double")
 
     def tables(self) -> dict[str, DataFrame]:
-        return {"vocab": self.vocab_table()}
+        rows = [
+            ("kind", json.dumps("pieces")),
+            ("special", json.dumps(self.special)),
+            ("preset", json.dumps(self.preset)),
+        ]
+        settings = self.spark.createDataFrame(rows, "name string, value string")
+        return {"vocab": self.vocab_table(), "settings": settings}
+
+    def encode(self, df: DataFrame, text: str = "text", out: str = "input_ids", as_tokens: bool = False) -> DataFrame:
+        """Ids (or pieces) of the most likely segmentation of each text.
 
-    def encode(self, df: DataFrame, text: str = "text", out: str = "tokens") -> DataFrame:
-        """Most likely pieces of each text; map-only, words remembered."""
+        Map-only, words remembered. A null text has none; a character outside
+        the vocabulary gets <unk>.
+        """
         longest = max((len(t) for t in self.logp), default=1)
-        unknown = min(self.logp.values(), default=0.0) - 10.0
-        shared = self.spark.sparkContext.broadcast(self.logp)
+        costly = min(self.logp.values(), default=0.0) - 10.0
+        pieces = sorted(self.logp, key=lambda t: (-self.logp[t], t))
+        ids = {t: i + len(self.special) for i, t in enumerate(pieces)}
+        unknown = self.special.index("<unk>") if "<unk>" in self.special else -1
+        shared = self.spark.sparkContext.broadcast((self.logp, ids))
 
         def encode_words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            logp = shared.value
+            logp, index = shared.value
 
             @remembered
             def of_word(word: str):
-                return best_path(word, logp, longest, unknown)
+                path = best_path(word, logp, longest, costly)
+                return path if as_tokens else [index.get(t, unknown) for t in path]
 
             for column in batches:
-                yield column.map(lambda words: [x for w in words for x in of_word(w)])
+                yield column.map(lambda words: all_words(words, of_word))
 
-        encode = F.pandas_udf(encode_words, "array<string>")
+        encode = F.pandas_udf(encode_words, "array<string>" if as_tokens else "array<int>")
         return df.withColumn(out, encode(pretokens(text, self.preset)))
+
+
+def read_tokenizer(spark: SparkSession, path: str) -> MergeModel | PieceModel:
+    """A model from the tables that ``write_tokenizer`` wrote; their size is
+    bounded by the vocabulary."""
+    settings = {r["name"]: json.loads(r["value"]) for r in spark.read.parquet(f"{path}/settings").collect()}
+    if settings["kind"] == "pieces":
+        rows = spark.read.parquet(f"{path}/vocab").filter("logp is not null").collect()
+        return PieceModel(spark, {r["token"]: r["logp"] for r in rows}, settings["preset"], settings["special"])
+    counts = {r["rank"]: r["n"] for r in spark.read.parquet(f"{path}/merges").collect()}
+    events, rank = [], 0
+    for row in spark.read.parquet(f"{path}/events").orderBy("step").collect():
+        made = row["kind"] == "+"
+        events.append(Event(row["kind"], row["left"], row["right"], counts[rank] if made else 0))
+        rank += made
+    return MergeModel(
+        spark,
+        settings["alphabet"],
+        events,
+        settings["preset"],
+        settings["unit"],
+        settings["special"],
+        set(settings["hidden"]),
+        settings["dropout"],
+    )

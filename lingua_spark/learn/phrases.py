@@ -32,9 +32,9 @@ def top_tokens(counts: DataFrame, k: int) -> DataFrame:
     return counts.orderBy(F.desc("n"), F.asc(F.hex(F.encode("token", "UTF-8")))).limit(k)
 
 
-def lzw_phrases(words: list[str], limit: int) -> dict[str, int]:
+def lzw_phrases(words: list[str]) -> dict[str, int]:
     """Phrases an LZW coder emits over a text's pre-tokens. The dictionary
-    starts empty; single characters are always known."""
+    starts empty and grows with the text; single characters are always known."""
     known: set[str] = set()
     used: dict[str, int] = {}
     for word in words:
@@ -45,26 +45,23 @@ def lzw_phrases(words: list[str], limit: int) -> dict[str, int]:
                 phrase = longer
                 continue
             used[phrase] = used.get(phrase, 0) + 1
-            if len(known) < limit:
-                known.add(longer)
+            known.add(longer)
             phrase = c
         if phrase:
             used[phrase] = used.get(phrase, 0) + 1
     return used
 
 
-def lzw_vocab(
-    df: DataFrame, vocab_size: int, text: str = "text", preset: str = "words", max_phrases: int | None = None
-) -> DataFrame:
+def lzw_vocab(df: DataFrame, vocab_size: int, text: str = "text", preset: str = "words") -> DataFrame:
     """Most frequent LZW phrases. One global dictionary would be sequential;
-    here each text has its own and the phrase counts are added up."""
-    limit = max_phrases or vocab_size
+    here each text has its own, and only the sums of the phrase counts are
+    limited to ``vocab_size``."""
 
     def phrases(frames):
         for frame in frames:
             sums: dict[str, int] = {}
             for words in frame["words"]:
-                for phrase, n in lzw_phrases(list(words), limit).items():
+                for phrase, n in lzw_phrases([] if words is None else list(words)).items():
                     sums[phrase] = sums.get(phrase, 0) + n
             yield pd.DataFrame({"token": list(sums), "n": list(sums.values())})
 
@@ -94,9 +91,10 @@ def _dot(a: str, b: str):
 
 def context_losses(
     model: MergeModel, df: DataFrame, text: str = "text", dimension: int = 16, window: int = 3, seed: int = 42,
-    partitions: int = 8,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """What the skip-gram fit loses if a token is replaced by its two parts:
+    """What the skip-gram fit loses if a token is replaced by its two parts (the
+    fit runs in as many partitions as the encoded texts have):
     sum over contexts of n · (log σ(token·ctx) − mean log σ(part·ctx))."""
     from pyspark.ml.feature import Word2Vec
     from pyspark.ml.functions import vector_to_array
@@ -106,7 +104,7 @@ def context_losses(
         vectorSize=dimension,
         minCount=1,
         windowSize=window,
-        numPartitions=partitions,
+        numPartitions=partitions or encoded.rdd.getNumPartitions(),
         seed=seed,
         inputCol="tokens",
         outputCol="features",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lingua_spark.functions.pretok import byte_symbols, char_symbols, pretoken_rows, pretokens, symbol_array
 from lingua_spark.functions.segmentation import merge_symbols
-from lingua_spark.runtime import narrow_shuffles, stage_spread
+from lingua_spark.runtime import stage_spread, unstage
 
 
 def word_counts(df: DataFrame, text: str = "text", preset: str = "byte_level", by: tuple[str, ...] = ()) -> DataFrame:
@@ -51,11 +51,6 @@ class MergedWords:
         self.pending: list[tuple[str, str]] = []
         self.fresh = True
         self.limit = limit
-        self.rows = self.base.count()
-
-    def small_jobs(self):
-        """Shuffle width for the jobs of a round, by the number of words."""
-        return narrow_shuffles(self.base.sparkSession, self.rows)
 
     def replace(self, old: str, new: str) -> None:
         self.pending.append((old, new))
@@ -77,6 +72,7 @@ class MergedWords:
         if len(self.pending) > self.limit:
             staged = stage_spread(table, "words")
             self.base.unpersist()
+            unstage(self.base)  # at most one staged copy of the words is kept
             self.base = self.frame = staged
             self.pending = []
         else:
@@ -87,6 +83,7 @@ class MergedWords:
     def release(self) -> None:
         self.frame.unpersist()
         self.base.unpersist()
+        unstage(self.base)
 
 
 def neighbours(symbols: DataFrame, width: int, names: list[str], by: tuple[str, ...] = ()) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lingua_spark.functions.text import lang_code_parts, strip
+from lingua_spark.functions.text import lang_code_parts
 from lingua_spark.operators.corpus import lang_order
 from lingua_spark.operators.ordered import position
 
@@ -20,10 +20,10 @@ def parallel_route(rows: DataFrame, targets: DataFrame, lang: str = "lang") -> D
     """Send each parallel row to every language whose iso code matches and
     whose script is open or equal.
 
-    An equi-join on the iso code; ``targets`` is one row per language of the
-    fixed language table, hence the broadcast.
+    An equi-join on the iso code. Whether ``targets`` is broadcast is left to
+    Spark's own size limit, as a caller may bring any table.
     """
-    t = F.broadcast(targets.select(F.col("iso").alias("_iso"), F.col("script").alias("_script"), lang))
+    t = targets.select(F.col("iso").alias("_iso"), F.col("script").alias("_script"), lang)
     open_or_equal = F.col("_script").isNull() | (F.col("iso_15924") == F.col("_script"))
     return (
         rows.filter(F.col("text").isNotNull())
@@ -70,7 +70,3 @@ def enrich(results: DataFrame, info: DataFrame, key: str) -> DataFrame:
         for c in results.columns
     ]
     return joined.select(*own, *extra)
-
-
-def non_blank(df: DataFrame, text: str = "text") -> DataFrame:
-    return df.filter(strip(text) != "")

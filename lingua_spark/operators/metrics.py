@@ -168,9 +168,10 @@ def bigram_nll(
     """Per held-out text the negative log-likelihood under an add-k bigram
     model of ``train``: (key, nll, n_tokens), first token excluded.
 
-    The held-out pairs are staged and thin out the training pairs before these
-    are aggregated: what the training corpus shuffles is bounded by the
-    held-out texts (and its distinct tokens, for the smoothing).
+    The training texts are read once and their pairs counted first, with
+    partial counts per task, so that a frequent pair is a row per task and not
+    one per occurrence. The first token of a text counts as following nothing:
+    the one table then also holds all tokens, for the smoothing.
     """
     wanted = stage(
         held_out.select(key, F.inline(token_pairs(F.col(tokens))))
@@ -178,12 +179,13 @@ def bigram_nll(
         .agg(F.count("*").alias("m")),
         "pairs",
     )
-    keys = stage(wanted.select("prev", "cur").distinct(), "keys")
-    rows = train.select(F.inline(token_pairs(F.col(tokens))))
-    pairs = rows.join(keys, ["prev", "cur"], "left_semi").groupBy("prev", "cur").agg(F.count("*").alias("n"))
-    prevs = rows.select("prev").join(keys.select("prev").distinct(), "prev", "left_semi")
-    prevs = prevs.groupBy("prev").agg(F.count("*").alias("n_prev"))
-    v = train.select(F.explode(tokens).alias("t")).distinct().agg(F.count("*").alias("v")).scalar()
+    begun = F.concat(F.array(F.lit(None).cast("string")), F.col(tokens))
+    counts = stage(
+        train.select(F.inline(token_pairs(begun))).groupBy("prev", "cur").agg(F.count("*").alias("n")), "bigrams"
+    )
+    v = counts.select("cur").distinct().count()
+    pairs = counts.filter(F.col("prev").isNotNull())
+    prevs = pairs.groupBy("prev").agg(F.sum("n").alias("n_prev"))
     seen = wanted.join(pairs, ["prev", "cur"], "left").join(prevs, "prev", "left")
     p = (F.coalesce(F.col("n"), F.lit(0)) + k) / (F.coalesce(F.col("n_prev"), F.lit(0)) + k * v)
     return seen.groupBy(key).agg(

@@ -38,3 +38,15 @@ def chunk_yield(df: DataFrame, ids: str = "input_ids", max_length: int = 2048, b
         F.sum(n).cast("bigint").alias("tokens"),
         F.round(F.avg((n >= max_length).cast("double")), 6).alias("share"),
     )
+
+
+def flat_map(df: DataFrame, fn, returns: str, *columns: str) -> DataFrame:
+    """A user's map from one row to any number of rows, as a Python table
+    function: ``fn(*values)`` yields tuples of the schema ``returns``."""
+
+    class Rows:
+        def eval(self, *values):
+            yield from fn(*values)
+
+    table = F.udtf(Rows, returnType=returns)
+    return df.lateralJoin(table(*[F.col(c).outer() for c in columns]))

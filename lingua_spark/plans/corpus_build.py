@@ -17,7 +17,7 @@ from lingua_spark.operators.corpus import (
 )
 from lingua_spark.runtime import stage
 from lingua_spark.sources.languages import estimated_gb, filter_lang_set, language_table
-from lingua_spark.sources.sinks import manifest, write_text
+from lingua_spark.sources.sinks import manifest, manifest_struct, pending, read_manifest, write_text
 
 
 @dataclass
@@ -52,11 +52,29 @@ def build_corpus(
     return Corpus(splits, targets, manifest(sized, targets, options.min_lines_floor))
 
 
-def write_corpus(corpus: Corpus, path: str, tokenizer_gb: float = 0.0, temperature: float = 1.0, seed: int = 42) -> None:
-    """Write the texts per language and split, and the tokenizer sample of the
-    training texts."""
-    write_text(corpus.splits.select("lang", "split", "text"), f"{path}/main")
+def write_corpus(
+    corpus: Corpus,
+    path: str,
+    tokenizer_gb: float = 0.0,
+    temperature: float = 1.0,
+    seed: int = 42,
+    dataset: str = "fineweb",
+) -> None:
+    """Write the texts per language and split, the tokenizer sample of the
+    training texts, and the manifest.
+
+    Languages in the manifest of an earlier run are left alone. The manifest is
+    written last: a run that broke off leaves its languages out, and the next
+    one replaces what it had written of them.
+    """
+    done = read_manifest(corpus.targets.sparkSession, f"{path}/manifest")
+    todo = corpus.targets if done is None else pending(corpus.targets, done.withColumnRenamed("language", "lang"))
+    todo = stage(todo.select("lang"), "todo")
+    splits = corpus.splits.join(todo, "lang", "left_semi")
+    write_text(splits.select("lang", "split", "text"), f"{path}/main")
     if tokenizer_gb > 0:
-        train = corpus.splits.filter(F.col("split") == "train")
+        train = splits.filter(F.col("split") == "train")
         sample = tokenizer_sample(train, tokenizer_gb, temperature, seed)
         write_text(sample.select("lang", "split", "text"), f"{path}/tokenizer")
+    rows = corpus.manifest.join(todo, "lang", "left_semi")
+    manifest_struct(rows, dataset).write.mode("append").json(f"{path}/manifest")

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from lingua_spark.functions.text import strip, utf8_bytes
 from lingua_spark.operators import corpus, matching, mixing
 from lingua_spark.operators.corpus import SplitOptions
-from lingua_spark.plans.corpus_build import build_corpus
+from lingua_spark.plans.corpus_build import build_corpus, write_corpus
 from lingua_spark.queries.registry import HASH, query, table, values
 from lingua_spark.queries.sources import LANGUAGE_SQL
 from lingua_spark.runtime import scratch_path, stage
 from lingua_spark.sources.languages import language_table
-from lingua_spark.sources.scans import scan_parquet_files
+from lingua_spark.sources.scans import scan_parquet_files, scan_parquet_folders
+from lingua_spark.sources.sinks import read_manifest
 
 LINE_BYTES = "(strlen(text) + CASE WHEN text LIKE '%' || chr(10) THEN 0 ELSE 1 END)::BIGINT"
 STRIP = "trim(text, E' \\t\\n\\r')"
@@ -138,6 +139,30 @@ def corpus_manifest(spark, folder):
     return build_corpus(docs, share_targets(docs, 0.3), SplitOptions(0.05, 0.05, 5, 100)).manifest
 
 
+@query(
+    "corpus_write_resume",
+    f"""
+    WITH {split_sql(share_target(0.5), 0.05, 0.05, 5, 0)},
+         m AS (SELECT t.lang, t.target_bytes, sum(bytes)::BIGINT AS bytes_written,
+                      count(*) FILTER (split = 'train') AS train_lines, count(*) FILTER (split = 'val') AS val_lines
+               FROM t JOIN splits ON splits.lang = t.lang GROUP BY t.lang, t.target_bytes)
+    SELECT lang AS language, CASE WHEN lang IN ('en', 'fr') THEN 'first' ELSE 'second' END AS dataset, target_bytes,
+           bytes_written, train_lines, val_lines FROM m
+    """,
+)
+def corpus_write_resume(spark, folder):
+    """A run over two languages, then one over all: the second does the rest."""
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
+    path = scratch_path(spark, "corpus")
+    options = SplitOptions(0.05, 0.05, 5)
+    some = docs.filter(F.col("lang").isin("en", "fr"))
+    write_corpus(build_corpus(some, share_targets(some, 0.5), options), path, dataset="first")
+    write_corpus(build_corpus(docs, share_targets(docs, 0.5), options), path, dataset="second")
+    done = read_manifest(spark, f"{path}/manifest")
+    lines = [F.col("lines")[s].alias(f"{s}_lines") for s in ("train", "val")]
+    return done.select("language", "dataset", "target_bytes", "bytes_written", *lines)
+
+
 _SHARES = [(1.0, 0.3), (2.0, 0.3), (5.0, 0.3), (5.0, 0.5), (1.0, 0.1)]
 
 
@@ -324,6 +349,25 @@ def take_skip(spark, folder):
     return mixing.take_skip(docs, 101)
 
 
+@query(
+    "interleave_file_order",
+    f"""
+    WITH s AS ({_SOURCES_SQL}), p AS (SELECT *, {_PLACE} AS position, {_LAST} AS last FROM s)
+    SELECT doc_id, source, position FROM p WHERE position <= (SELECT min(last) FROM p)
+    """,
+)
+def interleave_file_order(spark, folder):
+    """A tree of Parquet folders, read in the order of its files and rows."""
+    path = scratch_path(spark, "tree")
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
+    rows = docs.repartitionByRange(4, "lang", "doc_id").sortWithinPartitions("lang", "doc_id")
+    rows.write.partitionBy("lang").option("maxRecordsPerFile", 100).parquet(path)
+    scanned = scan_parquet_folders(spark, path, ("doc_id",), with_place=True)
+    scanned = scanned.withColumn("source", F.regexp_replace("source", "^lang=", ""))
+    mixed = mixing.interleave(scanned.drop("text"), order=["file", "row_index"], ties=[])
+    return mixed.select("doc_id", "source", "position")
+
+
 _PARALLEL = [("en", "en", None), ("en-latin", "en", "Latn"), ("de-latin", "de", "Latn"), ("fr-cyrillic", "fr", "Cyrl")]
 
 

@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from lingua_spark.functions.pretok import symbol_text
 from lingua_spark.learn import bpe, parity, phrases, unigram
+from lingua_spark.learn.model import read_tokenizer
 from lingua_spark.learn.wordtable import word_counts
 from lingua_spark.queries.registry import query, table
 from lingua_spark.queries.texts import WORD_OR_MARKS
+from lingua_spark.runtime import scratch_path
+from lingua_spark.sources.sinks import write_tokenizer
 
 WORDS = r"regexp_extract_all(text, '\S+')"
 TOKENS = f"regexp_extract_all(text, '{WORD_OR_MARKS}')"
@@ -278,7 +281,7 @@ def _unigram(spark, folder):
 
 @query("encode_unigram")
 def encode_unigram(spark, folder):
-    encoded = _unigram(spark, folder).encode(_documents(spark, folder))
+    encoded = _unigram(spark, folder).encode(_documents(spark, folder), out="tokens", as_tokens=True)
     return encoded.select("doc_id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", "|").alias("tokens"))
 
 
@@ -311,15 +314,39 @@ def sage_prune(spark, folder):
 _ENCODE = 12
 
 
-@query(
-    "encode_counts",
-    f"""
+_COUNTS_SQL = f"""
     WITH {words_cte()}, {merge_steps(0, _ENCODE)},
          z AS (SELECT word, length(s) - length(replace(s, '<', '')) AS n FROM w{_ENCODE})
     SELECT doc_id, coalesce(sum(n), 0)::BIGINT AS n_tokens
     FROM (SELECT doc_id, unnest({WORDS}) AS word FROM documents) JOIN z USING (word) GROUP BY doc_id
-    """,
+"""
+
+
+@query("tokenizer_roundtrip", _COUNTS_SQL)
+def tokenizer_roundtrip(spark, folder):
+    """Learn, write, read in a second job, encode."""
+    docs = _documents(spark, folder)
+    path = scratch_path(spark, "tokenizer")
+    write_tokenizer(bpe.learn_bpe(docs, n_merges=_ENCODE, preset="words"), path)
+    encoded = read_tokenizer(spark, path).encode(docs)
+    return encoded.select("doc_id", F.size("input_ids").cast("bigint").alias("n_tokens"))
+
+
+@query(
+    "encode_null_texts",
+    f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE n_tokens END AS n_tokens FROM ({_COUNTS_SQL})",
 )
+def encode_null_texts(spark, folder):
+    """A null text has no tokens, in plain and in stochastic encoding."""
+    docs = _documents(spark, folder)
+    model = bpe.learn_bpe(docs, n_merges=_ENCODE, preset="words")
+    holed = docs.withColumn("text", F.when(F.col("doc_id") % 3 != 0, F.col("text")))
+    plain = model.encode(holed).withColumn("n", F.size("input_ids"))
+    both = model.encode_dropout(plain, 0.0, out="again")
+    return both.filter(F.size("again") == F.col("n")).select("doc_id", F.col("n").cast("bigint").alias("n_tokens"))
+
+
+@query("encode_counts", _COUNTS_SQL)
 def encode_counts(spark, folder):
     docs = _documents(spark, folder)
     model = bpe.learn_bpe(docs, n_merges=_ENCODE, preset="words")

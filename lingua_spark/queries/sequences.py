@@ -82,3 +82,22 @@ def stream_event_counts(spark, folder):
     rows = ingest.read_folder(spark, source, "event_type string", max_files_per_trigger=2)
     ingest.count_stream(rows, out, scratch_path(spark, "stream-log"), by=("event_type",)).awaitTermination()
     return spark.read.parquet(out)
+
+
+@query(
+    "flat_map",
+    """
+    SELECT doc_id, i::INTEGER AS line_no, len(l)::INTEGER AS chars
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i
+          FROM documents)
+    """,
+)
+def flat_map(spark, folder):
+    """A user's function that gives any number of rows per text."""
+
+    def lines(text):
+        for number, line in enumerate((text or "").split("\n")):
+            yield number, len(line)
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return sequences.flat_map(docs, lines, "line_no int, chars int", "text").drop("text")

@@ -142,7 +142,8 @@ def load_merges(spark, folder):
 
     path = scratch_path(spark, "merges")
     pairs = table(spark, folder, "documents").select(F.inline(token_pairs(words("text"))))
-    top = pairs.groupBy("prev", "cur").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "prev", "cur").limit(200)
+    top = pairs.groupBy("prev", "cur").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "prev", "cur")
+    # a merge file is read in its order, so it is one file
     top.select(F.concat_ws(" ", "prev", "cur").alias("value")).coalesce(1).write.text(path)
     return scans.load_merges(spark, path, first=120)
 
@@ -211,7 +212,7 @@ def vocab_ids(spark, folder):
 
     counts = word_counts(table(spark, folder, "documents"), preset="words")
     tokens = counts.withColumnRenamed("word", "token")
-    order = [F.desc("freq"), F.asc(F.hex(F.encode("token", "UTF-8")))]
+    order = [-F.col("freq"), F.hex(F.encode("token", "UTF-8"))]
     return sinks.vocabulary(spark, tokens, order)
 
 

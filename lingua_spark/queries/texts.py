@@ -48,6 +48,20 @@ def clean_text(spark, folder):
     return text.clean_text(docs.select("doc_id", padded.alias("text")))
 
 
+@query(
+    "cleaning_counts",
+    rf"""
+    SELECT count(*) FILTER (coalesce(t, '') <> '') AS kept, count(*) FILTER (coalesce(t, '') = '') AS skipped
+    FROM (SELECT regexp_replace(CASE WHEN source = 'src3' THEN NULL WHEN source = 'src4' THEN ' ' ELSE text END,
+                                '^{BLANK_SQL}+|{BLANK_SQL}+$', '', 'g') AS t FROM documents)
+    """,
+)
+def cleaning_counts(spark, folder):
+    docs = table(spark, folder, "documents")
+    holed = F.when(F.col("source") == "src4", " ").when(F.col("source") != "src3", F.col("text"))
+    return text.cleaning_counts(docs.select(holed.alias("text")))
+
+
 def _chunk_sql(n: int) -> str:
     return f"""
     WITH RECURSIVE c(doc_id, chunk_no, text, rest) AS (

@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -68,42 +67,38 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def stage_spread(df: DataFrame, label: str = "stage", rows_per_task: int = 10_000) -> DataFrame:
+def stage_spread(
+    df: DataFrame, label: str = "stage", rows_per_task: int = 10_000, bytes_per_task: int = 4 << 20
+) -> DataFrame:
     """Stage a table that many passes will scan, cut for parallel work.
 
     A freshly aggregated table may sit in one partition, which suits a single
-    pass but not a loop. The true row count decides the number of tasks.
+    pass but not a loop. The number of tasks follows the true rows and the
+    bytes on disk, so that few but long rows are spread as well.
     """
     staged = stage(df, label)
-    most = 4 * df.sparkSession.sparkContext.defaultParallelism
-    tasks = max(1, min(most, -(-staged.count() // rows_per_task)))
+    size = int(str(staged._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    tasks = max(1, -(-staged.count() // rows_per_task), -(-size // bytes_per_task))
     return staged.repartition(tasks).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-@contextmanager
-def narrow_shuffles(spark: SparkSession, rows: int, rows_per_task: int = 10_000):
-    """Fewer shuffle partitions while a loop of small jobs runs.
+def unstage(df: DataFrame) -> None:
+    """Delete the files of a staged table that nothing will read again."""
+    root = f"{checkpoint_root(df.sparkSession)}/lingua-{df.sparkSession.sparkContext.applicationId}"
+    bare = root.split(":", 1)[-1].lstrip("/")
+    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
+        if bare in folder:
+            _delete(df.sparkSession, folder)
 
-    The configured number suits the corpus; a loop over a small table would
-    spend its time on empty partitions. The number is never raised.
-    """
-    name = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(name)
-    spark.conf.set(name, max(1, min(int(before), -(-rows // rows_per_task))))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def clear_stages(spark: SparkSession) -> None:
     """Delete this application's staged tables once their results are written."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(
-        f"{checkpoint_root(spark)}/lingua-{spark.sparkContext.applicationId}"
-    )
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(path, True)
+    _delete(spark, f"{checkpoint_root(spark)}/lingua-{spark.sparkContext.applicationId}")
 
 
 def cores(default: str = "8") -> str:

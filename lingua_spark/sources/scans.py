@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +35,15 @@ def scan_jsonl(
 def scan_text_tree(spark: SparkSession, root: str, split: str = "train") -> DataFrame:
     """One row per non-empty line of a corpus tree, with its language. The
     tree is ``<root>/<lang>/<split>.txt`` or the partitioned folders that
-    ``write_text`` makes; languages without the split are skipped."""
+    ``write_text`` makes; languages without the split are skipped with a
+    message."""
+    for entry in _children(spark, root):
+        name = entry.getPath().getName()
+        if entry.isDirectory() and not any(
+            s.getPath().getName() == f"{split}.txt" or s.getPath().getName().endswith(f"={split}")
+            for s in _children(spark, entry.getPath().toString())
+        ):
+            log.warning("no %s texts of %s", split, name)
     lines = (
         spark.read.option("recursiveFileLookup", True)
         .option("lineSep", "\n")
@@ -65,29 +73,64 @@ def scan_parquet_files(spark: SparkSession, root: str, glob: str = "*.parquet")
     )
 
 
-def scan_parquet_folders(spark: SparkSession, root: str, keep: tuple[str, ...] = ()) -> DataFrame:
+#: Conditions under which a file is no readable Parquet.
+UNREADABLE = ("FAILED_READ_FILE", "CANNOT_READ_FILE_FOOTER", "UNABLE_TO_INFER_SCHEMA")
+
+
+def _readable(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The Parquet files below a folder; unreadable ones are left out with a
+    message, None if nothing remains."""
+
+    def read(*paths: str) -> DataFrame:
+        reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
+        return reader.parquet(*paths)
+
+    def attempt(*paths: str) -> DataFrame | None:
+        try:
+            return read(*paths)
+        except PySparkException as error:
+            condition = error.getCondition() or ""
+            if not condition.startswith(UNREADABLE):
+                raise
+            log.warning("cannot read %s: %s", paths[0], condition)
+            return None
+
+    whole = attempt(folder)
+    if whole is not None:
+        return whole
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    names = [r["path"] for r in listed.option("pathGlobFilter", "*.parquet").load(folder).select("path").collect()]
+    good = [name for name in sorted(names) if attempt(name) is not None]
+    return read(*good) if good else None
+
+
+def scan_parquet_folders(
+    spark: SparkSession, root: str, keep: tuple[str, ...] = (), with_place: bool = False
+) -> DataFrame:
     """Union of the sub-folders, each reduced to one text column whatever its
-    schema. Folders without readable Parquet are skipped with a message."""
+    schema. Unreadable files, and folders without readable Parquet, are skipped
+    with a message. ``with_place`` adds ``file`` and ``row_index``, the order in
+    which the files hold the rows."""
     parts = []
     for entry in _children(spark, root):
         if not entry.isDirectory():
             continue
         name = entry.getPath().getName()
-        try:
-            df = (
-                spark.read.option("recursiveFileLookup", True)
-                .option("pathGlobFilter", "*.parquet")
-                .parquet(entry.getPath().toString())
-            )
-        except AnalysisException as error:
-            log.warning("skipping %s: %s", name, error.getCondition())
+        df = _readable(spark, entry.getPath().toString())
+        if df is None:
+            log.warning("skipping %s: no readable Parquet", name)
             continue
+        place = [
+            F.col("_metadata.file_name").alias("file"),
+            F.col("_metadata.row_index").alias("row_index"),
+        ]
         parts.append(
             df.select(
                 *[c for c in keep if c in df.columns],
                 unify_text(df).alias("text"),
                 F.lit(name).alias("source"),
                 F.lit(len(parts)).alias("source_idx"),
+                *(place if with_place else []),
             )
         )
     if not parts:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lingua_spark.functions.pretok import SPECIAL_TOKENS
+from lingua_spark.operators.ordered import position
+from lingua_spark.runtime import stage
 
 
 def write_jsonl(df: DataFrame, path: str, text: str = "text", language: str = "language") -> None:
@@ -26,7 +28,14 @@ def write_text(df: DataFrame, path: str, by: tuple[str, ...] = ("lang", "split")
         value = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
     # The line writer adds the newline, so one at the end of the text is dropped.
     value = F.regexp_replace(value, r"\n\z", "")
-    df.select(value.alias("value"), *by).write.partitionBy(*by).text(path)
+    # Folders that get new texts are replaced, others stay.
+    (
+        df.select(value.alias("value"), *by)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*by)
+        .text(path)
+    )
 
 
 def manifest(splits: DataFrame, targets: DataFrame, floor: int = 0, lang: str = "lang") -> DataFrame:
@@ -60,6 +69,19 @@ def manifest_struct(table: DataFrame, dataset: str, lang: str = "lang") -> DataF
     )
 
 
+MANIFEST = (
+    "language string, dataset string, target_bytes bigint, bytes_written bigint, lines map<string,bigint>"
+)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame | None:
+    """The manifest of earlier runs; None if there is none."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return None
+    return spark.read.schema(MANIFEST).json(path)
+
+
 def pending(todo: DataFrame, done: DataFrame, lang: str = "lang") -> DataFrame:
     """What is not yet in the manifest, for an idempotent re-run."""
     return todo.join(done.select(lang), lang, "left_anti")
@@ -68,12 +90,14 @@ def pending(todo: DataFrame, done: DataFrame, lang: str = "lang") -> DataFrame:
 def vocabulary(
     spark: SparkSession, tokens: DataFrame, order: list[Column], special: list[str] | None = None
 ) -> DataFrame:
-    """(token, id): special tokens first, then ``tokens`` in the given order.
+    """(token, id): special tokens first, then ``tokens`` by the ascending keys
+    in ``order``.
 
-    A vocabulary is bounded by its size parameter, so one window numbers it.
+    Numbered block by block, so that any number of tokens is fine.
     """
     special = SPECIAL_TOKENS if special is None else special
-    rows = tokens.select("token", F.row_number().over(Window.orderBy(*order)).alias("n"))
+    keyed = tokens.select("token", F.struct(*[k.alias(f"k{i}") for i, k in enumerate(order)]).alias("_key"))
+    rows = position(stage(keyed, "vocabulary"), [], "_key", "n")
     numbered = rows.select("token", (F.col("n") - 1 + len(special)).cast("int").alias("id"))
     if not special:
         return numbered

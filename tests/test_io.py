@@ -123,3 +123,15 @@ def test_restart_gives_no_duplicates(spark):
     assert run() == [(1, 0), (1, 1)]
     spark.createDataFrame([(2, "a b"), (3, "a")], schema).write.mode("append").parquet(source)
     assert run() == [(1, 0), (1, 1), (2, 0)]
+
+
+def test_a_broken_file_is_skipped(spark, tmp_path, caplog):
+    good = spark.range(5).selectExpr("id", "'x' as text")
+    good.coalesce(1).write.parquet(f"{tmp_path}/a")
+    good.coalesce(1).write.parquet(f"{tmp_path}/b")
+    (tmp_path / "a" / "broken.parquet").write_bytes(b"PAR1 this is no footer PAR1")
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "broken.parquet").write_bytes(b"nothing")
+    rows = scans.scan_parquet_folders(spark, str(tmp_path), ("id",), with_place=True).collect()
+    assert sorted((r["source"], r["id"], r["row_index"]) for r in rows) == [(s, i, i) for s in "ab" for i in range(5)]
+    assert "broken.parquet" in caplog.text

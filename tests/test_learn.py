@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lingua_spark.functions.segmentation import best_path, merge_symbols, merge_with_dropout
 from lingua_spark.learn import bpe, parity, phrases, unigram
+from lingua_spark.learn.api import fit
 from lingua_spark.learn.model import EventReplay, initial_symbols
 from lingua_spark.learn.wordtable import segment_all, symbol_table
 
@@ -279,7 +280,7 @@ def test_unigram_likelihood_and_size(df, texts):
     assert model.vocab_size <= 40
     assert set("".join(texts).replace(" ", "")) <= set(model.logp)
     assert sum(math.exp(p) for p in model.logp.values()) == pytest.approx(1.0, abs=0.05)
-    tokens = {r["doc_id"]: "".join(r["tokens"]) for r in model.encode(df).collect()}
+    tokens = {r["doc_id"]: "".join(r["tokens"]) for r in model.encode(df, out="tokens", as_tokens=True).collect()}
     assert tokens == {i: t.replace(" ", "") for i, t in enumerate(texts)}
 
 
@@ -342,8 +343,8 @@ def test_ngrams_skip_short_words(spark):
 
 
 def test_lzw_phrases():
-    assert phrases.lzw_phrases(["ababab"], 100) == {"a": 1, "b": 1, "ab": 2}
-    assert phrases.lzw_phrases(["aaaa", "aaaa"], 0) == {"a": 8}
+    assert phrases.lzw_phrases(["ababab"]) == {"a": 1, "b": 1, "ab": 2}
+    assert phrases.lzw_phrases(["aaaa", "aaaa"]) == {"a": 3, "aa": 1, "aaa": 1}
 
 
 def test_lzw_counts_do_not_depend_on_partitions(df):
@@ -368,3 +369,45 @@ def test_coverage_falls_back_to_bytes(spark):
     df = spark.createDataFrame([("aaaa aaaa é",)], "text string")
     model = bpe.learn_bpe(df, n_merges=0, preset="words", unit="char", character_coverage=0.8)
     assert model.alphabet == ["61", "A9", "C3"]
+
+
+def test_lzw_counts_do_not_depend_on_partitions(spark):
+    df = spark.createDataFrame([(i, "abcabcabd " * (i % 7 + 1) + "xyzxyz" * 200) for i in range(40)], "doc_id long, text string")
+    one = {r["token"]: r["n"] for r in phrases.lzw_vocab(df.coalesce(1), 50).collect()}
+    many = {r["token"]: r["n"] for r in phrases.lzw_vocab(df.repartition(9), 50).collect()}
+    assert one == many and len(one) == 50
+
+
+def test_long_texts_are_spread(spark):
+    from lingua_spark.runtime import stage_spread
+
+    df = spark.range(300).selectExpr("id", "array_join(transform(sequence(1, 4000), i -> hex(hash(id, i))), ' ') as text")
+    assert stage_spread(df.coalesce(1)).rdd.getNumPartitions() > 1
+
+
+def test_encoders_take_null_texts_and_models_come_back(spark, tmp_path):
+    from lingua_spark.learn.model import read_tokenizer
+    from lingua_spark.sources.sinks import write_tokenizer
+
+    df = spark.createDataFrame([(1, "low lower lowest low"), (2, None), (3, ""), (None, "lower")], "doc_id long, text string")
+    merges = fit(df, "bpe-dropout", 60, dropout_probability=1.0)
+    pieces = fit(df, "unigram", 30)
+    for i, model in enumerate((merges, pieces)):
+        rows = {r["doc_id"]: list(r["input_ids"]) for r in model.encode(df).collect()}
+        assert rows[2] == [] and rows[3] == [] and rows[1] and all(isinstance(x, int) for x in rows[1])
+        write_tokenizer(model, f"{tmp_path}/{i}")
+        back = read_tokenizer(spark, f"{tmp_path}/{i}")
+        assert {r["doc_id"]: list(r["input_ids"]) for r in back.encode(df).collect()} == rows
+        assert back.vocab_size == model.vocab_size
+    # with probability one no merge is made, unless the caller wants none skipped
+    tokens = merges.encode(df, as_tokens=True, out="t").first()["t"]
+    assert all(len(t) == 2 for t in tokens)
+    assert len(merges.encode(df, dropout=0.0).first()["input_ids"]) < len(tokens)
+
+
+def test_sage_prunes_and_still_encodes(df, texts):
+    model = fit(df, "sage", 60)
+    assert model.vocab_size == 60 and model.hidden
+    for row in model.encode(df, out="t", as_tokens=True).collect():
+        assert set(row["t"]) <= set(model.tokens)
+        assert bytes.fromhex("".join(row["t"])).decode().replace(" ", "") == texts[row["doc_id"]].replace(" ", "")
