@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lingua_spark.llm import bpe_prefix, byte_shards, chosen_path, decontaminate, maxent_lm, pii_boost, quality_rules, url_rules, warc_archive
+from lingua_spark.llm import bpe_prefix, byte_shards, chosen_path, decontaminate, language_id, maxent_lm, pii_boost, quality_rules, url_rules, warc_archive
 from lingua_spark.queries.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +67,11 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_prefix.digest(table(spark, folder, "documents"))
 
 
+@query("op7_language_id")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.identify(table(spark, folder, "pages"), table(spark, folder, "documents"))
+
+
 @query("op8_chosen_path")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return chosen_path.similar(table(spark, folder, "documents"))
