@@ -4,15 +4,15 @@ A document is the set of its five-word shingles; two are linked if the Jaccard
 similarity of their sets is 0.8 or more.
 
 Candidates. Equal sets are joined first and go on as one. Each set then samples
-a few of its tokens by a shared hash, with a chance inverse to its size, so that
-similar sets tend to sample the same. Sets that sampled the same token meet in a
-node; a node above the brute-force size is split again on freshly sampled
-tokens, down to ``depth`` levels. Small nodes are compared outright, larger
-ones that remain (groups of near copies, which no token can split) by size bands
-and blocks. The whole is repeated in independent runs. A linked pair samples a
-common token on one level with probability 1 - exp(-branching * threshold) or
-more, which gives the chance per run to stay together over all levels, and the
-number of runs until the target recall.
+``branching`` of its tokens, each the smallest under a hash that all sets share,
+so that two sets sample the same with the probability of their similarity. Sets
+that sampled the same token meet in a node; a node above the brute-force size is
+split again on freshly sampled tokens, down to ``depth`` levels. Small nodes are
+compared outright, larger ones that remain (groups of near copies, which no
+token can split) by size bands and blocks. The whole is repeated in independent
+runs. A linked pair stays together on one level with probability
+1 - (1 - threshold) ** branching or more, which gives the chance per run over
+all levels, and the number of runs until the target recall.
 
 Within a node, sets are compared by 64 one-byte minhashes with a threshold far
 below 0.8, and a node yields a spanning forest of its candidates, never all
@@ -52,23 +52,27 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Join:
-    """``branching``: tokens a set samples per node, on average. ``brute``: sets
-    that a node may hold to be compared outright. ``slack``: how far below the
-    threshold the estimate of a candidate may lie (four standard errors).
-    ``block_tokens``: tokens of sets compared exactly at once."""
+    """``branching``: tokens a set samples per node. ``brute``: sets that a node
+    may hold to be compared outright, ``block_sets``: sketches compared at once
+    in a larger one. ``slack``: how far below the threshold the estimate of a
+    candidate may lie (four standard errors). ``block_tokens``: tokens of sets
+    compared exactly at once. ``broadcast_rows``: rows of 60 bytes or so that a
+    broadcast may hold; more are joined by a shuffle."""
 
     words: int = 5
     threshold: float = 0.8
-    branching: float = 3.0
-    depth: int = 3
+    branching: int = 2
+    depth: int = 4
     recall: float = 0.9999
     brute: int = 64
+    block_sets: int = 2048
     slack: float = 0.2
     block_tokens: int = 200_000
+    broadcast_rows: int = 100_000
 
     @property
     def runs(self) -> int:
-        stay = (1 - math.exp(-self.branching * self.threshold)) ** self.depth
+        stay = (1 - (1 - self.threshold) ** self.branching) ** self.depth
         return max(1, math.ceil(math.log(1 - self.recall) / math.log(1 - stay)))
 
 
@@ -104,7 +108,7 @@ class Sampler:
     def __init__(self, join: Join):
         self.join, self.levels, self.runs = join, join.depth, join.runs
         self.of_mins = odd_numbers(MINS, 11)
-        self.of_picks = odd_numbers(self.levels * self.runs, 17)
+        self.of_picks = odd_numbers(self.levels * self.runs * join.branching, 17)
 
     def mins(self, tokens: np.ndarray) -> bytes:
         least = np.full(MINS, ~np.uint64(0))
@@ -113,16 +117,11 @@ class Sampler:
         return ((least * _MIX) >> np.uint64(56)).astype(np.uint8).tobytes()
 
     def picks(self, tokens: np.ndarray) -> list[list[list[int]]]:
-        """Sampled tokens by level and run."""
-        share = min(1.0, self.join.branching / len(tokens))
-        limit = np.uint64(min(int(share * 2.0**64), (1 << 64) - 1))
-        out: list[list[list[int]]] = [[[] for _ in range(self.runs)] for _ in range(self.levels)]
+        """Sampled tokens (their hashes, which tell them apart) by level and run."""
+        least = np.full(len(self.of_picks), ~np.uint64(0))
         for at in range(0, len(tokens), 4096):
-            part = tokens[at : at + 4096]
-            which, token = np.nonzero(self.of_picks[:, None] * part[None, :] <= limit)
-            for w, t in zip(which.tolist(), part[token].view(np.int64).tolist()):
-                out[w // self.runs][w % self.runs].append(t)
-        return out
+            least = np.minimum(least, (self.of_picks[:, None] * tokens[None, at : at + 4096]).min(1))
+        return least.view(np.int64).reshape(self.levels, self.runs, self.join.branching).tolist()
 
 
 SKETCH = "fp binary, size int, mins binary, picks array<array<array<bigint>>>"
@@ -244,30 +243,37 @@ def large_nodes_in_blocks(members: DataFrame, join: Join) -> DataFrame:
     own = F.struct(band.alias("band"), F.lit(False).alias("guest"))
     next_one = F.struct((band + 1).alias("band"), F.lit(True).alias("guest"))
     banded = members.withColumn("place", F.explode(F.array(own, next_one))).select(
-        "path", "place.band", "fp", "size", "mins", "place.guest"
+        "path", "place.band", "fp", "size", "place.guest"
     )
     banded = stage(banded, "path_bands")
     counts = stage(banded.groupBy("path", "band").agg(F.count("*").alias("members")), "path_bands")
-    dealt = in_blocks(banded.join(counts, ["path", "band"]), ["path", "band"], F.ceil(F.col("members") / (8 * join.brute)))
+    counts = counts.filter("members > 1")
+    dealt = in_blocks(banded.join(counts, ["path", "band"]), ["path", "band"], F.ceil(F.col("members") / join.block_sets))
     return dealt.drop("members")
 
 
 def candidates(sets: DataFrame, join: Join) -> DataFrame:
-    """Edges between sets that may be linked, connecting all that are."""
-    node = lambda *parts: F.xxhash64(*parts)
-    open_nodes = sets.select(
-        "fp", "size", "mins", F.posexplode(F.element_at("picks", 1)).alias("run", "tokens")
-    ).select("fp", "size", "mins", "run", F.explode("tokens").alias("token"))
-    open_nodes = open_nodes.select("fp", "size", "mins", "run", node("run", "token").alias("path"))
+    """Edges between sets that may be linked, connecting all that are.
+
+    Nodes hold only fingerprints and sizes; sketches join those that are
+    compared.
+    """
+    sampled = F.transform(
+        F.element_at("picks", 1),
+        lambda tokens, run: F.transform(tokens, lambda t: F.struct(run.alias("run"), t.alias("token"))),
+    )
+    open_nodes = sets.select("fp", "size", F.inline(F.flatten(sampled))).select(
+        "fp", "size", "run", F.xxhash64("run", "token").alias("path")
+    )
     edges = None
     for level in range(1, join.depth + 1):
         open_nodes = stage(open_nodes, "path_nodes")
-        counts = open_nodes.groupBy("path").agg(F.count("*").alias("members")).filter("members > 1")
-        counts = stage(counts, "path_counts")
+        counts = stage(open_nodes.groupBy("path").agg(F.count("*").alias("members")).filter("members > 1"), "path_counts")
         last = level == join.depth
-        done = counts if last else counts.filter(F.col("members") <= join.brute)
-        ready = open_nodes.join(done, "path").drop("run")
-        dealt = ready.filter(F.col("members") <= join.brute).select(
+        large = counts.filter(F.col("members") > join.brute)
+        any_large = not large.isEmpty()
+        ready = open_nodes.drop("run").join(counts.filter(F.col("members") <= join.brute), "path")
+        dealt = ready.select(
             "path",
             F.lit(-1).alias("band"),
             F.lit(0).alias("block_a"),
@@ -275,15 +281,13 @@ def candidates(sets: DataFrame, join: Join) -> DataFrame:
             F.lit(False).alias("second"),
             "fp",
             "size",
-            "mins",
             F.lit(False).alias("guest"),
         )
-        large = counts.filter(F.col("members") > join.brute)
-        any_large = not large.isEmpty()
         if any_large and last:
-            dealt = dealt.unionByName(large_nodes_in_blocks(ready.filter(F.col("members") > join.brute), join))
+            dealt = dealt.unionByName(large_nodes_in_blocks(open_nodes.drop("run").join(large.select("path"), "path"), join))
         keys = ["path", "band", "block_a", "block_b"]
-        found = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare_nodes(join), "a binary, b binary")
+        drawn = dealt.join(sets.select("fp", "mins"), "fp").select(*keys, "second", "fp", "size", "mins", "guest")
+        found = drawn.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare_nodes(join), "a binary, b binary")
         found = stage(found, "path_edges")
         edges = found if edges is None else edges.unionByName(found)
         if not any_large:
@@ -293,8 +297,8 @@ def candidates(sets: DataFrame, join: Join) -> DataFrame:
             tokens = sets.select("fp", F.element_at("picks", level + 1).alias("by_run"))
             open_nodes = (
                 left.join(tokens, "fp")
-                .withColumn("token", F.explode(F.element_at("by_run", F.col("run") + 1)))
-                .select("fp", "size", "mins", "run", node("path", "token").alias("path"))
+                .withColumn("token", F.explode(F.get("by_run", F.col("run"))))
+                .select("fp", "size", "run", F.xxhash64("path", "token").alias("path"))
             )
     return edges.distinct()
 
@@ -412,6 +416,8 @@ def classify(docs: DataFrame, join: Join, key: str, text: str) -> tuple[DataFram
         return fingerprint(found), found.tobytes()
 
     texts = docs.select(F.col(key).alias("doc_key"), F.col(text).alias("doc_text"))
+    if wanted.count() <= join.broadcast_rows:
+        wanted = F.broadcast(wanted)
     token_set = token_set.asNondeterministic()  # else it is run again in the filter
     found = (
         texts.join(wanted, texts["doc_key"].eqNullSafe(wanted["key"]))
@@ -473,6 +479,8 @@ def keep_one(docs: DataFrame, join: Join = Join(), key: str = "doc_id", text: st
     names = docs.columns
     packed = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.struct(*[docs[c] for c in names]).alias("_row"))
     unsure = stage(unsure, "path_unsure")
+    if unsure.count() <= join.broadcast_rows:
+        unsure = F.broadcast(unsure)
     match = packed["_key"].eqNullSafe(unsure["key"])
     sure = packed.join(unsure, match, "left_anti").select("_row.*")
 
@@ -483,6 +491,7 @@ def keep_one(docs: DataFrame, join: Join = Join(), key: str = "doc_id", text: st
     set_of = set_of.asNondeterministic()
     open_rows = packed.join(unsure, match, "left_semi").withColumn("_fp", set_of("_text"))
     stays = decided.filter("stays").select(F.col("key").alias("_k"), F.col("fp").alias("_f"))
+    stays = stays.join(unsure, F.col("_k").eqNullSafe(unsure["key"]), "left_semi")
     chosen = (
         open_rows.join(stays, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_fp") == F.col("_f")), "left_semi")
         .groupBy("_key", "_fp")
