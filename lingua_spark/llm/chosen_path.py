@@ -64,7 +64,7 @@ class Join:
     branching: int = 2
     depth: int = 4
     recall: float = 0.9999
-    brute: int = 1024
+    brute: int = 64
     block_sets: int = 2048
     slack: float = 0.2
     block_tokens: int = 200_000
