@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,6 +78,16 @@ def scan_parquet_files(spark: SparkSession, root: str, glob: str = "*.parquet")
 UNREADABLE = ("FAILED_READ_FILE", "CANNOT_READ_FILE_FOOTER", "UNABLE_TO_INFER_SCHEMA")
 
 
+def _unreadable(error: PySparkException | Py4JJavaError) -> str | None:
+    """The condition of a file that is no readable Parquet, else None. A broken
+    footer is found by a task, and its error arrives as a plain Java one."""
+    if isinstance(error, PySparkException):
+        said = error.getCondition() or ""
+    else:
+        said = str(error.java_exception)
+    return next((condition for condition in UNREADABLE if condition in said), None)
+
+
 def _readable(spark: SparkSession, folder: str) -> DataFrame | None:
     """The Parquet files below a folder; unreadable ones are left out with a
     message, None if nothing remains."""
@@ -88,9 +99,9 @@ def _readable(spark: SparkSession, folder: str) -> DataFrame | None:
     def attempt(*paths: str) -> DataFrame | None:
         try:
             return read(*paths)
-        except PySparkException as error:
-            condition = error.getCondition() or ""
-            if not condition.startswith(UNREADABLE):
+        except (PySparkException, Py4JJavaError) as error:
+            condition = _unreadable(error)
+            if condition is None:
                 raise
             log.warning("cannot read %s: %s", paths[0], condition)
             return None
