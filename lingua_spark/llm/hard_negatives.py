@@ -276,14 +276,18 @@ def anchor_blocks(anchors: DataFrame, size: int) -> DataFrame:
     n = anchors.count()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))  # one partition holds about ``size`` anchors
-        for at in range(0, table.num_rows, size):
+        held = [b for b in batches if b.num_rows]  # one partition holds about ``size`` anchors
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        each = -(-table.num_rows // -(-table.num_rows // size))  # blocks of equal size
+        for at in range(0, table.num_rows, each):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema) as out:
-                out.write_table(table.slice(at, size))
+                out.write_table(table.slice(at, each))
             yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["raw"])
 
-    dealt = anchors.repartition(max(1, -(-n // size)), "row")
+    dealt = anchors.repartition(max(1, -(-n // size)))
     return stage(dealt.mapInArrow(pack, "raw binary").withColumn("block", F.monotonically_increasing_id()), "anchors")
 
 
