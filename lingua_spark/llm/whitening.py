@@ -69,33 +69,33 @@ def secular_roots(d: np.ndarray, z2: np.ndarray) -> np.ndarray:
     low = np.where(right, -half, np.where(value < 0, half, 0.0))
     high = np.where(right, 0.0, np.where(value < 0, width, half))
     x = (low + high) / 2
-    one, two = np.minimum(at, k - 2), np.minimum(at, k - 2) + 1
-    left_side = at[None, :] <= one[:, None]
+    one = np.minimum(at, k - 2)
+    left_side = (at[None, :] <= one[:, None]).astype(float)
+    last = at == k - 1
+    sign = np.where(last, 1.0, -1.0)
+    settled = np.zeros(k, bool)
     for _ in range(80):
         apart = gaps - x[:, None]
-        terms = z2 / apart
-        value = 1 + terms.sum(1)
-        low, high = np.where(value <= 0, x, low), np.where(value > 0, x, high)
-        small = np.abs(value) <= 4 * EPS * k * (1 + np.abs(terms).sum(1))
-        if small.all():
-            break
-        slopes = terms / apart
-        psi = np.where(left_side, slopes, 0).sum(1)
-        phi = slopes.sum(1) - psi
-        p, q = apart[at, one], apart[at, two]
-        c = value - p * psi - q * phi
-        a = (p + q) * value - p * q * (psi + phi)
-        b = p * q * value
-        root = np.sqrt(np.maximum(a * a - 4 * b * c, 0))
-        last = at == k - 1
-        by_c = np.where(last, a >= 0, a <= 0)
-        sign = np.where(last, 1.0, -1.0)
         with np.errstate(all="ignore"):
-            step = np.where(by_c, (a + sign * root) / (2 * c), 2 * b / (a - sign * root))
-        new = x + step
-        inside = (new > low) & (new < high) & np.isfinite(new)
-        new = np.where(inside, new, (low + high) / 2)
-        x = np.where(small, x, new)
+            inverse = 1 / apart
+            slopes = inverse * inverse
+            value = 1 + inverse @ z2
+            slope, psi = slopes @ z2, (slopes * left_side) @ z2
+            low, high = np.where(value <= 0, x, low), np.where(value > 0, x, high)
+            p, q = apart[at, one], apart[at, one + 1]
+            c = value - p * psi - q * (slope - psi)
+            a = (p + q) * value - p * q * slope
+            b = p * q * value
+            root = sign * np.sqrt(np.maximum(a * a - 4 * b * c, 0))
+            step = np.where(a * sign >= 0, (a + root) / (2 * c), 2 * b / (a - root))
+            new = x + step
+        tiny = np.abs(step) <= 1e-6 * np.abs(x)
+        new = np.where(tiny | ((new > low) & (new < high)), new, (low + high) / 2)
+        x = np.where(settled, x, new)
+        # near the root a step leaves the cube of its own size or so
+        settled |= tiny
+        if settled.all():
+            break
     return x[:, None] - gaps
 
 
