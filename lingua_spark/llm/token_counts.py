@@ -16,7 +16,8 @@ tasks that cut the texts and are summed there; the size of what is sent is
 thereby bounded, whatever the corpus. All other pre-tokens leave with their
 frequency in the document and are joined by a shuffle.
 
-Texts are cut in stretches of ``Counting.stretch`` characters that end at white
+Inside a task, chunks between spaces are cut once per distinct chunk. Texts are
+cut in stretches of ``Counting.stretch`` characters that end at white
 space, so a text of millions of words never becomes one list of pre-tokens.
 
 Defined cases: a null text counts as empty, with no bytes and no tokens; rows
@@ -48,13 +49,15 @@ class Counting:
     """``limit``: tokens beyond which a document is over the limit. ``known``
     and ``known_chars``: how many pre-tokens, of which length at most, are sent
     to the tasks. ``stretch``: characters of a text that are cut at once.
-    ``held``: distinct pre-tokens that a task holds before it passes them on."""
+    ``held``: distinct chunks of texts that a task remembers, and
+    ``held_chars``: of how many characters at most."""
 
     limit: int = 2048
     known: int = 100_000
     known_chars: int = 128
     stretch: int = 1 << 20
     held: int = 300_000
+    held_chars: int = 1 << 26
 
 
 class PreTokens:
@@ -96,16 +99,21 @@ class PreTokens:
             at = gap.start()
         yield text[at:] if at else text
 
-    def lists(self, text: str | None) -> Iterator[list[str] | None]:
-        """Lists of pre-tokens; None for a special token."""
+    def chunks(self, text: str | None) -> Iterator[tuple[Counter, int]]:
+        """Chunks between spaces with their frequencies, and special tokens, by
+        stretch. No pre-token holds a space, and folding does not look across
+        one, so a text has the pre-tokens of its chunks."""
         parts = self.cut.split(text) if text and self.cut else [text or ""]
         for part in parts:
             if part in self.special:
-                yield None
+                yield Counter(), 1
                 continue
             for some in self.stretches(part):
-                folded = some.lower() if some.isascii() else self.fold.normalize_str(some)
-                yield self.pattern.findall(folded)
+                yield Counter(some.split(" ")), 0
+
+    def cut_chunk(self, chunk: str) -> list[str]:
+        """The pre-tokens of a chunk."""
+        return self.pattern.findall(chunk.lower() if chunk.isascii() else self.fold.normalize_str(chunk))
 
     def pieces(self, word: str) -> int:
         return sum(len(self.tokenizer.model.tokenize(part)) for part, _ in self.letters.pre_tokenize_str(word))
@@ -126,21 +134,28 @@ def vocabulary(docs: DataFrame, path: str | None = None, counting: Counting = Co
     frugal(docs.sparkSession)
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, found = pre_tokens(path, counting.stretch), Counter()
+        cutter, held = pre_tokens(path, counting.stretch), Counter()
 
         def leave() -> pa.RecordBatch:
+            found: dict[str, int] = {}
+            for chunk, times in held.items():
+                for word in cutter.cut_chunk(chunk):
+                    found[word] = found.get(word, 0) + times
+            held.clear()
             batch = pa.RecordBatch.from_arrays(
                 [pa.array(found.keys(), pa.string(), size=len(found)), pa.array(found.values(), pa.int64(), size=len(found))],
                 names=["word", "n"],
             )
-            found.clear()
             return batch
 
+        letters = 0
         for batch in batches:
             for value in batch.column(0):
-                for words in cutter.lists(value.as_py()):
-                    found.update(words or ())
-                    if len(found) >= counting.held:
+                for chunks, _ in cutter.chunks(value.as_py()):
+                    held.update(chunks)
+                    letters += sum(map(len, chunks))
+                    if len(held) >= counting.held or letters >= counting.held_chars:
+                        letters = 0
                         yield leave()
         yield leave()
 
@@ -179,16 +194,28 @@ def count_tokens(
 
     def known_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, known = pre_tokens(path, counting.stretch), sent.value
+
+        def divide(chunk: str) -> tuple[int, list[str]]:
+            words = cutter.cut_chunk(chunk)
+            return sum(map(known.get, words, repeat(0))), [w for w in words if w not in known]
+
+        seen: dict[str, tuple[int, list[str]]] = {}
         for batch in batches:
             sums, rare, times = [], [], []
             for value in batch.column("text"):
-                total, rest = 0, Counter()
-                for found in cutter.lists(value.as_py()):
-                    if found is None:
-                        total += 1
-                        continue
-                    total += sum(map(known.get, found, repeat(0)))
-                    rest.update([w for w in found if w not in known])
+                total, rest = 0, {}
+                for chunks, special in cutter.chunks(value.as_py()):
+                    total += special
+                    for chunk, often in chunks.items():
+                        if (parts := seen.get(chunk)) is None:
+                            if len(seen) >= counting.held:
+                                seen.clear()
+                            parts = divide(chunk)
+                            if len(chunk) <= counting.known_chars:
+                                seen[chunk] = parts
+                        total += parts[0] * often
+                        for word in parts[1]:
+                            rest[word] = rest.get(word, 0) + often
                 sums.append(total)
                 rare.append(list(rest.keys()))
                 times.append(list(rest.values()))
