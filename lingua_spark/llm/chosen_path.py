@@ -7,9 +7,13 @@ Candidates. Equal sets are joined first and go on as one. Each set then samples
 ``branching`` of its tokens, each the smallest under a hash that all sets share,
 so that two sets sample the same with the probability of their similarity. Sets
 that sampled the same token meet in a node; a node above the brute-force size is
-split again on freshly sampled tokens, down to ``depth`` levels. Small nodes are
-compared outright, larger ones that remain (groups of near copies, which no
-token can split) by size bands and blocks. The whole is repeated in independent
+split again on freshly sampled tokens, down to ``depth`` levels. No token can
+split a group of near copies, so before a node is split its sets are compared
+with three of its own, the pivots. Sets near a pivot are linked to it and leave.
+What is similar to a set that leaves is, by the triangle inequality, not far from
+the pivot either, and is linked to it by a lower threshold; so no pair is lost.
+Small nodes are compared outright, larger ones that remain on the last level by
+size bands and blocks. The whole is repeated in independent
 runs. A linked pair stays together on one level with probability
 1 - (1 - threshold) ** branching or more, which gives the chance per run over
 all levels, and the number of runs until the target recall.
@@ -55,7 +59,9 @@ class Join:
     """``branching``: tokens a set samples per node. ``brute``: sets that a node
     may hold to be compared outright, ``block_sets``: sketches compared at once
     in a larger one. ``slack``: how far below the threshold the estimate of a
-    candidate may lie (four standard errors). ``block_tokens``: tokens of sets
+    candidate may lie (four standard errors). ``leave``: the estimate from which
+    a set need not be split further once it is linked to a pivot, ``link``: the
+    lower one from which sets are linked to it. ``block_tokens``: tokens of sets
     compared exactly at once. ``broadcast_rows``: rows of 60 bytes or so that a
     broadcast may hold; more are joined by a shuffle."""
 
@@ -67,6 +73,8 @@ class Join:
     brute: int = 64
     block_sets: int = 2048
     slack: float = 0.2
+    leave: float = 0.7
+    link: float = 0.35
     block_tokens: int = 200_000
     broadcast_rows: int = 100_000
 
@@ -252,6 +260,49 @@ def large_nodes_in_blocks(members: DataFrame, join: Join) -> DataFrame:
     return dealt.drop("members")
 
 
+def beside_pivots(members: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
+    """Members of large nodes with the pivots they are ``near`` to, and whether
+    one leaves: ``fp``, ``size``, ``run``, ``path``, ``near``, ``leaves``.
+
+    A node has up to three pivots. A row is compared with those only, whatever
+    the node's size.
+    """
+    drawn = [F.min("fp"), F.max("fp"), F.min_by("fp", F.xxhash64("fp", F.lit(3)))]
+    pivots = members.groupBy("path").agg(F.array_distinct(F.array(*drawn)).alias("pivots"))
+    named = pivots.select("path", F.explode("pivots").alias("fp")).join(sets.select("fp", "size", "mins"), "fp")
+    # one row of at most three sketches per large node
+    beside = named.groupBy("path").agg(F.collect_list(F.struct("fp", "size", "mins")).alias("pivots"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            sketch = np.frombuffer(b"".join(batch.column("mins").to_pylist()), np.uint8).reshape(n, MINS)
+            fps = batch.column("fp").to_pylist()
+            size = batch.column("size").to_numpy().astype(float)
+            near: list[list[bytes]] = [[] for _ in range(n)]
+            leaves = np.zeros(n, bool)
+            pivots = batch.column("pivots").to_pylist()
+            for k in range(max(map(len, pivots), default=0)):
+                rows = np.array([i for i in range(n) if len(pivots[i]) > k])
+                theirs = np.frombuffer(b"".join(pivots[i][k]["mins"] for i in rows), np.uint8).reshape(-1, MINS)
+                alike = (sketch[rows] == theirs).sum(1) / MINS
+                sizes = np.array([pivots[i][k]["size"] for i in rows], float)
+                possible = np.minimum(size[rows], sizes) / np.maximum(size[rows], sizes)
+                alike = np.minimum(alike, possible)
+                leaves[rows] |= alike >= join.leave
+                for i in rows[alike >= join.link]:
+                    if pivots[i][k]["fp"] != fps[i]:
+                        near[i].append(pivots[i][k]["fp"])
+            columns = [batch.column(c) for c in ("fp", "size", "run", "path")]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(near, pa.list_(pa.binary())), pa.array(leaves)], names=["fp", "size", "run", "path", "near", "leaves"]
+            )
+
+    rows = members.join(sets.select("fp", "mins"), "fp").join(beside, "path").select("fp", "size", "run", "path", "mins", "pivots")
+    schema = "fp binary, size int, run int, path bigint, near array<binary>, leaves boolean"
+    return rows.mapInArrow(compare, schema)
+
+
 def candidates(sets: DataFrame, join: Join) -> DataFrame:
     """Edges between sets that may be linked, connecting all that are.
 
@@ -283,8 +334,14 @@ def candidates(sets: DataFrame, join: Join) -> DataFrame:
             "size",
             F.lit(False).alias("guest"),
         )
+        left = None
+        if any_large:
+            placed = stage(beside_pivots(open_nodes.join(large.select("path"), "path"), sets, join), "path_pivots")
+            linked = placed.select(F.col("fp").alias("a"), F.explode("near").alias("b"))
+            edges = linked if edges is None else edges.unionByName(linked)
+            left = placed.filter("not leaves").select("fp", "size", "run", "path")
         if any_large and last:
-            dealt = dealt.unionByName(large_nodes_in_blocks(open_nodes.drop("run").join(large.select("path"), "path"), join))
+            dealt = dealt.unionByName(large_nodes_in_blocks(left.drop("run"), join))
         keys = ["path", "band", "block_a", "block_b"]
         drawn = dealt.join(sets.select("fp", "mins"), "fp").select(*keys, "second", "fp", "size", "mins", "guest")
         found = drawn.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare_nodes(join), "a binary, b binary")
@@ -293,7 +350,6 @@ def candidates(sets: DataFrame, join: Join) -> DataFrame:
         if not any_large:
             break
         if not last:
-            left = open_nodes.join(large.select("path"), "path")
             tokens = sets.select("fp", F.element_at("picks", level + 1).alias("by_run"))
             open_nodes = (
                 left.join(tokens, "fp")
@@ -410,20 +466,31 @@ def classify(docs: DataFrame, join: Join, key: str, text: str) -> tuple[DataFram
     tokens = members.groupBy("grp").agg(F.sum("size").alias("tokens"))
     wanted = stage(members.join(tokens, "grp"), "path_wanted")
 
-    @F.udf("struct<fp:binary,tokens:binary>", useArrow=True)
-    def token_set(value):
-        found = shingles(value, join.words)
-        return fingerprint(found), found.tobytes()
+    def token_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()  # repeated rows of a task go on once
+        for batch in batches:
+            fps, sets_ = [], []
+            for value in batch.column(0):
+                tokens = shingles(value.as_py(), join.words)
+                fp = fingerprint(tokens)
+                if fp is not None and fp not in seen:
+                    if len(seen) < join.broadcast_rows:
+                        seen.add(fp)
+                    fps.append(fp)
+                    sets_.append(tokens.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(fps, pa.binary()), pa.array(sets_, pa.binary())], names=["fp", "set"])
 
     texts = docs.select(F.col(key).alias("doc_key"), F.col(text).alias("doc_text"))
-    if wanted.count() <= join.broadcast_rows:
-        wanted = F.broadcast(wanted)
-    token_set = token_set.asNondeterministic()  # else it is run again in the filter
+    keys_wanted, few = wanted.select(F.col("key").alias("wanted_key")).distinct(), wanted.count() <= join.broadcast_rows
+    if few:
+        keys_wanted, wanted = F.broadcast(keys_wanted), F.broadcast(wanted)
+    # a key only selects texts, so that a null or repeated one multiplies no rows
     found = (
-        texts.join(wanted, texts["doc_key"].eqNullSafe(wanted["key"]))
-        .withColumn("set", token_set("doc_text"))
-        .filter("set.fp = fp")
-        .select("grp", "fp", "copies", "tokens", F.col("set.tokens").alias("set"))
+        texts.join(keys_wanted, F.col("doc_key").eqNullSafe(F.col("wanted_key")), "left_semi")
+        .select("doc_text")
+        .mapInArrow(token_sets, "fp binary, set binary")
+        .join(wanted.select("grp", "fp", "copies", "tokens"), "fp")
+        .select("grp", "fp", "copies", "tokens", "set")
     )
     blocks = F.ceil(F.col("tokens") / join.block_tokens)
     dealt = in_blocks(found, ["grp"], blocks).drop("tokens")
