@@ -9,7 +9,7 @@ so that two sets sample the same with the probability of their similarity. Sets
 that sampled the same token meet in a node; a node above the brute-force size is
 split again on freshly sampled tokens, down to ``depth`` levels. No token can
 split a group of near copies, so before a node is split its sets are compared
-with three of its own, the pivots. Sets near a pivot are linked to it and leave.
+with one of its own, the pivot. Sets near the pivot are linked to it and leave.
 What is similar to a set that leaves is, by the triangle inequality, not far from
 the pivot either, and is linked to it by a lower threshold; so no pair is lost.
 Small nodes are compared outright, larger ones that remain on the last level by
@@ -24,10 +24,12 @@ pairs. Connected candidates form groups.
 
 Verification. The sets of a group are compared exactly in blocks of bounded
 size; a block yields the number of links of each set and a spanning forest of
-the links. So every pair in a group is decided by its true similarity, the
-links are counted in full, and yet what is shuffled grows with the documents.
-(The time, not the volume of results, grows with the square of a group of
-distinct near copies: to count its links is to look at each.)
+the links. So every pair in a group is decided by its true similarity and the
+links are counted in full. To count the links of a group of distinct near
+copies is to look at each pair: the time grows with the square of such a group,
+and what is shuffled for it with its sets times its blocks, that is, sets times
+tokens / ``block_tokens``. What comes back is at most a few rows per set and
+block.
 
 Defined cases: a text below five words is one shingle of all its words; texts
 without words, null ones included, have no set and no link; a null document id
@@ -260,47 +262,44 @@ def large_nodes_in_blocks(members: DataFrame, join: Join) -> DataFrame:
     return dealt.drop("members")
 
 
-def beside_pivots(members: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
-    """Members of large nodes with the pivots they are ``near`` to, and whether
-    one leaves: ``fp``, ``size``, ``run``, ``path``, ``near``, ``leaves``.
+def beside_pivots(members: DataFrame, sets: DataFrame, join: Join, level: int) -> DataFrame:
+    """Members of large nodes with the pivot of their node, null if it is not
+    near, and whether they leave: ``fp``, ``size``, ``run``, ``path``,
+    ``pivot``, ``leaves``. A row is compared with one other, whatever the
+    node's size."""
+    rows = members.join(sets.select("fp", "mins"), "fp")
+    # one order of sets per level, so that nodes with the same copies share a pivot
+    first = F.min_by(F.struct("fp", "size", "mins"), F.xxhash64("fp", F.lit(level)))
+    pivots = rows.groupBy("path").agg(first.alias("p"))
+    beside = rows.join(pivots, "path").select(
+        "fp", "size", "run", "path", "mins", F.col("p.fp").alias("pivot"), F.col("p.size").alias("p_size"), F.col("p.mins").alias("p_mins")
+    )
 
-    A node has up to three pivots. A row is compared with those only, whatever
-    the node's size.
-    """
-    drawn = [F.min("fp"), F.max("fp"), F.min_by("fp", F.xxhash64("fp", F.lit(3)))]
-    pivots = members.groupBy("path").agg(F.array_distinct(F.array(*drawn)).alias("pivots"))
-    named = pivots.select("path", F.explode("pivots").alias("fp")).join(sets.select("fp", "size", "mins"), "fp")
-    # one row of at most three sketches per large node
-    beside = named.groupBy("path").agg(F.collect_list(F.struct("fp", "size", "mins")).alias("pivots"))
+    def sketches_of(column) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, MINS)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            sketch = np.frombuffer(b"".join(batch.column("mins").to_pylist()), np.uint8).reshape(n, MINS)
-            fps = batch.column("fp").to_pylist()
-            size = batch.column("size").to_numpy().astype(float)
-            near: list[list[bytes]] = [[] for _ in range(n)]
-            leaves = np.zeros(n, bool)
-            pivots = batch.column("pivots").to_pylist()
-            for k in range(max(map(len, pivots), default=0)):
-                rows = np.array([i for i in range(n) if len(pivots[i]) > k])
-                theirs = np.frombuffer(b"".join(pivots[i][k]["mins"] for i in rows), np.uint8).reshape(-1, MINS)
-                alike = (sketch[rows] == theirs).sum(1) / MINS
-                sizes = np.array([pivots[i][k]["size"] for i in rows], float)
-                possible = np.minimum(size[rows], sizes) / np.maximum(size[rows], sizes)
-                alike = np.minimum(alike, possible)
-                leaves[rows] |= alike >= join.leave
-                for i in rows[alike >= join.link]:
-                    if pivots[i][k]["fp"] != fps[i]:
-                        near[i].append(pivots[i][k]["fp"])
-            columns = [batch.column(c) for c in ("fp", "size", "run", "path")]
+            alike = (sketches_of(batch.column("mins")) == sketches_of(batch.column("p_mins"))).sum(1) / MINS
+            size, theirs = batch.column("size").to_numpy().astype(float), batch.column("p_size").to_numpy().astype(float)
+            alike = np.minimum(alike, np.minimum(size, theirs) / np.maximum(size, theirs))
+            pivot = [p if near else None for p, near in zip(batch.column("pivot").to_pylist(), alike >= join.link)]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(near, pa.list_(pa.binary())), pa.array(leaves)], names=["fp", "size", "run", "path", "near", "leaves"]
+                [*(batch.column(c) for c in ("fp", "size", "run", "path")), pa.array(pivot, pa.binary()), pa.array(alike >= join.leave)],
+                names=["fp", "size", "run", "path", "pivot", "leaves"],
             )
 
-    rows = members.join(sets.select("fp", "mins"), "fp").join(beside, "path").select("fp", "size", "run", "path", "mins", "pivots")
-    schema = "fp binary, size int, run int, path bigint, near array<binary>, leaves boolean"
-    return rows.mapInArrow(compare, schema)
+    return beside.mapInArrow(compare, "fp binary, size int, run int, path bigint, pivot binary, leaves boolean")
+
+
+def pivot_edges(placed: DataFrame) -> DataFrame:
+    """Edges that connect each set with all its pivots: the set with the
+    smallest of them and that one with the others, which many sets share."""
+    linked = placed.filter("pivot is not null").groupBy("fp").agg(F.collect_set("pivot").alias("pivots"))
+    least = linked.select("fp", F.array_min("pivots").alias("least"), "pivots")
+    own = least.select(F.col("fp").alias("a"), F.col("least").alias("b"))
+    shared = least.select(F.explode(F.filter("pivots", lambda p: p != F.col("least"))).alias("a"), F.col("least").alias("b"))
+    return own.filter("a <> b").unionByName(shared.distinct())
 
 
 def candidates(sets: DataFrame, join: Join) -> DataFrame:
@@ -336,8 +335,9 @@ def candidates(sets: DataFrame, join: Join) -> DataFrame:
         )
         left = None
         if any_large:
-            placed = stage(beside_pivots(open_nodes.join(large.select("path"), "path"), sets, join), "path_pivots")
-            linked = placed.select(F.col("fp").alias("a"), F.explode("near").alias("b"))
+            placed = beside_pivots(open_nodes.join(large.select("path"), "path"), sets, join, level)
+            placed = stage(placed, "path_pivots")
+            linked = stage(pivot_edges(placed), "path_edges")
             edges = linked if edges is None else edges.unionByName(linked)
             left = placed.filter("not leaves").select("fp", "size", "run", "path")
         if any_large and last:
