@@ -262,18 +262,14 @@ def large_nodes_in_blocks(members: DataFrame, join: Join) -> DataFrame:
     return dealt.drop("members")
 
 
-def beside_pivots(members: DataFrame, sets: DataFrame, join: Join, level: int) -> DataFrame:
+def beside_pivots(members: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     """Members of large nodes with the pivot of their node, null if it is not
     near, and whether they leave: ``fp``, ``size``, ``run``, ``path``,
     ``pivot``, ``leaves``. A row is compared with one other, whatever the
     node's size."""
-    rows = members.join(sets.select("fp", "mins"), "fp")
-    # one order of sets per level, so that nodes with the same copies share a pivot
-    first = F.min_by(F.struct("fp", "size", "mins"), F.xxhash64("fp", F.lit(level)))
-    pivots = rows.groupBy("path").agg(first.alias("p"))
-    beside = rows.join(pivots, "path").select(
-        "fp", "size", "run", "path", "mins", F.col("p.fp").alias("pivot"), F.col("p.size").alias("p_size"), F.col("p.mins").alias("p_mins")
-    )
+    named = members.select(F.col("pivot").alias("fp")).distinct().join(sets.select("fp", "size", "mins"), "fp")
+    named = named.select(F.col("fp").alias("pivot"), F.col("size").alias("p_size"), F.col("mins").alias("p_mins"))
+    beside = members.join(sets.select("fp", "mins"), "fp").join(named, "pivot")
 
     def sketches_of(column) -> np.ndarray:
         return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, MINS)
@@ -318,11 +314,14 @@ def candidates(sets: DataFrame, join: Join) -> DataFrame:
     edges = None
     for level in range(1, join.depth + 1):
         open_nodes = stage(open_nodes, "path_nodes")
-        counts = stage(open_nodes.groupBy("path").agg(F.count("*").alias("members")).filter("members > 1"), "path_counts")
+        # one order of sets per level, so that nodes with the same copies share a pivot
+        pivot = F.min_by("fp", F.xxhash64("fp", F.lit(level)))
+        counts = open_nodes.groupBy("path").agg(F.count("*").alias("members"), pivot.alias("pivot"))
+        met = stage(open_nodes.join(counts.filter("members > 1"), "path"), "path_counts")
         last = level == join.depth
-        large = counts.filter(F.col("members") > join.brute)
+        large = met.filter(F.col("members") > join.brute).drop("members")
         any_large = not large.isEmpty()
-        ready = open_nodes.drop("run").join(counts.filter(F.col("members") <= join.brute), "path")
+        ready = met.filter(F.col("members") <= join.brute)
         dealt = ready.select(
             "path",
             F.lit(-1).alias("band"),
@@ -335,8 +334,7 @@ def candidates(sets: DataFrame, join: Join) -> DataFrame:
         )
         left = None
         if any_large:
-            placed = beside_pivots(open_nodes.join(large.select("path"), "path"), sets, join, level)
-            placed = stage(placed, "path_pivots")
+            placed = stage(beside_pivots(large, sets, join), "path_pivots")
             linked = stage(pivot_edges(placed), "path_edges")
             edges = linked if edges is None else edges.unionByName(linked)
             left = placed.filter("not leaves").select("fp", "size", "run", "path")
