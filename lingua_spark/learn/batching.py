@@ -1,25 +1,46 @@
-"""Several merges per round with the result of one at a time.
-
-A round knows the most frequent pairs and, for each, the largest count of any
-three adjacent symbols containing it. Merging a pair creates new pairs, none
-more frequent than such a triple, and lowers pairs that share a symbol with
-it. Walking down the list, a pair may therefore be merged in the same round if
-
-- it shares no symbol with the pairs merged so far, so its count is unchanged,
-- its count is above every triple around the merged pairs, so that no new pair
-  can come first, and
-- its count is above whatever is left of the pairs passed over because they
-  do share a symbol.
+"""Many merges per pass over the words, with the result of one at a time.
+
+An epoch looks at the most frequent pairs of the corpus, its candidates, and at
+the first pair that is none, its bound. A merge changes a word only around the
+merged pair. So what the next merges do to the counts can be followed on small
+pieces of the words, the segments: runs of symbols that are part of a candidate
+pair somewhere in the word, with one untouched symbol on either side. Equal
+segments of all words add up, in every task and then by one shuffle; they are
+far fewer than the words, and their number is kept below ``Width.segments`` by
+taking fewer candidates.
+
+On the segments, an inverted index (pair -> segments) and signed differences of
+counts replace counting anew: a merge visits the segments that hold its pair,
+takes their old pairs off the counts and adds their new ones.
+
+The counts of candidates and of pairs with a symbol made in this epoch are
+complete, as all their occurrences lie in segments. Other pairs only become
+rarer. So the best pair of the segments is the best of the corpus while
+
+- it comes before the bound,
+- no occurrence of it touches an untouched symbol, whose other side is unknown,
+- no merge has made a symbol that existed before, whose other occurrences are
+  not in the segments.
+
+Otherwise the epoch ends and a new one counts afresh. The first merge of an
+epoch always meets the conditions.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lingua_spark.learn.wordtable import contains_any, neighbours, pair_key
+from lingua_spark.learn.wordtable import pair_counts
+from lingua_spark.runtime import stage, unstage
+
+Pair = tuple[str, str]
 
 
 @dataclass(frozen=True)
@@ -28,107 +49,230 @@ class Candidate:
     right: str
     n: int
 
-    @property
-    def key(self) -> str:
-        return pair_key(self.left, self.right)
-
     @property
     def merged(self) -> str:
         return self.left + self.right
 
+    @property
+    def order(self) -> tuple[int, str, str]:
+        return -self.n, self.left, self.right
+
 
 @dataclass
-class Surroundings:
-    """Largest triple around a candidate, and its triples with other ones."""
+class Width:
+    """How many candidates an epoch takes, adapted to what they lead to.
+
+    ``segments`` and ``letters`` bound what is sent to the driver.
+    """
 
-    largest: dict[str, int]
-    shared: dict[tuple[str, str], int]
+    pairs: int = 16
+    segments: int = 150_000
+    letters: int = 12_000_000
+    most: int = 4096
 
+    def fits(self, segments: int, letters: int) -> bool:
+        """Whether so many may be fetched; narrows or widens the next epoch."""
+        if self.pairs > 1 and (segments > self.segments or letters > self.letters):
+            self.pairs = max(1, self.pairs // 2)
+            return False
+        if segments * 4 < self.segments and letters * 4 < self.letters:
+            self.pairs = min(self.most, self.pairs * 2)
+        return True
 
-def surroundings(symbols: DataFrame, keys: list[str], by: tuple[str, ...] = ()) -> dict[tuple, Surroundings]:
-    """Triples around the candidate pairs, per ``by`` group.
 
-    Only words that contain a candidate are looked at, and one row per
-    candidate comes back.
-    """
-    triples = neighbours(symbols.filter(contains_any(keys)), 3, ["a", "b", "c"], by)
-
-    def key(x: str, y: str):
-        return F.concat(F.lit("<"), F.col(x), F.lit("><"), F.col(y), F.lit(">"))
-
-    counted = (
-        triples.filter(key("a", "b").isin(keys) | key("b", "c").isin(keys))
-        .groupBy(*by, "a", "b", "c")
-        .agg(F.sum("freq").alias("n"))
-        .withColumns({"k1": key("a", "b"), "k2": key("b", "c")})
-    )
-    sides = F.array(
-        F.struct(F.col("k1").alias("pair"), F.col("k2").alias("other"), "n"),
-        F.struct(F.col("k2").alias("pair"), F.col("k1").alias("other"), "n"),
-    )
-    rows = (
-        counted.select(*by, F.inline(sides))
-        .filter(F.col("pair").isin(keys))
-        .groupBy(*by, "pair")
-        .agg(
-            F.max("n").alias("largest"),
-            F.collect_list(F.when(F.col("other").isin(keys), F.struct("other", "n"))).alias("others"),
-        )
-        .collect()
-    )
-    out: dict[tuple, Surroundings] = {}
-    for row in rows:
-        around = out.setdefault(tuple(row[c] for c in by), Surroundings({}, {}))
-        around.largest[row["pair"]] = row["largest"]
-        for other in row["others"]:
-            known = around.shared.get((row["pair"], other["other"]), 0)
-            around.shared[row["pair"], other["other"]] = max(known, other["n"])
+def leading_pairs(
+    symbols: DataFrame, k: int, min_frequency: int, condition=None, by: tuple[str, ...] = ()
+) -> dict[tuple, list[Candidate]]:
+    """The k most frequent pairs of each group: count, then left, then right."""
+    pairs = pair_counts(symbols, by).filter(F.col("n") >= min_frequency)
+    if condition is not None:
+        pairs = pairs.filter(condition)
+    order = [F.desc("n"), F.col("left"), F.col("right")]
+    if by:
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+        rows = pairs.withColumn("rank", rank).filter(F.col("rank") <= k).orderBy("rank").collect()
+    else:
+        rows = pairs.orderBy(*order).limit(k).collect()
+    out: dict[tuple, list[Candidate]] = {}
+    for r in rows:
+        out.setdefault(tuple(r[c] for c in by), []).append(Candidate(r["left"], r["right"], r["n"]))
     return out
 
 
-class Acceptance:
-    """What has been merged in this round, seen from one count table."""
-
-    def __init__(self, around: Surroundings):
-        self.around = around
-        self.barrier = 0  # counts at or below this are undecided
-
-    def merged(self, pair: Candidate) -> None:
-        self.barrier = max(self.barrier, self.around.largest.get(pair.key, 0))
-
-    def passed_over(self, pair: Candidate, merged: list[Candidate]) -> None:
-        """Raise the barrier to what may be left of a pair that shares symbols."""
-        lost = max(
-            (self.around.shared.get((m.key, pair.key), 0) for m in merged if m.left != m.right),
-            default=0,
-        )
-        self.barrier = max(self.barrier, pair.n - lost)
-
-    def next(self, ranked: list[Candidate], start: int, merged: list[Candidate]) -> int | None:
-        """Index of the pair to merge next, None if only a new round can tell."""
-        used = {s for m in merged for s in (m.left, m.right)}
-        for i in range(start, len(ranked)):
-            pair = ranked[i]
-            if merged and pair.n <= self.barrier:
-                return None
-            if pair.left in used or pair.right in used:
-                # A merged pair is used up, unless it overlapped itself.
-                if pair.left == pair.right or all(m.key != pair.key for m in merged):
-                    self.passed_over(pair, merged)
+def segments_of(parts: list[str], keys: set[Pair]) -> Iterator[str]:
+    """Segments of a word: two flags for untouched symbols at the ends, then
+    the symbols."""
+    n = len(parts)
+    active = [False] * n
+    for i in range(n - 1):
+        if (parts[i], parts[i + 1]) in keys:
+            active[i] = active[i + 1] = True
+    i = 0
+    while i < n:
+        if not active[i]:
+            i += 1
+            continue
+        end = i
+        while end < n and active[end]:
+            end += 1
+        left, right = i > 0, end < n
+        yield f"{left:d}{right:d}" + "><".join(parts[i - left : end + right])
+        i = end
+
+
+def segment_table(symbols: DataFrame, keys: set[Pair], by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, segment, freq) of all words, added up in the tasks first."""
+    sent = symbols.sparkSession.sparkContext.broadcast(keys)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = sent.value
+
+        def leave(found: Counter) -> pa.RecordBatch:
+            groups = list(zip(*found)) or [()] * (len(by) + 1)
+            columns = [pa.array(g, pa.string()) for g in groups]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(found.values(), pa.int64(), size=len(found))], names=[*by, "segment", "freq"])
+
+        found: Counter = Counter()
+        for batch in batches:
+            groups = [batch.column(c).to_pylist() for c in by]
+            for *group, word, freq in zip(*groups, batch.column("syms").to_pylist(), batch.column("freq").to_pylist()):
+                for segment in segments_of(word[1:-1].split("><"), wanted):
+                    found[(*group, segment)] += freq
+            if len(found) >= 200_000:
+                yield leave(found)
+                found.clear()
+        yield leave(found)
+
+    schema = "".join(f"{c} string, " for c in by) + "segment string, freq bigint"
+    found = symbols.select(*by, "syms", "freq").mapInArrow(cut, schema)
+    return found.groupBy(*by, "segment").agg(F.sum("freq").alias("freq"))
+
+
+class Epoch:
+    """Segments of one or several groups (languages), merged one by one."""
+
+    def __init__(self, candidates: Iterable[Pair], allowed: Callable[[str, str], bool] = lambda left, right: True):
+        self.candidates, self.allowed = set(candidates), allowed
+        self.fresh: set[str] = set()
+        self.bounds: dict[object, tuple | None] = {}
+        self.parts: list[list[str]] = []
+        self.ends: list[tuple[bool, bool]] = []
+        self.freq: list[int] = []
+        self.group: list[object] = []
+        self.where: dict[Pair, set[int]] = defaultdict(set)
+        self.counts: dict[object, dict[Pair, int]] = defaultdict(dict)
+        self.heaps: dict[object, list[tuple[int, str, str]]] = defaultdict(list)
+        self.edge: set[Pair] = set()
+
+    def add(self, group: object, segment: str, freq: int) -> None:
+        self.parts.append(segment[2:].split("><"))
+        self.ends.append((segment[0] == "1", segment[1] == "1"))
+        self.freq.append(freq)
+        self.group.append(group)
+        self._count(len(self.parts) - 1, 1)
+
+    def ready(self, bounds: dict[object, Candidate | None]) -> Epoch:
+        """All segments are there; ``bounds`` by group."""
+        self.bounds = {g: None if c is None else c.order for g, c in bounds.items()}
+        for group, counts in self.counts.items():
+            self.heaps[group] = [(-n, *pair) for pair, n in counts.items() if self.allowed(*pair)]
+            heapq.heapify(self.heaps[group])
+        return self
+
+    def _count(self, i: int, sign: int) -> list[Pair]:
+        """Add or take off the pairs of a segment whose counts are complete."""
+        parts, counts, n = self.parts[i], self.counts[self.group[i]], sign * self.freq[i]
+        (left, right), last, met = self.ends[i], len(self.parts[i]) - 2, []
+        for at in range(last + 1):
+            pair = parts[at], parts[at + 1]
+            if pair not in self.candidates and pair[0] not in self.fresh and pair[1] not in self.fresh:
                 continue
-            return i
-        return None
+            counts[pair] = counts.get(pair, 0) + n
+            met.append(pair)
+            if sign > 0:
+                self.where[pair].add(i)
+                if (at == 0 and left) or (at == last and right):
+                    self.edge.add(pair)
+        return met
 
+    def next(self, group: object = (), min_frequency: int = 1) -> Candidate | None:
+        """The group's best pair, None if only a new epoch can tell."""
+        heap, counts = self.heaps[group], self.counts[group]
+        while heap and counts.get(heap[0][1:], 0) != -heap[0][0]:
+            heapq.heappop(heap)
+        if not heap or -heap[0][0] < min_frequency:
+            return None
+        bound = self.bounds.get(group)
+        if (bound is not None and heap[0] >= bound) or heap[0][1:] in self.edge:
+            return None
+        return Candidate(heap[0][1], heap[0][2], -heap[0][0])
 
-def accept(ranked: list[Candidate], around: Surroundings, room: int) -> list[Candidate]:
-    """The run of merges that one-at-a-time learning would also make."""
-    merged: list[Candidate] = []
-    state, i = Acceptance(around), 0
-    while len(merged) < room:
-        found = state.next(ranked, i, merged)
-        if found is None:
+    def merge(self, left: str, right: str) -> dict[object, int]:
+        """Merge a pair everywhere; how many were merged in each group."""
+        merged, made = left + right, defaultdict(int)
+        touched: dict[object, set[Pair]] = defaultdict(set)
+        for i in self.where.pop((left, right), ()):
+            old, new, at = self.parts[i], [], 0
+            while at < len(old):
+                if old[at] == left and at + 1 < len(old) and old[at + 1] == right:
+                    new.append(merged)
+                    at += 2
+                else:
+                    new.append(old[at])
+                    at += 1
+            if len(new) == len(old):
+                continue
+            met = touched[self.group[i]]
+            met.update(self._count(i, -1))
+            self.parts[i] = new
+            made[self.group[i]] += (len(old) - len(new)) * self.freq[i]
+            self.fresh.add(merged)
+            met.update(self._count(i, 1))
+            self.fresh.discard(merged)
+        self.fresh.add(merged)
+        for group, pairs in touched.items():
+            for pair in pairs:
+                if self.counts[group][pair] > 0 and self.allowed(*pair):
+                    heapq.heappush(self.heaps[group], (-self.counts[group][pair], *pair))
+        return made
+
+
+def epoch(
+    symbols: DataFrame,
+    width: Width,
+    min_frequency: int = 2,
+    condition=None,
+    allowed: Callable[[str, str], bool] = lambda left, right: True,
+    by: tuple[str, ...] = (),
+    others: DataFrame | None = None,
+) -> tuple[Epoch, dict[tuple, list[Candidate]]] | None:
+    """Count, choose candidates and fetch their segments; None if no pair is
+    frequent enough.
+
+    ``others`` (development texts) have segments and counts, but no say in the
+    candidates; their groups are named ``("dev", *group)``.
+    """
+    pairs = width.pairs
+    ranked = leading_pairs(symbols, pairs + 1, min_frequency, condition, by)
+    if not ranked:
+        return None
+    while True:
+        taken = {g: c[:pairs] for g, c in ranked.items()}
+        keys = {(c.left, c.right) for found in taken.values() for c in found}
+        tables = [stage(segment_table(t, keys, by), "segments") for t in (symbols, others) if t is not None]
+        sizes = [t.agg(F.count("*"), F.coalesce(F.sum(F.length("segment")), F.lit(0))).first() for t in tables]
+        if width.fits(sum(s[0] for s in sizes), sum(s[1] for s in sizes)):
             break
-        merged.append(ranked[found])
-        state.merged(ranked[found])
-        i = found + 1
-    return merged
+        for table in tables:
+            unstage(table)
+        pairs = min(pairs, width.pairs)
+    out = Epoch(keys, allowed)
+    for name, table in zip(((), ("dev",)), tables):
+        for row in table.toLocalIterator():
+            out.add((*name, *(row[c] for c in by)), row["segment"], row["freq"])
+        unstage(table)
+    bounds = {g: c[pairs] if len(c) > pairs else None for g, c in ranked.items()}
+    return out.ready(bounds), ranked
+
+
+__all__ = ["Candidate", "Epoch", "Width", "epoch", "leading_pairs", "segment_table", "segments_of"]

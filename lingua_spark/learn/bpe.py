@@ -7,11 +7,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lingua_spark.functions.pretok import SPECIAL_TOKENS
-from lingua_spark.learn.batching import Candidate, accept, surroundings
+from lingua_spark.learn.batching import Width, epoch
 from lingua_spark.learn.model import Event, MergeModel
 from lingua_spark.learn.wordtable import (
     MergedWords,
-    pair_counts,
     segment_all,
     symbol_counts,
     symbol_table,
@@ -19,20 +18,6 @@ from lingua_spark.learn.wordtable import (
 )
 from lingua_spark.runtime import stage
 
-ROUND_WIDTH = 32  # candidate pairs fetched per round
-
-
-def top_pairs(
-    symbols: DataFrame, min_frequency: int = 2, max_length: int | None = None, unit: str = "byte", k: int = ROUND_WIDTH
-) -> list[Candidate]:
-    """The k most frequent pairs: count, then left, then right."""
-    pairs = pair_counts(symbols).filter(F.col("n") >= min_frequency)
-    if max_length:
-        pairs = pairs.filter(symbol_length("left", unit) + symbol_length("right", unit) <= max_length)
-    rows = pairs.orderBy(F.desc("n"), "left", "right").limit(k).collect()
-    return [Candidate(r["left"], r["right"], r["n"]) for r in rows]
-
-
 def symbol_length(symbol: str, unit: str):
     """Length of a symbol in bytes or characters."""
     if unit == "byte":
@@ -68,22 +53,48 @@ def cover(table: DataFrame, kept: list[str]) -> DataFrame:
     return table.withColumn("syms", F.concat(F.lit("<"), F.array_join(parts, "><"), F.lit(">")))
 
 
+def short_pairs(max_length: int | None, unit: str):
+    """The condition that a pair's symbol is not too long, for Spark and for the driver."""
+    if not max_length:
+        return None, lambda left, right: True
+
+    def length(symbol: str) -> int:
+        return len(symbol) // 2 if unit == "byte" else len(bytes.fromhex(symbol).decode("utf-8", "replace"))
+
+    return (
+        symbol_length("left", unit) + symbol_length("right", unit) <= max_length,
+        lambda left, right: length(left) + length(right) <= max_length,
+    )
+
+
 def merge_loop(
-    words: MergedWords, n_merges: int, min_frequency: int = 2, max_length: int | None = None, unit: str = "byte"
+    words: MergedWords,
+    n_merges: int,
+    min_frequency: int = 2,
+    max_length: int | None = None,
+    unit: str = "byte",
+    known: list[str] = (),
 ) -> list[Event]:
-    """Rounds of two small jobs (top pairs, triples around them) until the
-    merges are made or no pair is frequent enough."""
+    """Epochs of a few jobs each until the merges are made or no pair is
+    frequent enough. ``known`` are the symbols that exist beforehand."""
     events: list[Event] = []
+    symbols, width = set(known), Width()
+    condition, allowed = short_pairs(max_length, unit)
     while len(events) < n_merges:
-        symbols = words.current()
-        ranked = top_pairs(symbols, min_frequency, max_length, unit)
-        if not ranked:
+        width.pairs = min(width.pairs, 2 * (n_merges - len(events)) + 8)
+        found = epoch(words.frame, width, min_frequency, condition, allowed)
+        if found is None:
             break
-        around = surroundings(symbols, [c.key for c in ranked]).get(())
-        batch = accept(ranked, around, n_merges - len(events)) if around else ranked[:1]
-        for pair in batch:
-            words.merge(pair.left, pair.right)
+        now, merges = found[0], []
+        while len(events) < n_merges and (pair := now.next((), min_frequency)):
+            now.merge(pair.left, pair.right)
+            merges.append((pair.left, pair.right))
             events.append(Event("+", pair.left, pair.right, pair.n))
+            if pair.merged in symbols:
+                break
+            symbols.add(pair.merged)
+        if len(events) < n_merges:
+            words.advance(merges)
     words.release()
     return events
 
@@ -109,10 +120,10 @@ def learn_bpe(
         table = stage(table, "symbols")
         table = cover(table, alphabet(table, character_coverage))
     words = MergedWords(table)
-    base = alphabet(words.base)
+    base = alphabet(words.frame)
     if n_merges is None:
         n_merges = max(0, vocab_size - len(special) - len(base))
-    events = merge_loop(words, n_merges, min_frequency, max_type_length, unit)
+    events = merge_loop(words, n_merges, min_frequency, max_type_length, unit, base)
     return MergeModel(df.sparkSession, base, events, preset, unit, special)
 
 
@@ -132,7 +143,7 @@ def learn_picky_bpe(
     token is split again. Base symbols stay."""
     special = list(SPECIAL_TOKENS if special_tokens is None else special_tokens)
     words = MergedWords(symbol_table(df, text, preset))
-    base = alphabet(words.base)
+    base = alphabet(words.frame)
     made: dict[str, tuple[str, str]] = {}
     events: list[Event] = []
     alive = set(base)
@@ -142,45 +153,53 @@ def learn_picky_bpe(
             return len(events) >= n_events
         return len(special) + len(alive) >= vocab_size
 
+    width, known = Width(), set(base)
+    condition, allowed = short_pairs(max_type_length, "byte")
     while not full():
-        symbols = words.current()
-        ranked = top_pairs(symbols, min_frequency, max_type_length)
-        if not ranked:
+        found = epoch(words.frame, width, min_frequency, condition, allowed)
+        if found is None:
             break
-        around = surroundings(symbols, [c.key for c in ranked]).get(())
-        batch = accept(ranked, around, len(ranked)) if around else ranked[:1]
-        used = [s for c in batch for s in (c.left, c.right)]
-        counts = _counts_of(symbols, used)
-        for pair in batch:
-            if full():
-                break
-            words.merge(pair.left, pair.right)
+        now, merges, replaced = found[0], [], []
+        counts = vocabulary_counts(words.frame)
+        while not full() and (pair := now.next((), min_frequency)):
+            before = {s: counts[s] for s in (pair.left, pair.right)}
+            count_merge(counts, pair, now.merge(pair.left, pair.right).get((), 0))
+            merges.append((pair.left, pair.right))
             made[pair.merged] = (pair.left, pair.right)
             alive.add(pair.merged)
             events.append(Event("+", pair.left, pair.right, pair.n))
-            dropped = [
+            splitting = [
                 s
                 for s in dict.fromkeys((pair.left, pair.right))
-                if s in made and s != pair.merged and pair.n / counts[s] >= threshold
+                if s in made and s != pair.merged and pair.n / before[s] >= threshold
             ]
-            splitting = list(dropped)
             while splitting:
                 token = splitting.pop(0)
                 left, right = made[token]
-                words.replace(f"<{token}>", f"<{left}><{right}>")
+                replaced.append((f"<{token}>", f"<{left}><{right}>"))
                 alive.discard(token)
                 events.append(Event("-", left, right))
                 # A part removed earlier must not come back.
                 splitting += [s for s in dict.fromkeys((left, right)) if s not in alive]
-            if dropped:
-                break  # the split changes other counts
+            if replaced or pair.merged in known:
+                break  # a split token's other occurrences are in no segment
+            known.add(pair.merged)
+        if not full():
+            words.advance(merges, replaced)
     words.release()
     return MergeModel(df.sparkSession, base, events, preset, "byte", special)
 
 
-def _counts_of(symbols: DataFrame, tokens: list[str]) -> dict[str, int]:
-    rows = symbol_counts(symbols).filter(F.col("token").isin(tokens)).collect()
-    return {r["token"]: r["n"] for r in rows}
+def vocabulary_counts(symbols: DataFrame) -> dict[str, int]:
+    """Occurrences of each symbol; as many rows as the vocabulary has so far."""
+    return {r["token"]: r["n"] for r in symbol_counts(symbols).collect()}
+
+
+def count_merge(counts: dict[str, int], pair, made: int) -> None:
+    """Follow the occurrences of symbols through a merge."""
+    counts[pair.left] -= made
+    counts[pair.right] -= made
+    counts[pair.merged] = counts.get(pair.merged, 0) + made
 
 
 def learn_scaffold_bpe(
@@ -194,44 +213,42 @@ def learn_scaffold_bpe(
     special_tokens: list[str] | None = None,
 ) -> MergeModel:
     """BPE whose tokens count only while they are at least as frequent as the
-    next candidate pair. Rarer ones become scaffolds: merges still go through
+    next candidate pair, at the end the one that would be merged next. Rarer ones become scaffolds: merges still go through
     them, but the encoder expands them."""
     special = list(SPECIAL_TOKENS if special_tokens is None else special_tokens)
     words = MergedWords(symbol_table(df, text, preset))
-    base = alphabet(words.base)
+    base = alphabet(words.frame)
     events: list[Event] = []
-    counts: dict[str, int] = {}  # tokens made by merges
+    made: set[str] = set()  # tokens made by merges
     scaffolds: set[str] = set()
 
     def full() -> bool:
         if n_merges is not None:
             return len(events) >= n_merges
-        return len(special) + len(base) + len(counts) - len(scaffolds) >= vocab_size
+        return len(special) + len(base) + len(made) - len(scaffolds) >= vocab_size
 
-    while not full():
-        symbols = words.current()
-        ranked = top_pairs(symbols, min_frequency, max_type_length)
-        if counts:
-            # Counts move in other words too, so they are refreshed per round.
-            counts = {t: 0 for t in counts} | _counts_of(symbols, list(counts))
-        if ranked:
-            scaffolds = {t for t, n in counts.items() if n < ranked[0].n}
-        if not ranked or full():
+    width, known = Width(), set(base)
+    condition, allowed = short_pairs(max_type_length, "byte")
+    while True:
+        found = epoch(words.frame, width, min_frequency, condition, allowed)
+        if found is None:
             break
-        around = surroundings(symbols, [c.key for c in ranked]).get(())
-        batch = accept(ranked, around, len(ranked)) if around else ranked[:1]
-        for i, pair in enumerate(batch):
-            words.merge(pair.left, pair.right)
-            events.append(Event("+", pair.left, pair.right, pair.n))
-            for token in (pair.left, pair.right):
-                if token in counts:
-                    counts[token] -= pair.n
-            counts[pair.merged] = counts.get(pair.merged, 0) + pair.n
-            if i + 1 == len(batch):
-                break  # the next candidate is known after the next round
-            scaffolds = {t for t, n in counts.items() if n < batch[i + 1].n}
+        now, merges = found[0], []
+        counts = vocabulary_counts(words.frame)
+        while pair := now.next((), min_frequency):
+            scaffolds = {t for t in made if counts.get(t, 0) < pair.n}
             if full():
                 break
+            count_merge(counts, pair, now.merge(pair.left, pair.right).get((), 0))
+            merges.append((pair.left, pair.right))
+            made.add(pair.merged)
+            events.append(Event("+", pair.left, pair.right, pair.n))
+            if pair.merged in known:
+                break
+            known.add(pair.merged)
+        if pair and full():
+            break
+        words.advance(merges)
     words.release()
     return MergeModel(df.sparkSession, base, events, preset, "byte", special, hidden=scaffolds)
 
@@ -290,5 +307,6 @@ def learn_super_bpe(
         n_merges = max(0, vocab_size - len(special) - len(base))
     inherited = model.events[: min(first, n_merges)]
     words = MergedWords(segment_all(table, [(e.left, e.right) for e in inherited]))
-    events = inherited + merge_loop(words, n_merges - len(inherited), min_frequency)
+    known = base + [e.left + e.right for e in inherited]
+    events = inherited + merge_loop(words, n_merges - len(inherited), min_frequency, known=known)
     return MergeModel(df.sparkSession, base, events, preset_phase2, "byte", special)

@@ -2,28 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lingua_spark.functions.pretok import SPECIAL_TOKENS
 from lingua_spark.functions.text import strip
-from lingua_spark.learn.batching import Acceptance, Candidate, Surroundings, surroundings
+from lingua_spark.learn.batching import Width, epoch
 from lingua_spark.learn.bpe import alphabet
 from lingua_spark.learn.model import Event, MergeModel
-from lingua_spark.learn.wordtable import (
-    MergedWords,
-    contains_any,
-    neighbours,
-    pair_counts,
-    segment_all,
-    symbol_array,
-    symbol_table,
-)
+from lingua_spark.learn.wordtable import MergedWords, segment_all, symbol_array, symbol_table
 from lingua_spark.operators.matching import lang_parity_check
 from lingua_spark.runtime import stage
 
-ROUND_WIDTH = 16  # candidate pairs per language and round
-
 
 def lang_compression(df: DataFrame, tokens, lang: str = "lang", text: str = "text", unit: str = "byte") -> DataFrame:
     """Units (bytes, characters or texts) per token for each language."""
@@ -47,36 +37,11 @@ def _check(train: DataFrame, dev: DataFrame | None, ratio: dict | None, lang: st
     return langs
 
 
-def _top_by_lang(symbols: DataFrame, min_frequency: int) -> dict[str, list[Candidate]]:
-    """Each language's most frequent pairs."""
-    pairs = pair_counts(symbols, ("lang",)).filter(F.col("n") >= min_frequency)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "left", "right"))
-    rows = pairs.withColumn("rank", rank).filter(F.col("rank") <= ROUND_WIDTH).collect()
-    out: dict[str, list[Candidate]] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["rank"])):
-        out.setdefault(r["lang"], []).append(Candidate(r["left"], r["right"], r["n"]))
-    return out
-
-
 def _symbol_totals(symbols: DataFrame) -> dict[str, int]:
     rows = symbols.groupBy("lang").agg(F.sum(F.col("freq") * F.size(symbol_array("syms"))).alias("n")).collect()
     return {r["lang"]: r["n"] for r in rows}
 
 
-def _savings(symbols: DataFrame, keys: list[str]) -> dict[tuple[str, str], int]:
-    """(language, pair) -> symbols the merge would save."""
-    pairs = neighbours(symbols.filter(contains_any(keys)), 2, ["left", "right"], ("lang",))
-    key = F.concat(F.lit("<"), "left", F.lit("><"), "right", F.lit(">"))
-    rows = (
-        pairs.withColumn("key", key)
-        .filter(F.col("key").isin(keys))
-        .groupBy("lang", "key")
-        .agg(F.sum("freq").alias("n"))
-        .collect()
-    )
-    return {(r["lang"], r["key"]): r["n"] for r in rows}
-
-
 def _parity_loop(
     train: MergedWords,
     dev: MergedWords | None,
@@ -84,49 +49,43 @@ def _parity_loop(
     langs: list[str],
     n_merges: int,
     min_frequency: int,
+    known: list[str],
 ) -> list[Event]:
-    """Rounds that end when only fresh counts can tell the next merge.
+    """Epochs over the segments of all languages, of both tables.
 
     ``units`` over the current symbol count is a language's compression. The
-    turn moves to the worst language after every merge; the symbol counts are
-    followed by the savings each candidate has in each language.
+    turn moves to the worst language after every merge; the symbol counts follow
+    the merges made in each language's segments.
     """
     events: list[Event] = []
-    finished: set[str] = set()
+    symbols, width = set(known), Width()
+    place = {lang: i for i, lang in enumerate(langs)}
     totals: dict[str, int] = {}
-    while len(events) < n_merges and len(finished) < len(langs):
-        symbols = train.current()
-        ranked = _top_by_lang(symbols, min_frequency)
-        finished = {lang for lang in langs if lang not in ranked}
-        if not ranked:
+    while len(events) < n_merges:
+        found = epoch(train.frame, width, min_frequency, by=("lang",), others=dev.frame if dev else None)
+        if found is None:
             break
-        keys = sorted({c.key for pairs in ranked.values() for c in pairs})
-        around = surroundings(symbols, keys, ("lang",))
-        on_dev = symbols if dev is None else dev.current()
-        totals = totals or _symbol_totals(on_dev)
-        saved = _savings(on_dev, keys)
-        states = {lang: Acceptance(around.get((lang,), Surroundings({}, {}))) for lang in ranked}
-        start = dict.fromkeys(ranked, 0)
-        merged: list[Candidate] = []
+        now, ranked = found
+        open_langs = [lang for (lang,) in ranked]  # the others have no frequent pair left
+        totals = totals or _symbol_totals(dev.frame if dev else train.frame)
+        merges = []
         while len(events) < n_merges:
-            turn = min(ranked, key=lambda lang: (units[lang] / max(totals.get(lang, 0), 1), langs.index(lang)))
-            found = states[turn].next(ranked[turn], start[turn], merged)
-            if found is None:
+            turn = min(open_langs, key=lambda lang: (units[lang] / max(totals.get(lang, 0), 1), place[lang]))
+            pair = now.next((turn,), min_frequency)
+            if pair is None:
                 break
-            pair = ranked[turn][found]
-            start[turn] = found + 1
-            merged.append(pair)
-            for state in states.values():
-                state.merged(pair)
+            made = now.merge(pair.left, pair.right)
             for lang in totals:
-                totals[lang] -= saved.get((lang, pair.key), 0)
-            train.merge(pair.left, pair.right)
-            if dev:
-                dev.merge(pair.left, pair.right)
+                totals[lang] -= made.get(("dev", lang) if dev else (lang,), 0)
+            merges.append((pair.left, pair.right))
             events.append(Event("+", pair.left, pair.right, pair.n))
-            if pair.left == pair.right:
-                totals = {}  # overlapping occurrences: the saving is not the pair count
+            if pair.merged in symbols:
                 break
+            symbols.add(pair.merged)
+        if len(events) < n_merges:
+            train.advance(merges)
+            if dev:
+                dev.advance(merges)
     train.release()
     if dev:
         dev.release()
@@ -185,19 +144,19 @@ def learn_parity_bpe(
         return made[0], made[1]
 
     words, dev_words = tables(preset, [])
-    base = alphabet(words.base)
-    units = _units(dev, train, ratio, langs, unit, _symbol_totals(words.base) if dev is None else None)
-    events = _parity_loop(words, dev_words, units, langs, min(first, n_merges), min_frequency)
+    base = alphabet(words.frame)
+    units = _units(dev, train, ratio, langs, unit, _symbol_totals(words.frame) if dev is None else None)
+    spark = words.frame.sparkSession
+    events = _parity_loop(words, dev_words, units, langs, min(first, n_merges), min_frequency, base)
     if two_phases:
         if dev is None:
             raw = stage(symbol_table(train, "text", preset_phase2, ("lang",)), "symbols")
             units = _units(None, train, ratio, langs, unit, _symbol_totals(raw))
         words, dev_words = tables(preset_phase2, [(e.left, e.right) for e in events])
         base = sorted(set(base) | set(alphabet(symbol_table(train, "text", preset_phase2))))
-        events += _parity_loop(words, dev_words, units, langs, n_merges - len(events), min_frequency)
-    return MergeModel(
-        words.base.sparkSession, base, events, preset_phase2 or preset, "byte", list(SPECIAL_TOKENS)
-    )
+        known = base + [e.left + e.right for e in events]
+        events += _parity_loop(words, dev_words, units, langs, n_merges - len(events), min_frequency, known)
+    return MergeModel(spark, base, events, preset_phase2 or preset, "byte", list(SPECIAL_TOKENS))
 
 
 def learn_parity_super_bpe(train: DataFrame, n_merges: int, **options) -> MergeModel:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lingua_spark.functions.pretok import byte_symbols, char_symbols, pretoken_rows, pretokens, symbol_array
 from lingua_spark.functions.segmentation import merge_symbols
-from lingua_spark.runtime import stage_spread, unstage
+from lingua_spark.runtime import stage, stage_spread, unstage
 
 
 def word_counts(df: DataFrame, text: str = "text", preset: str = "byte_level", by: tuple[str, ...] = ()) -> DataFrame:
@@ -37,53 +37,36 @@ def pair_key(left: str, right: str) -> str:
 
 
 class MergedWords:
-    """A staged symbol table under a growing list of replacements.
+    """A staged symbol table under a growing list of merges.
 
-    A round's table is the staged one with the replacements made since, kept
-    in memory while the round's jobs scan it. After ``limit`` replacements it
-    is staged anew: lineage and expression stay short, and a lost executor
-    costs one pass over its share.
+    ``advance`` applies an epoch's merges in one pass and stages the result;
+    one staged copy of the words exists at a time, apart from the moment of the
+    change. It is kept in memory while an epoch's jobs scan it, and a lost
+    executor costs one read of its share.
     """
 
-    def __init__(self, table: DataFrame, limit: int = 32):
-        self.base = stage_spread(table, "words")
-        self.frame = self.base
-        self.pending: list[tuple[str, str]] = []
-        self.fresh = True
-        self.limit = limit
-
-    def replace(self, old: str, new: str) -> None:
-        self.pending.append((old, new))
-        self.fresh = False
-
-    def merge(self, left: str, right: str) -> None:
-        self.replace(pair_key(left, right), f"<{left}{right}>")
-
-    def current(self) -> DataFrame:
-        """The table with all replacements."""
-        if self.fresh:
-            return self.frame
-        symbols = F.col("syms")
-        for old, new in self.pending:
-            symbols = F.replace(symbols, F.lit(old), F.lit(new))
-        table = self.base.withColumn("syms", symbols)
-        if self.frame is not self.base:
-            self.frame.unpersist()
-        if len(self.pending) > self.limit:
-            staged = stage_spread(table, "words")
-            self.base.unpersist()
-            unstage(self.base)  # at most one staged copy of the words is kept
-            self.base = self.frame = staged
-            self.pending = []
-        else:
-            self.frame = table.persist(StorageLevel.MEMORY_AND_DISK)
-        self.fresh = True
-        return self.frame
+    def __init__(self, table: DataFrame):
+        self.frame = stage_spread(table, "words")
+
+    def advance(self, merges: list[tuple[str, str]], replaced: list[tuple[str, str]] = ()) -> None:
+        """Apply merges in their order, then plain replacements of symbols.
+
+        The last merge may make a symbol that existed before; it is applied on
+        its own, so that it feeds no earlier one.
+        """
+        symbols = segment_all(self.frame, merges[:-1]) if len(merges) > 1 else self.frame
+        last = [(pair_key(*m), f"<{m[0]}{m[1]}>") for m in merges[-1:]]
+        column = F.col("syms")
+        for old, new in [*last, *replaced]:
+            column = F.replace(column, F.lit(old), F.lit(new))
+        staged = stage(symbols.withColumn("syms", column), "words").persist(StorageLevel.MEMORY_AND_DISK)
+        staged.count()
+        self.release()
+        self.frame = staged
 
     def release(self) -> None:
         self.frame.unpersist()
-        self.base.unpersist()
-        unstage(self.base)
+        unstage(self.frame)
 
 
 def neighbours(symbols: DataFrame, width: int, names: list[str], by: tuple[str, ...] = ()) -> DataFrame:
@@ -113,24 +96,14 @@ def windows(word: str, width: int, overlap: int) -> Column:
     return F.transform(starts, lambda i: F.substring(F.col(word), i * width + 1, F.lit(width + overlap)))
 
 
-def contains_any(keys: list[str]) -> Column:
-    """Whether the symbol string may hold one of the pairs; a cheap test
-    before the symbols are split up, left out for long lists."""
-    if len(keys) > 64:
-        return F.lit(True)
-    hit = F.lit(False)
-    for key in keys:
-        hit = hit | F.contains("syms", F.lit(key))
-    return hit
-
-
-def segment_all(table: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
+def segment_all(table: DataFrame, merges: list[tuple[str, str]], unrolled: int = 16) -> DataFrame:
     """Replay a merge list on a symbol table.
 
-    Short lists become generated code; long ones a loop over the pairs present
-    in each word, with the ranks broadcast (bounded by the vocabulary).
+    Lists of up to ``unrolled`` merges become generated code; longer ones a loop
+    over the pairs present in each word, with the ranks broadcast (bounded by
+    the vocabulary).
     """
-    if len(merges) <= 48:
+    if len(merges) <= unrolled:
         symbols = F.col("syms")
         for left, right in merges:
             symbols = F.replace(symbols, F.lit(pair_key(left, right)), F.lit(f"<{left}{right}>"))
@@ -146,7 +119,6 @@ def segment_all(table: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
 
 __all__ = [
     "MergedWords",
-    "contains_any",
     "neighbours",
     "pair_counts",
     "pair_key",

@@ -100,9 +100,22 @@ def learn_picky_bpe(spark, folder):
     return model.events_table()
 
 
-@query("learn_scaffold_bpe")
+_SCAFFOLD = 20
+
+
+@query(
+    "learn_scaffold_bpe",
+    f"""
+    WITH {words_cte()}, {merge_steps(0, _SCAFFOLD + 1, 'n >= 2 AND length(l) + length(r) <= 32')},
+         c AS (SELECT token, sum(f) AS k FROM (
+                   SELECT unnest(string_split(s[2:-2], '><')) AS token, f FROM w{_SCAFFOLD}) GROUP BY token),
+         m AS ({merges_select(_SCAFFOLD)})
+    SELECT m.rank, m."left", m."right", m.n, coalesce(c.k, 0) < (SELECT n FROM m{_SCAFFOLD}) AS scaffold
+    FROM m LEFT JOIN c ON c.token = m."left" || m."right"
+    """,
+)
 def learn_scaffold_bpe(spark, folder):
-    model = bpe.learn_scaffold_bpe(_documents(spark, folder), n_merges=20, preset="words")
+    model = bpe.learn_scaffold_bpe(_documents(spark, folder), n_merges=_SCAFFOLD, preset="words")
     hidden = F.col("token").isin(list(model.hidden))
     merged = model.merges_table().withColumn("token", F.concat("left", "right"))
     return merged.withColumn("scaffold", hidden).drop("token")

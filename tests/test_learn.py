@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lingua_spark.functions.segmentation import best_path, merge_symbols, merge_with_dropout
-from lingua_spark.learn import bpe, parity, phrases, unigram
+from lingua_spark.learn import batching, bpe, parity, phrases, unigram
 from lingua_spark.learn.api import fit
 from lingua_spark.learn.model import EventReplay, initial_symbols
 from lingua_spark.learn.wordtable import segment_all, symbol_table
@@ -79,6 +79,56 @@ def test_batched_merges_equal_one_by_one(df, texts):
     assert learned(bpe.learn_bpe(df, n_merges=45, preset="words")) == one_by_one(texts, 45)
 
 
+def by_epochs(words, n, pairs):
+    """The learner's loop on a plain dictionary of words."""
+    out, known, epochs = [], {s for symbols, _ in words.values() for s in symbols}, 0
+    while len(out) < n:
+        ranked = sorted((-k, *p) for p, k in count_pairs(words).items() if k >= 2)
+        if not ranked:
+            break
+        keys = {p[1:] for p in ranked[:pairs]}
+        segments = Counter()
+        for symbols, k in words.values():
+            for segment in batching.segments_of(symbols, keys):
+                segments[segment] += k
+        now = batching.Epoch(keys)
+        for segment, k in segments.items():
+            now.add((), segment, k)
+        bound = ranked[pairs] if len(ranked) > pairs else None
+        now.ready({(): bound and batching.Candidate(bound[1], bound[2], -bound[0])})
+        epochs, before = epochs + 1, len(out)
+        while len(out) < n and (pair := now.next((), 2)):
+            made = now.merge(pair.left, pair.right)
+            after = apply(words, [pair.left, pair.right], [pair.merged])
+            assert made.get((), 0) == sum((len(s) - len(after[w][0])) * k for w, (s, k) in words.items())
+            words = after
+            out.append((pair.left, pair.right, pair.n))
+            if pair.merged in known:
+                break
+            known.add(pair.merged)
+        assert len(out) > before
+    return out, epochs
+
+
+def test_epochs_equal_one_by_one():
+    """Small alphabets: ties, overlaps and symbols that two merges make."""
+    rng, fewer = random.Random(7), 0
+    for _ in range(300):
+        letters = rng.choice(["ab", "abc", "abcdef"])
+        texts = [" ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 12))) for _ in range(rng.randrange(1, 25)))]
+        expected = one_by_one(texts, 30)
+        got, epochs = by_epochs(table(texts), 30, rng.choice([1, 2, 3, 5, 20]))
+        assert got == expected
+        fewer += epochs < len(expected)
+    assert fewer > 100
+
+
+@pytest.mark.parametrize("width", [dict(pairs=1, most=2), dict(pairs=64, segments=40), dict(pairs=8, letters=300, most=9)])
+def test_width_changes_no_merge(df, texts, monkeypatch, width):
+    monkeypatch.setattr(bpe, "Width", lambda: batching.Width(**width))
+    assert learned(bpe.learn_bpe(df, n_merges=12, preset="words")) == one_by_one(texts, 12)
+
+
 def test_character_symbols_and_maximum_length(df, texts):
     got = bpe.learn_bpe(df, n_merges=15, preset="words", unit="char", max_type_length=3)
 
@@ -147,15 +197,11 @@ def test_heap_merging_equals_replaying():
         assert merge_with_dropout(symbols, ranks, 1.1, "k") == symbols
 
 
-def test_long_merge_lists_are_replayed_in_python(spark, df):
+def test_merge_lists_are_replayed_alike(spark, df):
     model = bpe.learn_bpe(df, n_merges=55, preset="words")
     words = symbol_table(df, preset="words")
-    short = words
-    for i in range(0, len(model.merges), 20):
-        short = segment_all(short, model.merges[i : i + 20])
-    assert sorted(r["syms"] for r in short.collect()) == sorted(
-        r["syms"] for r in segment_all(words, model.merges).collect()
-    )
+    ways = [sorted(r["syms"] for r in segment_all(words, model.merges, n).collect()) for n in (0, 54, 55)]
+    assert ways[0] == ways[1] == ways[2]
 
 
 def test_picky_equals_a_loop(df, texts):
