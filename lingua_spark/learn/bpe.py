@@ -292,20 +292,27 @@ def learn_super_bpe(
     preset_phase2: str = "superbpe-phase2",
     min_frequency: int = 2,
     special_tokens: list[str] | None = None,
+    merges: list[tuple[str, str]] | None = None,
 ) -> MergeModel:
     """Two phases: merges inside words, then, on coarser pre-tokens, merges
     across them. Phase 2 starts from the replayed first merges (60 % unless
-    given)."""
+    given), either learned here or the first of ``merges``, pairs of symbols
+    from an earlier model, which then have no counts."""
     special = list(SPECIAL_TOKENS if special_tokens is None else special_tokens)
     first = phase1_merges if phase1_merges is not None else int((vocab_size or n_merges) * 0.6)
-    model = learn_bpe(
-        df, n_merges=first, text=text, preset=preset, min_frequency=min_frequency, special_tokens=special
-    )
+    if merges is None:
+        model = learn_bpe(
+            df, n_merges=first, text=text, preset=preset, min_frequency=min_frequency, special_tokens=special
+        )
+        learned, letters = model.events, set(model.alphabet)
+    else:
+        learned = [Event("+", left, right) for left, right in merges]
+        letters = {s for pair in merges for s in pair} - {left + right for left, right in merges}
     table = stage(symbol_table(df, text, preset_phase2), "symbols")
-    base = sorted(set(model.alphabet) | set(alphabet(table)))
+    base = sorted(letters | set(alphabet(table)))
     if n_merges is None:
         n_merges = max(0, vocab_size - len(special) - len(base))
-    inherited = model.events[: min(first, n_merges)]
+    inherited = learned[: min(first, n_merges)]
     words = MergedWords(segment_all(table, [(e.left, e.right) for e in inherited]))
     known = base + [e.left + e.right for e in inherited]
     events = inherited + merge_loop(words, n_merges - len(inherited), min_frequency, known=known)

@@ -262,6 +262,12 @@ def test_second_phase_merges_across_words(df):
     assert any("20" in bytes.fromhex(a + b).hex(" ").split() for a, b in model.merges[25:])
 
 
+def test_second_phase_from_given_merges(df):
+    both = bpe.learn_super_bpe(df, n_merges=12, phase1_merges=8, preset="words", preset_phase2="text")
+    given = bpe.learn_super_bpe(df, n_merges=12, phase1_merges=8, preset_phase2="text", merges=both.merges[:10])
+    assert given.merges == both.merges and set(given.alphabet) == set(both.alphabet)
+
+
 def test_dropout_is_reproducible(spark, df):
     model = bpe.learn_bpe(df, n_merges=20, preset="words")
     plain = {r["doc_id"]: r["t"] for r in model.encode(df, out="t", as_tokens=True).collect()}
