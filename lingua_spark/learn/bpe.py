@@ -3,6 +3,7 @@ variants, and two-phase learning across word borders."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,15 +43,19 @@ def alphabet(table: DataFrame, coverage: float = 1.0) -> list[str]:
 
 def cover(table: DataFrame, kept: list[str]) -> DataFrame:
     """Replace characters outside the alphabet by their bytes."""
-    from lingua_spark.functions.pretok import symbol_array
+    shared = table.sparkSession.sparkContext.broadcast(set(kept))
 
-    parts = F.transform(
-        symbol_array("syms"),
-        lambda s: F.when(s.isin(kept), s).otherwise(
-            F.regexp_replace(s, "(..)(?!$)", "$1><")
-        ),
-    )
-    return table.withColumn("syms", F.concat(F.lit("<"), F.array_join(parts, "><"), F.lit(">")))
+    @F.pandas_udf("string")
+    def covered(column: pd.Series) -> pd.Series:
+        inside = shared.value
+
+        def bytes_of(word: str) -> str:
+            symbols = word[1:-1].split("><")
+            return "><".join(s if s in inside else "><".join(s[i : i + 2] for i in range(0, len(s), 2)) for s in symbols)
+
+        return column.map(lambda word: f"<{bytes_of(word)}>")
+
+    return table.withColumn("syms", covered("syms"))
 
 
 def short_pairs(max_length: int | None, unit: str):

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lingua_spark.functions.pretok import SPECIAL_TOKENS, pretokens
 from lingua_spark.functions.segmentation import best_path, merge_symbols, merge_with_dropout
 
+BYTE_PIECES = [f"<0x{b:02X}>" for b in range(256)]
 MEMO = 1 << 16  # words remembered per task
 MEMO_LENGTH = 64  # longer ones are segmented each time
 
@@ -296,24 +297,35 @@ class EventReplay:
             symbols, now = rewritten, found + 1
 
 
+def spelled(character: str) -> list[str]:
+    return [BYTE_PIECES[b] for b in character.encode("utf-8", "surrogatepass")]
+
+
 @dataclass
 class PieceModel:
-    """A unigram tokenizer: pieces with log-probabilities."""
+    """A unigram tokenizer: pieces with log-probabilities, and with a byte
+    fallback the 256 byte pieces between special tokens and pieces."""
 
     spark: SparkSession
     logp: dict[str, float]
     preset: str = "words"
     special: list[str] = field(default_factory=lambda: list(SPECIAL_TOKENS))
     history: list[float] = field(default_factory=list)  # log-likelihood per EM step
+    byte_fallback: bool = False
+
+    @property
+    def fixed(self) -> list[str]:
+        """Tokens without a probability."""
+        return [*self.special, *(BYTE_PIECES if self.byte_fallback else [])]
 
     @property
     def vocab_size(self) -> int:
-        return len(self.special) + len(self.logp)
+        return len(self.fixed) + len(self.logp)
 
     def vocab_table(self) -> DataFrame:
         pieces = sorted(self.logp.items(), key=lambda kv: (-kv[1], kv[0]))
-        rows = [(t, i, None) for i, t in enumerate(self.special)]
-        rows += [(t, i + len(self.special), p) for i, (t, p) in enumerate(pieces)]
+        rows = [(t, i, None) for i, t in enumerate(self.fixed)]
+        rows += [(t, i + len(self.fixed), p) for i, (t, p) in enumerate(pieces)]
         return self.spark.createDataFrame(rows, "token string, id int, logp double")
 
     def tables(self) -> dict[str, DataFrame]:
@@ -321,6 +333,7 @@ class PieceModel:
             ("kind", json.dumps("pieces")),
             ("special", json.dumps(self.special)),
             ("preset", json.dumps(self.preset)),
+            ("byte_fallback", json.dumps(self.byte_fallback)),
         ]
         settings = self.spark.createDataFrame(rows, "name string, value string")
         return {"vocab": self.vocab_table(), "settings": settings}
@@ -329,12 +342,13 @@ class PieceModel:
         """Ids (or pieces) of the most likely segmentation of each text.
 
         Map-only, words remembered. A null text has none; a character outside
-        the vocabulary gets <unk>.
+        the vocabulary gets its bytes or, without the fallback, <unk>.
         """
         longest = max((len(t) for t in self.logp), default=1)
         costly = min(self.logp.values(), default=0.0) - 10.0
         pieces = sorted(self.logp, key=lambda t: (-self.logp[t], t))
-        ids = {t: i + len(self.special) for i, t in enumerate(pieces)}
+        ids = {t: i for i, t in enumerate([*self.fixed, *pieces])}
+        fallback = self.byte_fallback
         unknown = self.special.index("<unk>") if "<unk>" in self.special else -1
         shared = self.spark.sparkContext.broadcast((self.logp, ids))
 
@@ -344,6 +358,8 @@ class PieceModel:
             @remembered
             def of_word(word: str):
                 path = best_path(word, logp, longest, costly)
+                if fallback:
+                    path = [t for p in path for t in ([p] if p in logp else spelled(p))]
                 return path if as_tokens else [index.get(t, unknown) for t in path]
 
             for column in batches:
@@ -359,7 +375,9 @@ def read_tokenizer(spark: SparkSession, path: str) -> MergeModel | PieceModel:
     settings = {r["name"]: json.loads(r["value"]) for r in spark.read.parquet(f"{path}/settings").collect()}
     if settings["kind"] == "pieces":
         rows = spark.read.parquet(f"{path}/vocab").filter("logp is not null").collect()
-        return PieceModel(spark, {r["token"]: r["logp"] for r in rows}, settings["preset"], settings["special"])
+        logp = {r["token"]: r["logp"] for r in rows}
+        fallback = settings.get("byte_fallback", False)
+        return PieceModel(spark, logp, settings["preset"], settings["special"], byte_fallback=fallback)
     counts = {r["rank"]: r["n"] for r in spark.read.parquet(f"{path}/merges").collect()}
     events, rank = [], 0
     for row in spark.read.parquet(f"{path}/events").orderBy("step").collect():

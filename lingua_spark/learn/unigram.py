@@ -1,21 +1,31 @@
-"""Unigram pieces by expectation maximisation and pruning."""
+"""Unigram pieces by expectation maximisation and pruning.
+
+Pieces have numbers. Their numbers reach the tasks once per pruning round, their
+log-probabilities once per step as one array, and a step's counts come back as
+(number, count); each is bounded by the seed size. The lattices of
+equally long words are summed side by side in numpy.
+"""
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lingua_spark.functions.pretok import SPECIAL_TOKENS
 from lingua_spark.functions.segmentation import best_path
-from lingua_spark.learn.model import PieceModel
+from lingua_spark.learn.model import BYTE_PIECES, PieceModel
 from lingua_spark.learn.wordtable import windows, word_counts
-from lingua_spark.runtime import stage_spread
-
+from lingua_spark.operators.ordered import KEY, block_bounds, cut_at_rank, literal, with_key
+from lingua_spark.runtime import stage, stage_spread
 
 WINDOW = 256
+CELLS = 1 << 19  # (word, start, length) cells summed at once
+NOTHING = float("-inf")
 
 
 def substrings(words: DataFrame, longest: int = 16, word: str = "word", freq: str = "freq") -> DataFrame:
@@ -36,119 +46,220 @@ def substrings(words: DataFrame, longest: int = 16, word: str = "word", freq: st
 
 def seed_pieces(words: DataFrame, size: int = 1_000_000, longest: int = 16) -> DataFrame:
     """Every single character, then the substrings seen twice or more with the
-    highest count · length, ``size`` pieces of them."""
-    counts = substrings(words, longest).withColumn("score", F.col("n") * F.length("piece"))
-    singles = counts.filter(F.length("piece") == 1)
-    longer = (
-        counts.filter((F.length("piece") > 1) & (F.col("n") >= 2))
-        .orderBy(F.desc("score"), F.asc(F.hex(F.encode("piece", "UTF-8"))))
-        .limit(size)
-    )
-    return singles.unionByName(longer)
+    highest count · length, ``size`` pieces of them.
+
+    The last of them is found in the block of the order that holds it, so no
+    task sorts or gathers them all.
+    """
+    length = F.length("piece")
+    counts = substrings(words, longest).filter((length == 1) | (F.col("n") >= 2))
+    counts = stage(counts.withColumn("score", F.col("n") * length), "substrings")
+    longer = counts.filter(length > 1)
+    if longer.count() <= size:
+        return counts
+    order = {"_all": F.lit(0), "_falling": -F.col("score"), "_code": F.hex(F.encode("piece", "UTF-8"))}
+    keyed = with_key(longer.withColumns(order), ["_falling", "_code"], ties=[]).drop("_falling", "_code")
+    rank = words.sparkSession.createDataFrame([(0, size)], "_all int, rank bigint")
+    cut = cut_at_rank(keyed, ["_all"], KEY, rank, block_bounds(keyed, KEY)).first()
+    if cut is None:  # size 0
+        return counts.filter(length == 1)
+    kept = keyed.filter(F.col(KEY) <= literal(cut["cut"], keyed.schema[KEY].dataType))
+    return counts.filter(length == 1).unionByName(kept.select(*counts.columns))
+
+
+def covered_characters(words: DataFrame, coverage: float) -> set[str]:
+    """The most frequent characters that make up the share ``coverage`` of all;
+    at most as many as Unicode has."""
+    single = substrings(words, 1).orderBy(F.desc("n"), F.hex(F.encode("piece", "UTF-8"))).collect()
+    total, seen, kept = sum(r["n"] for r in single), 0, set()
+    for row in single:
+        if seen >= coverage * total:
+            break
+        seen += row["n"]
+        kept.add(row["piece"])
+    return kept
+
+
+def covered_parts(words: DataFrame, kept: set[str]) -> DataFrame:
+    """The words cut at characters outside ``kept``, which no piece may hold."""
+    shared = words.sparkSession.sparkContext.broadcast(kept)
+
+    @F.pandas_udf("array<string>")
+    def parts(column: pd.Series) -> pd.Series:
+        inside = shared.value
+        return column.map(lambda word: "".join(c if c in inside else "\0" for c in word).split("\0"))
 
+    rows = words.select(F.explode(parts("word")).alias("word"), "freq").filter(F.col("word") != "")
+    return rows.groupBy("word").agg(F.sum("freq").alias("freq"))
 
-def digamma(x: float) -> float:
-    value = 0.0
-    while x < 6:
-        value -= 1 / x
-        x += 1
+
+def digamma(x: np.ndarray) -> np.ndarray:
+    value = -sum(1 / (x + m) for m in range(6))
+    x = x + 6
     f = 1 / (x * x)
-    return value + math.log(x) - 0.5 / x - f * (1 / 12 - f * (1 / 120 - f / 252))
-
-
-def log_add(a: float, b: float) -> float:
-    if a < b:
-        a, b = b, a
-    return a if b == float("-inf") else a + math.log1p(math.exp(b - a))
-
-
-def expected_counts(word: str, logp: dict, longest: int) -> tuple[float, dict[str, float]]:
-    """Log-likelihood of a word and the posterior count of each piece."""
-    n = len(word)
-    low = float("-inf")
-    ahead, back = [0.0] + [low] * n, [low] * n + [0.0]
-    edges = [
-        (i, j, word[i:j], logp[word[i:j]])
-        for i in range(n)
-        for j in range(i + 1, min(n, i + longest) + 1)
-        if word[i:j] in logp
-    ]
-    for i, j, _, p in edges:
-        ahead[j] = log_add(ahead[j], ahead[i] + p)
-    for i, j, _, p in reversed(edges):
-        back[i] = log_add(back[i], back[j] + p)
-    total, counts = ahead[n], {}
-    if total == low:
-        return 0.0, counts
-    for i, j, piece, p in edges:
-        posterior = math.exp(min(0.0, ahead[i] + p + back[j] - total))
-        if posterior:
-            counts[piece] = counts.get(piece, 0.0) + posterior
-    return total, counts
-
-
-def _expectation(words: DataFrame, logp: dict, longest: int) -> tuple[float, dict[str, float]]:
-    """One E step: counts are summed per task, then by a shuffle on the piece;
-    a model's worth of rows comes back."""
-    shared = words.sparkSession.sparkContext.broadcast(logp)
+    return value + np.log(x) - 0.5 / x - f * (1 / 12 - f * (1 / 120 - f / 252))
+
+
+def equal_lengths(frame: pd.DataFrame, longest: int) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Words of one length at a time, as many as CELLS allows, with their counts."""
+    for n, group in frame.groupby(frame["word"].str.len()):
+        width = max(1, CELLS // (n * min(n, longest)))
+        for at in range(0, len(group), width):
+            part = group.iloc[at : at + width]
+            yield part["word"].tolist(), part["freq"].to_numpy(float)
+
+
+class Lattices:
+    """The lattices of equally long words: ``cells`` are the numbers of the
+    pieces by word, start and length - 1, ``len(index)`` where there is none.
+
+    A word that is too long for one table of cells is taken in blocks of starts.
+    """
+
+    def __init__(self, words: list[str], index: dict[str, int], logp: np.ndarray, longest: int):
+        self.words, self.index, self.n = words, index, len(words[0])
+        self.longest = min(longest, self.n)
+        self.logp = np.append(logp, NOTHING)
+        width = max(1, CELLS // (len(words) * self.longest))
+        self.blocks = [(s, min(self.n, s + width)) for s in range(0, self.n, width)]
+        self.known = self._cells(*self.blocks[0]) if len(self.blocks) == 1 else None
+
+    def _cells(self, start: int, stop: int) -> np.ndarray:
+        none, get, longest = len(self.index), self.index.get, self.longest
+        padding, flat = [none] * longest, []
+        for word in self.words:
+            for i in range(start, stop):
+                part = word[i : i + longest]
+                flat += [get(part[:k], none) for k in range(1, len(part) + 1)]
+                flat += padding[len(part) :]
+        return np.array(flat, np.int32).reshape(len(self.words), stop - start, longest)
+
+    def steps(self, backwards: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(start, cells, log-probabilities) of each block."""
+        for start, stop in reversed(self.blocks) if backwards else self.blocks:
+            cells = self._cells(start, stop) if self.known is None else self.known
+            yield start, cells, self.logp[cells]
+
+    def _table(self, at: int) -> np.ndarray:
+        table = np.full((len(self.words), self.n + self.longest + 1), NOTHING)
+        table[:, at] = 0.0
+        return table
+
+    def expectation(self, freq: np.ndarray) -> tuple[float, np.ndarray]:
+        """The log-likelihood and the expected count of each piece. Words that no
+        pieces spell add nothing."""
+        ahead, back, longest = self._table(0), self._table(self.n), self.longest
+        for start, _, logs in self.steps():
+            for i in range(logs.shape[1]):
+                a = start + i
+                reached = ahead[:, a + 1 : a + 1 + longest]
+                np.logaddexp(reached, ahead[:, a, None] + logs[:, i], out=reached)
+        total = ahead[:, self.n]
+        spelled = np.isfinite(total)
+        norm = np.where(spelled, total, 0.0)
+        counts = np.zeros(len(self.logp))
+        for start, cells, logs in self.steps(backwards=True):
+            for i in reversed(range(logs.shape[1])):
+                a = start + i
+                through = logs[:, i] + back[:, a + 1 : a + 1 + longest]
+                back[:, a] = np.logaddexp.reduce(through, axis=1)
+                logs[:, i] = through + (ahead[:, a] - norm)[:, None]
+            weights = np.exp(np.minimum(logs, 0.0)) * np.where(spelled, freq, 0.0)[:, None, None]
+            used = weights > 0
+            counts += np.bincount(cells[used], weights[used], len(counts))
+        return float(norm @ freq), counts[:-1]
+
+    def best(self, freq: np.ndarray) -> np.ndarray:
+        """How often each piece is on the words' most likely paths."""
+        score, longest = self._table(0), self.longest
+        piece = np.full((len(self.words), self.n + 1 + longest), len(self.index), np.int32)
+        length = np.ones_like(piece)
+        sizes = np.arange(1, longest + 1, dtype=np.int32)[None]
+        for start, cells, logs in self.steps():
+            for i in range(logs.shape[1]):
+                window = slice(start + i + 1, start + i + 1 + longest)
+                new = score[:, start + i, None] + logs[:, i]
+                better = new > score[:, window]
+                score[:, window] = np.where(better, new, score[:, window])
+                piece[:, window] = np.where(better, cells[:, i], piece[:, window])
+                length[:, window] = np.where(better, sizes, length[:, window])
+        counts = np.zeros(len(self.logp))
+        row = np.flatnonzero(np.isfinite(score[:, self.n]))
+        at = np.full(len(row), self.n)
+        while len(row):
+            counts += np.bincount(piece[row, at], freq[row], len(counts))
+            at = at - length[row, at]
+            row, at = row[at > 0], at[at > 0]
+        return counts[:-1]
+
+
+def _numbered(counts: np.ndarray, **first: float) -> pd.DataFrame:
+    used = np.flatnonzero(counts)
+    extra = list(first.values())
+    return pd.DataFrame({"id": [*range(-len(extra), 0), *used], "n": [*extra, *counts[used]]})
+
+
+def _expectation(words: DataFrame, index: Broadcast, logp: np.ndarray, longest: int) -> tuple[float, np.ndarray]:
+    """One E step: counts are summed per task, then by a shuffle on the number."""
+    shared, size = words.sparkSession.sparkContext.broadcast(logp), len(logp)
 
     def step(frames):
-        total, sums = 0.0, {}
+        total, sums = 0.0, np.zeros(size)
         for frame in frames:
-            for word, freq in zip(frame["word"], frame["freq"]):
-                value, counts = expected_counts(word, shared.value, longest)
-                total += value * freq
-                for piece, count in counts.items():
-                    sums[piece] = sums.get(piece, 0.0) + count * freq
-        yield pd.DataFrame({"piece": ["", *sums], "n": [total, *sums.values()]})
-
-    rows = words.mapInPandas(step, "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n"))
-    counts = {r["piece"]: r["n"] for r in rows.collect()}
+            for group, freq in equal_lengths(frame, longest):
+                value, counts = Lattices(group, index.value, shared.value, longest).expectation(freq)
+                total, sums = total + value, sums + counts
+        yield _numbered(sums, total=total)
+
+    rows = words.mapInPandas(step, "id int, n double").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     shared.unpersist()
-    return counts.pop("", 0.0), counts
+    counts = np.zeros(size)
+    pieces = rows[rows["id"] >= 0]
+    counts[pieces["id"]] = pieces["n"]
+    return float(rows.loc[rows["id"] < 0, "n"].sum()), counts
 
 
-def _losses(words: DataFrame, logp: dict, longest: int) -> dict[str, float]:
+def _losses(words: DataFrame, index: Broadcast, logp: np.ndarray, longest: int) -> np.ndarray:
     """What the likelihood loses without a piece: its count on best paths times
-    the gap to the best path that replaces it."""
-    spark = words.sparkSession
-    shared = spark.sparkContext.broadcast(logp)
+    the gap to the best path that replaces it. Single characters lose nothing."""
+    shared, size = words.sparkSession.sparkContext.broadcast(logp), len(logp)
 
     def paths(frames):
-        sums = {}
+        sums = np.zeros(size)
         for frame in frames:
-            for word, freq in zip(frame["word"], frame["freq"]):
-                for piece in best_path(word, shared.value, longest, -1e6):
-                    sums[piece] = sums.get(piece, 0) + freq
-        yield pd.DataFrame({"piece": list(sums), "n": [float(v) for v in sums.values()]})
+            for group, freq in equal_lengths(frame, longest):
+                sums = sums + Lattices(group, index.value, shared.value, longest).best(freq)
+        yield _numbered(sums)
 
     def gaps(frames):
+        names, values = list(index.value), shared.value
         for frame in frames:
             rows = []
-            for piece, n in zip(frame["piece"], frame["n"]):
-                own = shared.value.get(piece)
-                if own is None or len(piece) == 1:
-                    continue
-                others = _without(shared.value, piece)
-                rest = sum(others.get(p, -1e6) for p in best_path(piece, others, longest, -1e6))
-                rows.append((piece, n * (own - rest)))
-            yield pd.DataFrame(rows, columns=["piece", "loss"])
-
-    used = words.mapInPandas(paths, "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n"))
-    rows = used.mapInPandas(gaps, "piece string, loss double").collect()
+            for number, n in zip(frame["id"], frame["n"]):
+                piece, others = names[number], _Without(index.value, values, number)
+                if len(piece) > 1:
+                    rest = sum(others.get(p, -1e6) for p in best_path(piece, others, longest, -1e6))
+                    rows.append((number, n * (values[number] - rest)))
+            yield pd.DataFrame(rows, columns=["id", "n"])
+
+    used = words.mapInPandas(paths, "id int, n double").groupBy("id").agg(F.sum("n").alias("n"))
+    rows = used.mapInPandas(gaps, "id int, n double").toPandas()
     shared.unpersist()
-    return {r["piece"]: r["loss"] for r in rows}
+    losses = np.zeros(size)
+    losses[rows["id"]] = rows["n"]
+    return losses
 
 
-class _without(dict):
-    """A view of the log-probabilities that lacks one piece."""
+class _Without:
+    """The log-probabilities by piece, without one of them."""
 
-    def __init__(self, logp: dict, piece: str):
-        super().__init__()
-        self.logp, self.piece = logp, piece
+    def __init__(self, index: dict[str, int], logp: np.ndarray, number: int):
+        self.index, self.logp, self.number = index, logp, number
 
-    def get(self, key, default=None):
-        return default if key == self.piece else self.logp.get(key, default)
+    def get(self, piece: str, default=None):
+        number = self.index.get(piece, self.number)
+        known = number != self.number and self.logp[number] > NOTHING
+        return self.logp[number] if known else default
 
 
 def learn_unigram(
@@ -161,37 +272,54 @@ def learn_unigram(
     shrinking_factor: float = 0.75,
     n_sub_iterations: int = 2,
     special_tokens: list[str] | None = None,
+    character_coverage: float = 1.0,
+    byte_fallback: bool | None = None,
 ) -> PieceModel:
     """Unigram model: seed substrings, then EM steps and pruning to 75 % by
     turns until the size is reached. Single characters always stay.
 
-    The model (at most the seed size) is broadcast to each pass over the
-    distinct words.
+    With a coverage below 1 the rarest characters are in no piece. The encoder
+    spells them by 256 byte pieces, which count as part of the vocabulary, or as
+    <unk> with ``byte_fallback=False``.
     """
+    fallback = character_coverage < 1 if byte_fallback is None else byte_fallback
     special = list(SPECIAL_TOKENS if special_tokens is None else special_tokens)
     words = stage_spread(word_counts(df, text, preset).filter(F.col("word") != ""), "words")
-    seeds = seed_pieces(words, initial_vocab_size, max_piece_length).collect()
-    total = sum(r["score"] for r in seeds)
-    logp = {r["piece"]: math.log(r["score"] / total) for r in seeds}
-    target = vocab_size - len(special)
+    if character_coverage < 1:
+        whole, kept = words, covered_characters(words, character_coverage)
+        words = stage_spread(covered_parts(whole, kept), "words")
+        whole.unpersist()
+    seeds = seed_pieces(words, initial_vocab_size, max_piece_length).toPandas()
+    if seeds.empty:
+        return PieceModel(df.sparkSession, {}, preset, special, byte_fallback=fallback)
+    pieces = seeds["piece"].to_numpy(object)
+    logp = np.log(seeds["score"].to_numpy(float)) - np.log(seeds["score"].sum())
+    target = vocab_size - len(special) - len(BYTE_PIECES) * fallback
     history: list[float] = []
     while True:
+        single = np.array([len(p) == 1 for p in pieces], bool)
+        index = df.sparkSession.sparkContext.broadcast({p: i for i, p in enumerate(pieces)})
         for _ in range(n_sub_iterations):
-            likelihood, counts = _expectation(words, logp, max_piece_length)
+            likelihood, counts = _expectation(words, index, logp, max_piece_length)
             history.append(likelihood)
-            kept = {p: max(c, 0.5) if len(p) == 1 else c for p, c in counts.items() if c >= 0.5 or len(p) == 1}
-            for p in logp:
-                if len(p) == 1:
-                    kept.setdefault(p, 0.5)
-            base = digamma(sum(kept.values()))
-            logp = {p: digamma(c) - base for p, c in kept.items()}
-        singles = [p for p in logp if len(p) == 1]
-        if len(logp) <= max(target, len(singles)):
+            counts = np.where(single, np.maximum(counts, 0.5), counts)
+            kept = counts >= 0.5
+            counts = np.where(kept, counts, 1.0)
+            logp = np.where(kept, digamma(counts) - digamma(counts[kept].sum()), NOTHING)
+        alive = np.isfinite(logp)
+        if alive.sum() > max(target, single.sum()):
+            losses = _losses(words, index, logp, max_piece_length)
+            longer = sorted(np.flatnonzero(alive & ~single), key=lambda i: (-losses[i], pieces[i]))
+            room = max(target, int(alive.sum() * shrinking_factor)) - single.sum()
+            chosen = np.zeros(len(pieces), bool)
+            chosen[longer[: max(0, room)]] = True
+            alive, done = single | chosen, False
+        else:
+            done = True
+        index.unpersist()
+        pieces, logp = pieces[alive], logp[alive]
+        if done:
             break
-        losses = _losses(words, logp, max_piece_length)
-        longer = sorted((p for p in logp if len(p) > 1), key=lambda p: (-losses.get(p, 0.0), p))
-        room = max(target, int(len(logp) * shrinking_factor)) - len(singles)
-        keep = set(longer[: max(0, room)])
-        logp = {p: v for p, v in logp.items() if len(p) == 1 or p in keep}
     words.unpersist()
-    return PieceModel(df.sparkSession, logp, preset, special, history)
+    learned = dict(zip(pieces.tolist(), logp.tolist()))
+    return PieceModel(df.sparkSession, learned, preset, special, history, fallback)

@@ -298,6 +298,35 @@ def encode_unigram(spark, folder):
     return encoded.select("doc_id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", "|").alias("tokens"))
 
 
+_COVERAGE = 0.99
+
+
+@query(
+    "unigram_fallback",
+    f"""
+    WITH w AS (SELECT doc_id, lang, unnest({WORDS}) AS word FROM documents),
+         c AS (SELECT doc_id, lang, unnest(string_split(word, '')) AS ch FROM w),
+         n AS (SELECT ch, count(*) AS n FROM c GROUP BY ch),
+         kept AS (SELECT ch FROM (SELECT ch, n, sum(n) OVER () AS total,
+                         coalesce(sum(n) OVER (ORDER BY n DESC, hex(encode(ch)) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+                  FROM n) WHERE before < {_COVERAGE}::DOUBLE * total)
+    SELECT lang, '<0x' || hex[i:i + 1] || '>' AS token, count(*) AS n
+    FROM (SELECT lang, hex(encode(ch)) AS hex, unnest(range(1, length(hex(encode(ch))), 2)) AS i
+          FROM c WHERE ch NOT IN (SELECT ch FROM kept))
+    GROUP BY ALL
+    """,
+)
+def unigram_fallback(spark, folder):
+    """Bytes that spell the characters below the coverage, by language."""
+    docs = _documents(spark, folder)
+    model = unigram.learn_unigram(
+        docs, 550, initial_vocab_size=600, max_piece_length=8, character_coverage=_COVERAGE
+    )
+    tokens = model.encode(docs.select("lang", "text"), out="tokens", as_tokens=True)
+    rows = tokens.select("lang", F.explode("tokens").alias("token"))
+    return rows.filter(F.col("token").rlike("^<0x..>$")).groupBy("lang", "token").agg(F.count("*").alias("n"))
+
+
 @query(
     "ngram_vocab",
     f"""

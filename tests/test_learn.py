@@ -2,14 +2,17 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from lingua_spark.functions.segmentation import best_path, merge_symbols, merge_with_dropout
 from lingua_spark.learn import batching, bpe, parity, phrases, unigram
 from lingua_spark.learn.api import fit
-from lingua_spark.learn.model import EventReplay, initial_symbols
+from lingua_spark.learn.model import EventReplay, initial_symbols, read_tokenizer
 from lingua_spark.learn.wordtable import segment_all, symbol_table
+from lingua_spark.sources.sinks import write_tokenizer
 
 
 def corpus(seed=3, n=300):
@@ -336,22 +339,35 @@ def test_unigram_likelihood_and_size(df, texts):
     assert tokens == {i: t.replace(" ", "") for i, t in enumerate(texts)}
 
 
-def test_em_raises_the_likelihood(df):
+def test_em_raises_the_likelihood(spark, df):
     words = unigram.stage_spread(unigram.word_counts(df, preset="words"))
-    seeds = unigram.seed_pieces(words, 100, 5).collect()
-    total = sum(r["score"] for r in seeds)
-    logp = {r["piece"]: math.log(r["score"] / total) for r in seeds}
-    history = []
+    seeds = unigram.seed_pieces(words, 100, 5).toPandas()
+    logp = np.log(seeds["score"].to_numpy(float) / seeds["score"].sum())
+    index = spark.sparkContext.broadcast({p: i for i, p in enumerate(seeds["piece"])})
+    history, plain = [], {r["word"]: r["freq"] for r in words.collect()}
     for _ in range(5):
-        value, counts = unigram._expectation(words, logp, 5)
+        value, counts = unigram._expectation(words, index, logp, 5)
+        known = {p: logp[i] for p, i in index.value.items() if np.isfinite(logp[i])}
+        assert value == pytest.approx(sum(f * forward(w, known) for w, f in plain.items()))
         history.append(value)
-        norm = sum(counts.values())
-        logp = {p: math.log(c / norm) for p, c in counts.items() if c > 0}
+        with np.errstate(divide="ignore"):
+            logp = np.log(counts / counts.sum())
     assert all(b >= a - 1e-6 for a, b in zip(history, history[1:]))
 
 
-def test_expected_counts_by_enumeration():
+def forward(word, logp):
+    """Log-likelihood of a word, plainly."""
+    ahead = [1.0] + [0.0] * len(word)
+    for j in range(1, len(word) + 1):
+        ahead[j] = sum(ahead[i] * math.exp(logp[word[i:j]]) for i in range(j) if word[i:j] in logp)
+    return math.log(ahead[-1])
+
+
+@pytest.mark.parametrize("cells", [1 << 19, 7, 1])
+def test_lattices_by_enumeration(monkeypatch, cells):
+    monkeypatch.setattr(unigram, "CELLS", cells)
     logp = {"a": -1.0, "b": -1.5, "ab": -2.0, "ba": -2.2, "aba": -4.0}
+    index, values = {p: i for i, p in enumerate(logp)}, np.array(list(logp.values()))
 
     def paths(word):
         if not word:
@@ -360,16 +376,60 @@ def test_expected_counts_by_enumeration():
             if word[:i] in logp:
                 yield from ([word[:i], *rest] for rest in paths(word[i:]))
 
-    for word in ("a", "ab", "abab", "ababa"):
+    freq = {"a": 1, "b": 2, "ab": 3, "ba": 1, "abab": 2, "baab": 5, "ababa": 1, "c": 4, "abc": 1}
+    likelihood, expected, best = 0.0, Counter(), Counter()
+    for word, n in freq.items():
         weights = [(p, math.exp(sum(logp[x] for x in p))) for p in paths(word)]
-        norm, expected = sum(w for _, w in weights), Counter()
+        if not weights:
+            continue
+        norm = sum(w for _, w in weights)
+        likelihood += n * math.log(norm)
         for path, w in weights:
             for piece in path:
-                expected[piece] += w / norm
-        total, counts = unigram.expected_counts(word, logp, 3)
-        assert total == pytest.approx(math.log(norm))
-        assert counts == pytest.approx(dict(expected))
+                expected[piece] += n * w / norm
+        for piece in best_path(word, logp, 3, -9):
+            best[piece] += n
         assert sum(logp[x] for x in best_path(word, logp, 3, -9)) == pytest.approx(math.log(max(w for _, w in weights)))
+    total, counts, paths_taken = 0.0, np.zeros(len(logp)), np.zeros(len(logp))
+    frame = pd.DataFrame({"word": list(freq), "freq": list(freq.values())})
+    seen = 0
+    for group, n in unigram.equal_lengths(frame, 3):
+        value, some = unigram.Lattices(group, index, values, 3).expectation(n)
+        total, counts, seen = total + value, counts + some, seen + len(group)
+        paths_taken += unigram.Lattices(group, index, values, 3).best(n)
+    assert seen == len(freq) and total == pytest.approx(likelihood)
+    assert dict(zip(logp, counts)) == pytest.approx({p: expected[p] for p in logp})
+    assert dict(zip(logp, paths_taken)) == {p: best[p] for p in logp}
+
+
+def test_seeds_are_cut_exactly(spark, df):
+    words = unigram.stage_spread(unigram.word_counts(df, preset="words"))
+    every = {r["piece"]: r["score"] for r in unigram.seed_pieces(words, 10**6, 5).collect()}
+    longer = sorted((p for p in every if len(p) > 1), key=lambda p: (-every[p], p.encode()))
+    for size in (0, 1, 7, len(longer) - 1, len(longer)):
+        got = [r["piece"] for r in unigram.seed_pieces(words, size, 5).collect()]
+        assert sorted(got) == sorted([p for p in every if len(p) == 1] + longer[:size])
+    assert unigram.seed_pieces(words.limit(0), 5, 5).count() == 0
+
+
+def test_unigram_falls_back_to_bytes(spark, tmp_path):
+    rows = [(i, "lower newest widest") for i in range(40)] + [(99, "lößer 🙂w"), (100, ""), (101, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = fit(df, "kudopiece", 300, character_coverage=0.99, initial_vocab_size=100)
+    assert model.vocab_size <= 300 and not {"ö", "ß", "🙂"} & set("".join(model.logp))
+    copy = str(tmp_path / "model")
+    write_tokenizer(model, copy)
+    for same in (model, read_tokenizer(spark, copy)):
+        got = {r["doc_id"]: r["tokens"] for r in same.encode(df, out="tokens", as_tokens=True).collect()}
+        assert "".join(got[99]) == "l<0xC3><0xB6><0xC3><0x9F>er <0xF0><0x9F><0x99><0x82>w"
+        assert got[100] == got[101] == [] and "".join(got[0]) == "lower newest widest"
+        ids = {r["token"]: r["id"] for r in same.vocab_table().collect()}
+        assert len(ids) == same.vocab_size and sorted(ids.values()) == list(range(len(ids)))
+        coded = {r["doc_id"]: r["input_ids"] for r in same.encode(df).collect()}
+        assert coded == {i: [ids[t] for t in tokens] for i, tokens in got.items()}
+    plain = fit(df, "kudopiece", 40, character_coverage=0.99, byte_fallback=False, initial_vocab_size=100)
+    assert plain.special.index("<unk>") in plain.encode(df.filter("doc_id = 99")).first()["input_ids"]
+    assert fit(df.limit(0), "unigram", 30).logp == {}
 
 
 def test_substrings_by_hand(spark):
