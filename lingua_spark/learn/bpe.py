@@ -17,6 +17,7 @@ from lingua_spark.learn.wordtable import (
     symbol_table,
     word_counts,
 )
+from lingua_spark.operators.corpus import first_bytes
 from lingua_spark.runtime import stage
 
 def symbol_length(symbol: str, unit: str):
@@ -298,11 +299,16 @@ def learn_super_bpe(
     min_frequency: int = 2,
     special_tokens: list[str] | None = None,
     merges: list[tuple[str, str]] | None = None,
+    num_bytes: int | None = None,
+    order: str = "doc_id",
 ) -> MergeModel:
     """Two phases: merges inside words, then, on coarser pre-tokens, merges
     across them. Phase 2 starts from the replayed first merges (60 % unless
     given), either learned here or the first of ``merges``, pairs of symbols
-    from an earlier model, which then have no counts."""
+    from an earlier model, which then have no counts. With ``num_bytes`` only
+    the first texts by ``order`` that fit into so many bytes are learned from."""
+    if num_bytes is not None:
+        df = stage(first_bytes(df, num_bytes, order, text).select(text), "first_bytes")
     special = list(SPECIAL_TOKENS if special_tokens is None else special_tokens)
     first = phase1_merges if phase1_merges is not None else int((vocab_size or n_merges) * 0.6)
     if merges is None:

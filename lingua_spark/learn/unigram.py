@@ -34,13 +34,10 @@ def substrings(words: DataFrame, longest: int = 16, word: str = "word", freq: st
         F.explode(windows(word, WINDOW, longest - 1)).alias("part"), F.col(freq).alias("freq")
     )
     n = F.length("part")
-    pieces = F.transform(
-        F.sequence(F.lit(1), F.least(n, F.lit(WINDOW))),
-        lambda i: F.transform(
-            F.sequence(F.lit(1), F.least(F.lit(longest), n - i + 1)), lambda k: F.substring(F.col("part"), i, k)
-        ),
-    )
-    rows = parts.select(F.explode(F.flatten(pieces)).alias("piece"), "freq")
+    starts = parts.select("part", "freq", F.explode(F.sequence(F.lit(1), F.least(n, F.lit(WINDOW)))).alias("i"))
+    lengths = F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("i") + 1))
+    rows = starts.select("part", "freq", "i", F.explode(lengths).alias("k"))
+    rows = rows.select(F.substring("part", F.col("i"), F.col("k")).alias("piece"), "freq")
     return rows.groupBy("piece").agg(F.sum("freq").alias("n"))
 
 
@@ -109,9 +106,20 @@ def equal_lengths(frame: pd.DataFrame, longest: int) -> Iterator[tuple[list[str]
             yield part["word"].tolist(), part["freq"].to_numpy(float)
 
 
+def numbers(pieces: list[str]) -> dict[str, int]:
+    """Pieces with their numbers, then what pieces begin with, numbered as none."""
+    index = {p: i for i, p in enumerate(pieces)}
+    for piece in pieces:
+        for k in range(len(piece) - 1, 0, -1):
+            if index.setdefault(piece[:k], len(pieces)) < len(pieces):
+                break
+    return index
+
+
 class Lattices:
     """The lattices of equally long words: ``cells`` are the numbers of the
-    pieces by word, start and length - 1, ``len(index)`` where there is none.
+    pieces by word, start and length - 1, ``len(logp)`` where there is none.
+    ``index`` is what ``numbers`` gives.
 
     A word that is too long for one table of cells is taken in blocks of starts.
     """
@@ -119,20 +127,26 @@ class Lattices:
     def __init__(self, words: list[str], index: dict[str, int], logp: np.ndarray, longest: int):
         self.words, self.index, self.n = words, index, len(words[0])
         self.longest = min(longest, self.n)
-        self.logp = np.append(logp, NOTHING)
+        self.logp, self.none = np.append(logp, NOTHING), len(logp)
         width = max(1, CELLS // (len(words) * self.longest))
         self.blocks = [(s, min(self.n, s + width)) for s in range(0, self.n, width)]
         self.known = self._cells(*self.blocks[0]) if len(self.blocks) == 1 else None
 
     def _cells(self, start: int, stop: int) -> np.ndarray:
-        none, get, longest = len(self.index), self.index.get, self.longest
-        padding, flat = [none] * longest, []
+        get, longest, ends = self.index.get, self.longest, self.n
+        places, found, place = [], [], -1
         for word in self.words:
             for i in range(start, stop):
-                part = word[i : i + longest]
-                flat += [get(part[:k], none) for k in range(1, len(part) + 1)]
-                flat += padding[len(part) :]
-        return np.array(flat, np.int32).reshape(len(self.words), stop - start, longest)
+                for j in range(i + 1, min(ends, i + longest) + 1):
+                    number = get(word[i:j])
+                    if number is None:
+                        break
+                    places.append(place + j - i)
+                    found.append(number)
+                place += longest
+        cells = np.full((len(self.words), stop - start, longest), self.none, np.int32)
+        cells.ravel()[places] = found
+        return cells
 
     def steps(self, backwards: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(start, cells, log-probabilities) of each block."""
@@ -172,7 +186,7 @@ class Lattices:
     def best(self, freq: np.ndarray) -> np.ndarray:
         """How often each piece is on the words' most likely paths."""
         score, longest = self._table(0), self.longest
-        piece = np.full((len(self.words), self.n + 1 + longest), len(self.index), np.int32)
+        piece = np.full((len(self.words), self.n + 1 + longest), self.none, np.int32)
         length = np.ones_like(piece)
         sizes = np.arange(1, longest + 1, dtype=np.int32)[None]
         for start, cells, logs in self.steps():
@@ -258,7 +272,7 @@ class _Without:
 
     def get(self, piece: str, default=None):
         number = self.index.get(piece, self.number)
-        known = number != self.number and self.logp[number] > NOTHING
+        known = number != self.number and number < len(self.logp) and self.logp[number] > NOTHING
         return self.logp[number] if known else default
 
 
@@ -298,7 +312,7 @@ def learn_unigram(
     history: list[float] = []
     while True:
         single = np.array([len(p) == 1 for p in pieces], bool)
-        index = df.sparkSession.sparkContext.broadcast({p: i for i, p in enumerate(pieces)})
+        index = df.sparkSession.sparkContext.broadcast(numbers(pieces))
         for _ in range(n_sub_iterations):
             likelihood, counts = _expectation(words, index, logp, max_piece_length)
             history.append(likelihood)

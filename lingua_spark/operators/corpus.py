@@ -207,6 +207,22 @@ def lang_order(df: DataFrame, lang: str = "lang", order: str = "doc_id", text: s
     return langs.select(lang, place.cast("bigint").alias("position"), "first_seen", "samples")
 
 
+def first_bytes(df: DataFrame, num_bytes: int, order: str = "doc_id", text: str = "text") -> DataFrame:
+    """The first texts in the given order whose UTF-8 bytes fit together.
+
+    Only sizes and keys are shuffled; the texts are filtered map-only.
+    """
+    keyed = with_key(df.withColumn("_all", F.lit(0)), order)
+    sizes = F.coalesce(F.octet_length(F.encode(text, "UTF-8")), F.lit(0)).cast("bigint")
+    narrow = stage(keyed.select("_all", KEY, sizes.alias("_size")), "sizes")
+    target = df.sparkSession.createDataFrame([(0, num_bytes)], "_all int, target bigint")
+    cut = first_crossing(narrow, ["_all"], KEY, F.col("_size"), target, block_bounds(narrow, KEY))
+    cut = stage(cut.select("_all", limit_of("cut", "tied", "held").alias("_limit")), "limit")
+    if cut.isEmpty():
+        return df
+    return numbered(keyed, ["_all"], cut, ["_limit"]).filter(up_to("_limit")).select(*df.columns)
+
+
 def tokenizer_sample(
     df: DataFrame,
     size_gb: float,

@@ -15,8 +15,10 @@ from lingua_spark.learn.model import read_tokenizer
 from lingua_spark.learn.wordtable import word_counts
 from lingua_spark.queries.registry import query, table
 from lingua_spark.queries.texts import WORD_OR_MARKS
-from lingua_spark.runtime import scratch_path
+from lingua_spark.runtime import scratch_path, subfolders
+from lingua_spark.sources.scans import load_merges
 from lingua_spark.sources.sinks import write_tokenizer
+from lingua_spark.streaming import ingest
 
 WORDS = r"regexp_extract_all(text, '\S+')"
 TOKENS = f"regexp_extract_all(text, '{WORD_OR_MARKS}')"
@@ -165,6 +167,37 @@ def learn_superbpe(spark, folder):
     return model.merges_table()
 
 
+_HALF = """
+    half AS MATERIALIZED (SELECT * FROM (
+        SELECT *, sum(octet_length(encode(text))) OVER (ORDER BY doc_id) AS upto, sum(octet_length(encode(text))) OVER () AS total
+        FROM documents) WHERE upto <= total // 2)"""
+
+
+@query(
+    "learn_superbpe_given",
+    f"""
+    WITH {words_cte()}, {merge_steps(0, _SUPER_FIRST)}, {_HALF}, {texts_cte("v0").replace("FROM documents", "FROM half")},
+         {", ".join(
+             f"v{k + 1} AS MATERIALIZED (SELECT word, replace(s, '<' || l || '><' || r || '>', '<' || l || r || '>') AS s, f FROM v{k}, m{k})"
+             for k in range(_SUPER_FIRST))},
+         {merge_steps(_SUPER_FIRST, _SUPER).replace(f"FROM w{_SUPER_FIRST})", f"FROM v{_SUPER_FIRST})").replace(f"FROM w{_SUPER_FIRST},", f"FROM v{_SUPER_FIRST},")}
+    SELECT rank, "left", "right", CASE WHEN rank < {_SUPER_FIRST} THEN 0 ELSE n END::BIGINT AS n FROM ({merges_select(_SUPER)})
+    """,
+)
+def learn_superbpe_given(spark, folder):
+    """The second phase on the first half of the bytes, from a file of merges."""
+    docs = _documents(spark, folder)
+    path = scratch_path(spark, "merges")
+    learned = bpe.learn_bpe(docs, n_merges=_SUPER_FIRST, preset="words").merges_table()
+    learned.orderBy("rank").select(F.concat_ws(" ", "left", "right").alias("value")).coalesce(1).write.text(path)
+    merges = [(r["left"], r["right"]) for r in load_merges(spark, path).orderBy("rank").collect()]
+    size = docs.agg(F.sum(F.octet_length(F.encode("text", "UTF-8")))).first()[0]
+    model = bpe.learn_super_bpe(
+        docs, n_merges=_SUPER, phase1_merges=_SUPER_FIRST, preset_phase2="text", merges=merges, num_bytes=size // 2
+    )
+    return model.merges_table()
+
+
 @query("learn_superbpe_regex")
 def learn_superbpe_regex(spark, folder):
     """The published presets of both phases."""
@@ -388,6 +421,31 @@ def encode_null_texts(spark, folder):
     return both.filter(F.size("again") == F.col("n")).select("doc_id", F.col("n").cast("bigint").alias("n_tokens"))
 
 
+@query(
+    "stream_encoded",
+    f"""
+    WITH {words_cte()}, {merge_steps(0, _ENCODE)},
+         p AS (SELECT doc_id, lang, unnest({WORDS}) AS word, generate_subscripts({WORDS}, 1) AS at FROM documents),
+         t AS (SELECT doc_id, lang, string_split(string_agg(s, '' ORDER BY at)[2:-2], '><') AS w
+               FROM p JOIN w{_ENCODE} USING (word) GROUP BY doc_id, lang)
+    SELECT lang, doc_id, i::INTEGER AS chunk_no, array_to_string(w[i * 64 + 1 : i * 64 + 64], ' ') AS tokens
+    FROM (SELECT lang, doc_id, w, unnest(range(0, len(w) // 64)) AS i FROM t)
+    """,
+)
+def stream_encoded(spark, folder):
+    """A folder per language as one stream, encoded by a learned tokenizer."""
+    docs = _documents(spark, folder)
+    model = bpe.learn_bpe(docs, n_merges=_ENCODE, preset="words")
+    source, sink = scratch_path(spark, "stream-in"), scratch_path(spark, "stream-out")
+    docs.select("doc_id", "text", "lang").repartition(4).write.partitionBy("lang").parquet(source)
+    folders = {f.rpartition("=")[2]: f for f in subfolders(spark, source)}
+    rows = ingest.read_folders(spark, folders, "doc_id bigint, text string", 2, "lang")
+    chunks = ingest.encoded_stream(rows, model, ("lang", "doc_id"), 64, as_tokens=True)
+    ingest.write_stream(chunks, sink, scratch_path(spark, "stream-log")).awaitTermination()
+    written = spark.read.schema(chunks.schema).parquet(sink)
+    return written.select("lang", "doc_id", "chunk_no", F.array_join("input_ids", " ").alias("tokens"))
+
+
 @query("encode_counts", _COUNTS_SQL)
 def encode_counts(spark, folder):
     docs = _documents(spark, folder)

@@ -71,7 +71,7 @@ def stream_counts(spark, folder):
     docs.select("source", "text").repartition(6).write.parquet(source)
     rows = ingest.read_folder(spark, source, "source string, text string", max_files_per_trigger=2)
     ingest.count_stream(rows, out, scratch_path(spark, "stream-log")).awaitTermination()
-    return spark.read.parquet(out)
+    return ingest.read_counts(spark, out)
 
 
 @query("stream_event_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
@@ -81,7 +81,7 @@ def stream_event_counts(spark, folder):
     events.select("event_type").repartition(4).write.parquet(source)
     rows = ingest.read_folder(spark, source, "event_type string", max_files_per_trigger=2)
     ingest.count_stream(rows, out, scratch_path(spark, "stream-log"), by=("event_type",)).awaitTermination()
-    return spark.read.parquet(out)
+    return ingest.read_counts(spark, out)
 
 
 @query(

@@ -88,17 +88,32 @@ def unstage(df: DataFrame) -> None:
     bare = root.split(":", 1)[-1].lstrip("/")
     for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
         if bare in folder:
-            _delete(df.sparkSession, folder)
+            delete(df.sparkSession, folder)
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
+def _on_file_system(spark: SparkSession, folder: str):
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path, files = _on_file_system(spark, folder)
+    files.delete(path, True)
+
+
+def exists(spark: SparkSession, place: str) -> bool:
+    path, files = _on_file_system(spark, place)
+    return files.exists(path)
+
+
+def subfolders(spark: SparkSession, folder: str) -> list[str]:
+    path, files = _on_file_system(spark, folder)
+    return [s.getPath().toString() for s in files.listStatus(path) if s.isDirectory()] if files.exists(path) else []
 
 
 def clear_stages(spark: SparkSession) -> None:
     """Delete this application's staged tables once their results are written."""
-    _delete(spark, f"{checkpoint_root(spark)}/lingua-{spark.sparkContext.applicationId}")
+    delete(spark, f"{checkpoint_root(spark)}/lingua-{spark.sparkContext.applicationId}")
 
 
 def cores(default: str = "8") -> str:

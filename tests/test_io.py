@@ -125,6 +125,57 @@ def test_restart_gives_no_duplicates(spark):
     assert run() == [(1, 0), (1, 1), (2, 0)]
 
 
+def test_encoded_stream_of_several_folders(spark, tmp_path):
+    texts = spark.createDataFrame([("low lower lowest low lower",)] * 5, "text string")
+    model = bpe.learn_bpe(texts, n_merges=6, preset="words")
+    schema, sink, log = "doc_id long, text string", str(tmp_path / "out"), str(tmp_path / "log")
+    folders = {name: str(tmp_path / name) for name in ("a", "b")}
+
+    def add(name, *rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folders[name])
+
+    def run():
+        rows = ingest.read_folders(spark, folders, schema, 1)
+        chunks = ingest.encoded_stream(rows, model, ("source", "doc_id"), 2)
+        ingest.write_stream(chunks, sink, log).awaitTermination()
+        return sorted(tuple(r) for r in spark.read.parquet(sink).select("source", "doc_id", "chunk_no", "input_ids").collect())
+
+    def batch(*rows):
+        ids = {r["doc_id"]: r["input_ids"] for r in model.encode(spark.createDataFrame([r[1:] for r in rows], schema)).collect()}
+        return sorted((s, i, k, ids[i][2 * k : 2 * k + 2]) for s, i, _ in rows for k in range(len(ids[i]) // 2))
+
+    first = [("a", 1, "lowest newer"), ("a", 2, None), ("b", 3, "low lowly")]
+    for name, *row in first:
+        add(name, tuple(row))
+    assert run() == batch(*first)
+    assert run() == batch(*first)
+    add("b", (4, "lower wow"))
+    assert run() == batch(*first, ("b", 4, "lower wow"))
+
+
+def test_counts_are_read_in_whole_versions(spark, tmp_path):
+    source, out, log = (str(tmp_path / n) for n in ("in", "out", "log"))
+    with pytest.raises(FileNotFoundError):
+        ingest.read_counts(spark, out)
+
+    def run(*sources):
+        spark.createDataFrame([(s, "x") for s in sources], "source string, text string").coalesce(1).write.mode("append").parquet(source)
+        rows = ingest.read_folder(spark, source, "source string, text string")
+        ingest.count_stream(rows, out, log).awaitTermination()
+        return {r["source"]: r["n"] for r in ingest.read_counts(spark, out).collect()}
+
+    assert run("a", "a", "b") == {"a": 2, "b": 1}
+    held = ingest.read_counts(spark, out)
+    (tmp_path / "out" / "version-9999999999").mkdir()  # a version that broke off
+    (tmp_path / "out" / "version-9999999999" / "part-0.parquet").write_bytes(b"half")
+    assert run("b", "c") == {"a": 2, "b": 2, "c": 1}
+    assert {r["source"]: r["n"] for r in held.collect()} == {"a": 2, "b": 1}
+    assert run("c") == {"a": 2, "b": 2, "c": 2}
+    ingest.drop_versions(spark, out, 1)
+    assert len(ingest.whole_versions(spark, out)) == 1
+    assert ingest.read_counts(spark, out).count() == 3
+
+
 def test_a_broken_file_is_skipped(spark, tmp_path, caplog):
     good = spark.range(5).selectExpr("id", "'x' as text")
     good.coalesce(1).write.parquet(f"{tmp_path}/a")

@@ -12,6 +12,7 @@ from lingua_spark.learn import batching, bpe, parity, phrases, unigram
 from lingua_spark.learn.api import fit
 from lingua_spark.learn.model import EventReplay, initial_symbols, read_tokenizer
 from lingua_spark.learn.wordtable import segment_all, symbol_table
+from lingua_spark.operators.corpus import first_bytes
 from lingua_spark.sources.sinks import write_tokenizer
 
 
@@ -271,6 +272,28 @@ def test_second_phase_from_given_merges(df):
     assert given.merges == both.merges and set(given.alphabet) == set(both.alphabet)
 
 
+def test_first_bytes(spark, df):
+    rows = [(1, "ab"), (2, None), (3, "é"), (4, ""), (5, "abc"), (5, "abc"), (5, "abc"), (6, "z")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+    def kept(n):
+        return sorted((r["doc_id"], r["text"] or "") for r in first_bytes(table, n).collect())
+
+    plain = [(i, t or "") for i, t in rows]
+    for n in (0, 2, 3, 7, 10, 14):
+        fits, total = [], 0
+        for row in plain:
+            total += len(row[1].encode())
+            if total > n:
+                break
+            fits.append(row)
+        assert kept(n) == sorted(fits), n
+    assert first_bytes(table.limit(0), 5).count() == 0
+    size = sum(len(r["text"].encode()) for r in df.filter("doc_id < 50").collect())
+    options = {"n_merges": 20, "phase1_merges": 12, "preset": "words", "preset_phase2": "text"}
+    assert bpe.learn_super_bpe(df, num_bytes=size, **options).events == bpe.learn_super_bpe(df.filter("doc_id < 50"), **options).events
+
+
 def test_dropout_is_reproducible(spark, df):
     model = bpe.learn_bpe(df, n_merges=20, preset="words")
     plain = {r["doc_id"]: r["t"] for r in model.encode(df, out="t", as_tokens=True).collect()}
@@ -343,11 +366,12 @@ def test_em_raises_the_likelihood(spark, df):
     words = unigram.stage_spread(unigram.word_counts(df, preset="words"))
     seeds = unigram.seed_pieces(words, 100, 5).toPandas()
     logp = np.log(seeds["score"].to_numpy(float) / seeds["score"].sum())
-    index = spark.sparkContext.broadcast({p: i for i, p in enumerate(seeds["piece"])})
+    pieces = list(seeds["piece"])
+    index = spark.sparkContext.broadcast(unigram.numbers(pieces))
     history, plain = [], {r["word"]: r["freq"] for r in words.collect()}
     for _ in range(5):
         value, counts = unigram._expectation(words, index, logp, 5)
-        known = {p: logp[i] for p, i in index.value.items() if np.isfinite(logp[i])}
+        known = {p: logp[i] for i, p in enumerate(pieces) if np.isfinite(logp[i])}
         assert value == pytest.approx(sum(f * forward(w, known) for w, f in plain.items()))
         history.append(value)
         with np.errstate(divide="ignore"):
@@ -367,7 +391,7 @@ def forward(word, logp):
 def test_lattices_by_enumeration(monkeypatch, cells):
     monkeypatch.setattr(unigram, "CELLS", cells)
     logp = {"a": -1.0, "b": -1.5, "ab": -2.0, "ba": -2.2, "aba": -4.0}
-    index, values = {p: i for i, p in enumerate(logp)}, np.array(list(logp.values()))
+    index, values = unigram.numbers(list(logp)), np.array(list(logp.values()))
 
     def paths(word):
         if not word:
