@@ -425,8 +425,8 @@ def encode_null_texts(spark, folder):
     "stream_encoded",
     f"""
     WITH {words_cte()}, {merge_steps(0, _ENCODE)},
-         p AS (SELECT doc_id, lang, unnest({WORDS}) AS word, generate_subscripts({WORDS}, 1) AS at FROM documents),
-         t AS (SELECT doc_id, lang, string_split(string_agg(s, '' ORDER BY at)[2:-2], '><') AS w
+         p AS (SELECT doc_id, lang, unnest({WORDS}) AS word, generate_subscripts({WORDS}, 1) AS place FROM documents),
+         t AS (SELECT doc_id, lang, string_split(string_agg(s, '' ORDER BY place)[2:-2], '><') AS w
                FROM p JOIN w{_ENCODE} USING (word) GROUP BY doc_id, lang)
     SELECT lang, doc_id, i::INTEGER AS chunk_no, array_to_string(w[i * 64 + 1 : i * 64 + 64], ' ') AS tokens
     FROM (SELECT lang, doc_id, w, unnest(range(0, len(w) // 64)) AS i FROM t)
