@@ -4,10 +4,13 @@ Fixed rules name a host and a path start; they hold for the host and all its
 subdomains, and the longest one that fits decides. For the other addresses,
 FP-growth mines combinations of URL tokens (host parts and their
 words, path parts, file ending, query keys) that go along with a bad label. Rules are kept by
-support and confidence, and a rule is dropped if a part of its tokens already
-gives a rule at least as sure. They match by an inverted index: distinct
-addresses are split into tokens, joined with the rules' tokens, and a rule fits
-if all its tokens were met.
+support, a least number of bad pages and confidence, and a rule is dropped if a
+part of its tokens already gives a rule at least as sure. Tokens on exactly the
+same labelled pages are one item of the mining, met by any of them; that yields
+the rules on single tokens at once, and an address repeated on many pages is one
+item instead of all subsets of its tokens. They match by an inverted index:
+distinct addresses are split into tokens, joined with the rules' rarest items,
+and a rule fits if its other items are met, too.
 
 Only distinct addresses and their tokens are shuffled, never pages. The index
 is a staged table, so Spark's own size limit decides whether it is broadcast.
@@ -15,11 +18,14 @@ is a staged table, so Spark's own size limit decides whether it is broadcast.
 Defined cases: a null address, or one without "://", has an empty host and path
 and gets ``allow`` from the method; labels of unknown pages, null labels and
 null keys train nothing; several labels of a page count as bad if one is;
-without labelled pages nothing is mined; repeated pages each give a row.
+without labelled pages nothing is mined; repeated pages each give a row; of
+equally sure rules the last by name is shown. An address may be long, but time
+grows with the number of frequent combinations of items.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
@@ -29,6 +35,10 @@ from pyspark.sql import functions as F
 from lingua_spark.llm.common import ascii_lower, stage
 
 BAD = "label=block"
+RULES = (
+    "rule_id string, items array<string>, any_of array<array<string>>, rarest string, "
+    "rarest_tokens array<string>, confidence double, support double"
+)
 
 #: The fixed rules of the query: what they say, and host and path start.
 FIXED = [
@@ -42,11 +52,12 @@ FIXED = [
 
 @dataclass(frozen=True)
 class Mining:
-    """Least share of labelled pages that hold a rule's tokens and are bad, and
-    least share of bad pages among those that hold its tokens."""
+    """Least share and least number of labelled pages that hold a rule's tokens
+    and are bad, and least share of bad pages among those that hold its tokens."""
 
     support: float = 0.01
     confidence: float = 0.8
+    pages: int = 5
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -96,7 +107,8 @@ def tokens(url: Column) -> Column:
 
 
 def mine(pages: DataFrame, labels: DataFrame, mining: Mining = Mining()) -> DataFrame:
-    """Rules (rule_id, items, confidence, support) that speak for blocking.
+    """Rules that speak for blocking: rule_id, items, for each item the tokens
+    any of which meets it, the rarest item with its tokens, confidence, support.
 
     ``pages`` has page_id and url, ``labels`` doc_id, quality and toxic: toxic
     pages and those of quality 0 are bad.
@@ -110,46 +122,73 @@ def mine(pages: DataFrame, labels: DataFrame, mining: Mining = Mining()) -> Data
     labelled = (
         pages.select("page_id", "url")
         .join(judged, F.col("page_id") == F.col("doc_id"))
-        .withColumn("items", tokens(F.col("url")))
+        .select("bad", tokens(F.col("url")).alias("items"), F.monotonically_increasing_id().alias("row"))
         .filter(F.size("items") > 0)
-        .select(F.when(F.col("bad") == 1, F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items"))
     )
     labelled = stage(labelled, "url_labelled")
-    empty = "rule_id string, items array<string>, confidence double, support double"
-    if labelled.isEmpty():
-        return pages.sparkSession.createDataFrame([], empty)
-    model = FPGrowth(itemsCol="items", minSupport=mining.support, minConfidence=mining.confidence).fit(labelled)
-    rules = stage(
-        model.associationRules.filter((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD)).select(
-            F.concat_ws(" ", F.array_sort("antecedent")).alias("rule_id"),
-            F.array_sort("antecedent").alias("items"),
-            "confidence",
-            "support",
-        ),
-        "url_rules",
+    total = labelled.count()
+    least = max(mining.pages, math.ceil(mining.support * total))
+    classes = stage(together(labelled, least), "url_tokens")
+    baskets = (
+        labelled.select("row", "bad", F.explode("items").alias("token"))
+        .join(classes, "token")
+        .groupBy("row", "bad")
+        .agg(F.collect_set("item").alias("items"))
+        .select(F.when(F.col("bad") == 1, F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items"))
+    )
+    baskets = stage(baskets, "url_baskets")
+    size = baskets.count()
+    if not size:
+        return pages.sparkSession.createDataFrame([], RULES)
+    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / size, minConfidence=mining.confidence).fit(baskets)
+    found = model.associationRules.filter((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD)).select(
+        F.concat_ws(" ", F.array_sort("antecedent")).alias("rule_id"),
+        F.array_sort("antecedent").alias("items"),
+        "confidence",
+        (F.col("support") * F.lit(size / total)).alias("support"),
+    )
+    parts = stage(found, "url_found").withColumn("item", F.explode("items"))
+    alike = classes.groupBy("item", "n").agg(F.collect_list("token").alias("tokens"))
+    rules = (
+        parts.join(alike, "item")
+        .groupBy("rule_id", "items", "confidence", "support")
+        .agg(F.collect_list("tokens").alias("any_of"), F.min_by(F.struct("item", "tokens"), F.struct("n", "item")).alias("first"))
+        .select("rule_id", "items", "any_of", F.col("first.item").alias("rarest"), F.col("first.tokens").alias("rarest_tokens"), "confidence", "support")
     )
-    return prune(rules)
+    return prune(stage(rules, "url_rules"))
+
+
+def together(labelled: DataFrame, least: int) -> DataFrame:
+    """(token, item, n): tokens on at least ``least`` labelled pages, and the
+    first of those that are on exactly the same pages, told by two hashes of
+    64 bits over these pages."""
+    rows = labelled.select("row", F.explode("items").alias("token"))
+    pages = rows.groupBy("token").agg(
+        F.count("*").alias("n"),
+        F.bit_xor(F.xxhash64("row")).alias("one"),
+        F.bit_xor(F.xxhash64(F.lit("other"), F.col("row"))).alias("other"),
+    )
+    alike = pages.filter(F.col("n") >= least).groupBy("n", "one", "other")
+    sets = alike.agg(F.min("token").alias("item"), F.collect_list("token").alias("tokens"))
+    return sets.select(F.explode("tokens").alias("token"), "item", "n")
 
 
 def prune(rules: DataFrame) -> DataFrame:
-    """Rules without those that a rule on some of their tokens makes needless.
+    """Rules without those that a rule on some of their items makes needless.
 
-    Found through the inverted index, too: a shorter rule's tokens are met in
-    the longer rule's.
+    Each rule is looked up under its rarest item only, so an item that many
+    rules hold does not bring all of them together.
     """
-    parts = rules.select("rule_id", "confidence", F.explode("items").alias("item"))
+    parts = rules.select("rule_id", "items", "confidence", F.explode("items").alias("item"))
     shorter = rules.select(
         F.col("rule_id").alias("short_id"),
+        F.col("items").alias("short_items"),
         F.col("confidence").alias("short_confidence"),
-        F.size("items").alias("short_size"),
-        F.explode("items").alias("item"),
+        F.col("rarest").alias("item"),
     )
     needless = (
         parts.join(shorter, "item")
-        .filter("rule_id <> short_id and short_confidence >= confidence")
-        .groupBy("rule_id", "short_id", "short_size")
-        .count()
-        .filter("count = short_size")
+        .filter("rule_id <> short_id and short_confidence >= confidence and size(array_except(short_items, items)) = 0")
         .select("rule_id")
         .distinct()
     )
@@ -157,17 +196,20 @@ def prune(rules: DataFrame) -> DataFrame:
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """Distinct addresses that a rule fits, with the surest one."""
+    """Distinct addresses that a rule fits, with the surest one.
+
+    The index holds a rule under the tokens of its rarest item; its other items
+    are tested on the address itself.
+    """
     index = stage(
-        rules.select("rule_id", "confidence", F.size("items").alias("size"), F.explode("items").alias("item")),
+        rules.select("rule_id", "confidence", "any_of", F.explode("rarest_tokens").alias("item")),
         "url_index",
     )
     parts = urls.filter("url is not null").select("url").distinct().select("url", F.explode(tokens(F.col("url"))).alias("item"))
     return (
         parts.join(index, "item")
-        .groupBy("url", "rule_id", "size", "confidence")
-        .count()
-        .filter("count = size")
+        .withColumn("held", tokens(F.col("url")))
+        .filter(F.forall("any_of", lambda some: F.arrays_overlap(some, F.col("held"))))
         .groupBy("url")
         .agg(F.max(F.struct("confidence", "rule_id")).alias("best"))
         .select("url", F.col("best.rule_id").alias("mined_rule"), F.col("best.confidence").alias("confidence"))

@@ -1,4 +1,4 @@
-from itertools import combinations
+from itertools import combinations, product
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,13 +65,27 @@ def test_mined_rules_equal_counting(world):
     mining = Mining(support=0.02, confidence=0.8)
     rows = pages.join(labels, F.col("page_id") == F.col("doc_id")).select(tokens(F.col("url")).alias("t"), "quality", "toxic").filter("quality is not null").collect()
     want = slow_rules([(frozenset(r["t"]), r["toxic"] == 1 or r["quality"] == 0) for r in rows], mining)
-    got = {frozenset(r["items"]): r["confidence"] for r in mine(pages, labels, mining).collect()}
+    got = {frozenset(c): r["confidence"] for r in mine(pages, labels, mining).collect() for c in product(*r["any_of"])}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
     judged = judge(pages, labels, mining=mining).collect()
     assert len(judged) == 403
     for row in judged:
-        url = next((r["url"] for r in []), None)
-        assert row["verdict"] == ("block" if row["path"].startswith("/win/") else "allow"), (row, url)
+        assert row["verdict"] == ("block" if row["path"].startswith("/win/") else "allow"), row
+
+
+def test_long_address_on_many_pages(spark):
+    """Forty tokens on all bad pages are one item; four pages make no rule."""
+    long = "http://a-b.example.net/" + "/".join(chr(97 + i % 26) * (1 + i // 26) for i in range(40))
+    rows = [(i, long) for i in range(60)] + [(100 + i, f"http://rare.example.com/four/{i}") for i in range(4)]
+    rows += [(200 + i, "http://good.example.com/fine") for i in range(60)] + [(900, "http://x.net/aa"), (901, "http://rare.example.com/four/9"), (902, None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    labels = spark.createDataFrame([(r[0], int(r[0] >= 200), 0) for r in rows if r[0] < 900], "doc_id bigint, quality int, toxic int")
+    (rule,) = mine(pages, labels).collect()
+    assert len(rule["items"]) == 1 and len(rule["any_of"][0]) == len(rule["rarest_tokens"]) > 40
+    verdicts = {r["page_id"]: r["verdict"] for r in judge(pages, labels, rules=[]).collect()}
+    assert verdicts == {r[0]: "block" if r[0] < 60 or r[0] == 900 else "allow" for r in rows}
+    five = mine(pages, labels, Mining(pages=4)).collect()
+    assert any("path=four" in tokens for r in five for tokens in r["any_of"])
 
 
 def test_host_of_a_column(spark):
