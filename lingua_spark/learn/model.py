@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
 import json
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -255,7 +257,13 @@ def segmenter(plan: tuple):
 
 
 class EventReplay:
-    """Merges and removals applied in the order they were learned."""
+    """Merges and removals applied in the order they were learned.
+
+    A token's place is its offset in the word's hex string, which neither a
+    merge nor a removal changes. Each place waits in a heap for the next event
+    that touches it; of one event the leftmost place goes first, as in a scan
+    of the word. Events that a change only later makes possible are past.
+    """
 
     def __init__(self, events: list[tuple[str, str, str]]):
         self.merge_at: dict[tuple[str, str], list[int]] = {}
@@ -268,33 +276,48 @@ class EventReplay:
                 self.split_at.setdefault(left + right, []).append(i)
 
     def apply(self, symbols: list[str]) -> list[str]:
-        from bisect import bisect_left
-
-        now = 0
-        while True:
-            found = None
-            for steps in (
-                *(self.merge_at.get(pair) for pair in zip(symbols, symbols[1:])),
-                *(self.split_at.get(s) for s in symbols),
-            ):
-                at = bisect_left(steps, now) if steps else 0
-                if steps and at < len(steps) and (found is None or steps[at] < found):
-                    found = steps[at]
-            if found is None:
-                return symbols
-            kind, left, right = self.events[found]
-            rewritten, i = [], 0
-            while i < len(symbols):
-                if kind == "+" and symbols[i : i + 2] == [left, right]:
-                    rewritten.append(left + right)
-                    i += 2
-                    continue
-                if kind == "-" and symbols[i] == left + right:
-                    rewritten += [left, right]
-                else:
-                    rewritten.append(symbols[i])
-                i += 1
-            symbols, now = rewritten, found + 1
+        token, previous, at = {}, {}, 0
+        last = -1
+        for s in symbols:
+            token[at], previous[at] = s, last
+            last, at = at, at + len(s)
+        end, waiting = at, []
+
+        def wait(steps: list[int] | None, place: int, now: int) -> None:
+            step = bisect_left(steps, now) if steps else 0
+            if steps and step < len(steps):
+                heapq.heappush(waiting, (steps[step], place))
+
+        def pair(place: int, now: int) -> None:
+            """The place and its follower may be merged from ``now`` on."""
+            following = place + len(token[place])
+            if following < end:
+                wait(self.merge_at.get((token[place], token[following])), place, now)
+
+        for place in token:
+            pair(place, 0)
+            wait(self.split_at.get(token[place]), place, 0)
+        while waiting:
+            step, place = heapq.heappop(waiting)
+            kind, left, right = self.events[step]
+            middle, behind = place + len(left), place + len(left) + len(right)
+            if kind == "+" and token.get(place) == left and token.get(middle) == right:
+                del token[middle], previous[middle]
+                token[place] = left + right
+                changed = [place]
+            elif kind == "-" and token.get(place) == left + right:
+                token[place], token[middle], previous[middle] = left, right, place
+                changed = [place, middle]
+            else:
+                continue
+            if behind < end:
+                previous[behind] = changed[-1]
+            for new in changed:
+                pair(new, step + 1)
+                wait(self.split_at.get(token[new]), new, step + 1)
+            if previous[place] >= 0:
+                pair(previous[place], step + 1)
+        return [token[place] for place in sorted(token)]
 
 
 def spelled(character: str) -> list[str]:
