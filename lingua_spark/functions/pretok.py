@@ -49,7 +49,7 @@ def pretokens(c: Column | str, preset: str = "byte_level") -> Column:
     them are both kept, except for the white-space splitters."""
     c = F.col(c) if isinstance(c, str) else c
     if preset == "text":
-        return F.array(c)
+        return F.when(c.isNotNull(), F.array(c))
     if preset in SPLITTERS:
         pattern = "(?U)" + SPLITTERS[preset]
     else:

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 from typing import Protocol
 
 from pyspark.sql import DataFrame
 
-from lingua_spark.learn import bpe, parity, phrases, unigram
+from lingua_spark.learn import bpe, context, parity, phrases, unigram
 
 
 class Trainer(Protocol):
@@ -45,8 +44,7 @@ def _sage(df: DataFrame, vocab_size: int, initial_vocab_size: int | None = None,
     """A larger vocabulary (by a third unless given) pruned to ``vocab_size``;
     the encoder spells pruned tokens by their parts."""
     model = bpe.learn_bpe(df, initial_vocab_size or -(-vocab_size * 4 // 3), text=text)
-    kept = {r["token"] for r in phrases.sage_prune(model, df, vocab_size, text, **options).collect()}
-    return replace(model, hidden=model.hidden | (set(model.tokens) - kept))
+    return context.prune(model, df, vocab_size, text, context.ContextOptions(**options))[0]
 
 
 TRAINERS: dict[str, Callable] = {

@@ -1,4 +1,4 @@
-"""Vocabularies without merges: n-grams, LZW phrases, context pruning."""
+"""Vocabularies without merges: n-grams and LZW phrases."""
 
 from __future__ import annotations
 
@@ -7,9 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lingua_spark.functions.pretok import pretokens
-from lingua_spark.learn.model import MergeModel
 from lingua_spark.learn.wordtable import windows, word_counts
-from lingua_spark.runtime import stage
 
 WINDOW = 256
 
@@ -67,81 +65,3 @@ def lzw_vocab(df: DataFrame, vocab_size: int, text: str = "text", preset: str =
 
     rows = df.select(pretokens(text, preset).alias("words")).mapInPandas(phrases, "token string, n bigint")
     return top_tokens(rows.groupBy("token").agg(F.sum("n").alias("n")), vocab_size)
-
-
-def context_pairs(tokens: DataFrame, window: int = 3, column: str = "tokens") -> DataFrame:
-    """(token, context, n) within ``window`` places of each other."""
-    n = F.size(column)
-    shifted = []
-    for k in range(1, window + 1):
-        length = F.greatest(n - k, F.lit(0))
-        shifted.append(
-            F.arrays_zip(
-                F.slice(column, F.lit(1), length).alias("token"), F.slice(column, F.lit(k + 1), length).alias("context")
-            )
-        )
-    ahead = tokens.select(F.inline(F.concat(*shifted))).groupBy("token", "context").agg(F.count("*").alias("n"))
-    both = ahead.unionByName(ahead.select(F.col("context").alias("token"), F.col("token").alias("context"), "n"))
-    return both.groupBy("token", "context").agg(F.sum("n").alias("n"))
-
-
-def _dot(a: str, b: str):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def context_losses(
-    model: MergeModel, df: DataFrame, text: str = "text", dimension: int = 16, window: int = 3, seed: int = 42,
-    partitions: int | None = None,
-) -> DataFrame:
-    """What the skip-gram fit loses if a token is replaced by its two parts (the
-    fit runs in as many partitions as the encoded texts have):
-    sum over contexts of n · (log σ(token·ctx) − mean log σ(part·ctx))."""
-    from pyspark.ml.feature import Word2Vec
-    from pyspark.ml.functions import vector_to_array
-
-    encoded = stage(model.encode(df.select(text), text, "tokens", as_tokens=True).select("tokens"), "encoded")
-    fitted = Word2Vec(
-        vectorSize=dimension,
-        minCount=1,
-        windowSize=window,
-        numPartitions=partitions or encoded.rdd.getNumPartitions(),
-        seed=seed,
-        inputCol="tokens",
-        outputCol="features",
-    ).fit(encoded)
-
-    vectors = stage(
-        fitted.getVectors().select(F.col("word").alias("token"), vector_to_array("vector").alias("v")), "vectors"
-    )
-    made = [(m, left, right) for m, (left, right) in model.parents().items()]
-    parts = model.spark.createDataFrame(made, "token string, left string, right string")
-    pairs = context_pairs(encoded, window).join(parts, "token")
-
-    def vector_of(column: str, name: str) -> DataFrame:
-        return vectors.select(F.col("token").alias(column), F.col("v").alias(name))
-
-    rows = (
-        pairs.join(vector_of("token", "vt"), "token")
-        .join(vector_of("context", "vc"), "context")
-        .join(vector_of("left", "vl"), "left", "left")
-        .join(vector_of("right", "vr"), "right", "left")
-    )
-
-    def fit(name: str):
-        # A part that never stands alone has no vector: a neutral fit.
-        return F.coalesce(-F.log1p(F.exp(-_dot(name, "vc"))), F.lit(-0.6931471805599453))
-
-    gap = fit("vt") - (fit("vl") + fit("vr")) / 2
-    return rows.groupBy("token").agg(F.sum(F.col("n") * gap).alias("loss"), F.sum("n").alias("n"))
-
-
-def sage_prune(model: MergeModel, df: DataFrame, target: int, text: str = "text", **options) -> DataFrame:
-    """Reduce a merge vocabulary to ``target`` tokens: base symbols stay, of
-    the merged tokens those whose removal would cost the most."""
-    losses = context_losses(model, df, text, **options)
-    base = model.spark.createDataFrame([(s,) for s in model.alphabet], "token string")
-    merged = model.spark.createDataFrame([(t,) for t in model.tokens if t not in set(model.alphabet)], "token string")
-    scored = merged.join(losses, "token", "left").fillna({"loss": 0.0, "n": 0})
-    room = max(0, target - len(model.special) - len(model.alphabet))
-    kept = scored.orderBy(F.desc("loss"), "token").limit(room)
-    return base.select("token", F.lit(None).cast("double").alias("loss")).unionByName(kept.select("token", "loss"))

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lingua_spark.functions.pretok import symbol_text
-from lingua_spark.learn import bpe, parity, phrases, unigram
+from lingua_spark.functions.pretok import SPECIAL_TOKENS, symbol_text
+from lingua_spark.learn import bpe, context, parity, phrases, unigram
+from lingua_spark.learn.api import fit
 from lingua_spark.learn.model import read_tokenizer
 from lingua_spark.learn.wordtable import word_counts
 from lingua_spark.queries.registry import query, table
@@ -383,7 +384,7 @@ def lzw_vocab(spark, folder):
 def sage_prune(spark, folder):
     docs = _documents(spark, folder)
     model = bpe.learn_bpe(docs, n_merges=12, preset="words")
-    return phrases.sage_prune(model, docs, model.vocab_size - 4).withColumn("text", symbol_text("token"))
+    return context.sage_prune(model, docs, model.vocab_size - 4).withColumn("text", symbol_text("token"))
 
 
 _ENCODE = 12
@@ -489,6 +490,72 @@ def encode_dropout(spark, folder):
     return encoded.select("doc_id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
 
 
+_TOKENS_SQL = f"""
+    WITH {words_cte()}, {merge_steps(0, _ENCODE)},
+         p AS (SELECT doc_id, lang, unnest({WORDS}) AS word, generate_subscripts({WORDS}, 1) AS place FROM documents),
+         t AS (SELECT doc_id, lang, string_split(string_agg(s, '' ORDER BY place)[2:-2], '><') AS tokens
+               FROM p JOIN w{_ENCODE} USING (word) GROUP BY doc_id, lang)
+"""
+
+
+@query(
+    "encode_dropout_zero",
+    f"{_TOKENS_SQL} SELECT doc_id, coalesce(array_to_string(tokens, ' '), '') AS tokens FROM documents LEFT JOIN t USING (doc_id)",
+)
+def encode_dropout_zero(spark, folder):
+    """The stochastic encoder without dropout gives the plain segmentation."""
+    docs = _documents(spark, folder)
+    encoded = fit(docs, "bpe-dropout", None, n_merges=_ENCODE, preset="words").encode_dropout(docs, 0.0)
+    return encoded.select("doc_id", F.array_join("tokens", " ").alias("tokens"))
+
+
+def vocab_cte(n: int) -> str:
+    """v: the ids of special tokens, bytes in order and then ``n`` merges."""
+    special = ", ".join(f"('{t}', {i}::INTEGER)" for i, t in enumerate(SPECIAL_TOKENS))
+    return f"""
+        base AS (SELECT DISTINCT unnest(string_split(s[2:-2], '><')) AS token FROM w0),
+        v AS (SELECT * FROM (VALUES {special}) AS special(token, id)
+              UNION ALL SELECT token, ({len(SPECIAL_TOKENS) - 1} + row_number() OVER (ORDER BY token))::INTEGER FROM base
+              UNION ALL SELECT "left" || "right", ({len(SPECIAL_TOKENS)} + (SELECT count(*) FROM base) + rank)::INTEGER
+              FROM ({merges_select(n)}))"""
+
+
+@query(
+    "fit_vocab",
+    f"WITH {words_cte()}, {merge_steps(0, 16, 'n >= 2 AND length(l) + length(r) <= 6')}, {vocab_cte(16)} SELECT token, id FROM v",
+)
+def fit_vocab(spark, folder):
+    """A learner by its name; ids of the whole vocabulary."""
+    model = fit(_documents(spark, folder), "classic-bpe", None, n_merges=16, preset="words", max_type_length=3)
+    return model.vocab_table().select("token", "id")
+
+
+@query(
+    "training_sequences_words",
+    f"""
+    {_TOKENS_SQL}, {vocab_cte(_ENCODE)},
+         o AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS place,
+                      count(*) OVER (PARTITION BY lang) AS n, dense_rank() OVER (ORDER BY lang) AS idx,
+                      (SELECT count(DISTINCT lang) FROM documents) AS k FROM documents),
+         q AS (SELECT doc_id, lang, (place - 1) * k + idx AS position, (n - 1) * k + idx AS last FROM o),
+         r AS (SELECT doc_id, lang, CASE WHEN position <= 100 THEN 'eval' ELSE 'train' END AS part FROM q
+               WHERE position <= (SELECT min(last) FROM q)),
+         u AS (SELECT doc_id, lang, part, unnest(tokens) AS token, generate_subscripts(tokens, 1) - 1 AS i
+               FROM r JOIN t USING (doc_id, lang))
+    SELECT lang, doc_id, part, (i // 256)::INTEGER AS chunk_no, string_agg(id::VARCHAR, ' ' ORDER BY i) AS ids
+    FROM u JOIN v USING (token) GROUP BY lang, doc_id, part, i // 256 HAVING count(*) = 256
+    """,
+)
+def training_sequences_words(spark, folder):
+    """As training_sequences, over pre-tokens that DuckDB has."""
+    from lingua_spark.plans.training_sequences import training_sequences as sequences
+
+    docs = _documents(spark, folder)
+    model = bpe.learn_bpe(docs, n_merges=_ENCODE, preset="words")
+    chunks = sequences(docs, model, max_length=256, eval_docs=100, source="lang")
+    return chunks.select("lang", "doc_id", "part", "chunk_no", F.array_join("input_ids", " ").alias("ids"))
+
+
 @query("training_sequences")
 def training_sequences(spark, folder):
     """Mixed sources, held-out documents and packed chunks of learned ids."""

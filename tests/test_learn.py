@@ -1,5 +1,6 @@
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lingua_spark.functions.segmentation import best_path, merge_symbols, merge_with_dropout
-from lingua_spark.learn import batching, bpe, parity, phrases, unigram
+from lingua_spark.learn import batching, bpe, context, parity, phrases, unigram
 from lingua_spark.learn.api import fit
 from lingua_spark.learn.model import EventReplay, initial_symbols, read_tokenizer
 from lingua_spark.learn.wordtable import segment_all, symbol_table
@@ -236,6 +237,58 @@ def test_picky_equals_a_loop(df, texts):
     assert tokens <= set(model.tokens)
 
 
+def replay_by_scan(events, symbols):
+    """One event after the other over the whole word."""
+    for kind, left, right in events:
+        done, i = [], 0
+        while i < len(symbols):
+            if kind == "+" and symbols[i : i + 2] == [left, right]:
+                done.append(left + right)
+                i += 2
+                continue
+            done += [left, right] if kind == "-" and symbols[i] == left + right else [symbols[i]]
+            i += 1
+        symbols = done
+    return symbols
+
+
+def random_events(rng, n):
+    """Merges of known tokens, some of them removed and some made again."""
+    known, made, events = ["61", "62", "63"], [], []
+    for _ in range(n):
+        if made and rng.random() < 0.35:
+            events.append(("-", *rng.choice(made)))
+            continue
+        left, right = rng.choice(known), rng.choice(known)
+        if len(left + right) <= 16:
+            events.append(("+", left, right))
+            made.append((left, right))
+            known.append(left + right)
+    return events
+
+
+def test_replay_of_events_equals_a_scan():
+    rng = random.Random(11)
+    for trial in range(400):
+        events = random_events(rng, 40)
+        replay = EventReplay(events)
+        for word in ("", "a", "aaaaaaa", "".join(rng.choice("abc") for _ in range(rng.randint(2, 60)))):
+            symbols = initial_symbols(word, "byte")
+            assert replay.apply(list(symbols)) == replay_by_scan(events, symbols), (trial, word)
+
+
+def test_replay_of_a_long_word_is_near_linear():
+    rng = random.Random(12)
+    replay, spent = EventReplay(random_events(rng, 60)), []
+    for size in (100_000, 1_000_000):
+        symbols = initial_symbols("".join(rng.choices("abc", k=size)), "byte")
+        start = time.process_time()
+        found = replay.apply(symbols)
+        spent.append(time.process_time() - start)
+        assert "".join(found) == "".join(symbols)
+    assert spent[1] < 40 * spent[0] + 1
+
+
 def test_scaffolds_are_rarer_than_the_next_pair(df, texts):
     model = bpe.learn_scaffold_bpe(df, n_merges=25, preset="words")
     words = table(texts)
@@ -496,11 +549,103 @@ def test_context_pairs(spark):
 
 def test_sage_keeps_base_symbols_and_size(df):
     model = bpe.learn_bpe(df, n_merges=12, preset="words")
-    kept = [r["token"] for r in phrases.sage_prune(model, df, model.vocab_size - 5, dimension=4).collect()]
+    kept = [r["token"] for r in context.sage_prune(model, df, model.vocab_size - 5, dimension=4).collect()]
     assert len(kept) == model.vocab_size - 5 - len(model.special)
     assert set(model.alphabet) <= set(kept) <= set(model.tokens)
 
 
+def plain_prune(model, texts, target, o):
+    """Context pruning in loops, every text segmented anew after each cut."""
+    base, hidden, old = set(model.alphabet), set(), {}
+    parents = model.parents()
+
+    def spell(token):
+        return [s for p in parents[token] for s in spell(p)] if token in hidden else [token]
+
+    whole = [merge_symbols(initial_symbols(w, "byte"), {m: i for i, m in enumerate(model.merges)}) for t in texts for w in [t]]
+    surplus, losses = model.vocab_size - target, {}
+    for cut in range(o.cuts):
+        pairs = Counter()
+        for symbols in whole:
+            symbols = [s for t in symbols for s in spell(t)]
+            for i, a in enumerate(symbols):
+                for b in symbols[i + 1 : i + 1 + o.window]:
+                    pairs[a, b] += 1
+                    pairs[b, a] += 1
+        count = Counter()
+        for (a, _), n in pairs.items():
+            count[a] += n
+        names = sorted(count)
+        counts = np.array([count[t] for t in names], float)
+        v = {
+            (side, t): old.get((side, t), (context.first_vector(t, o.dimension, o.seed, side), np.full(o.dimension, 1e-8)))
+            for side in ("token", "context")
+            for t in names
+        }
+        for step in range(o.next_steps if cut else o.first_steps):
+            g = {k: np.zeros(o.dimension) for k in v}
+            against = context.drawn(counts, o, step)
+            terms = [(a, b, n, 1) for (a, b), n in pairs.items()]
+            terms += [(a, names[j], count[a] * o.negative_weight / o.negatives, -1) for i, a in enumerate(names) for j in against[i]]
+            for a, b, n, sign in terms:
+                u, w = v["token", a][0], v["context", b][0]
+                slope = sign * n * (1 - 1 / (1 + math.exp(-sign * float(u @ w))))
+                g["token", a] += slope * w
+                g["context", b] += slope * u
+            for k, (x, squares) in v.items():
+                d = g[k] / counts.mean()
+                v[k] = (x + o.rate * d / np.sqrt(squares + d * d), squares + d * d)
+        old = v
+        merged = [t for t in model.tokens if t not in base and t not in hidden]
+        losses = {}
+        for t in merged:
+            if t not in count:
+                continue
+            total = 0.0
+            for (a, b), n in pairs.items():
+                if a == t:
+                    def fit(s):
+                        return -math.log1p(math.exp(-float(v["token", s][0] @ v["context", b][0]))) if s in count else math.log(0.5)
+
+                    parts = [s for p in parents[t] for s in spell(p)]
+                    total += n * (fit(t) - sum(map(fit, parts)) / len(parts))
+            losses[t] = total
+        gone = surplus * (cut + 1) // o.cuts - surplus * cut // o.cuts
+        hidden |= set(sorted(merged, key=lambda t: (t in losses, losses.get(t, 0.0), t))[:gone])
+    return hidden, {t: losses.get(t, 0.0) for t in merged if t not in hidden}
+
+
+def test_context_pruning_equals_loops(spark):
+    texts = ["".join(w.split()) for w in corpus(5, 60)]
+    df = spark.createDataFrame([*enumerate(texts), (98, None), (99, "")], "doc_id long, text string").repartition(3)
+    model = bpe.learn_bpe(df, n_merges=24, preset="text")
+    o = context.ContextOptions(dimension=4, cuts=3, first_steps=4, next_steps=2, negatives=5)
+    pruned, losses = context.prune(model, df, model.vocab_size - 13, options=o)
+    hidden, expected = plain_prune(model, texts, model.vocab_size - 13, o)
+    assert pruned.hidden == hidden and len(hidden) == 13
+    assert losses.keys() == expected.keys()
+    assert all(math.isclose(losses[t], expected[t], rel_tol=1e-6, abs_tol=1e-6) for t in losses)
+    for row in pruned.encode(df, out="t", as_tokens=True).collect():
+        assert set(row["t"]) <= set(pruned.tokens)
+        assert bytes.fromhex("".join(row["t"])).decode() == (row["text"] or "")
+
+
+def test_changed_pairs_equal_counting_anew(spark):
+    rng = random.Random(2)
+    texts = [[rng.choice("abcdef") for _ in range(rng.randint(0, 12))] for _ in range(80)] + [None]
+    df = spark.createDataFrame([(t,) for t in texts], "tokens array<string>").repartition(4)
+    before, after = {"a": ["x", "y"]}, {"a": ["x", "y"], "b": ["x", "x"], "c": ["d"]}
+
+    def counted(spelling):
+        rows = [([s for x in t for s in spelling.get(x, [x])],) for t in texts if t is not None]
+        pairs = context.context_pairs(spark.createDataFrame(rows, "tokens array<string>"), 2)
+        return Counter({(r["token"], r["context"]): r["n"] for r in pairs.collect()})
+
+    found = counted(before)
+    found.update({(r["token"], r["context"]): r["n"] for r in context.changed_pairs(df, before, after, 2).collect()})
+    assert +found == counted(after) and all(n >= 0 for n in found.values())
+
+
 def test_coverage_falls_back_to_bytes(spark):
     df = spark.createDataFrame([("aaaa aaaa é",)], "text string")
     model = bpe.learn_bpe(df, n_merges=0, preset="words", unit="char", character_coverage=0.8)
