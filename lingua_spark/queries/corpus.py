@@ -54,7 +54,7 @@ def _split_query(name, share, vf, tf, cap, floor):
     def run(spark, folder):
         docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
         options = SplitOptions(vf, tf, cap, floor)
-        out = corpus.budget_split(docs, share_targets(docs, share), options)
+        out = corpus.budget_split(docs, share_targets(docs, share), options, ties=[])  # ids are unique
         return out.select("doc_id", "lang", "split")
 
 
@@ -305,7 +305,7 @@ _LAST = "(n - 1) * (SELECT count(DISTINCT lang) FROM documents) + idx"
 )
 def interleave(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", F.col("lang").alias("source"))
-    return mixing.interleave(docs)
+    return mixing.interleave(docs, ties=[])
 
 
 @query(
@@ -319,7 +319,7 @@ def interleave(spark, folder):
 )
 def interleave_all(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", F.col("lang").alias("source"))
-    return mixing.interleave(docs, stopping="all_exhausted")
+    return mixing.interleave(docs, stopping="all_exhausted", ties=[])
 
 
 @query(
@@ -346,7 +346,7 @@ def take_skip_ties(spark, folder):
 )
 def take_skip(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", F.col("lang").alias("source"))
-    return mixing.take_skip(docs, 101)
+    return mixing.take_skip(docs, 101, ties=[])
 
 
 @query(
