@@ -1,10 +1,13 @@
 import math
+import random
+import re
+import time
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from lingua_spark.llm.language_id import BUCKETS, Fusion, declared, identify, trigrams, visible
+from lingua_spark.llm.language_id import BUCKETS, Fusion, declared, identify, shown, trigrams, visible
 
 DOCS = [
     (1, "the cat and the dog went to the house with the others", "en"),
@@ -92,7 +95,35 @@ def test_empty_tables(frames):
     assert len(rows) == len(PAGES) and all(r["lang"] is None for r in rows)
 
 
-def test_held_out_pages(spark):
+def test_hidden_parts_equal_one_pattern():
+    pattern = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>", re.DOTALL | re.IGNORECASE)
+    draw = random.Random(4)
+    pieces = ["<!--", "-->", "<script", "<SCRIPT>", "</script>", "</Script \n>", "<style>", "</style", ">", "a", "<scripty>", "\n"]
+    for _ in range(5000):
+        page = "".join(draw.choices(pieces, k=draw.randint(0, 14)))
+        assert shown(page) == pattern.sub(" ", page), page
+
+
+@pytest.mark.parametrize("piece", ["<script>", "<!--", "<style>x", "<html lang=", "<html lang", "<", "</script ", "&#", "<html lang = 'd"])
+def test_pages_of_open_tags_take_linear_time(piece):
+    start = time.process_time()
+    page = piece * (5_000_000 // len(piece))
+    visible(page), declared(page), declared("<html lang=" + " " * 5_000_000)
+    assert time.process_time() - start < 15
+
+
+def test_many_languages(spark):
+    docs = [(i, " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{w}" for w in "klmnop"), f"l{i:02d}") for i in range(75)]
+    pages = [(i, "http://x.org/", docs[i][1]) for i in (0, 30, 74)] + [(99, "http://x.org/", "")]
+    rows = identify(
+        spark.createDataFrame(pages, "page_id bigint, url string, html string"),
+        spark.createDataFrame(docs, "doc_id bigint, text string, lang string"),
+    )
+    found = {r["page_id"]: r["lang"] for r in rows.collect()}
+    assert {k: found[k] for k in (0, 30, 74)} == {0: "l00", 30: "l30", 74: "l74"} and 99 in found
+
+
+def test_labelled_pages(spark):
     folder = "/root/testdata/sf0.01"
     pages = spark.read.parquet(f"{folder}/pages.parquet")
     rows = identify(pages, spark.read.parquet(f"{folder}/documents.parquet"))
