@@ -15,8 +15,11 @@ No merge is ever simulated, and long words cost time in proportion to their
 length. Texts are encoded map-only; the vocabulary file is small and fixed, and
 every Python worker reads its own copy from the installed package.
 
-Defined cases: a null text counts as empty and gives no ids; other rows and
-other columns do not matter.
+Defined cases: a null text counts as empty and gives no ids; very long texts
+and words take time in proportion to their length; no tie is possible, as each
+prefix has one last token; each row stands for itself, so repeated rows give
+equal results and empty tables none; ``encode`` and ``decode`` keep all columns
+and replace one of the name asked for; ids below 2^32 are told apart.
 """
 
 from __future__ import annotations
@@ -110,7 +113,7 @@ class PrefixEncoder:
                 raise ValueError("merges must make each token once, after its parts")
             self.merge[pair] = rank
             self.parts[merged] = (rank, *pair)
-        self.pairs = Memory(lambda key: self.survives(key >> 16, key & 65535), PAIRS_KEPT)
+        self.pairs = Memory(lambda key: self.survives(key >> 32, key & 0xFFFFFFFF), PAIRS_KEPT)
         self.ids_of, self.tokens_of = Memory(self.word_ids, WORDS_KEPT), Memory(self.word_tokens, WORDS_KEPT)
         self.spine = lru_cache(maxsize=None)(self._spine)  # two per token at most
         # A token that its own string does not encode to is never the last one.
@@ -169,7 +172,7 @@ class PrefixEncoder:
         for end, (token, length) in self.automaton.iter(word):
             if last[end] < 0:
                 before = end - length
-                if before < 0 or pairs[last[before] << 16 | token]:
+                if before < 0 or pairs[last[before] << 32 | token]:
                     last[end], start[end] = token, before
         ids, at = [], len(word) - 1
         while at >= 0:

@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 
 import public_tokenizers
@@ -41,6 +42,23 @@ def test_ids_and_text_equal_the_library(library, own, seed):
         assert own.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_ids_above_16_bits(library, own, tmp_path):
+    with open(PATH, encoding="utf-8") as file:
+        spec = json.load(file)
+    places = {t: i * 65_537 + 5 for t, i in spec["model"]["vocab"].items()}
+    wide = {i: places[t] for t, i in spec["model"]["vocab"].items()}
+    spec["model"]["vocab"] = places
+    for token in spec["added_tokens"]:
+        token["id"] = places.get(token["content"], token["id"])
+    path = tmp_path / "wide.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    spread, draw = PrefixEncoder(str(path)), random.Random(1)
+    for _ in range(200):
+        text = "".join(draw.choice("abeinrst ") for _ in range(draw.randint(0, 60)))
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert spread.encode(text) == [wide[i] for i in ids]
+
+
 def test_frames(odd, none, library):
     expected = {}
     for row in odd.collect():
