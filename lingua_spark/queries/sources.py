@@ -143,8 +143,8 @@ def load_merges(spark, folder):
     path = scratch_path(spark, "merges")
     pairs = table(spark, folder, "documents").select(F.inline(token_pairs(words("text"))))
     top = pairs.groupBy("prev", "cur").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "prev", "cur")
-    # a merge file is read in its order, so it is one file
-    top.select(F.concat_ws(" ", "prev", "cur").alias("value")).coalesce(1).write.text(path)
+    # the sorted parts' names are in order, and so the merges are read
+    top.select(F.concat_ws(" ", "prev", "cur").alias("value")).write.text(path)
     return scans.load_merges(spark, path, first=120)
 
 

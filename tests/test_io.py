@@ -186,3 +186,31 @@ def test_a_broken_file_is_skipped(spark, tmp_path, caplog):
     rows = scans.scan_parquet_folders(spark, str(tmp_path), ("id",), with_place=True).collect()
     assert sorted((r["source"], r["id"], r["row_index"]) for r in rows) == [(s, i, i) for s in "ab" for i in range(5)]
     assert "broken.parquet" in caplog.text
+
+
+def test_a_folder_of_parts_is_one_file(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    (tmp_path / "documents.parquet").mkdir()
+    for part, ids in enumerate(([0, 1, 2], [3], [4, 5])):
+        pq.write_table(pa.table({"doc_id": ids}), tmp_path / "documents.parquet" / f"part-{part}.parquet")
+    pq.write_table(pa.table({"key": [1]}), tmp_path / "region.parquet")
+    rows = scans.scan_parquet_files(spark, str(tmp_path), "documents.parquet").collect()
+    assert sorted((r["doc_id"], r["language"], r["row_index"]) for r in rows) == [(i, "documents", i) for i in range(6)]
+
+
+def test_merges_are_numbered_across_files_and_blocks(spark, tmp_path):
+    lines = [f"a{i} b{i}" for i in range(3000)]
+    for part in range(3):
+        text = "\n".join(lines[1000 * part : 1000 * (part + 1)]) + "\n"
+        (tmp_path / f"part-{part}").write_text(text + "\n\n" * (part == 2))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        got = scans.load_merges(spark, str(tmp_path)).orderBy("rank").collect()
+        first = scans.load_merges(spark, str(tmp_path), first=1500).count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert [(r["rank"], f"{r['left']} {r['right']}") for r in got] == list(enumerate(lines))
+    assert first == 1500
