@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lingua_spark.functions.pretok import pretokens
+from lingua_spark.learn.context import context_pairs
 from lingua_spark.learn.wordtable import windows, word_counts
 
 WINDOW = 256
@@ -65,3 +66,6 @@ def lzw_vocab(df: DataFrame, vocab_size: int, text: str = "text", preset: str =
 
     rows = df.select(pretokens(text, preset).alias("words")).mapInPandas(phrases, "token string, n bigint")
     return top_tokens(rows.groupBy("token").agg(F.sum("n").alias("n")), vocab_size)
+
+
+__all__ = ["context_pairs", "lzw_vocab", "ngram_vocab", "top_tokens"]

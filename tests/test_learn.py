@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -692,3 +693,48 @@ def test_sage_prunes_and_still_encodes(df, texts):
     for row in model.encode(df, out="t", as_tokens=True).collect():
         assert set(row["t"]) <= set(model.tokens)
         assert bytes.fromhex("".join(row["t"])).decode().replace(" ", "") == texts[row["doc_id"]].replace(" ", "")
+
+
+def test_symbols_side_by_side_equal_a_loop(spark):
+    from lingua_spark.learn import flat
+    from lingua_spark.learn.batching import segment_table, segments_of
+    from lingua_spark.learn.wordtable import pair_counts, symbol_counts
+
+    random.seed(5)
+    words = [("<" + "><".join(random.choice(["A", "BB", "CCC", "D"]) for _ in range(random.randint(1, 9))) + ">") for _ in range(300)]
+    rows = [(random.choice(["x", "y", None]), w, random.randint(1, 9)) for w in words]
+    df = spark.createDataFrame(rows, "lang string, syms string, freq bigint").coalesce(2)
+    keys = {("A", "BB"), ("BB", "BB"), ("CCC", "D"), ("E", "A")}
+    for by in ((), ("lang",)):
+        pairs, single, cut = {}, {}, {}
+        for lang, word, n in rows:
+            g, parts = ((lang,) if by else ()), word[1:-1].split("><")
+            for s in parts:
+                single[(*g, s)] = single.get((*g, s), 0) + n
+            for p in zip(parts, parts[1:]):
+                pairs[(*g, *p)] = pairs.get((*g, *p), 0) + n
+            for s in segments_of(parts, keys):
+                cut[(*g, s)] = cut.get((*g, s), 0) + n
+        for found, wanted in ((pair_counts(df, by), pairs), (symbol_counts(df, by), single), (segment_table(df, keys, by), cut)):
+            assert {tuple(r[:-1]): r[-1] for r in found.collect()} == wanted
+    batch = pa.RecordBatch.from_pylist([{"syms": w, "freq": 1} for w in words])
+    parts = list(flat.in_parts(batch, np.array([len(w) for w in words]), 200))
+    assert len(parts) > 10 and sum(p.num_rows for p in parts) == len(words)
+
+
+def test_texts_are_encoded_in_parts(spark, monkeypatch):
+    """However many rows a batch has, few letters are Python objects at once."""
+    from lingua_spark.learn import model as models
+
+    texts = [None, "", "low lower " * 300, "x"] * 50
+    column = pa.array([None if t is None else t.split() for t in texts]).slice(3)
+    monkeypatch.setattr(models, "PART", 500)
+    parts = list(models.row_parts(column))
+    assert [at for at, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))]
+    assert sum(n for _, n in parts) == len(column) and len(parts) >= 49
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    model = bpe.learn_bpe(frame, n_merges=4, preset="words")
+    plain = {r["doc_id"]: r["tokens"] for r in model.encode(frame, out="tokens", as_tokens=True).collect()}
+    again = {r["doc_id"]: r["tokens"] for r in model.encode_dropout(frame, 0.0).collect()}
+    assert plain == again and plain[0] == [] and len(plain) == len(texts)
+    assert "".join(plain[2]) == "low lower ".replace(" ", "").encode().hex().upper() * 300
