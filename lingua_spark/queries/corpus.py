@@ -360,7 +360,8 @@ def interleave_file_order(spark, folder):
     """A tree of Parquet folders, read in the order of its files and rows."""
     path = scratch_path(spark, "tree")
     docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
-    rows = docs.repartitionByRange(4, "lang", "doc_id").sortWithinPartitions("lang", "doc_id")
+    tasks = max(4, -(-docs.count() // 20_000))  # whose files, 100 rows each, keep numbers of three digits
+    rows = docs.repartitionByRange(tasks, "lang", "doc_id").sortWithinPartitions("lang", "doc_id")
     rows.write.partitionBy("lang").option("maxRecordsPerFile", 100).parquet(path)
     scanned = scan_parquet_folders(spark, path, ("doc_id",), with_place=True)
     scanned = scanned.withColumn("source", F.regexp_replace("source", "^lang=", ""))
