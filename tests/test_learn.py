@@ -738,3 +738,22 @@ def test_texts_are_encoded_in_parts(spark, monkeypatch):
     again = {r["doc_id"]: r["tokens"] for r in model.encode_dropout(frame, 0.0).collect()}
     assert plain == again and plain[0] == [] and len(plain) == len(texts)
     assert "".join(plain[2]) == "low lower ".replace(" ", "").encode().hex().upper() * 300
+
+
+def test_pairs_of_texts_side_by_side(spark):
+    """Counts in parts of few tokens equal a loop, whatever the spelling."""
+    random.seed(8)
+    texts = [[random.choice(["a", "b", "ab", "c"]) for _ in range(random.randint(0, 9))] for _ in range(80)]
+    column = pa.array([None, *texts])
+    rows = list(context.rows_of(iter([pa.RecordBatch.from_arrays([column], names=["tokens"])])))
+    spelling = {"ab": ["a", "b"]}
+    for spell, row in (({}, rows[0]), (spelling, rows[0].spelled(spelling))):
+        wanted = Counter()
+        for text in texts:
+            symbols = [s for t in text for s in spell.get(t, [t])]
+            for k in (1, 2):
+                wanted.update(zip(symbols, symbols[k:]))
+        got = {(r["token"], r["context"]): r["n"] for r in row.pairs(2).to_pylist()}
+        assert got == wanted
+    held = rows[0].holding({"c"})
+    assert len(held.ids) == sum(len(t) for t in texts if "c" in t)
