@@ -7,10 +7,12 @@ its format and its context, and a threshold per kind, calibrated on held-out
 candidates to a target precision, selects the ones to add. Base spans always
 stay.
 
-Training rows are weak labels from a bounded sample of documents: base spans as
+Training rows are weak labels of the spans of all documents: base spans as
 they are and rewritten the way people disguise them are positive; candidates
 that touch no base span, and base spans broken so that the checks fail, are
-negative. The trees are trained by Spark ML and then written out as one SQL
+negative. Equal ones (kind, features, label) are one row with their number as
+its weight, summed in the tasks first, so that the table stays far smaller than
+the documents. The trees are trained by Spark ML and then written out as one SQL
 expression, so scoring runs inside the scan, per document, without a shuffle or
 a join: a text's spans never leave its row.
 
@@ -72,13 +74,10 @@ CONTEXT = 24
 
 @dataclass(frozen=True)
 class Boosting:
-    """``sample_docs``: documents whose spans are labelled (on average; at most
-    ``sample_rows`` labelled rows are used). ``precision``: least share of true
-    spans among held-out candidates at a kind's threshold; a kind that never
-    reaches it on ``least_held_out`` of them adds nothing."""
+    """``precision``: least share of true spans among held-out candidates at a
+    kind's threshold; a kind that never reaches it on ``least_held_out`` of them
+    adds nothing."""
 
-    sample_docs: int = 4000
-    sample_rows: int = 20_000
     trees: int = 12
     depth: int = 3
     step: float = 0.3
@@ -279,11 +278,10 @@ def broken(kind: str, hit: Column, draw: Column) -> Column:
     return F.reverse(F.substring(F.concat(digits(hit), digits(hit)), F.lit(1), F.lit(9) + (draw % 7).cast("int")))
 
 
-def labelled(docs: DataFrame, boosting: Boosting, text: str) -> DataFrame:
-    """kind, features and label of candidates from a sample of the documents."""
-    share = min(1.0, boosting.sample_docs / max(1, docs.count()))
-    draw = F.pmod(F.xxhash64(F.col(text), F.lit(boosting.seed)), F.lit(1_000_000))
-    texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).filter(draw < int(share * 1_000_000) + 1) if share < 1 else docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
+def labelled(docs: DataFrame, text: str = "text") -> DataFrame:
+    """kind, features, label, half (0 to train, 1 to calibrate) and number ``n``
+    of the candidates of all documents."""
+    texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     spans = texts.withColumns({f"base_{k}": base_spans(F.col("text"), k) for k in KINDS})
     taken = F.concat(*[F.col(f"base_{k}") for k in KINDS])
     rows = None
@@ -306,12 +304,12 @@ def labelled(docs: DataFrame, boosting: Boosting, text: str) -> DataFrame:
         )
         part = seen.unionByName(other).select(
             F.lit(kind).alias("kind"),
-            F.xxhash64("hit", "left", "right").alias("draw"),
+            F.pmod(F.xxhash64("hit", "left", "right"), F.lit(2)).cast("int").alias("half"),
             features(kind, F.col("hit"), F.col("left"), F.col("right")).alias("values"),
             "label",
         )
         rows = part if rows is None else rows.unionByName(part)
-    return rows.orderBy("draw", "kind", "label").limit(boosting.sample_rows)
+    return rows.groupBy("kind", "half", "values", "label").agg(F.count("*").alias("n"))
 
 
 # Boosted trees as an expression
@@ -345,21 +343,20 @@ class Selector:
 
 
 def fit(docs: DataFrame, boosting: Boosting = Boosting(), text: str = "text") -> Selector:
-    """Train on half of the labelled sample, calibrate on the other half."""
-    rows = stage(labelled(docs, boosting, text), "pii_labelled")
+    """Train on half of the labelled spans, calibrate on the other half."""
+    rows = stage(labelled(docs, text), "pii_labelled")
     kinds = {r["label"] for r in rows.select("label").distinct().collect()}
     if len(kinds) < 2:
         return Selector(None, {})
-    half = F.pmod(F.col("draw"), F.lit(2))
     trainer = GBTClassifier(
-        maxIter=boosting.trees, maxDepth=boosting.depth, stepSize=boosting.step, seed=boosting.seed, maxBins=32
+        maxIter=boosting.trees, maxDepth=boosting.depth, stepSize=boosting.step, seed=boosting.seed, maxBins=32, weightCol="n"
     )
-    training = rows.filter(half == 0).select(array_to_vector("values").alias("features"), "label")
+    training = rows.filter("half = 0").select(array_to_vector("values").alias("features"), "label", F.col("n").cast("double"))
     if training.select("label").distinct().count() < 2:
         return Selector(None, {})
     model = trainer.fit(training)
-    scored = rows.filter(half == 1).select("kind", "label", F.round(probability(model, F.col("values")), 3).alias("p"))
-    bins = scored.groupBy("kind", "p").agg(F.sum("label").alias("true"), F.count("*").alias("n")).collect()
+    scored = rows.filter("half = 1").select("kind", "label", "n", F.round(probability(model, F.col("values")), 3).alias("p"))
+    bins = scored.groupBy("kind", "p").agg(F.sum(F.col("label") * F.col("n")).alias("true"), F.sum("n").alias("n")).collect()
     thresholds = {}
     for kind in KINDS:  # at most a thousand bins each
         true = n = 0
