@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from lingua_spark.llm.pii_boost import KINDS, find_pii, fit, redact
+from lingua_spark.llm.pii_boost import KINDS, find_pii, fit, labelled, redact
 from test_pipeline import PATTERNS, redacted, valid
 
 PARTS = (
@@ -69,3 +69,11 @@ def test_redaction(docs):
     same = sum(got[r["doc_id"]] == redacted(r["text"]) for r in few.filter("doc_id < 300").collect())
     assert same >= 290  # others hold an added span
     assert find_pii(docs.limit(0)).count() == 0 and redact(docs.limit(0)).count() == 0
+
+
+def test_spans_of_all_documents_are_labelled(spark):
+    """Also of more documents and spans than a sample once had."""
+    many = spark.range(25_000).selectExpr("id as doc_id", "concat('mail x', id, '@y.z now') as text")
+    rows = labelled(many).filter("kind = 'email'").collect()
+    assert sum(r["n"] for r in rows if r["label"] == 1.0) == 2 * 25_000
+    assert len(rows) < 500
