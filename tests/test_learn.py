@@ -757,3 +757,39 @@ def test_pairs_of_texts_side_by_side(spark):
         assert got == wanted
     held = rows[0].holding({"c"})
     assert len(held.ids) == sum(len(t) for t in texts if "c" in t)
+
+
+def test_words_segmented_side_by_side():
+    """The arrays of distinct words give what one word at a time gives."""
+    import random
+
+    import pyarrow as pa
+
+    from lingua_spark.functions.segmentation import best_path
+    from lingua_spark.learn import model as models
+    from lingua_spark.learn.segmenting import copied_to_rows, path_segmenter
+
+    draw = random.Random(3)
+    for unit in ("byte", "char") * 10:
+        word = lambda: "".join(draw.choice("ababcé日x") for _ in range(draw.choice([0, 1, 2, 3, 5, 9, 70])))
+        rows = [None] + [[word() for _ in range(draw.randrange(9))] for _ in range(20)]
+        column = pa.array(rows, pa.list_(pa.string()))
+        symbols = sorted({s for w in ("ab", "cé", "日x") for s in models.initial_symbols(w, unit)})
+        merges = {}
+        for i in range(draw.choice([0, 1, 30])):
+            pair = draw.choice(symbols), draw.choice(symbols)
+            merges.setdefault(pair, i)
+            symbols.append(pair[0] + pair[1])
+        hidden = {a + b for a, b in merges if draw.random() < 0.3} - set(symbols[:6])
+        events = [models.Event("+", *m) for m in merges]
+        plan = models.MergeModel(None, symbols[:6], events, unit=unit, hidden=hidden)._plan()
+        one, many = models.segmenter(plan), models.side_by_side(plan)
+        for part in (column, column.slice(4, 9), column):
+            want = [[t for w in words or [] for t in one(w)] for words in part.to_pylist()]
+            assert copied_to_rows(part, many).to_pylist() == want
+            assert copied_to_rows(part, many, len).to_pylist() == [[len(t) for t in tokens] for tokens in want]
+        logp = {p: -draw.choice([1.0, 2.0, 4.5]) for p in ("a", "b", "ab", "ba", "aba", "c", "日", "b日")[: draw.randrange(9)]}
+        for respell in (lambda c: [c], models.spelled):
+            alone = lambda w: [t for p in best_path(w, logp, 3, -9.0) for t in ([p] if p in logp else respell(p))]  # noqa: B023, E731
+            got = copied_to_rows(column, path_segmenter(logp, 3, -9.0, respell, alone)).to_pylist()
+            assert got == [[t for w in words or [] for t in alone(w)] for words in rows]
