@@ -3,7 +3,7 @@
 Pieces have numbers. Their numbers reach the tasks once per pruning round, their
 log-probabilities once per step as one array, and a step's counts come back as
 (number, count); each is bounded by the seed size. The lattices of
-equally long words are summed side by side in numpy.
+equally long words are found and summed side by side in numpy.
 """
 
 from __future__ import annotations
@@ -19,12 +19,13 @@ from pyspark.sql import functions as F
 from lingua_spark.functions.pretok import SPECIAL_TOKENS
 from lingua_spark.functions.segmentation import best_path
 from lingua_spark.learn.model import BYTE_PIECES, PieceModel
+from lingua_spark.learn.segmenting import CELLS, Prefixes, numbers
 from lingua_spark.learn.wordtable import windows, word_counts
 from lingua_spark.operators.ordered import KEY, block_bounds, cut_at_rank, literal, with_key
 from lingua_spark.runtime import stage, stage_spread
 
 WINDOW = 256
-CELLS = 1 << 19  # (word, start, length) cells summed at once
+SAFE = 600.0  # products of probabilities down to exp(-SAFE) are exact enough
 NOTHING = float("-inf")
 
 
@@ -106,26 +107,18 @@ def equal_lengths(frame: pd.DataFrame, longest: int) -> Iterator[tuple[list[str]
             yield part["word"].tolist(), part["freq"].to_numpy(float)
 
 
-def numbers(pieces: list[str]) -> dict[str, int]:
-    """Pieces with their numbers, then what pieces begin with, numbered as none."""
-    index = {p: i for i, p in enumerate(pieces)}
-    for piece in pieces:
-        for k in range(len(piece) - 1, 0, -1):
-            if index.setdefault(piece[:k], len(pieces)) < len(pieces):
-                break
-    return index
-
-
 class Lattices:
     """The lattices of equally long words: ``cells`` are the numbers of the
     pieces by word, start and length - 1, ``len(logp)`` where there is none.
-    ``index`` is what ``numbers`` gives.
+    ``index`` is what ``numbers`` gives, or its prefixes ready for use.
 
     A word that is too long for one table of cells is taken in blocks of starts.
     """
 
-    def __init__(self, words: list[str], index: dict[str, int], logp: np.ndarray, longest: int):
-        self.words, self.index, self.n = words, index, len(words[0])
+    def __init__(self, words: list[str], index: dict[str, int] | Prefixes, logp: np.ndarray, longest: int):
+        self.words, self.n = words, len(words[0])
+        self.index = Prefixes(index, len(logp)) if isinstance(index, dict) else index
+        self.letters = self.index.letter_numbers(words)
         self.longest = min(longest, self.n)
         self.logp, self.none = np.append(logp, NOTHING), len(logp)
         width = max(1, CELLS // (len(words) * self.longest))
@@ -133,20 +126,7 @@ class Lattices:
         self.known = self._cells(*self.blocks[0]) if len(self.blocks) == 1 else None
 
     def _cells(self, start: int, stop: int) -> np.ndarray:
-        get, longest, ends = self.index.get, self.longest, self.n
-        places, found, place = [], [], -1
-        for word in self.words:
-            for i in range(start, stop):
-                for j in range(i + 1, min(ends, i + longest) + 1):
-                    number = get(word[i:j])
-                    if number is None:
-                        break
-                    places.append(place + j - i)
-                    found.append(number)
-                place += longest
-        cells = np.full((len(self.words), stop - start, longest), self.none, np.int32)
-        cells.ravel()[places] = found
-        return cells
+        return self.index.cells(self.letters, start, stop, self.longest)
 
     def steps(self, backwards: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(start, cells, log-probabilities) of each block."""
@@ -162,6 +142,9 @@ class Lattices:
     def expectation(self, freq: np.ndarray) -> tuple[float, np.ndarray]:
         """The log-likelihood and the expected count of each piece. Words that no
         pieces spell add nothing."""
+        lowest = self.logp[np.isfinite(self.logp)].min(initial=0.0)
+        if self.known is not None and self.n * -lowest < SAFE:
+            return self._products(freq)
         ahead, back, longest = self._table(0), self._table(self.n), self.longest
         for start, _, logs in self.steps():
             for i in range(logs.shape[1]):
@@ -183,6 +166,27 @@ class Lattices:
             counts += np.bincount(cells[used], weights[used], len(counts))
         return float(norm @ freq), counts[:-1]
 
+    def _products(self, freq: np.ndarray) -> tuple[float, np.ndarray]:
+        """The same with probabilities instead of logarithms, for words whose
+        paths are all far from underflow."""
+        longest, cells = self.longest, self.known
+        share = np.exp(self.logp)[cells]
+        ahead = np.zeros((len(self.words), self.n + longest + 1))
+        back = np.zeros_like(ahead)
+        ahead[:, 0] = back[:, self.n] = 1.0
+        for i in range(self.n):
+            ahead[:, i + 1 : i + 1 + longest] += ahead[:, i, None] * share[:, i]
+        total = ahead[:, self.n]
+        spelled = total > 0
+        each = np.where(spelled, freq, 0.0) / np.where(spelled, total, 1.0)
+        for i in reversed(range(self.n)):
+            through = share[:, i] * back[:, i + 1 : i + 1 + longest]
+            back[:, i] = through.sum(axis=1)
+            share[:, i] = through * (ahead[:, i] * each)[:, None]
+        used = np.flatnonzero(share.ravel() > 0)
+        counts = np.bincount(cells.ravel()[used], share.ravel()[used], len(self.logp))
+        return float(np.log(np.where(spelled, total, 1.0)) @ freq), counts[:-1]
+
     def best(self, freq: np.ndarray) -> np.ndarray:
         """How often each piece is on the words' most likely paths."""
         score, longest = self._table(0), self.longest
@@ -246,11 +250,11 @@ def _losses(words: DataFrame, index: Broadcast, logp: np.ndarray, longest: int)
         yield _numbered(sums)
 
     def gaps(frames):
-        names, values = list(index.value), shared.value
+        names, values = list(index.value.index), shared.value
         for frame in frames:
             rows = []
             for number, n in zip(frame["id"], frame["n"]):
-                piece, others = names[number], _Without(index.value, values, number)
+                piece, others = names[number], _Without(index.value.index, values, number)
                 if len(piece) > 1:
                     rest = sum(others.get(p, -1e6) for p in best_path(piece, others, longest, -1e6))
                     rows.append((number, n * (values[number] - rest)))
@@ -312,7 +316,7 @@ def learn_unigram(
     history: list[float] = []
     while True:
         single = np.array([len(p) == 1 for p in pieces], bool)
-        index = df.sparkSession.sparkContext.broadcast(numbers(pieces))
+        index = df.sparkSession.sparkContext.broadcast(Prefixes(numbers(pieces), len(pieces)))
         for _ in range(n_sub_iterations):
             likelihood, counts = _expectation(words, index, logp, max_piece_length)
             history.append(likelihood)
