@@ -84,10 +84,10 @@ def _parity_loop(
             symbols.add(pair.merged)
         if len(events) < n_merges:
             train.advance(merges)
-            if dev:
+            if dev and dev is not train:
                 dev.advance(merges)
     train.release()
-    if dev:
+    if dev and dev is not train:
         dev.release()
     return events
 
@@ -121,7 +121,8 @@ def learn_parity_bpe(
     ``dev`` should hold parallel texts; compression is then texts per token
     (``unit='line'``), for texts that are not parallel choose 'byte'. Without
     it, ``ratio`` gives each language's wished compression of the training
-    texts. With ``preset_phase2`` a second phase goes on over coarser
+    texts. ``dev`` may be the same DataFrame, whose words are then counted once.
+    With ``preset_phase2`` a second phase goes on over coarser
     pre-tokens, after 60 % of the merges unless given.
     """
     langs = _check(train, dev, ratio, lang, order, text)
@@ -129,6 +130,7 @@ def learn_parity_bpe(
     def tidy(df: DataFrame) -> DataFrame:
         return df.select(F.col(lang).alias("lang"), strip(text).alias("text")).filter(F.col("text") != "")
 
+    same = dev is train
     train, dev = tidy(train), tidy(dev) if dev is not None else None
     two_phases = preset_phase2 is not None
     first = n_merges if not two_phases else phase1_merges if phase1_merges is not None else int(n_merges * 0.6)
@@ -136,8 +138,8 @@ def learn_parity_bpe(
     def tables(name: str, merges: list) -> tuple[MergedWords, MergedWords | None]:
         made = []
         for df in (train, dev):
-            if df is None:
-                made.append(None)
+            if df is None or (made and same):
+                made.append(made[0] if same else None)
                 continue
             table = symbol_table(df, "text", name, ("lang",))
             made.append(MergedWords(segment_all(table, merges) if merges else table))

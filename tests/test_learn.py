@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lingua_spark.functions.segmentation import best_path, merge_symbols, merge_with_dropout
-from lingua_spark.learn import batching, bpe, context, parity, phrases, unigram
+from lingua_spark.learn import batching, bpe, context, parity, phrases, unigram, wordtable
 from lingua_spark.learn.api import fit
 from lingua_spark.learn.model import EventReplay, initial_symbols, read_tokenizer
 from lingua_spark.learn.wordtable import segment_all, symbol_table
@@ -793,3 +793,21 @@ def test_words_segmented_side_by_side():
             alone = lambda w: [t for p in best_path(w, logp, 3, -9.0) for t in ([p] if p in logp else respell(p))]  # noqa: B023, E731
             got = copied_to_rows(column, path_segmenter(logp, 3, -9.0, respell, alone)).to_pylist()
             assert got == [[t for w in words or [] for t in alone(w)] for words in rows]
+
+
+def test_words_counted_once(spark, df, monkeypatch):
+    """Trimming and parity with the same development texts count the words once."""
+    calls = []
+    for module in (bpe, wordtable):
+        counted = module.word_counts
+        monkeypatch.setattr(module, "word_counts", lambda *a, counted=counted, **k: calls.append(1) or counted(*a, **k))
+    trimmed = bpe.learn_trimmed_bpe(df, n_merges=12, min_count=30, preset="words")
+    assert len(calls) == 1
+    model = bpe.learn_bpe(df, n_merges=12, preset="words")
+    assert trimmed.events == model.events and trimmed.hidden == bpe.trim_bpe(model, df, 30).hidden
+    calls.clear()
+    texts = df.withColumn("lang", F.when(F.col("doc_id") % 3 == 0, "a").otherwise("b"))
+    shared = parity.learn_parity_bpe(texts, 8, dev=texts, unit="byte")
+    assert len(calls) == 1
+    apart = parity.learn_parity_bpe(texts, 8, dev=texts.select("*"), unit="byte")
+    assert shared.events == apart.events
