@@ -25,7 +25,6 @@ from lingua_spark.operators.ordered import KEY, block_bounds, cut_at_rank, liter
 from lingua_spark.runtime import stage, stage_spread
 
 WINDOW = 256
-SAFE = 600.0  # products of probabilities down to exp(-SAFE) are exact enough
 NOTHING = float("-inf")
 
 
@@ -142,9 +141,6 @@ class Lattices:
     def expectation(self, freq: np.ndarray) -> tuple[float, np.ndarray]:
         """The log-likelihood and the expected count of each piece. Words that no
         pieces spell add nothing."""
-        lowest = self.logp[np.isfinite(self.logp)].min(initial=0.0)
-        if self.known is not None and self.n * -lowest < SAFE:
-            return self._products(freq)
         ahead, back, longest = self._table(0), self._table(self.n), self.longest
         for start, _, logs in self.steps():
             for i in range(logs.shape[1]):
@@ -166,27 +162,6 @@ class Lattices:
             counts += np.bincount(cells[used], weights[used], len(counts))
         return float(norm @ freq), counts[:-1]
 
-    def _products(self, freq: np.ndarray) -> tuple[float, np.ndarray]:
-        """The same with probabilities instead of logarithms, for words whose
-        paths are all far from underflow."""
-        longest, cells = self.longest, self.known
-        share = np.exp(self.logp)[cells]
-        ahead = np.zeros((len(self.words), self.n + longest + 1))
-        back = np.zeros_like(ahead)
-        ahead[:, 0] = back[:, self.n] = 1.0
-        for i in range(self.n):
-            ahead[:, i + 1 : i + 1 + longest] += ahead[:, i, None] * share[:, i]
-        total = ahead[:, self.n]
-        spelled = total > 0
-        each = np.where(spelled, freq, 0.0) / np.where(spelled, total, 1.0)
-        for i in reversed(range(self.n)):
-            through = share[:, i] * back[:, i + 1 : i + 1 + longest]
-            back[:, i] = through.sum(axis=1)
-            share[:, i] = through * (ahead[:, i] * each)[:, None]
-        used = np.flatnonzero(share.ravel() > 0)
-        counts = np.bincount(cells.ravel()[used], share.ravel()[used], len(self.logp))
-        return float(np.log(np.where(spelled, total, 1.0)) @ freq), counts[:-1]
-
     def best(self, freq: np.ndarray) -> np.ndarray:
         """How often each piece is on the words' most likely paths."""
         score, longest = self._table(0), self.longest
