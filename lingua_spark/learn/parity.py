@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from lingua_spark.functions.pretok import SPECIAL_TOKENS
 from lingua_spark.functions.text import strip
 from lingua_spark.learn.batching import Width, epoch
-from lingua_spark.learn.bpe import alphabet
+from lingua_spark.learn.bpe import bytes_in_use
+from lingua_spark.learn.coded import Coded, coded
 from lingua_spark.learn.model import Event, MergeModel
-from lingua_spark.learn.wordtable import MergedWords, segment_all, symbol_array, symbol_table
+from lingua_spark.learn.wordtable import MergedWords, counted_words, symbol_counts
 from lingua_spark.operators.matching import lang_parity_check
-from lingua_spark.runtime import stage
 
 
 def lang_compression(df: DataFrame, tokens, lang: str = "lang", text: str = "text", unit: str = "byte") -> DataFrame:
@@ -37,8 +37,8 @@ def _check(train: DataFrame, dev: DataFrame | None, ratio: dict | None, lang: st
     return langs
 
 
-def _symbol_totals(symbols: DataFrame) -> dict[str, int]:
-    rows = symbols.groupBy("lang").agg(F.sum(F.col("freq") * F.size(symbol_array("syms"))).alias("n")).collect()
+def _symbol_totals(words: Coded) -> dict[str, int]:
+    rows = symbol_counts(words, ("lang",)).groupBy("lang").agg(F.sum("n").alias("n")).collect()
     return {r["lang"]: r["n"] for r in rows}
 
 
@@ -141,21 +141,21 @@ def learn_parity_bpe(
             if df is None or (made and same):
                 made.append(made[0] if same else None)
                 continue
-            table = symbol_table(df, "text", name, ("lang",))
-            made.append(MergedWords(segment_all(table, merges) if merges else table))
+            made.append(MergedWords(coded(counted_words(df, "text", name, ("lang",)), merges)))
         return made[0], made[1]
 
     words, dev_words = tables(preset, [])
-    base = alphabet(words.frame)
+    base = bytes_in_use(words.frame)
     units = _units(dev, train, ratio, langs, unit, _symbol_totals(words.frame) if dev is None else None)
     spark = words.frame.sparkSession
     events = _parity_loop(words, dev_words, units, langs, min(first, n_merges), min_frequency, base)
     if two_phases:
         if dev is None:
-            raw = stage(symbol_table(train, "text", preset_phase2, ("lang",)), "symbols")
-            units = _units(None, train, ratio, langs, unit, _symbol_totals(raw))
+            raw = counted_words(train, "text", preset_phase2, ("lang",)).groupBy("lang")
+            initial = raw.agg(F.sum(F.col("freq") * F.octet_length("word")).alias("n")).collect()
+            units = _units(None, train, ratio, langs, unit, {r["lang"]: r["n"] for r in initial})
         words, dev_words = tables(preset_phase2, [(e.left, e.right) for e in events])
-        base = sorted(set(base) | set(alphabet(symbol_table(train, "text", preset_phase2))))
+        base = sorted(set(base) | set(bytes_in_use(words.frame)))
         known = base + [e.left + e.right for e in events]
         events += _parity_loop(words, dev_words, units, langs, n_merges - len(events), min_frequency, known)
     return MergeModel(spark, base, events, preset_phase2 or preset, "byte", list(SPECIAL_TOKENS))

@@ -811,3 +811,82 @@ def test_words_counted_once(spark, df, monkeypatch):
     assert len(calls) == 1
     apart = parity.learn_parity_bpe(texts, 8, dev=texts.select("*"), unit="byte")
     assert shared.events == apart.events
+
+
+def test_merges_on_codes_equal_replacing_text():
+    """Each merge once, in order, from the left; longer lists by rank; no pair over a word's border."""
+    from lingua_spark.functions.segmentation import merge_symbols
+    from lingua_spark.learn.coded import BYTES, Replay
+
+    random.seed(11)
+    for round_ in range(60):
+        words = ["".join(random.choice("aab") for _ in range(random.randint(1, 30))) for _ in range(20)]
+        known, merges = ["61", "62"], []
+        for _ in range(random.choice([1, 5, 16, 25])):
+            pair = random.choice(known), random.choice(known)
+            if len("".join(pair)) < 20 and (round_ % 2 or ("".join(pair) not in known and pair not in merges)):
+                merges.append(pair)
+                known.append("".join(pair))
+        replay = Replay(BYTES)
+        replay.add(merges)
+        raw = np.frombuffer("".join(words).encode(), np.uint8)
+        ids, sizes = replay(raw, np.array([len(w) for w in words]))
+        names, at = list(replay.number), 0
+        for word, size in zip(words, sizes):
+            got, at = [names[i] for i in ids[at : at + size]], at + size
+            parts = [f"{b:02X}" for b in word.encode()]
+            if len(merges) > 16:
+                wanted = merge_symbols(parts, {m: i for i, m in enumerate(merges)})
+            else:
+                text = f"<{'><'.join(parts)}>"
+                for left, right in merges:
+                    text = text.replace(f"<{left}><{right}>", f"<{left}{right}>")
+                wanted = text[1:-1].split("><")
+            assert got == wanted, (merges, word)
+        assert at == len(ids)
+
+
+def test_codes_count_and_cut_as_symbols_do(spark):
+    from lingua_spark.learn.batching import segment_table
+    from lingua_spark.learn.coded import coded, segment_text
+    from lingua_spark.learn.wordtable import counted_words, pair_counts, symbol_counts
+
+    random.seed(3)
+    rows = [(random.choice(["x", "y", None]), " ".join(random.choice(["über", "low", "aaaa", "é"]) for _ in range(9))) for _ in range(40)]
+    rows += [("x", None), (None, ""), ("y", "a")]
+    df = spark.createDataFrame(rows, "lang string, text string").coalesce(2)
+    merges = [("6C", "6F"), ("61", "61"), ("20", "6C6F")]
+    keys = {("6C6F", "77"), ("6161", "6161"), ("C3", "A9"), ("20", "C3")}
+    for by, preset in (((), "text"), (("lang",), "text"), (("lang",), "words")):
+        plain = segment_all(symbol_table(df, preset=preset, by=by), merges)
+        codes = coded(counted_words(df, preset=preset, by=by), merges)
+        for count in (pair_counts, symbol_counts):
+            assert sorted(map(str, count(codes, by).collect())) == sorted(map(str, count(plain, by).collect()))
+        cut = [(*r[:-2], segment_text(r["segment"], codes.names), r["freq"]) for r in segment_table(codes, keys, by).collect()]
+        assert sorted(map(str, cut)) == sorted(map(str, map(tuple, segment_table(plain, keys, by).collect())))
+
+
+def test_phase_two_reads_few_bytes_and_makes_clear_merges(spark, texts, monkeypatch):
+    """Whole texts were kept as strings of four letters a byte, and their segments fetched."""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen, plain = [], bpe.leading_pairs
+    monkeypatch.setattr(bpe, "leading_pairs", lambda words, *a: seen.append(dict(words.frame.dtypes)["syms"]) or plain(words, *a))
+    model = bpe.learn_super_bpe(df, n_merges=24, phase1_merges=4, preset="words", preset_phase2="text")
+    assert set(seen) == {"binary"} and len(seen) < 20
+    words = [[f"{b:02X}" for b in t.encode()] for t in texts]
+    for i, event in enumerate(model.events):
+        counts = Counter(p for w in words for p in zip(w, w[1:]))
+        if i >= 4:
+            pair = min(counts, key=lambda p: (-counts[p], p))
+            assert (event.left, event.right, event.n) == (*pair, counts[pair])
+        words = [rewrite(w, [event.left, event.right], [event.left + event.right]) for w in words]
+
+
+def test_clear_leads_stop_at_ties_and_touching_pairs():
+    from lingua_spark.learn.batching import Candidate, clear_leads
+
+    a, b, c, d = Candidate("a", "b", 9), Candidate("c", "d", 7), Candidate("b", "x", 5), Candidate("e", "f", 5)
+    assert clear_leads([a, b, d], True) == [a, b, d] and clear_leads([], True) == []
+    assert clear_leads([a, b, d], False) == [a, b]
+    assert clear_leads([a, b, c, d], True) == [a, b] == clear_leads([a, b, d, c], True)
+    assert clear_leads([Candidate("a", "a", 9), b], True) == [Candidate("a", "a", 9)]  # (aa, a) may be before b
