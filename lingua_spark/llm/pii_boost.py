@@ -45,11 +45,13 @@ KINDS = ["email", "ip", "card", "phone"]
 #:   card   [0-9]([\x20-]?[0-9])+             with 13 to 19 digits
 #:   phone  \+[0-9][\x20().0-9-]+[0-9]
 #: A run that fails as a whole would fail from any later place in it, so a match
-#: only begins where a run does, or where the last match ended (\G).
+#: only begins where a run does, or where the last match ended (\G). What can
+#: begin a match is asked first, and what is before it after that, as most
+#: letters of a text cannot.
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
-    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])",
+    "ip": r"[0-9](?<![0-9]{2})[0-9]*+(?:\.[0-9]++){3}",
+    "card": r"[0-9](?<![0-9]{2})(?<![0-9][\x20-][0-9])(?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 
@@ -58,10 +60,12 @@ _AT = r"\x20?(?:[\[({<]\x20?(?:at|AT|At|@)\x20?[\])}>]|@)\x20?"
 _DOT = r"\x20?(?:[\[({<]\x20?(?:dot|DOT|Dot|\.)\x20?[\])}>]|\.)\x20?"
 GENERATORS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+" + _AT + r"[A-Za-z0-9-]{1,63}+(?:" + _DOT + r"[A-Za-z0-9-]{1,63}+){1,8}+",
-    "ip": r"(?<![0-9.])[0-9]{1,3}+(?:\x20?(?:[\[(](?:\.|dot)[\])]|[.,])\x20?[0-9]{1,3}+){3}(?![0-9])",
-    "card": r"(?<![0-9])[0-9](?:[\x20._/-]{0,2}+[0-9]){12,18}+(?![0-9])",
-    "phone": r"(?<![0-9+])(?:\(\x20?)?[0-9](?:[\x20()./-]{0,2}+[0-9]){8,14}+(?![0-9])",
+    "ip": r"[0-9](?<![0-9.][0-9])[0-9]{0,2}+(?:\x20?(?:[\[(](?:\.|dot)[\])]|[.,])\x20?[0-9]{1,3}+){3}(?![0-9])",
+    "card": r"[0-9](?<![0-9]{2})(?:[\x20._/-]{0,2}+[0-9]){12,18}+(?![0-9])",
+    "phone": r"(?=[(0-9])(?<![0-9+])(?:\(\x20?)?[0-9](?:[\x20()./-]{0,2}+[0-9]){8,14}+(?![0-9])",
 }
+#: What a text with an address must hold; few do.
+HINTS = {BASE["email"]: "@", GENERATORS["email"]: r"@|[\[({<]\x20?(?:at|AT|At)"}
 #: Words before a span that announce its kind.
 CUES = {
     "email": r"(?i)(?:mail|contact|write|address)[^a-z]{0,3}$",
@@ -140,7 +144,8 @@ def found(text: Column, pattern: str) -> Column:
 
         return let(sizes, in_runs)
 
-    return F.when(text.rlike(pattern), let(parts, place)).otherwise(F.array().cast(SPANS))
+    holds = text.rlike(HINTS[pattern]) & text.rlike(pattern) if pattern in HINTS else text.rlike(pattern)
+    return F.when(holds, let(parts, place)).otherwise(F.array().cast(SPANS))
 
 
 def digits(column: Column) -> Column:
@@ -278,15 +283,37 @@ def broken(kind: str, hit: Column, draw: Column) -> Column:
     return F.reverse(F.substring(F.concat(digits(hit), digits(hit)), F.lit(1), F.lit(9) + (draw % 7).cast("int")))
 
 
+def marks(text: Column) -> Column:
+    """Base spans and candidates of a text with their context, each pattern
+    searched once: array of (kind, base, s)."""
+
+    def of_kind(kind: str, base: Column, taken: Column) -> Column:
+        marked = [(with_context(text, base[kind]), True), (candidates(text, kind, taken), False)]
+        return F.concat(
+            *[
+                F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), F.lit(is_base).alias("base"), s.alias("s")))
+                for spans, is_base in marked
+            ]
+        )
+
+    return let(
+        F.struct(*[base_spans(text, k).alias(k) for k in KINDS]),
+        lambda base: let(
+            F.concat(*[base[k] for k in KINDS]),
+            lambda taken: F.concat(*[of_kind(k, base, taken) for k in KINDS]),
+        ),
+    )
+
+
 def labelled(docs: DataFrame, text: str = "text") -> DataFrame:
     """kind, features, label, half (0 to train, 1 to calibrate) and number ``n``
-    of the candidates of all documents."""
+    of the candidates of all documents. The texts are read once; their spans
+    with context are staged."""
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    spans = texts.withColumns({f"base_{k}": base_spans(F.col("text"), k) for k in KINDS})
-    taken = F.concat(*[F.col(f"base_{k}") for k in KINDS])
+    spans = stage(texts.select(F.explode(marks(F.col("text"))).alias("m")).select("m.*"), "pii_spans")
     rows = None
     for kind in KINDS:
-        true = spans.select(F.explode(with_context(F.col("text"), F.col(f"base_{kind}"))).alias("s"))
+        true = spans.filter((F.col("kind") == kind) & F.col("base")).select("s")
         number = F.pmod(F.xxhash64("s"), F.lit(1000))
         seen = true.select(
             F.explode(
@@ -299,7 +326,7 @@ def labelled(docs: DataFrame, text: str = "text") -> DataFrame:
             "s.left",
             "s.right",
         ).select("v.hit", "v.label", "left", "right")
-        other = spans.select(F.explode(candidates(F.col("text"), kind, taken)).alias("s")).select(
+        other = spans.filter((F.col("kind") == kind) & ~F.col("base")).select(
             "s.hit", F.lit(0.0).alias("label"), "s.left", "s.right"
         )
         part = seen.unionByName(other).select(
@@ -367,16 +394,16 @@ def fit(docs: DataFrame, boosting: Boosting = Boosting(), text: str = "text") ->
     return Selector(model, thresholds)
 
 
-def all_spans(text: Column, selector: Selector) -> tuple[dict[str, Column], Callable]:
-    """Base spans by kind, and what makes added spans of a kind from a struct
-    holding them."""
-    base = {kind: base_spans(text, kind) for kind in KINDS}
+def with_spans(docs: DataFrame, selector: Selector, text: str = "text") -> DataFrame:
+    """``docs`` as one struct column ``row`` beside ``text``, ``base`` (spans by
+    kind) and ``added`` (spans by kind)."""
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs[text], F.lit("")).alias("text"))
 
     def added(kind: str, taken: Column) -> Column:
         if selector.model is None or kind not in selector.thresholds:
             return F.array().cast(SPANS)
         chosen = F.filter(
-            candidates(text, kind, taken),
+            candidates(F.col("text"), kind, taken),
             lambda c: let(
                 features(kind, c["hit"], c["left"], c["right"]),
                 lambda v: probability(selector.model, v) >= selector.thresholds[kind],
@@ -384,17 +411,15 @@ def all_spans(text: Column, selector: Selector) -> tuple[dict[str, Column], Call
         )
         return F.transform(chosen, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["hit"].alias("hit")))
 
-    return base, added
-
+    def both(base: Column) -> Column:
+        return let(
+            F.concat(*[base[k] for k in KINDS]),
+            lambda taken: F.struct(base.alias("base"), F.struct(*[added(k, taken).alias(k) for k in KINDS]).alias("added")),
+        )
 
-def with_spans(docs: DataFrame, selector: Selector, text: str = "text") -> DataFrame:
-    """``docs`` as one struct column ``row`` beside ``text``, ``base`` (spans by
-    kind) and ``added`` (spans by kind)."""
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs[text], F.lit("")).alias("text"))
-    base, added = all_spans(F.col("text"), selector)
-    based = packed.withColumn("base", F.struct(*[base[k].alias(k) for k in KINDS]))
-    taken = F.concat(*[F.col(f"base.{k}") for k in KINDS])
-    return based.withColumn("added", F.struct(*[added(k, taken).alias(k) for k in KINDS]))
+    # One expression, so that nothing is searched again for each use.
+    spans = let(F.struct(*[base_spans(F.col("text"), k).alias(k) for k in KINDS]), both)
+    return packed.withColumn("spans", spans).select("row", "text", "spans.base", "spans.added")
 
 
 def listed(kinds: dict[str, Column]) -> Column:
