@@ -79,3 +79,35 @@ def test_tokens_of_buffers():
     lower = word_shapes(*buffers(pa.array(["ab"])))
     upper = word_shapes(*buffers(pa.array(["AB"])))
     assert lower[0] == upper[0] and lower[1] == upper[1]
+
+
+def test_places_of_any_history_sum_to_one():
+    import numpy as np
+
+    from lingua_spark.llm.maxent_lm import FREQUENT, SHARED, SPREAD, class_odds, decisions, lexicon_of
+
+    random = np.random.default_rng(3)
+    words = [(b"w%d" % i, int(n), (FREQUENT + 1 + i % 5) * SPREAD + i % 7) for i, n in enumerate(random.integers(1, 300, 60))]
+    lexicon = lexicon_of(words, {200: (50, 9)}, sum(n for _, n, _ in words) + 50)
+    logits = random.normal(size=(2, CLASSES))
+    odds = np.tile(class_odds(logits - np.log(np.exp(logits).sum(1, keepdims=True))), 5000)
+    weights = random.normal(size=1 << 10).astype(np.float32)
+    places = np.array([0, *range((FREQUENT + 1) * SPREAD, SHARED + len(words))])
+    for before, earlier in ((0, 0), (SHARED + 4, 200), (201, SHARED)):
+        first, branch, found, _ = decisions(
+            places, np.full_like(places, before), np.full_like(places, earlier), lexicon, odds, weights, 10
+        )
+        logs = [math.log(1 / (1 + math.exp(-z if b else z))) for b, z in zip(branch.tolist(), found.tolist())]
+        stops = [*first[1:].tolist(), len(logs)]
+        used = sum(math.exp(sum(logs[i:j])) for i, j in zip(first.tolist(), stops))
+        empty = [c for c in range(1, FREQUENT + 1) if c not in set((lexicon.shapes // SPREAD)[SHARED:].tolist())]
+        assert used <= 1 + 1e-4
+        assert empty or abs(used - 1) < 1e-4
+
+
+def test_history_decides_inside_a_class(spark):
+    """Equally frequent words with one ending, each after its own word."""
+    rows = [(i, "a a a a a p wen" if i % 2 else "a a a a a q yen") for i in range(400)]
+    rows += [(1000, "a a a a a p yen"), (1001, "a a a a a q wen")]
+    got = {r["doc_id"]: r["score"] for r in score(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[1] > got[1000] + 0.2 and got[0] > got[1001] + 0.2
