@@ -1,9 +1,10 @@
 """Unigram pieces by expectation maximisation and pruning.
 
-Pieces have numbers. Their numbers reach the tasks once per pruning round, their
-log-probabilities once per step as one array, and a step's counts come back as
-(number, count); each is bounded by the seed size. The lattices of
-equally long words are found and summed side by side in numpy.
+The words become tries of about a million letters, staged once with the state of
+an automaton of the seeds at each node (``tries``). A step sends the
+log-probabilities of the pieces left and gets back one count per piece; each is
+bounded by the seed size, and so is the automaton, which the driver builds.
+``Lattices`` give the same sums word by word.
 """
 
 from __future__ import annotations
@@ -12,56 +13,77 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import Broadcast
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lingua_spark.functions.pretok import SPECIAL_TOKENS
-from lingua_spark.functions.segmentation import best_path
 from lingua_spark.learn.model import BYTE_PIECES, PieceModel
 from lingua_spark.learn.segmenting import CELLS, Prefixes, numbers
-from lingua_spark.learn.wordtable import windows, word_counts
-from lingua_spark.operators.ordered import KEY, block_bounds, cut_at_rank, literal, with_key
-from lingua_spark.runtime import stage, stage_spread
+from lingua_spark.learn.tries import LETTERS, Automaton, Endings, Paths, Trie, gathered, letters_of, part_counts, tails, trie
+from lingua_spark.learn.wordtable import word_counts
+from lingua_spark.operators.ordered import block_bounds, cut_at_rank, first_crossing
+from lingua_spark.runtime import stage, stage_spread, unstage
 
-WINDOW = 256
+PART = 1 << 12  # pieces whose counts are one row
 NOTHING = float("-inf")
 
 
-def substrings(words: DataFrame, longest: int = 16, word: str = "word", freq: str = "freq") -> DataFrame:
-    """All substrings of 1..longest characters with their counts."""
-    parts = words.filter(F.length(word) >= 1).select(
-        F.explode(windows(word, WINDOW, longest - 1)).alias("part"), F.col(freq).alias("freq")
-    )
-    n = F.length("part")
-    starts = parts.select("part", "freq", F.explode(F.sequence(F.lit(1), F.least(n, F.lit(WINDOW)))).alias("i"))
-    lengths = F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("i") + 1))
-    rows = starts.select("part", "freq", "i", F.explode(lengths).alias("k"))
-    rows = rows.select(F.substring("part", F.col("i"), F.col("k")).alias("piece"), "freq")
-    return rows.groupBy("piece").agg(F.sum("freq").alias("n"))
+def substrings(
+    words: DataFrame, longest: int = 16, word: str = "word", freq: str = "freq", least: int = 1
+) -> DataFrame:
+    """All substrings of 1..longest characters with their counts; of longer ones
+    than one character those that are counted ``least`` times.
+
+    What the words end in, cut at ``longest``, is sorted by ranges. Substrings are
+    what runs of it begin with. Only those that the first or last of a run begins
+    with may go on in other runs and are added up by a shuffle.
+    """
+    rows = words.filter(F.length(word) >= 1).select(F.col(word).alias("word"), F.col(freq).cast("bigint").alias("freq"))
+
+    def cut(batches):
+        for table in gathered(batches, "word", LETTERS // 4):
+            found = tails(table["word"].chunk(0), table["freq"].to_numpy(), longest)
+            yield from found.cast(pa.schema([("tail", pa.string()), ("freq", pa.int64())])).to_batches()
+
+    def count(batches):
+        for table in gathered(batches, "tail", LETTERS * 4):
+            pieces, n, whole = part_counts(table["tail"].chunk(0), table["freq"].to_numpy(), least)
+            columns = [pieces.cast(pa.string()), pa.array(n), pa.array(whole)]
+            yield pa.RecordBatch.from_arrays(columns, ["piece", "n", "whole"])
+
+    ends = rows.mapInArrow(cut, "tail string, freq bigint").repartitionByRange("tail").sortWithinPartitions("tail")
+    counted = stage(ends.mapInArrow(count, "piece string, n bigint, whole boolean"), "substrings")
+    shared = counted.filter(~F.col("whole")).groupBy("piece").agg(F.sum("n").alias("n"))
+    shared = stage(shared.filter((F.length("piece") == 1) | (F.col("n") >= least)), "substrings")
+    return counted.filter("whole").select("piece", "n").unionByName(shared)
 
 
 def seed_pieces(words: DataFrame, size: int = 1_000_000, longest: int = 16) -> DataFrame:
     """Every single character, then the substrings seen twice or more with the
     highest count · length, ``size`` pieces of them.
 
-    The last of them is found in the block of the order that holds it, so no
-    task sorts or gathers them all.
+    Scores are counted first; only the substrings of the last score that is not
+    taken whole are put in order, so no task sorts or gathers them all.
     """
-    length = F.length("piece")
-    counts = substrings(words, longest).filter((length == 1) | (F.col("n") >= 2))
-    counts = stage(counts.withColumn("score", F.col("n") * length), "substrings")
+    length, score = F.length("piece"), F.col("score")
+    counts = substrings(words, longest, least=2).withColumn("score", F.col("n") * length)
     longer = counts.filter(length > 1)
-    if longer.count() <= size:
-        return counts
-    order = {"_all": F.lit(0), "_falling": -F.col("score"), "_code": F.hex(F.encode("piece", "UTF-8"))}
-    keyed = with_key(longer.withColumns(order), ["_falling", "_code"], ties=[]).drop("_falling", "_code")
-    rank = words.sparkSession.createDataFrame([(0, size)], "_all int, rank bigint")
-    cut = cut_at_rank(keyed, ["_all"], KEY, rank, block_bounds(keyed, KEY)).first()
-    if cut is None:  # size 0
-        return counts.filter(length == 1)
-    kept = keyed.filter(F.col(KEY) <= literal(cut["cut"], keyed.schema[KEY].dataType))
-    return counts.filter(length == 1).unionByName(kept.select(*counts.columns))
+    by_score = longer.groupBy("score").agg(F.count("*").alias("rows"))
+    by_score = stage(by_score.select(F.lit(0).alias("_all"), "score", (-score).alias("_falling"), "rows"), "scores")
+    target = words.sparkSession.createDataFrame([(0, size - 1)], "_all int, target bigint")
+    last = first_crossing(by_score, ["_all"], "_falling", F.col("rows"), target, block_bounds(by_score, "_falling")).first()
+    if last is None:  # size 0, or fewer
+        return counts if size else counts.filter(length == 1)
+    least = -last["cut"]
+    room = size - (by_score.filter(score > least).agg(F.sum("rows")).first()[0] or 0)
+    code = F.hex(F.encode("piece", "UTF-8"))
+    tied = longer.filter(score == least).select(F.lit(0).alias("_all"), code.alias("_code"))
+    rank = words.sparkSession.createDataFrame([(0, room)], "_all int, rank bigint")
+    cut = cut_at_rank(tied, ["_all"], "_code", rank, block_bounds(tied, "_code")).first()["cut"]
+    return counts.filter((length == 1) | (score > least) | ((score == least) & (code <= F.lit(cut))))
 
 
 def covered_characters(words: DataFrame, coverage: float) -> set[str]:
@@ -212,47 +234,89 @@ def _expectation(words: DataFrame, index: Broadcast, logp: np.ndarray, longest:
     return float(rows.loc[rows["id"] < 0, "n"].sum()), counts
 
 
-def _losses(words: DataFrame, index: Broadcast, logp: np.ndarray, longest: int) -> np.ndarray:
-    """What the likelihood loses without a piece: its count on best paths times
-    the gap to the best path that replaces it. Single characters lose nothing."""
-    shared, size = words.sparkSession.sparkContext.broadcast(logp), len(logp)
-
-    def paths(frames):
-        sums = np.zeros(size)
-        for frame in frames:
-            for group, freq in equal_lengths(frame, longest):
-                sums = sums + Lattices(group, index.value, shared.value, longest).best(freq)
-        yield _numbered(sums)
-
-    def gaps(frames):
-        names, values = list(index.value.index), shared.value
-        for frame in frames:
-            rows = []
-            for number, n in zip(frame["id"], frame["n"]):
-                piece, others = names[number], _Without(index.value.index, values, number)
-                if len(piece) > 1:
-                    rest = sum(others.get(p, -1e6) for p in best_path(piece, others, longest, -1e6))
-                    rows.append((number, n * (values[number] - rest)))
-            yield pd.DataFrame(rows, columns=["id", "n"])
-
-    used = words.mapInPandas(paths, "id int, n double").groupBy("id").agg(F.sum("n").alias("n"))
-    rows = used.mapInPandas(gaps, "id int, n double").toPandas()
-    shared.unpersist()
-    losses = np.zeros(size)
-    losses[rows["id"]] = rows["n"]
-    return losses
+def _tries(words: DataFrame, automaton: Automaton) -> DataFrame:
+    """The words by tries, a row each, with the automaton's state at each node."""
+    shared = words.sparkSession.sparkContext.broadcast(automaton)
+
+    def build(batches):
+        for table in gathered(batches, "word"):
+            letters = letters_of(table["word"].chunk(0))
+            nodes = trie(letters.codes(), letters.first)
+            freq = table["freq"].to_numpy().astype(float)
+            arrays = [nodes.parent, nodes.bounds, nodes.ends, shared.value.states(nodes), freq]
+            columns = [pa.array([a.tobytes()], pa.binary()) for a in arrays]
+            yield pa.RecordBatch.from_arrays(columns, ["parent", "bounds", "ends", "state", "freq"])
+
+    rows = words.select("word", "freq").repartitionByRange("word").sortWithinPartitions("word")
+    fields = "parent binary, bounds binary, ends binary, state binary, freq binary"
+    staged = stage(rows.mapInArrow(build, fields), "tries")
+    shared.destroy()
+    return staged.coalesce(2 * words.sparkSession.sparkContext.defaultParallelism)
+
+
+def _packed(part: int, counts: np.ndarray) -> tuple[int, bytes, bytes]:
+    used = counts != 0
+    return part, np.packbits(used).tobytes(), counts[used].tobytes()
+
+
+def _summed(tries: DataFrame, endings: Endings, method: str) -> tuple[float, np.ndarray]:
+    """What a method of ``Paths`` gives, over all tries: the counts of a task are
+    rows of up to PART pieces, those that are not zero and which these are; equal
+    parts are added up by a shuffle in the order of their tasks."""
+    shared = tries.sparkSession.sparkContext.broadcast(endings)
+
+    def step(batches):
+        total, sums = 0.0, np.zeros(shared.value.none)
+        for batch in batches:
+            for row in batch.to_pylist():
+                parent, ends, state = (np.frombuffer(row[name], np.int32) for name in ("parent", "ends", "state"))
+                nodes = Trie(parent, None, None, np.frombuffer(row["bounds"], np.int64), ends)
+                value, counts = getattr(Paths(nodes, state, shared.value), method)(np.frombuffer(row["freq"]))
+                total, sums = total + value, sums + counts
+        rows = [_packed(-1, np.array([total]))]
+        rows += [_packed(at // PART, sums[at : at + PART]) for at in range(0, len(sums), PART)]
+        rows = [(part, TaskContext.get().partitionId(), used, n) for part, used, n in rows if n]
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        columns = [pa.array(column, kind) for column, kind in zip(zip(*rows) if rows else [()] * 4, kinds)]
+        yield pa.RecordBatch.from_arrays(columns, ["part", "task", "used", "n"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                used = np.unpackbits(np.frombuffer(row["used"], np.uint8), count=None).astype(bool)
+                part = sums.setdefault(row["part"], np.zeros(PART))
+                part[: len(used)][used] += np.frombuffer(row["n"])
+        columns = [pa.array(list(sums), pa.int32()), pa.array([n.tobytes() for n in sums.values()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["part", "n"])
+
+    parts = tries.mapInArrow(step, "part int, task int, used binary, n binary")
+    parts = parts.repartition("part").sortWithinPartitions("part", "task")
+    total, counts = 0.0, np.zeros(-(-endings.none // PART) * PART)
+    for row in parts.mapInArrow(add, "part int, n binary").toArrow().to_pylist():
+        if row["part"] < 0:
+            total = float(np.frombuffer(row["n"])[0])
+        else:
+            counts[row["part"] * PART :][:PART] = np.frombuffer(row["n"])
+    shared.destroy()
+    return total, _steady(counts[: endings.none])
 
 
-class _Without:
-    """The log-probabilities by piece, without one of them."""
+def _steady(values: np.ndarray) -> np.ndarray:
+    """Without the last bits, which depend on the order of the summands."""
+    part, power = np.frexp(values)
+    return np.ldexp(np.round(np.ldexp(part, 36)), power - 36)
 
-    def __init__(self, index: dict[str, int], logp: np.ndarray, number: int):
-        self.index, self.logp, self.number = index, logp, number
 
-    def get(self, piece: str, default=None):
-        number = self.index.get(piece, self.number)
-        known = number != self.number and number < len(self.logp) and self.logp[number] > NOTHING
-        return self.logp[number] if known else default
+def _losses(tries: DataFrame, automaton: Automaton, logp: np.ndarray) -> np.ndarray:
+    """What the likelihood loses without a piece: its count on best paths times
+    the gap to the best path that replaces it. Single characters lose nothing."""
+    endings, nodes = automaton.endings(logp), automaton.nodes
+    alive, losses = np.flatnonzero(logp > NOTHING), np.zeros(len(logp))
+    _, used = _summed(tries, endings, "best")
+    gaps = Paths(nodes, np.arange(len(nodes.parent), dtype=np.int32), endings).gaps()
+    losses[alive] = np.where(endings.size[:-1] > 1, used * gaps[nodes.ends[alive]], 0.0)
+    return _steady(losses)
 
 
 def learn_unigram(
@@ -282,37 +346,34 @@ def learn_unigram(
         whole, kept = words, covered_characters(words, character_coverage)
         words = stage_spread(covered_parts(whole, kept), "words")
         whole.unpersist()
-    seeds = seed_pieces(words, initial_vocab_size, max_piece_length).toPandas()
-    if seeds.empty:
+    seeds = seed_pieces(words, initial_vocab_size, max_piece_length).select("piece", "score").toArrow().sort_by("piece")
+    if not len(seeds):
         return PieceModel(df.sparkSession, {}, preset, special, byte_fallback=fallback)
-    pieces = seeds["piece"].to_numpy(object)
-    logp = np.log(seeds["score"].to_numpy(float)) - np.log(seeds["score"].sum())
+    pieces, score = seeds["piece"].combine_chunks(), seeds["score"].to_numpy().astype(float)
+    single = pc.utf8_length(pieces).to_numpy() == 1
+    logp = np.log(score) - np.log(score.sum())
+    automaton = Automaton(pieces)
+    tries = _tries(words, automaton)
+    words.unpersist()
     target = vocab_size - len(special) - len(BYTE_PIECES) * fallback
     history: list[float] = []
     while True:
-        single = np.array([len(p) == 1 for p in pieces], bool)
-        index = df.sparkSession.sparkContext.broadcast(Prefixes(numbers(pieces), len(pieces)))
         for _ in range(n_sub_iterations):
-            likelihood, counts = _expectation(words, index, logp, max_piece_length)
+            alive, counts = np.flatnonzero(logp > NOTHING), np.zeros(len(pieces))
+            likelihood, counts[alive] = _summed(tries, automaton.endings(logp), "expectation")
             history.append(likelihood)
             counts = np.where(single, np.maximum(counts, 0.5), counts)
             kept = counts >= 0.5
             counts = np.where(kept, counts, 1.0)
             logp = np.where(kept, digamma(counts) - digamma(counts[kept].sum()), NOTHING)
-        alive = np.isfinite(logp)
-        if alive.sum() > max(target, single.sum()):
-            losses = _losses(words, index, logp, max_piece_length)
-            longer = sorted(np.flatnonzero(alive & ~single), key=lambda i: (-losses[i], pieces[i]))
-            room = max(target, int(alive.sum() * shrinking_factor)) - single.sum()
-            chosen = np.zeros(len(pieces), bool)
-            chosen[longer[: max(0, room)]] = True
-            alive, done = single | chosen, False
-        else:
-            done = True
-        index.unpersist()
-        pieces, logp = pieces[alive], logp[alive]
-        if done:
+        alive = logp > NOTHING
+        if alive.sum() <= max(target, single.sum()):
             break
-    words.unpersist()
-    learned = dict(zip(pieces.tolist(), logp.tolist()))
+        losses = _losses(tries, automaton, logp)
+        longer = np.flatnonzero(alive & ~single)  # in the order of the pieces
+        longer = longer[np.argsort(-losses[longer], kind="stable")]
+        room = max(target, int(alive.sum() * shrinking_factor)) - single.sum()
+        logp[longer[max(0, room) :]] = NOTHING
+    unstage(tries)
+    learned = dict(zip(pieces.filter(pa.array(alive)).to_pylist(), logp[alive].tolist()))
     return PieceModel(df.sparkSession, learned, preset, special, history, fallback)

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as spark_entry
 from lingua_spark.functions.segmentation import best_path, merge_symbols, merge_with_dropout
 from lingua_spark.learn import batching, bpe, context, parity, phrases, unigram, wordtable
 from lingua_spark.learn.api import fit
@@ -490,6 +491,89 @@ def test_seeds_are_cut_exactly(spark, df):
     assert unigram.seed_pieces(words.limit(0), 5, 5).count() == 0
 
 
+def test_the_unigram_query_learns_the_published_vocabulary(spark, tmp_path):
+    """Words of 12 letters that come often each stay a piece: many more than 300."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(12)) for _ in range(700)]
+    rows = [(i, "en", " ".join(rng.sample(words, 350))) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["token"] for r in spark_entry.queries()["learn_unigram"](spark, str(tmp_path)).collect()}
+    assert set(words) <= found
+
+
+def word_trie(words):
+    letters = unigram.letters_of(pa.array(words))
+    return unigram.trie(letters.codes(), letters.first)
+
+
+def test_paths_of_tries_are_those_of_lattices():
+    rng = random.Random(4)
+    words = sorted({"".join(rng.choice("abé🙂") for _ in range(rng.randint(1, 14))) for _ in range(300)} | {"ab" * 90, "zab", "z"})
+    freq = np.array([rng.randint(1, 9) for _ in words], float)
+    spelled = [w for w in words if "z" not in w]
+    pieces = sorted({w[i : i + k] for w in spelled for i in range(0, len(w), 3) for k in (2, 3, 5)} | set("abé🙂"))
+    logp = np.array([unigram.NOTHING if len(p) == 3 and rng.random() < 0.5 else -rng.random() * 9 - 1 for p in pieces])
+    automaton = unigram.Automaton(pa.array(pieces))
+    nodes, endings = word_trie(words), automaton.endings(logp)
+    paths = unigram.Paths(nodes, automaton.states(nodes), endings)
+    alive = np.flatnonzero(logp > unigram.NOTHING)
+    total, counts, best = 0.0, np.zeros(len(pieces)), np.zeros(len(pieces))
+    for group, n in unigram.equal_lengths(pd.DataFrame({"word": words, "freq": freq}), 5):
+        lattices = unigram.Lattices(group, unigram.numbers(pieces), logp, 5)
+        value, some = lattices.expectation(n)
+        total, counts, best = total + value, counts + some, best + lattices.best(n)
+    value, some = paths.expectation(freq)
+    assert value == pytest.approx(total) and some == pytest.approx(counts[alive])
+    value, some = paths.best(freq)
+    known = {pieces[i]: logp[i] for i in alive}
+    routes = {w: best_path(w, known, 5, -1e6) for w in spelled}
+    scores = {w: sum(known[p] for p in route) for w, route in routes.items()}
+    assert value == pytest.approx(sum(scores.get(w, 0) * n for w, n in zip(words, freq)))
+    assert some == pytest.approx(best[alive])
+
+    gaps = unigram.Paths(automaton.nodes, np.arange(len(automaton.nodes.parent)), endings).gaps()
+    for i in alive:
+        others = {p: v for p, v in known.items() if p != pieces[i]}
+        if len(pieces[i]) > 1:
+            rest = sum(others[p] for p in best_path(pieces[i], others, 5, -1e6))
+            assert gaps[automaton.nodes.ends[i]] == pytest.approx(logp[i] - rest)
+
+
+def test_no_pieces_and_unknown_letters_spell_nothing():
+    automaton = unigram.Automaton(pa.array(["a", "ab"]))
+    nodes = word_trie(["b", "ba", "c"])
+    paths = unigram.Paths(nodes, automaton.states(nodes), automaton.endings(np.array([-1.0, -2.0])))
+    for value, counts in (paths.expectation(np.ones(3)), paths.best(np.ones(3))):
+        assert value == 0 and not counts.any()
+
+
+@pytest.mark.parametrize("rows", [1, 3, 1000])
+def test_substrings_of_runs_add_up(rows):
+    """Runs of sorted tails, cut anywhere, give each substring once or in parts."""
+    rng = random.Random(rows)
+    counts = Counter("".join(rng.choice("aé🙂") for _ in range(rng.randint(1, 9))) for _ in range(200))
+    found = unigram.tails(pa.array(list(counts)), np.array(list(counts.values())), 4)
+    ends = sorted(zip(found["tail"].to_pylist(), found["freq"].to_pylist()))
+    whole, parts = {}, Counter()
+    for at in range(0, len(ends), rows):
+        texts, n = zip(*ends[at : at + rows])
+        for piece, count, complete in zip(*unigram.part_counts(pa.array(texts), np.array(n), 2)):
+            if complete:
+                assert piece.as_py() not in whole
+                whole[piece.as_py()] = count
+            else:
+                parts[piece.as_py()] += count
+    plain = Counter()
+    for word, n in counts.items():
+        for i in range(len(word)):
+            for k in range(1, min(4, len(word) - i) + 1):
+                plain[word[i : i + k]] += n
+    assert not set(whole) & set(parts)
+    assert {p: n for p, n in (whole | parts).items() if n > 1 or len(p) == 1} == {
+        p: n for p, n in plain.items() if n > 1 or len(p) == 1
+    }
+
+
 def test_unigram_falls_back_to_bytes(spark, tmp_path):
     rows = [(i, "lower newest widest") for i in range(40)] + [(99, "lößer 🙂w"), (100, ""), (101, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
