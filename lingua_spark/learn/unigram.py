@@ -49,7 +49,7 @@ def substrings(
             yield from found.cast(pa.schema([("tail", pa.string()), ("freq", pa.int64())])).to_batches()
 
     def count(batches):
-        for table in gathered(batches, "tail", LETTERS * 4):
+        for table in gathered(batches, "tail"):
             pieces, n, whole = part_counts(table["tail"].chunk(0), table["freq"].to_numpy(), least)
             columns = [pieces.cast(pa.string()), pa.array(n), pa.array(whole)]
             yield pa.RecordBatch.from_arrays(columns, ["piece", "n", "whole"])
